@@ -42,7 +42,7 @@ def tasks_for(size: int, each: int, spark: SparkSession) -> int:
 
 
 def bucketed(docs: DataFrame, size: int, each: int = 4 << 20) -> tuple[DataFrame, int]:
-    """docs (doc_id, text) dealt by a hash of doc_id into buckets of about `each` bytes of text, and how many buckets.
+    """docs (doc_id, text) dealt by a hash of doc_id into buckets of about `each` bytes of text, and over how many tasks.
 
     The bucket is a function of the row alone, so a lost task that runs again puts every
     row back into the same bucket. Buckets are many to a task, so tasks are even.
@@ -51,7 +51,7 @@ def bucketed(docs: DataFrame, size: int, each: int = 4 << 20) -> tuple[DataFrame
     n = tasks_for(size, 6 * each, spark)
     buckets = max(4 * n, -(-size // each))
     key = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)).cast("int")
-    return docs.withColumn("bucket", key).repartition(n, "bucket"), buckets
+    return docs.withColumn("bucket", key).repartition(n, "bucket"), n
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.near_dedup import near_duplicate_groups
 
