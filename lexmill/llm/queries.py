@@ -15,6 +15,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.quality import quality_cascade
+
+    out = quality_cascade(_table(spark, sf_dir, "documents"), counts=True)
+    failed = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
+    return out.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"{failed} as base_failed", "kept")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.near_dedup import near_duplicate_groups
 
@@ -25,5 +33,38 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_SPACES = "chr(9), ' '), chr(10), ' '), chr(11), ' '), chr(12), ' '), chr(13), ' ')"
+
+#: The digest of op6 by unnested words, lines and windows.
+_OP6 = f"""
+with d as (
+  select doc_id, coalesce(text, '') as t,
+         list_filter(string_split({'replace(' * 5}coalesce(text, ''), {_SPACES}, ' '), lambda x: x <> '') as w
+  from documents),
+win as (
+  select doc_id, i, row_number() over (partition by doc_id, g order by i) + 0 * i as k, count(*) over (partition by doc_id, g) as n
+  from (select doc_id, i, list_slice(w, i, i + 4)::varchar[] as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5))),
+rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from win where n > 1) group by doc_id),
+lin as (
+  select doc_id, sum(n - 1)::bigint as dup, sum(n)::bigint as lines
+  from (select doc_id, l, count(*) as n from (select doc_id, unnest(string_split(t, chr(10))) as l from d)
+        where trim({'replace(' * 5}l, {_SPACES}) <> '' group by doc_id, l) group by doc_id),
+m as (
+  select d.doc_id, len(w)::bigint as n_words,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+         coalesce(lin.dup, 0)::bigint as n_dup_lines, coalesce(lin.lines, 0) as n_lines,
+         coalesce(rep.n, 0)::bigint as n_repeat_words,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) as up, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as letters,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as stutters
+  from d left join lin using (doc_id) left join rep using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 100 * n_symbols > 30 * n_words or 100 * up > 50 * letters
+            or 100 * n_dup_lines > 50 * n_lines or 100 * stutters > 30 * n_words or word_chars < 2 * n_words or word_chars > 25 * n_words) as kept
+from m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_cascade": _OP6}
