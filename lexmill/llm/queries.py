@@ -9,12 +9,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.substring_dedup import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.token_output import token_files
+
+    return token_files(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.quality import quality_cascade
 
