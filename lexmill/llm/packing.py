@@ -23,11 +23,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import wordhash as wh
-from lexmill.llm.cluster import scratch
+from lexmill.llm.cluster import numbered, scratch
 from lexmill.llm.tokens import BatchEncoder
 
 FIT_STEPS = 200
@@ -134,17 +134,6 @@ def _pieces(tokenizer: str, room: int, end_id: int, with_ids: bool):
     return run
 
 
-def numbered(df: DataFrame, by: str, salt: str, order: list[str], name: str) -> DataFrame:
-    """df with a number from 0 without gaps in each value of `by`, in the order of (salt, order).
-
-    Rows are numbered within (by, salt); what comes before a salt is a running total of counts.
-    """
-    counts = df.groupBy(by, salt).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(by).orderBy(salt)) - F.col("_n")
-    own = F.row_number().over(Window.partitionBy(by, salt).orderBy(*order))
-    return df.withColumn("_own", own).join(counts.select(by, salt, before.alias("_before")), [by, salt]).withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_own", "_before")
-
-
 def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids): every piece of every row of docs (doc_id, text).
 
