@@ -27,6 +27,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.sharding import shard_table
+
+    return shard_table(_table(spark, sf_dir, "documents"))
+
+
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.mixing import mix_table
+
+    return mix_table(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.token_output import token_files
 
@@ -84,5 +96,22 @@ from m
 """
 
 
+#: The Poisson quantile as a running sum of its terms; rates from shares that follow the square root of the rows.
+_OP4 = """
+with recursive n as (select source, count(*) as n from documents group by source),
+rates as (select source, (pow(n::double, 0.5) / (select sum(pow(n::double, 0.5)) from n) * (select sum(n) from n) / n)::double as rate from n),
+terms as (
+  select source, rate, 0 as k, exp(-rate) as p, exp(-rate) as c from rates
+  union all
+  select source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) from terms where k < cast(ceil(rate + 12 * sqrt(rate)) as int) + 30),
+keyed as (select doc_id, source, '23|' || coalesce(doc_id::varchar, '-') || '|' || md5(coalesce(text, '-')) as key from documents),
+drawn as (select doc_id, source, key, ('0x' || substr(md5(key), 1, 13))::bigint / 4503599627370496.0 as u from keyed),
+counted as (select d.doc_id, d.source, d.key, count(*)::bigint as copies from drawn d join terms t on d.source is not distinct from t.source and t.c <= d.u group by all),
+copied as (select doc_id, source, copies, unnest(range(1, copies + 1)) as copy, key from counted),
+keys as (select doc_id, source, copies, copy, md5(key || '|' || copy::varchar) as shuffle_key from copied)
+select doc_id, source, copies, copy::bigint as copy, shuffle_key, row_number() over (order by shuffle_key, doc_id) - 1 as position from keys
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_cascade": _OP6}
+    return {"op4_poisson_mixing": _OP4, "op6_quality_cascade": _OP6}
