@@ -53,6 +53,12 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"{failed} as base_failed", "kept")
 
 
+def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.ppm import language_scores
+
+    return language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.near_dedup import near_duplicate_groups
 
