@@ -177,9 +177,10 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = 2000
 _BASE = ("n_words", "n_word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] | None = None, order: list[str] | None = None, counts: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] | None = None, order: list[str] | None = None, counts: bool = False, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """The carried columns of docs (with a column text), kept boolean and rejected_by string.
 
+    with_text=True gives the texts that are kept too (null for the others).
     counts=True adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of every
     text. A word is `[^\\\\x20\\\\x09-\\\\x0D]+`. Null and empty texts have no words and are rejected
     (few_words). rejected_by names the rule that turned a text away first; with several
@@ -193,7 +194,7 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] | None = None, orde
     fields = [source.schema[c] for c in carry]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", kept boolean, rejected_by string"
     extra = _BASE if counts else ()
-    ddl += "".join(f", {c.replace('n_word_chars', 'word_chars')} long" for c in extra)
+    ddl += "".join(f", {c.replace('n_word_chars', 'word_chars')} long" for c in extra) + ", text string" * with_text
 
     def run(batches):
         for batch, texts in _each_piece(batches, len(carry)):
@@ -209,6 +210,8 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] | None = None, orde
                     alive, left = alive[~bad], left.take(~bad)
             kept = np.array([x is None for x in by], bool)
             arrays = [batch.column(k) for k in range(len(carry))] + [pa.array(kept), pa.array(by.tolist(), pa.string()), *(pa.array(c.astype(np.int64)) for c in columns)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*carry, "kept", "rejected_by", *(c.replace("n_word_chars", "word_chars") for c in extra)])
+            if with_text:
+                arrays.append(batch.column(len(carry)).take(pa.array(np.arange(len(kept)), mask=~kept)))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*carry, "kept", "rejected_by", *(c.replace("n_word_chars", "word_chars") for c in extra), *["text"] * with_text])
 
     return source.mapInArrow(run, ddl)

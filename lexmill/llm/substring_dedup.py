@@ -204,12 +204,12 @@ def _first_holders(table: pa.Table) -> pa.Table:
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
-def _cut(window: int, with_text: bool):
+def _cut(window: int, with_text: bool, carry: tuple[str, ...]):
     """Per document of the bucket: what is left once the covered words are gone."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _KEPT.empty_table()
+            return pa.schema([*_KEPT, *(table.schema.field(c) for c in carry)]).empty_table()
         data, off = wh.utf8(table.column("text"))
         keep = None
         if replies.num_rows:
@@ -241,13 +241,13 @@ def _cut(window: int, with_text: bool):
                 text = table.column("text")[i].as_py() if len(left) == len(found) else joined.decode()
             for column, value in zip(out, (len(found), len(found) - len(left), hashlib.sha256(joined).hexdigest(), text if with_text else None), strict=True):
                 column.append(value)
-        return pa.table([table.column("doc_id").cast(pa.int64()), *(pa.array(c, t.type) for c, t in zip(out, list(_KEPT)[1:], strict=True))], schema=_KEPT)
+        return pa.table([table.column("doc_id").cast(pa.int64()), *(pa.array(c, t.type) for c, t in zip(out, list(_KEPT)[1:], strict=True)), *(table.column(c) for c in carry)], names=[*_KEPT.names, *carry])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text for every row of docs (doc_id, text).
+def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text and the carried columns for every row of docs (doc_id, text).
 
     A word is `[^\\x20\\x09-\\x0D]+`, unchanged. A window is `window` consecutive words of one
     document; each word covered by a window whose word sequence also starts in a document
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, with_text:
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block at every offset: window >= 2 * block - 1")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     size = text_bytes(docs)[1]
     dealt, tasks = bucketed(docs, size)
     parts = max(8, -(-size // (16 << 20)))
@@ -270,4 +270,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, with_text:
     shared = grouped.applyInArrow(_probe(block, parts), _SPAN).groupBy("part").applyInArrow(_shared, _SPAN)
     windows = grouped.cogroup(by_bucket(shared)).applyInArrow(_candidates(block, window, parts), _SPAN)
     holders = windows.groupBy("part").applyInArrow(_first_holders, _SPAN)
-    return grouped.cogroup(by_bucket(holders)).applyInArrow(_cut(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return grouped.cogroup(by_bucket(holders)).applyInArrow(_cut(window, with_text, carry), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
