@@ -10,14 +10,13 @@ Plan: one Arrow pass makes a row per document (set size, 128-bit set fingerprint
 keys). Documents with equal sets collapse to one class, so copies cost nothing further.
 Per band bucket each class is paired with the smallest class only (a star: linear in the
 bucket), and links are confirmed on the full shingle sets. Where a bucket still holds
-several components after that, the pairs between components whose sizes allow a link are
-confirmed as well, so no link that can join components is lost.
+several components after that, its members meet in blocks of bounded size, where all
+intersections across components are counted exactly inside the task and at most one link
+per document comes out; so no link that can join components is lost, and no pair rows are made.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +28,7 @@ from lexmill.llm.cluster import components, saved, scratch, tasks_for, text_byte
 U64 = np.uint64
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 PIECE = 2 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 300_000
 
 
 def fast_sketch(values: np.ndarray, doc: np.ndarray, n_docs: int, bins: int) -> np.ndarray:
@@ -92,6 +92,60 @@ def _overlaps(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(both)], schema=schema)
 
 
+def _bridges(percent: int):
+    """Links between two blocks of a group (or inside one) that join components: at most one per document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        data, off = wh.utf8(table.column("text"))
+        own, i, j = (np.asarray(table.column(c).combine_chunks()) for c in ("own", "i", "j"))
+        rep, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("rep", "c"))
+        parts = [wh.shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in wh.pieces(off, PIECE, wh.MOST_DOCS)]
+        starts = [a for a, _ in wh.pieces(off, PIECE, wh.MOST_DOCS)]
+        values = np.concatenate([p[0] for p in parts])
+        doc = np.concatenate([p[1] + a for p, a in zip(parts, starts, strict=True)])
+        size = np.bincount(doc, minlength=len(rep))
+        side = [np.flatnonzero(own == x) for x in (i[0], j[0])]
+        place = np.full((2, len(rep)), -1)
+        for k in range(2):
+            place[k, side[k]] = np.arange(len(side[k]))
+        # intersections of all pairs at once: products of 0/1 columns, a slice of the shared shingles at a time
+        order = np.argsort(values, kind="stable")
+        values, doc = values[order], doc[order]
+        column = np.cumsum(np.concatenate(([True], values[1:] != values[:-1]))) - 1
+        shared = np.bincount(column)[column] > 1
+        column, doc = np.unique(column[shared], return_inverse=True)[1], doc[shared]
+        both = np.zeros((len(side[0]), len(side[1])), np.float32)
+        for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+            part = slice(*np.searchsorted(column, [low, low + 4096]))
+            grids = []
+            for k in range(2):
+                at = place[k, doc[part]]
+                grid = np.zeros((len(side[k]), 4096), np.float32)
+                grid[at[at >= 0], column[part][at >= 0] - low] = 1
+                grids.append(grid)
+            both += grids[0] @ grids[1].T
+        total = size[side[0]][:, None] + size[side[1]][None, :]
+        link = 100 * both.astype(np.int64) >= percent * (total - both.astype(np.int64))
+        link &= comp[side[0]][:, None] != comp[side[1]][None, :]
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        out = []
+        for a, b in zip(*np.nonzero(link), strict=True):
+            x, y = int(comp[side[0][a]]), int(comp[side[1][b]])
+            p, q = root(x), root(y)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                out.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose sets overlap enough, by the whole texts."""
     sides = (
@@ -140,29 +194,19 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = 32, r
     links = saved(_confirmed(star, texts, percent))
     found = components(links)
 
-    # Buckets that still hold several components: pairs across components, by size class so that only sets that may link meet.
-    step = math.log(100 / percent)
-    tagged = members.join(found, members.rep == found.node, "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("c"), F.floor(F.log("n") / step).alias("s"))
-    mixed = tagged.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
+    # Buckets that still hold several components: compare across components, block by block.
+    tagged = members.join(found, members.rep == found.node, "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    mixed = tagged.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("first")).where("lo <> hi").select("band", "key", "first")
     tagged = saved(tagged.join(mixed, ["band", "key"]))
-    # One row per component, size and bucket pattern would lose links inside a component only; those change nothing.
-    left = tagged.select("band", "key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("s"))
-    right = tagged.select("band", "key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "s", F.col("s").alias("sb"))
-    cross = (
-        left.join(right, ["band", "key", "s"])
-        .where("ca <> cb and (na < nb or (na = nb and a < b))")
-        .where(fits)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-        .distinct()
-        .join(star.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    cross = saved(cross)
-    if not cross.isEmpty():
-        more = saved(_confirmed(cross, texts, percent))
-        if not more.isEmpty():
-            contracted = more.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            contracted = contracted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            found = components(contracted.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    if not tagged.isEmpty():
+        near = components(tagged.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
+        placed = tagged.select("rep", "n", "c").dropDuplicates(["rep", "n"]).join(near.select(F.col("node").alias("rep"), F.col("component").alias("g")), "rep")
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+        sizes = placed.groupBy("g").agg(blocks.alias("blocks"))
+        cells = placed.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c")
+        more = saved(cells.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("g", "i", "j").applyInArrow(_bridges(percent), "a long, b long"))
+        found = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     by_class = classes.join(found, classes.rep == found.node, "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", *same).join(by_class, same, "left")
