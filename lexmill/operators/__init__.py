@@ -1,0 +1 @@
+"""Relational operators: detection, routing, quality flags, registry work, decoding."""
