@@ -48,7 +48,7 @@ def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-8 bytes, where bytes from 0x80 on are extended by their sign."""
     code = F.hex(text.cast("binary"))
     byte = lambda i: F.conv(F.substring(code, 2 * i - 1, 2), 16, 10).cast("long")
-    values = F.transform(F.sequence(F.lit(1), F.length(code) / 2), lambda i: byte(i.cast("int")))
+    values = F.transform(F.sequence(F.lit(1), F.shiftright(F.length(code), 1)), lambda i: byte(i))
     values = F.when(F.length(code) > 0, values).otherwise(F.array().cast("array<bigint>"))
     signed = lambda b: F.when(b >= 128, b + 0xFFFFFF00).otherwise(b)
     return F.aggregate(values, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(signed(b)) * 16777619).bitwiseAND(0xFFFFFFFF))

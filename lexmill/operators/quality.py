@@ -63,7 +63,7 @@ def selection(entries: DataFrame, flagged: DataFrame, precision: str | None = No
     """model_id, left_out: the first filter that drops a model, null if it stays. Named models override every filter; an unmeasured score never drops one."""
     if models is not None:
         return entries.select("model_id", F.when(~F.col("model_id").isin(models), "not named").alias("left_out"))
-    both = entries.join(flagged.select("model_id", "flagged"), "model_id", "left")
+    both = entries.drop("flagged").join(flagged.select("model_id", "flagged"), "model_id", "left")
     out = F.when(F.lit(not include_noncommercial) & (F.col("license_tier") == "non-commercial"), "licence")
     if precision is not None:
         out = out.when(F.col("precision").isNotNull() & (F.col("precision") != precision), "precision")

@@ -36,7 +36,7 @@ OWNER_OF = {lang: org for org, langs in OWNERS.items() for lang in langs.split()
 
 def recency(date: Column) -> Column:
     """Days, fewer for later dates; an unknown or malformed date is the oldest of all."""
-    day = F.when(date.rlike("^\\d{4}-\\d{1,2}-\\d{1,2}$"), F.try_to_date(date, F.lit("yyyy-M-d")))
+    day = F.when(date.rlike("^\\d{4}-\\d{1,2}-\\d{1,2}$"), F.try_to_date(date, "yyyy-M-d"))
     return F.coalesce(-F.datediff(day, F.lit("1970-01-01").cast("date")).cast("double"), F.lit(float("inf")))
 
 

@@ -2,5 +2,530 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.functions import labels as L
+from lexmill.functions import text as T
+from lexmill.operators import cache, decode, detect, quality, registry, routing
+from lexmill.plans.fixtures import table, values_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *tables: str):
+    """Registers a query under its own name; the SQL may use the named fixture tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            head = values_sql(*tables) if tables else ""
+            body = sql.strip()
+            if head and body.upper().startswith("WITH "):
+                body = ", " + body[5:]
+            ORACLES[f.__name__] = f"{head}\n{body}"
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _at(template: str, *values) -> str:
+    """The SQL template with @0, @1, ... filled in."""
+    for k, v in enumerate(values):
+        template = template.replace(f"@{k}", str(v))
+    return template
+
+
+# --- texts -----------------------------------------------------------------------------------
+
+_BLANK = "".join(f"\\x{{{c:x}}}" for c in [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_INVISIBLE = "\\x{200B}-\\x{200F}\\x{2028}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}"
+_SEEN = f"coalesce(regexp_matches(regexp_replace(@0, '[{_INVISIBLE}]', '', 'g'), '[^{_BLANK}]'), false)"
+_TOKENS = "list_filter(regexp_split_to_array(@0, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+_STATUS = f"case when not {_SEEN} then 'EMPTY_INPUT' when length(@0) > 10000 then 'TOO_MANY_CHARS' when len({_TOKENS}) > 1024 then 'TOO_MANY_TOKENS' else 'OK' end"
+_BYTES = "list_transform(range(1, octet_length(encode(@0)) + 1), lambda i: ('0x' || substr(hex(encode(@0)), (2 * i - 1)::int, 2))::bigint)"
+_FNV = f"list_reduce(list_prepend(2166136261::bigint, {_BYTES}), lambda h, b: ((xor(h, case when b >= 128 then b + 4294967040 else b end) * 16777619) & 4294967295)::bigint)"
+_GRAMS = "flatten(list_transform(range(1, length(@0) + 1), lambda i: list_transform(list_filter(range(@1, @2 + 1), lambda n: i + n - 1 <= length(@0)), lambda n: substr(@0, i::int, n::int))))"
+
+
+@query(
+    f"select 'documents' as tbl, doc_id::bigint as id, {_at(_SEEN, 'text')} as visible from documents union all "
+    f"select 'conversations', conv_id * 1000 + turn, {_at(_SEEN, 'text')} from conversations union all select 'strings', id, {_at(_SEEN, 's')} from strings",
+    "strings",
+)
+def visible_content(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
+    turns = _read(spark, sf_dir, "conversations").select(F.lit("conversations"), F.expr("conv_id * 1000 + turn"), "text")
+    every = docs.union(turns).union(table(spark, "strings").select(F.lit("strings"), F.col("id").cast("long"), "s"))
+    return every.select("tbl", "id", T.has_visible_content(F.col("text")).alias("visible"))
+
+
+@query(f"select doc_id, {_at(_STATUS, 'text')} as status from documents")
+def detect_guards(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.guard_status(F.col("text")).alias("status"))
+
+
+@query(f"select doc_id, (len({_at(_TOKENS, 'text')}) + 1)::bigint as n_tokens from documents")
+def token_counts(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(f"with t as (select distinct unnest({_at(_TOKENS, 'text')}) as token from benchmark) select token, {_at(_FNV, 'token')} as h, len({_at(_GRAMS, chr(39) + '<' + chr(39) + ' || token || ' + chr(39) + '>' + chr(39), 2, 5)})::bigint as n_subwords from t")
+def fnv_buckets(spark, sf_dir):
+    words = _read(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).where(F.col("token") != T.END_TOKEN).distinct()
+    return words.select("token", T.fnv1a(F.col("token")).alias("h"), F.size(T.subwords(F.col("token"))).cast("long").alias("n_subwords"))
+
+
+@query(
+    f"""with t as (select item_id, unnest({_at(_TOKENS, 'text')}) as token from benchmark), d as (select distinct token, '<' || token || '>' as w from t),
+    g as (select token, unnest({_at(_GRAMS, 'w', 2, 5)}) as g from d), u as (select distinct g from g), h as (select g, 1000 + {_at(_FNV, 'g')} % 65536 as fid from u),
+    f as (select token, count(*) as n, sum(fid) as s, min(fid) as lo, max(fid) as hi from g join h using (g) group by token)
+    select item_id, sum(n)::bigint as n_ids, sum(s)::bigint as id_sum, min(lo)::bigint as lo, max(hi)::bigint as hi from t join f using (token) group by item_id"""
+)
+def feature_ids(spark, sf_dir):
+    words = _read(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("token")).where(F.col("token") != T.END_TOKEN)
+    ids = words.select("token").distinct().select("token", T.subword_ids(F.col("token"), 1000, 65536).alias("ids"))
+    per = ids.select("token", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("s"), F.array_min("ids").alias("lo"), F.array_max("ids").alias("hi"))
+    return words.join(per, "token").groupBy("item_id").agg(F.sum("n").alias("n_ids"), F.sum("s").alias("id_sum"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+@query("select doc_id, len(string_split(text, chr(10)))::bigint as n_lines, list_aggregate(list_transform(string_split(text, chr(10)), lambda x: length(x)), 'max')::bigint as longest, array_to_string(string_split(text, chr(10)), chr(10)) = text as same from documents")
+def line_split_rejoin(spark, sf_dir):
+    lines = F.split("text", "\n", -1)
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.array_max(F.transform(lines, F.length)).cast("long").alias("longest"), (F.array_join(lines, "\n") == F.col("text")).alias("same"))
+
+
+def _chain_sql(column: str, rules: list[tuple[str, str]]) -> str:
+    import re
+
+    for pattern, replacement in rules:
+        pattern = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", pattern).replace("'", "''")
+        column = f"regexp_replace({column}, '{pattern}', '{re.sub(r'[$]([0-9])', r'\\\1', replacement).replace(chr(39), chr(39) * 2)}', 'g')"
+    return column
+
+
+_BOTH = "(select doc_id as id, text as s from documents union all select -1 - id, s from strings)"
+
+
+def _texts_and_strings(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("s")).union(table(spark, "strings").select((-1 - F.col("id")).cast("long"), "s"))
+
+
+@query(f"select id, md5({_chain_sql(_chain_sql('s', T.PUNCTUATION), [('^[' + _BLANK + ']+|[' + _BLANK + ']+$', '')])}) as h from {_BOTH}", "strings")
+def moses_punct(spark, sf_dir):
+    return _texts_and_strings(spark, sf_dir).select("id", F.md5(T.normalize_punctuation(F.col("s")).cast("binary")).alias("h"))
+
+
+def _replaces(column: str) -> str:
+    for old, new in T.CLEAN_UP:
+        column = "replace({}, '{}', '{}')".format(column, old.replace("'", "''"), new.replace("'", "''"))
+    return column
+
+
+_DIGITS = T.native_digits()
+
+
+@query(f"select id, md5({_replaces('s')}) as cleaned, md5(regexp_replace(s, ' {{2,}}', ' ', 'g')) as collapsed, md5(translate(s, '{''.join(_DIGITS)}', '{''.join(_DIGITS.values())}')) as folded, regexp_replace(s, '@@[{_BLANK}]*', '', 'g') = s as no_markers, nullif(regexp_extract(s, '^__([a-z_A-Z-]+)__$', 1), '') as code from {_BOTH}", "strings")
+def text_clean_ups(spark, sf_dir):
+    s = F.col("s")
+    h = lambda c: F.md5(c.cast("binary"))
+    return _texts_and_strings(spark, sf_dir).select("id", h(T.clean_up_spaces(s)).alias("cleaned"), h(T.collapse_spaces(s)).alias("collapsed"), h(T.fold_digits(s)).alias("folded"), (T.drop_bpe_markers(s) == s).alias("no_markers"), T.bare_code(s).alias("code"))
+
+
+@query("select id, len(list_distinct(regexp_extract_all(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}')))::bigint as emails, len(list_distinct(regexp_extract_all(s, '[A-Za-z0-9]*[#|@][A-Za-z0-9_]+')))::bigint as others from " + _BOTH, "strings")
+def placeholder_counts(spark, sf_dir):
+    return _texts_and_strings(spark, sf_dir).select("id", *[F.size(T.placeholder_matches(F.col("s"), kind)).cast("long").alias(name) for kind, name in (("email", "emails"), ("other", "others"))])
+
+
+@query()
+def sentence_split(spark, sf_dir):
+    parts = T.split_sentences("text")
+    return _read(spark, sf_dir, "conversations").withColumn("p", parts).select("conv_id", "turn", F.size("p").alias("n"), (F.array_join(F.transform("p", lambda x: F.concat(x["sentence"], x["gap"])), "") == F.col("text")).alias("same"), F.md5(T.rejoin(F.col("p"), F.lit("Latn")).cast("binary")).alias("h"))
+
+
+@query(
+    """with t as (select item_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: length(x)) as ids from benchmark),
+    c as (select item_id, ids, ids[len(ids) - 0 : len(ids)] as tail1, len(ids) as n from t)
+    select item_id, coalesce(list_sort(list_distinct(list_transform(list_filter(range(1, n), lambda i: ids[i] = ids[n]), lambda i: ids[i + 1]))), [])::bigint[]::varchar as bans from c"""
+)
+def ngram_ban(spark, sf_dir):
+    ids = F.transform(F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != ""), F.length)
+    bans = _read(spark, sf_dir, "benchmark").select("item_id", T.repeated_ngram_bans(ids, 2).alias("b"))
+    return bans.select("item_id", F.concat(F.lit("["), F.array_join("b", ", "), F.lit("]")).alias("bans"))
+
+
+# --- labels and tags -------------------------------------------------------------------------
+
+
+def _map_sql(d: dict[str, str], key: str) -> str:
+    return "(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in d.items()) + f"}})[{key}]"
+
+
+_TAG = f"""with r as (select label_idx, replace(raw, '__label__', '') as raw from labels_list),
+p as (select *, case when contains(raw, '_') then regexp_extract(raw, '^(.+)_([^_]+)$', 1) else raw end as code, nullif(regexp_extract(raw, '^(.+)_([^_]+)$', 2), '') as script from r),
+m as (select *, coalesce({_map_sql(L.MACRO, 'code')}, code) as c2 from p), b as (select *, coalesce({_map_sql(L.SHORT, 'c2')}, c2) as base from m),
+tagged as (select label_idx, raw, case when raw = 'nan_lang' then 'und' when script is not null and (base in ('zh', 'sr') or coalesce({_map_sql(L.SCRIPTS, 'base')}, 'Latn') <> script) then base || '-' || script else base end as tag from b)"""
+
+
+@query(_TAG + ", h as (select tag, min(label_idx) as head from tagged group by tag) select label_idx, raw, tag, label_idx = head as first from tagged join h using (tag)", "labels_list")
+def label_to_bcp47(spark, sf_dir):
+    return L.label_maps(table(spark, "labels_list"))
+
+
+@query(_TAG + f", s as (select tag, split_part(tag, '-', 1) as p, nullif(regexp_extract(tag, '^[^-]*-(.+)$', 1), '') as rest from (select distinct tag from tagged)), c as (select *, {_map_sql(L.VARIETY, 'p')} as macro from s) select tag, case when macro is null then tag when rest is not null and macro in ('zh', 'sr') then macro || '-' || rest else macro end as collapsed from c", "labels_list")
+def collapse_variety(spark, sf_dir):
+    return L.label_maps(table(spark, "labels_list")).select("tag").distinct().select("tag", L.collapse_variety(F.col("tag")).alias("collapsed"))
+
+
+@query(_TAG + " select count(distinct tag)::bigint as n_languages from tagged", "labels_list")
+def available_languages(spark, sf_dir):
+    return L.label_maps(table(spark, "labels_list")).agg(F.countDistinct("tag").alias("n_languages"))
+
+
+# --- detection -------------------------------------------------------------------------------
+
+_LID = f"""with ok as (select doc_id, lang, text, source, ('0x' || substr(md5(text), 1, 2))::int % 5 <> 0 as training from documents where {_at(_STATUS, 'text')} = 'OK'),
+tok as (select doc_id, lang, training, unnest({_at(_TOKENS, 'text')}) as token from ok), words as (select distinct token, '<' || token || '>' as w from tok),
+g as (select token, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i::int, 3))) as g from words), h as (select g, {_at(_FNV, 'g')} % 65536 as fid from (select distinct g from g)),
+gf as (select token, fid, count(*) as m from g join h using (g) group by all),
+lt as (select lang, token, count(*) as n from tok where training group by all), feat as (select lang, fid, sum(n * m)::bigint as c from lt join gf using (token) group by all),
+tot as (select lang, sum(c)::bigint as total from feat group by lang), nd as (select lang, count(*) as n_docs from ok where training group by lang),
+pri as (select lang, n_docs, total, round(ln(n_docs / sum(n_docs) over ()) * 1000000)::bigint as prior from nd join tot using (lang)),
+tw as (select token, lang, sum(m * round(ln((coalesce(c, 0) + 1) / (total + 65536)) * 1000000)::bigint)::bigint as w from gf cross join (select lang, total from tot) t left join feat using (lang, fid) group by all),
+dt as (select doc_id, token, count(*) as n from tok where not training group by all),
+sc as (select doc_id, lang, (sum(n * w) + any_value(prior))::bigint as score from dt join tw using (token) join pri using (lang) group by doc_id, lang),
+best as (select doc_id, lang as predicted, score from (select *, row_number() over (partition by doc_id order by score desc, lang) as r from sc) where r = 1)"""
+
+
+def _lid(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    training = detect.is_training(F.col("text"))
+    priors, features = detect.train(docs.where(training))
+    return docs.where(~training), priors, features
+
+
+def _scored(spark, sf_dir):
+    held, priors, features = _lid(spark, sf_dir)
+    return held, detect.scores(held, priors, features)
+
+
+@query(_LID + " select lang, n_docs::bigint as n_docs, total, prior from pri")
+def lid_train(spark, sf_dir):
+    return _lid(spark, sf_dir)[1]
+
+
+@query(_LID + " select doc_id, predicted, score from best")
+def lid_predict(spark, sf_dir):
+    return detect.predict(_scored(spark, sf_dir)[1])
+
+
+@query(_LID + ", e as (select doc_id, lang, exp((score - max(score) over (partition by doc_id)) / 1000000) as e from sc), p as (select doc_id, lang, e / sum(e) over (partition by doc_id) as p from e), r as (select *, row_number() over (partition by doc_id order by p desc, lang) as rank from p) select doc_id, lang as tag, round(p, 6) as p, rank from r where rank <= 3")
+def lid_probs_topk(spark, sf_dir):
+    return detect.top_k(detect.probabilities(_scored(spark, sf_dir)[1]), 3).select("doc_id", "tag", F.round("p", 6).alias("p"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_LID + " select lang, predicted, count(*)::bigint as n from best join documents using (doc_id) group by all")
+def lid_confusion(spark, sf_dir):
+    held, scored = _scored(spark, sf_dir)
+    return detect.predict(scored).join(held.select("doc_id", "lang"), "doc_id").groupBy("lang", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_LID + " select source, count(*)::bigint as n, sum((lang = predicted)::int)::bigint as right from best join documents using (doc_id) group by source".replace(" as right", ' as "right"'))
+def lid_accuracy_by_source(spark, sf_dir):
+    held, scored = _scored(spark, sf_dir)
+    return detect.predict(scored).join(held.select("doc_id", "lang", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("lang") == F.col("predicted")).cast("int")).alias("right"))
+
+
+@query("select doc_id, label_idx, round(exp(sum(ln(greatest(case when bit then score else 1 - score end, 1e-12)))), 6) as p from node_scores join hs_tree using (node) group by doc_id, label_idx", "hs_tree", "node_scores")
+def hs_probs(spark, sf_dir):
+    return detect.huffman_probabilities(table(spark, "node_scores"), table(spark, "hs_tree")).select("doc_id", "label_idx", F.round("p", 6).alias("p"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out accuracy of language identification by language."""
+    return lid_confusion(spark, sf_dir).groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lang") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"))
+
+
+# --- quality and selection -------------------------------------------------------------------
+
+_QUALITY = """with q as (select m.*, t.chrf as tc, t.precision as tp, t.corpus as tco, t.n as tn from models m left join models t on t.model_id = case when m.model_id like '%-int8' then left(m.model_id, length(m.model_id) - 5) else m.model_id || '-int8' end),
+f as (select model_id, [x for x in [
+ case when coalesce(chrf, tc) < 40 then 'chrF-vs-reference ' || printf('%.1f', coalesce(chrf, tc)) || case when chrf is null then ' of the ' || coalesce(tp, 'None') || ' build' else '' end || ' is below the 40 floor (' || coalesce(case when chrf is null then tco else corpus end, 'unknown corpus') || ', n=' || coalesce((case when chrf is null then tn else n end)::varchar, '?') || ')' end,
+ case when chrf is not null and precision = 'int8' and tc - chrf > 2 then 'int8 chrF-vs-reference ' || printf('%.1f', chrf) || ' trails fp32''s ' || printf('%.1f', tc) || ' by ' || printf('%.1f', tc - chrf) || ', over the 2.0 threshold' end] if x is not null] as reasons from q)"""
+
+
+@query(_QUALITY + " select model_id, array_to_string(reasons, '; ') as reasons, len(reasons) > 0 as flagged from f", "models")
+def quality_flags(spark, sf_dir):
+    return quality.quality_flags(table(spark, "models")).select("model_id", F.array_join("reasons", "; ").alias("reasons"), "flagged")
+
+
+_TWIN = "case when @0 like '%-int8' then left(@0, length(@0) - 5) else @0 || '-int8' end"
+_FLAGS = f"""with a as (select model_id, model_id as o, 0 as turn from models union all select model_id, {_at(_TWIN, 'model_id')}, 1 from models),
+lf as (select a.model_id, lang, arg_min(coalesce(nullif(reason, ''), 'flagged, no reason recorded'), turn) as reason from a join flags on a.o = flags.model_id where coalesce(side, 'target') in ('target', 'both') group by all),
+tl as (select model_id, unnest(coalesce(case when pair is not null then [pair[2]] end, tgt_languages, languages)) as lang from models)"""
+
+
+@query(_FLAGS + " select model_id, lang, reason from lf", "models", "flags")
+def language_flags(spark, sf_dir):
+    return quality.language_flags(table(spark, "models"), table(spark, "flags"))
+
+
+@query(_FLAGS + ", j as (select tl.lang, tl.model_id, reason from tl left join lf using (model_id, lang)) select lang, array_to_string(list_sort(list(model_id || ': ' || reason)), '; ') as reasons from j group by lang having bool_and(reason is not null)", "models", "flags")
+def all_flagged_languages(spark, sf_dir):
+    return quality.all_flagged_targets(table(spark, "models"), table(spark, "flags")).select("lang", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(_FLAGS + " select distinct lang from tl where lang not in (select tl.lang from tl left join lf using (model_id, lang) group by tl.lang having bool_and(reason is not null))", "models", "flags")
+def unflagged_languages(spark, sf_dir):
+    m, f = table(spark, "models"), table(spark, "flags")
+    return quality.target_languages(m).select("lang").distinct().join(quality.all_flagged_targets(m, f), "lang", "left_anti")
+
+
+@query(_QUALITY + " select m.model_id, case when license_tier = 'non-commercial' then 'licence' when precision <> 'int8' then 'precision' when len(reasons) > 0 then 'flagged' when chrf < 50 then 'min_chrf' end as left_out from models m join f using (model_id)", "models")
+def selection_reasons(spark, sf_dir):
+    m = table(spark, "models")
+    return quality.selection(m, quality.quality_flags(m), "int8", False, True, 50.0)
+
+
+# --- routes ----------------------------------------------------------------------------------
+
+_EDGES = """with e0 as (
+ select model_id, d[1] as src, d[2] as tgt, false as dedicated from (select model_id, unnest(directions) as d from models where directions is not null)
+ union all select model_id, pair[1], pair[2], true from models where directions is null and pair is not null
+ union all select model_id, s, t, false from (select model_id, s, unnest(coalesce(tgt_languages, languages)) as t from (select model_id, unnest(coalesce(src_languages, languages)) as s, tgt_languages, languages from models where directions is null and pair is null))),
+edge as (select distinct * from e0 where src <> tgt and not exists (from barred b where b.model_id = e0.model_id and (b.side in ('source', 'both') and b.lang = src or b.side in ('target', 'both') and b.lang = tgt)))"""
+_OWNERS = _map_sql(routing.OWNER_OF, "\x00")
+_LEGS = (
+    _EDGES
+    + """, kept as (select * from models where runnable and not coalesce(flagged and false, false)), leg as (select e.*, size_mb, flagged, case license_tier when 'permissive' then 0 when 'share-alike' then 1 when 'non-commercial' then 2 else 99 end as tier,
+ coalesce(-(try_strptime(release_date, '%Y-%m-%d')::date - date '1970-01-01')::double, 'inf'::double) as recency, coalesce("""
+    + _OWNERS.replace("\x00", "src")
+    + " = org, false) or coalesce("
+    + _OWNERS.replace("\x00", "tgt")
+    + """ = org, false) as specialist from edge e join kept m using (model_id)),
+ranked as (select *, row_number() over (partition by src, tgt, dedicated order by flagged::int, (not dedicated)::int, (not specialist)::int, recency, tier, size_mb, model_id) as r from leg), best as (select * from ranked where r = 1),
+regional as (select unnest({R}, recursive := true)), general as (select unnest({G}, recursive := true)),
+ends as (select distinct unnest([src, tgt]) as pv from edge join kept using (model_id) where dedicated), known as (select distinct unnest([src, tgt]) as pv from edge join kept using (model_id)),
+cand as (select req_id, src, tgt, pv, 0 as turn, pos, '' as name from requests join regional on lang = tgt union all select req_id, src, tgt, pv, 1, pos, '' from requests join regional on lang = src
+ union all select req_id, src, tgt, pv, 2, pos, '' from requests, general union all select req_id, src, tgt, pv, 3, 0, pv from requests, ends),
+firsts as (select req_id, pv, min((turn, pos, name)) as o from cand where pv <> src and pv <> tgt and pv in (select pv from known) group by all),
+pivots as (select req_id, pv, (row_number() over (partition by req_id order by o) - 1)::int as pivot_rank from firsts),
+direct as (select req_id, [leg] as hops, []::int[] as pr from requests q join leg on q.src = leg.src and q.tgt = leg.tgt)"""
+).replace("{R}", "[" + ", ".join(f"{{'lang': '{k}', 'pos': {i}, 'pv': '{p}'}}" for k, v in routing.REGIONAL.items() for i, p in enumerate(v)) + "]").replace("{G}", "[" + ", ".join(f"{{'pos': {i}, 'pv': '{p}'}}" for i, p in enumerate(routing.PIVOTS)) + "]")
+_TWO = ", two as (select q.req_id, [a, b] as hops, [pivot_rank] as pr from requests q join pivots p using (req_id) join best a on a.src = q.src and a.tgt = pv join best b on b.src = pv and b.tgt = q.tgt where a.model_id <> b.model_id or a.model_id not in (select hops[1].model_id from direct d where d.req_id = q.req_id and not hops[1].dedicated))"
+_THREE = ", three as (select q.req_id, [a, b, c] as hops, [p1.pivot_rank, p2.pivot_rank] as pr from requests q join pivots p1 using (req_id) join pivots p2 on p2.req_id = q.req_id and p2.pv <> p1.pv join best a on a.src = q.src and a.tgt = p1.pv join best b on b.src = p1.pv and b.tgt = p2.pv join best c on c.src = p2.pv and c.tgt = q.tgt where a.model_id <> b.model_id or b.model_id <> c.model_id or a.model_id not in (select hops[1].model_id from direct d where d.req_id = q.req_id and not hops[1].dedicated))"
+_COSTS = """, costed as (select *, len(hops) as n_hops, len([h for h in hops if not h.dedicated]) as n_multilingual, len([h for h in hops if h.flagged]) as n_flagged, len([h for h in hops if not h.specialist]) as n_non_specialist,
+ list_sum(list_distinct([{'m': h.model_id, 's': h.size_mb} for h in hops]).list_transform(lambda x: x.s))::bigint as total_mb, list_max([h.size_mb for h in hops]) as largest_mb, list_max([h.tier for h in hops]) as worst_tier, list_max([h.recency for h in hops]) as worst_recency,
+ [h.model_id for h in hops] as models, array_to_string([h.src || '->' || h.tgt || ' [' || h.model_id || ']' for h in hops], ', ') as route from found),
+once as (select *, row_number() over (partition by req_id, route order by KEY) as c from costed), final as (select *, row_number() over (partition by req_id order by KEY, route) as rank from once where c = 1)"""
+_FEWEST = _COSTS.replace("KEY", "n_flagged, n_hops, n_multilingual, n_non_specialist, worst_recency, worst_tier, pr, total_mb, models")
+_DEDICATED = _COSTS.replace("KEY", "n_flagged, n_multilingual, n_hops, n_non_specialist, worst_recency, worst_tier, pr, total_mb, models")
+_CLEAN = ", found as (from direct union all from two where req_id not in (select req_id from direct where not hops[1].flagged))"
+_OUT = " select req_id, rank::bigint as rank, route, total_mb, largest_mb from final"
+_ROUTE_TABLES = ("models", "barred", "requests")
+
+
+def _kept(spark):
+    return table(spark, "models").where("runnable")
+
+
+def _edge(spark, models=None):
+    return routing.edges(models if models is not None else _kept(spark), table(spark, "barred"))
+
+
+def _listing(routes, prefer, limit):
+    out = routing.rank_routes(routing.route_costs(routes), prefer, limit)
+    return out.select("req_id", F.col("rank").cast("long").alias("rank"), "route", "total_mb", "largest_mb")
+
+
+@query(_EDGES + " select * from edge", "models", "barred")
+def capability_edges(spark, sf_dir):
+    return _edge(spark, table(spark, "models"))
+
+
+@query(_EDGES + ", x as (select distinct model_id, unnest([src, tgt]) as lang from edge) select cap_mb, count(distinct lang) as n_languages, count(distinct model_id) as n_models from caps, x join models using (model_id) where cap_mb is null or size_mb <= cap_mb or cached group by cap_mb", "models", "barred", "caps")
+def coverage_by_cap(spark, sf_dir):
+    m = table(spark, "models")
+    return routing.coverage_by_cap(_edge(spark, m), m, table(spark, "caps"), cached_is_free=True)
+
+
+@query(_LEGS + ", found as (from direct)" + _FEWEST + _OUT, *_ROUTE_TABLES)
+def route_direct(spark, sf_dir):
+    return _listing(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 1), "fewest_hops", None)
+
+
+@query(_LEGS + _TWO + _CLEAN + _FEWEST + _OUT + " where rank = 1", *_ROUTE_TABLES)
+def route_best_fewest(spark, sf_dir):
+    return _listing(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 2, short_circuit=True), "fewest_hops", 1)
+
+
+@query(_LEGS + _TWO + ", found as (from direct union all from two)" + _DEDICATED + _OUT + " where rank = 1", *_ROUTE_TABLES)
+def route_best_dedicated(spark, sf_dir):
+    return _listing(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 2), "dedicated", 1)
+
+
+@query(_LEGS + _TWO + ", found as (from direct union all from two)" + _FEWEST + _OUT + " where rank <= 10", *_ROUTE_TABLES)
+def routes_top10(spark, sf_dir):
+    return _listing(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 2), "fewest_hops", 10)
+
+
+@query(_LEGS + _TWO + _THREE + ", found as (from direct union all from two union all from three)" + _FEWEST + _OUT + " where rank <= 10", *_ROUTE_TABLES)
+def route_three_hop(spark, sf_dir):
+    return _listing(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 3), "fewest_hops", 10)
+
+
+@query(_LEGS + _TWO + ", found as (from direct union all from two)" + _FEWEST + " select req_id, route, n_hops::int as n_hops, n_multilingual::int as n_multilingual, n_flagged::int as n_flagged, n_non_specialist::int as n_non_specialist, worst_tier::int as worst_tier from final", *_ROUTE_TABLES)
+def route_costs(spark, sf_dir):
+    costed = routing.route_costs(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 2))
+    return routing.rank_routes(costed, limit=None).select("req_id", "route", "n_hops", "n_multilingual", "n_flagged", "n_non_specialist", "worst_tier")
+
+
+@query(_LEGS + ' select req_id, pv as "pivot", pivot_rank from pivots', *_ROUTE_TABLES)
+def pivot_order(spark, sf_dir):
+    return routing.pivot_table(spark, table(spark, "requests"), _edge(spark))
+
+
+@query(
+    _LEGS + ", d as (select least(a, b) as x, greatest(a, b) as y, d from distances), w as (select p.*, d1.d as d1, d2.d as d2 from pivots p join requests q using (req_id) left join d d1 on least(pv, q.src) = d1.x and greatest(pv, q.src) = d1.y left join d d2 on least(pv, q.tgt) = d2.x and greatest(pv, q.tgt) = d2.y) "
+    'select req_id, pv as "pivot", ' "(row_number() over (partition by req_id order by (d1 is null or d2 is null)::int, case when d1 is null or d2 is null then pivot_rank::double else greatest(d1, d2) end, case when d1 is null or d2 is null then 0 else d1 + d2 end, pivot_rank) - 1)::int as pivot_rank from w",
+    *_ROUTE_TABLES, "distances",
+)
+def route_pivot_distance(spark, sf_dir):
+    requests = table(spark, "requests")
+    return routing.pivot_order_by_distance(routing.pivot_table(spark, requests, _edge(spark)), requests, table(spark, "distances"))
+
+
+@query("select distinct size_mb from models where size_mb > 500", "models")
+def escalation_steps(spark, sf_dir):
+    return routing.escalation_steps(table(spark, "models"), 500)
+
+
+@query(
+    _EDGES + ", f as (select * from requests q where not exists (from edge e join models m using (model_id) where m.runnable and m.size_mb <= 500 and e.src = q.src and e.tgt = q.tgt)), x as (select e.* from edge e join models m using (model_id) where not (m.runnable and m.size_mb <= 500)) "
+    "select f.req_id, case when f.src = f.tgt then 'same_language' when count(x.model_id) > 0 then 'excluded' else 'no_route' end as reason, coalesce(array_to_string(list_sort(list(distinct x.model_id) filter (x.model_id is not null)), ','), '') as models from f left join x on f.src = x.src and f.tgt = x.tgt group by f.req_id, f.src, f.tgt",
+    *_ROUTE_TABLES,
+)
+def route_failure_reason(spark, sf_dir):
+    m = table(spark, "models")
+    kept, edge, requests = m.where("runnable and size_mb <= 500"), _edge(spark, m), table(spark, "requests")
+    routes = routing.candidate_routes(spark, requests, kept, edge.join(kept.select("model_id"), "model_id", "left_semi"), 1)
+    return routing.failure_reasons(requests, routes, edge, m, kept).select("req_id", "reason", F.array_join("models", ",").alias("models"))
+
+
+@query(
+    _EDGES + """, t as (select h.*, m.runnable, m.model_id is not null as known, e.model_id is not null as covers, lag(h.tgt) over (partition by route_id order by pos) as before from given_hops h left join models m using (model_id) left join edge e on e.model_id = h.model_id and e.src = h.src and e.tgt = h.tgt),
+    f as (select *, case when not known then 'unknown_model' when not runnable then 'unrunnable' when not covers then 'not_covered' when before <> src then 'not_chained' end as fault from t),
+    p as (select route_id, arg_min(fault, pos) filter (fault is not null) as fault, arg_min(src, pos) as a, arg_max(tgt, pos) as b from f group by route_id)
+    select r.route_id, case when a is null then 'empty' when fault is not null then fault when a <> src or b <> tgt then 'wrong_ends' end as error from given_routes r left join p using (route_id)""",
+    "models", "barred", "given_routes", "given_hops",
+)
+def validate_routes(spark, sf_dir):
+    m = table(spark, "models")
+    return routing.validate_routes(table(spark, "given_hops"), table(spark, "given_routes"), _edge(spark, m), m)
+
+
+# --- registry --------------------------------------------------------------------------------
+
+_FILES = """with n as (select model_id, onnx_file as file from entries where onnx_file is not null union all select model_id, unnest(map_values(graphs)) from entries union all select model_id, unnest(map_values(side_files)) from entries union all select model_id, unnest(extra_files) from entries),
+miss as (select distinct model_id, file from n where not exists (from present p where p.model_id = n.model_id and p.file = n.file and p.size > 0))"""
+
+
+@query(_FILES + " select model_id, file from miss", "entries", "present")
+def missing_files(spark, sf_dir):
+    return registry.missing_files(table(spark, "entries"), table(spark, "present"))
+
+
+@query(_FILES + " select model_id, model_id not in (select model_id from miss) as cached, model_id in (select model_id from miss) and size_mb > 8192 as refused from entries", "entries", "present")
+def cached_models(spark, sf_dir):
+    e, p = table(spark, "entries"), table(spark, "present")
+    return registry.cached_models(e, p).join(registry.over_download_budget(e, p, 8192), "model_id")
+
+
+@query(_FILES + " select model_id, file, starts_with(file, '/') or regexp_matches(file, '^[A-Za-z]:') or list_contains(string_split(file, '/'), '..') or file = '' as unsafe from n", "entries", "present")
+def unsafe_paths(spark, sf_dir):
+    return registry.needed_files(table(spark, "entries")).select("model_id", "file", registry.unsafe_path(F.col("file")).alias("unsafe"))
+
+
+_MERGE = """with o as (select * from old_fields where model_id in (select model_id from new_fields)), j as (select coalesce(o.model_id, n.model_id) as model_id, coalesce(o.key, n.key) as key, o.value as old, n.value as new, o.key is not null as had, n.key is not null as made from o full join new_fields n on o.model_id = n.model_id and o.key = n.key),
+k as (select *, had and (key in ('notes', 'quality', 'language_flags') or not made and key not in ('size_mb', 'arch')) as keep from j), merged as (select model_id, key, case when keep then old else new end as value, keep and made and old is distinct from new as overruled from k where keep or made)"""
+
+
+def _merged(spark):
+    return registry.merge(table(spark, "old_fields"), table(spark, "new_fields"), ["size_mb", "arch"])
+
+
+@query(_MERGE + " select * from merged", "old_fields", "new_fields")
+def registry_merge(spark, sf_dir):
+    return _merged(spark)
+
+
+@query(_MERGE + " select model_id, key from old_fields o where key in ('notes', 'quality', 'language_flags') and not exists (from merged m where m.model_id = o.model_id and m.key = o.key and m.value is not distinct from o.value)", "old_fields", "new_fields")
+def registry_losses(spark, sf_dir):
+    return registry.curated_losses(table(spark, "old_fields"), _merged(spark))
+
+
+@query("select distinct model_id, 'added' as change from new_fields where model_id not in (select model_id from old_fields) union all select distinct model_id, 'removed' from old_fields where model_id not in (select model_id from new_fields)", "old_fields", "new_fields")
+def registry_drift(spark, sf_dir):
+    return registry.drift(table(spark, "old_fields"), table(spark, "new_fields"))
+
+
+@query("select model_id, tag, array_to_string(list_sort(list(distinct native)), ',') as spellings from codes group by all having count(distinct native) > 1", "codes")
+def native_codes(spark, sf_dir):
+    return registry.native_code_conflicts(table(spark, "codes"))
+
+
+@query("select repo, arg_min(org, pos) filter (org is not null) as org from (select repo, pos, org from repos left join prefixes on starts_with(repo, prefix)) group by repo", "repos", "prefixes")
+def provenance(spark, sf_dir):
+    return registry.provenance(table(spark, "repos"), table(spark, "prefixes"))
+
+
+@query("select repo, lower(coalesce(card, nullif(regexp_extract(readme, '(?i)licen[sc]e: *([A-Za-z0-9.-]+)', 1), ''))) as licence, case lower(coalesce(card, nullif(regexp_extract(readme, '(?i)licen[sc]e: *([A-Za-z0-9.-]+)', 1), ''))) when 'apache-2.0' then 'permissive' when 'mit' then 'permissive' when 'cc-by-4.0' then 'permissive' when 'cc-by-sa-4.0' then 'share-alike' when 'cc-by-nc-4.0' then 'non-commercial' end as tier from licences", "licences")
+def licence_tiers(spark, sf_dir):
+    found = F.lower(F.coalesce("card", F.nullif(F.regexp_extract("readme", "(?i)licen[sc]e: *([A-Za-z0-9.-]+)", 1), F.lit(""))))
+    tiers = {"apache-2.0": "permissive", "mit": "permissive", "cc-by-4.0": "permissive", "cc-by-sa-4.0": "share-alike", "cc-by-nc-4.0": "non-commercial"}
+    return table(spark, "licences").select("repo", found.alias("licence"), L.lookup(found, tiers).alias("tier"))
+
+
+@query("select sum(size_mb)::bigint as loaded_mb, max(size_mb) as largest_mb, round(86 + 1.84::double * (sum(size_mb) + 2 * max(size_mb)), 2) as peak_mb from models where cached", "models")
+def memory_plan(spark, sf_dir):
+    return registry.memory_plan(table(spark, "models").where("cached"), 2)
+
+
+@query(
+    f"with p as (select source as model_id, unnest({_at(_TOKENS, 'text')}) as piece from documents), v as (select distinct source as model_id, piece from (select source, doc_id, unnest({_at(_TOKENS, 'text')}) as piece from documents) where doc_id >= 500), pp as (select distinct * from p) "
+    "select pp.model_id, count(*)::bigint as n, count(v.piece)::bigint as hits, count(v.piece) >= 0.9 * count(*) as ok from pp left join v using (model_id, piece) group by pp.model_id"
+)
+def vocab_coverage(spark, sf_dir):
+    pieces = _read(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "doc_id", F.explode(F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")).alias("piece"))
+    return registry.vocabulary_coverage(pieces.select("model_id", "piece").distinct(), pieces.where("doc_id >= 500"))
+
+
+@query()
+def lru_trace(spark, sf_dir):
+    log = _read(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(16)).alias("cache"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), F.pmod(F.xxhash64("user_id", "event_type"), F.lit(24)).cast("string")).alias("model_id"))
+    return cache.lru_trace(log.withColumn("size_mb", (F.length("model_id") * 100).cast("double")), 4, 900.0)
+
+
+@query("select role, case when not " + _at(_SEEN, "output") + " then 'empty' when trim(output) = trim(text) then 'verbatim' else 'ok' end as status, count(*)::bigint as n from (select role, text, case when length(text) % 5 = 0 then '' when length(text) % 5 = 1 then text || ' ' else upper(text) || '.' end as output from conversations) group by all")
+def sweep_verdicts(spark, sf_dir):
+    n = F.length("text") % 5
+    out = _read(spark, sf_dir, "conversations").select("role", F.col("text").alias("sample"), F.when(n == 0, "").when(n == 1, F.concat("text", F.lit(" "))).otherwise(F.concat(F.upper("text"), F.lit("."))).alias("output"), F.lit(None).cast("string").alias("error"))
+    return decode.verdicts(out).groupBy("role", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def beam_toy(spark, sf_dir):
+    import numpy as np
+
+    rows = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.array((F.col("item_id") % 12).cast("int"), F.lit(7), F.lit(2)).alias("source"))
+    weights = np.random.default_rng(7).normal(size=(7, 12)) * 3
+    config = decode.DecodeConfig(num_beams=4, max_new_tokens=12)
+    out = decode.decode_rows(rows, lambda: decode.table_step(weights), config)
+    return out.select("row_id", "status", F.array_join("ids", " ").alias("ids"), F.round("score", 6).alias("score"))
