@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Format characters without width, and what counts as white space at the ends of a text.
 INVISIBLE = "\\u200B-\\u200F\\u2028-\\u202E\\u2060-\\u2064\\uFEFF"
@@ -150,7 +151,10 @@ CLOSERS = "\"'”’»)\\]」』）》】"
 _ENDS = rf"[.!?…؟۔।॥]+(?<!\w\.\w.)(?<![A-Z][a-z]\.)[{CLOSERS}]*\s+|[。！？｡]+[{CLOSERS}]*\s*"
 
 
-@F.pandas_udf("array<struct<sentence:string,gap:string>>")
+_PARTS = ArrayType(StructType([StructField("sentence", StringType()), StructField("gap", StringType())]))
+
+
+@F.pandas_udf(_PARTS)
 def split_sentences(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """(sentence, white space after it) pairs of a line; they join back to the line.
 
