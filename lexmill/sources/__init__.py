@@ -1,0 +1 @@
+"""Readers and writers: model registries, side files, graph files, documentation."""
