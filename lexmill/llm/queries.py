@@ -131,5 +131,34 @@ select doc_id, source, copies, copy::bigint as copy, shuffle_key, row_number() o
 """
 
 
+_WORDS = f"list_filter(string_split({'replace(' * 5}@, {_SPACES}, ' '), lambda x: x <> '')"
+
+#: Op 2: the smallest document of every 13-word window, then the words that no larger document's window covers.
+_OP2 = f"""
+with d as (select doc_id, {_WORDS.replace('@', "coalesce(text, '')")} as w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+low as (select g, min(doc_id) as first from win group by g),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from win join low using (g) where first < doc_id),
+pos as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select pos.doc_id, string_agg(word, ' ' order by pos.p) filter (gone.p is null) as t, count(gone.p) as n from pos left join gone on gone.doc_id = pos.doc_id and gone.p = pos.p group by pos.doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
+
+#: Op 9: shingle sets, pairs that share one, links, and the smallest document reachable.
+_OP9 = f"""
+with recursive d as (select doc_id, {_WORDS.replace('@', "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+s as (
+  select distinct doc_id, md5(array_to_string(w[i : i + 4], ' ')) as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)
+  union all select doc_id, md5('short ' || array_to_string(w, ' ')) from d where len(w) between 1 and 4),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach as (select doc_id, doc_id as to_id from d union select r.doc_id, l.b from reach r join links l on l.a = r.to_id),
+c as (select doc_id, min(to_id) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept from d join c using (doc_id) left join n using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mixing": _OP4, "op6_quality_cascade": _OP6}
+    return {"op2_substring_dedup": _OP2, "op9_minhash_near_dedup": _OP9, "op4_poisson_mixing": _OP4, "op6_quality_cascade": _OP6}
