@@ -201,3 +201,78 @@ def validate_routes(hops: DataFrame, requests: DataFrame, edge: DataFrame, model
     per = told.withColumn("fault", fault).groupBy("route_id").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("pos"))).alias("fault"), F.min_by("src", "pos").alias("first"), F.max_by("tgt", "pos").alias("last"))
     ends = F.when(F.col("first").isNull(), "empty").when(F.col("fault").isNotNull(), F.col("fault")).when((F.col("first") != F.col("src")) | (F.col("last") != F.col("tgt")), "wrong_ends")
     return requests.join(per, "route_id", "left").select("route_id", ends.alias("error"))
+
+
+# Regions whose default script isn't that of their language, and the region a bare language defaults to.
+REGION_SCRIPTS = {"az-RU": "Cyrl", "az-IR": "Arab", "zh-TW": "Hant", "zh-HK": "Hant", "sr-ME": "Latn", "pa-PK": "Arab", "uz-AF": "Arab", "kk-CN": "Arab", "yue-CN": "Hans"}
+DEFAULT_REGIONS = {"es": "es-ES", "pt": "pt-PT", "en": "en-GB", "fr": "fr-FR", "de": "de-DE", "az": "az-AZ", "eu": "eu-ES", "gl": "gl-ES", "nl": "nl-NL", "yue": "yue-CN"}
+_REGION = "^[a-z]{2,3}-(?:[A-Z]{2}|[0-9]{3})$"
+
+
+def base_node(tag: Column) -> Column:
+    """The language of a tag of language and region alone, if both are written in one script; other tags as they are."""
+    return F.when(tag.rlike(_REGION) & lookup(tag, REGION_SCRIPTS).isNull(), F.substring_index(tag, "-", 1)).otherwise(tag)
+
+
+def endpoint_pairs(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """req_id, turn, src, tgt: the pairs to search for each request (req_id, src, tgt), in order.
+
+    First as asked, then without the region of the source, of the target, of both; then, for
+    endpoints sent bare, with their default region. A pair needs endpoints that nodes (lang)
+    has, except the one asked for.
+    """
+    known = {r["lang"] for r in nodes.limit(10_001).collect()}  # the languages of a registry
+    if len(known) > 10_000:
+        raise ValueError("more than 10000 languages")
+    has = lambda c: c.isin(*known)
+    based = lambda c: F.when(has(base_node(c)), base_node(c)).otherwise(c)
+    region = lambda c: F.coalesce(F.when(~c.contains("-") & has(lookup(c, DEFAULT_REGIONS)) & lookup(lookup(c, DEFAULT_REGIONS), REGION_SCRIPTS).isNull(), lookup(c, DEFAULT_REGIONS)), c)
+    s, t = F.col("src"), F.col("tgt")
+    pairs = [(s, t), (based(s), t), (s, based(t)), (based(s), based(t)), (region(s), t), (s, region(t)), (region(s), region(t))]
+    each = F.array(*[F.struct(F.lit(i).alias("turn"), a.alias("src"), b.alias("tgt")) for i, (a, b) in enumerate(pairs)])
+    out = requests.select("req_id", F.explode(each).alias("p")).select("req_id", "p.turn", "p.src", "p.tgt").where("src <> tgt")
+    return out.groupBy("req_id", "src", "tgt").agg(F.min("turn").alias("turn")).select("req_id", "turn", "src", "tgt")
+
+
+def search_endpoints(spark: SparkSession, requests: DataFrame, models: DataFrame, edge: DataFrame, max_hops: int = 2, prefer: str = "fewest_hops") -> DataFrame:
+    """req_id, turn, and the best route of the first endpoint pair that has one."""
+    nodes = edge.select(F.explode(F.array("src", "tgt")).alias("lang")).distinct()
+    pairs = endpoint_pairs(requests, nodes).withColumn("cell", F.struct("req_id", "turn"))
+    cells = pairs.select(F.col("cell").alias("req_id"), "src", "tgt")
+    best = rank_routes(route_costs(candidate_routes(spark, cells, models, edge, max_hops)), prefer, 1)
+    first = F.row_number().over(Window.partitionBy("cell.req_id").orderBy("cell.turn"))
+    return best.withColumnRenamed("req_id", "cell").withColumn("f", first).where("f = 1").select(F.col("cell.req_id").alias("req_id"), F.col("cell.turn").alias("turn"), "route", "total_mb")
+
+
+def escalated_steps(spark: SparkSession, requests: DataFrame, models: DataFrame, edge: DataFrame, cap_mb: int, max_hops: int = 2) -> DataFrame:
+    """req_id, step_mb: the smallest size at which a request without a route under the cap gets one, null if there is none.
+
+    Instead of trying sizes in turn: a direct candidate needs its model's size, one through a
+    pivot the larger of its legs' smallest sizes and of the size at which the pivot is
+    admitted (by any model if it is a regional or general pivot, else by a dedicated one).
+    The least need is then raised to a size that an oversized model of either endpoint has.
+    """
+    if max_hops not in (1, 2):
+        raise ValueError("max_hops must be 1 or 2")
+    sized = edge.join(F.broadcast(models.select("model_id", "size_mb")), "model_id")
+    least = sized.groupBy("src", "tgt").agg(F.min("size_mb").alias("mb"))
+    direct = requests.join(least, ["src", "tgt"]).select("req_id", F.col("mb").alias("need"))
+    needs = direct
+    if max_hops == 2:
+        ends = sized.select(F.explode(F.array("src", "tgt")).alias("pivot"), "size_mb", "dedicated")
+        admitted = ends.groupBy("pivot").agg(F.min("size_mb").alias("any_mb"), F.min(F.when(F.col("dedicated"), F.col("size_mb"))).alias("own_mb"))
+        pivots = pivot_table(spark, requests, edge).join(admitted, "pivot").join(requests, "req_id")
+        regional = F.coalesce(F.array_contains(lookup_list(F.col("tgt")), F.col("pivot")), F.lit(False)) | F.coalesce(F.array_contains(lookup_list(F.col("src")), F.col("pivot")), F.lit(False)) | F.col("pivot").isin(*PIVOTS)
+        chain = pivots.join(least.select("src", F.col("tgt").alias("pivot"), F.col("mb").alias("mb1")), ["src", "pivot"]).join(least.select(F.col("src").alias("pivot"), "tgt", F.col("mb").alias("mb2")), ["pivot", "tgt"])
+        admission = F.when(regional, F.col("any_mb")).otherwise(F.col("own_mb"))
+        needs = needs.union(chain.where(admission.isNotNull()).select("req_id", F.greatest("mb1", "mb2", admission)))
+    need = needs.groupBy("req_id").agg(F.min("need").alias("need"))
+    touching = sized.where(F.col("size_mb") > cap_mb).select(F.explode(F.array("src", "tgt")).alias("lang"), "size_mb").distinct()
+    asked = requests.join(need, "req_id", "left").where(F.col("need").isNull() | (F.col("need") > cap_mb))
+    steps = asked.select("req_id", "need", F.explode(F.array("src", "tgt")).alias("lang")).join(touching, "lang").where(F.col("size_mb") >= F.col("need")).groupBy("req_id").agg(F.min("size_mb").alias("step_mb"))
+    return asked.select("req_id").join(steps, "req_id", "left").select("req_id", "step_mb")
+
+
+def lookup_list(lang: Column) -> Column:
+    """The regional pivots of a language, null if it has none."""
+    return F.element_at(F.create_map(*[x for k, v in REGIONAL.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), lang)

@@ -431,6 +431,41 @@ def validate_routes(spark, sf_dir):
     return routing.validate_routes(table(spark, "given_hops"), table(spark, "given_routes"), _edge(spark, m), m)
 
 
+_PAIRS = f""", nodes as (select distinct unnest([src, tgt]) as lang from edge join models using (model_id) where runnable),
+tags as (select distinct unnest([src, tgt]) as tag from regional_requests),
+forms as (select tag, case when regexp_matches(tag, '^[a-z]{{2,3}}-([A-Z]{{2}}|[0-9]{{3}})$') and {_map_sql(routing.REGION_SCRIPTS, 'tag')} is null and split_part(tag, '-', 1) in (from nodes) then split_part(tag, '-', 1) else tag end as based,
+ case when not contains(tag, '-') and {_map_sql(routing.DEFAULT_REGIONS, 'tag')} in (from nodes) and {_map_sql(routing.REGION_SCRIPTS, _map_sql(routing.DEFAULT_REGIONS, 'tag'))} is null then {_map_sql(routing.DEFAULT_REGIONS, 'tag')} else tag end as region from tags),
+turns as (select req_id, unnest([0, 1, 2, 3, 4, 5, 6]) as turn, unnest([s.tag, s.based, s.tag, s.based, s.region, s.tag, s.region]) as src, unnest([t.tag, t.tag, t.based, t.based, t.tag, t.region, t.region]) as tgt from regional_requests q join forms s on q.src = s.tag join forms t on q.tgt = t.tag),
+pairs as (select req_id, src, tgt, min(turn) as turn from turns where src <> tgt group by req_id, src, tgt)"""
+
+
+@query(_EDGES + _PAIRS + " select req_id, turn, src, tgt from pairs", "models", "barred", "regional_requests")
+def endpoint_pairs(spark, sf_dir):
+    edge = _edge(spark)
+    return routing.endpoint_pairs(table(spark, "regional_requests"), edge.select(F.explode(F.array("src", "tgt")).alias("lang")).distinct())
+
+
+@query(
+    _EDGES + _PAIRS + ", requests as (select req_id * 10 + turn as req_id, src, tgt from pairs), " + _LEGS[len(_EDGES) + 2 :] + _TWO + ", found as (from direct union all from two)" + _FEWEST + ", one as (select *, row_number() over (partition by req_id // 10 order by req_id) as f from final where rank = 1) select (req_id // 10)::int as req_id, (req_id % 10)::int as turn, route, total_mb from one where f = 1",
+    "models", "barred", "regional_requests",
+)
+def route_regional(spark, sf_dir):
+    return routing.search_endpoints(spark, table(spark, "regional_requests"), _kept(spark), _edge(spark))
+
+
+@query(
+    _LEGS + """, sized as (select e.*, size_mb from edge e join kept using (model_id)), least_mb as (select src, tgt, min(size_mb) as mb from sized group by all),
+    adm as (select pv, min(size_mb) as any_mb, min(size_mb) filter (dedicated) as own_mb from (select unnest([src, tgt]) as pv, size_mb, dedicated from sized) group by pv),
+    needs as (select q.req_id, mb as need from requests q join least_mb l on l.src = q.src and l.tgt = q.tgt
+     union all select q.req_id, greatest(a.mb, b.mb, case when pv in (select pv from general) or exists (from regional r where r.pv = p.pv and r.lang in (q.src, q.tgt)) then any_mb else own_mb end) from requests q join pivots p using (req_id) join adm using (pv) join least_mb a on a.src = q.src and a.tgt = pv join least_mb b on b.src = pv and b.tgt = q.tgt where own_mb is not null or pv in (select pv from general) or exists (from regional r where r.pv = p.pv and r.lang in (q.src, q.tgt))),
+    n as (select q.*, (select min(need) from needs where needs.req_id = q.req_id) as need from requests q), asked as (from n where need is null or need > 170)
+    select req_id, (select min(size_mb) from sized s where size_mb > 170 and size_mb >= need and (s.src in (a.src, a.tgt) or s.tgt in (a.src, a.tgt))) as step_mb from asked a""",
+    *_ROUTE_TABLES,
+)
+def route_escalated(spark, sf_dir):
+    return routing.escalated_steps(spark, table(spark, "requests"), _kept(spark), _edge(spark), 170)
+
+
 # --- registry --------------------------------------------------------------------------------
 
 _FILES = """with n as (select model_id, onnx_file as file from entries where onnx_file is not null union all select model_id, unnest(map_values(graphs)) from entries union all select model_id, unnest(map_values(side_files)) from entries union all select model_id, unnest(extra_files) from entries),

@@ -35,6 +35,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "models": (MODELS, MODEL_ROWS),
     "barred": ("model_id string, side string, lang string", [("wide-a", "target", "gl"), ("wide-b", "source", "eu"), ("from-many", "both", "be")]),
     "requests": ("req_id int, src string, tgt string", [(i, *p.split(">")) for i, p in enumerate("en>es es>en en>eu eu>fr fr>de pt>eu ru>en be>de zh>de ja>es az>es es>ast en>ast es>es sw>fr xx>en en>nl gl>oc uk>nl fr>an".split())]),
+    "regional_requests": ("req_id int, src string, tgt string", [(1, "es-MX", "en"), (2, "en", "es-ES"), (3, "es-AR", "eu-ES"), (4, "az-RU", "en"), (5, "fr-CA", "de-AT"), (6, "en-GB", "en-US"), (7, "en", "es"), (8, "pt-BR", "gl")]),
     "flags": ("model_id string, lang string, reason string, side string", [("wide-a", "ca", "answers in Spanish", None), ("wide-b", "eu", "loops", "both"), ("wide-a-int8", "gl", "", "target"), ("pair-es-ast", "ast", "mixes in Spanish", "target"), ("from-many", "uk", "reads it as Russian", "source"), ("rules-pair", "an", "word for word", "target")]),
     "caps": ("cap_mb long", [(None,), (2000,), (1000,), (500,), (170,)]),
     "distances": ("a string, b string, d double", [("pt", "es", 0.21), ("es", "eu", 0.25), ("en", "eu", 0.45), ("pt", "en", 0.32), ("en", "es", 0.3), ("fr", "es", 0.28), ("fr", "en", 0.4), ("de", "fr", 0.5), ("de", "en", 0.2), ("en", "nl", 0.24), ("de", "nl", 0.1)]),
