@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import labels as L
 from lexmill.functions import text as T
-from lexmill.operators import cache, decode, detect, quality, registry, routing
+from lexmill.operators import cache, crawl, decode, detect, quality, registry, routing
 from lexmill.plans.fixtures import table, values_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -528,6 +528,35 @@ def licence_tiers(spark, sf_dir):
     return table(spark, "licences").select("repo", found.alias("licence"), L.lookup(found, tiers).alias("tier"))
 
 
+_CAUSAL = "coalesce(len(list_filter(architectures, lambda a: ends_with(a, 'ForCausalLM'))) > 0, false)"
+_HAS = lambda *names: "list_has_all(files, [" + ", ".join(f"'{n}'" for n in names) + "])"
+
+
+@query(f"select repo, case when {_HAS('labels.json')} and len(list_filter(files, lambda f: ends_with(f, '_hash.py'))) > 0 then 'lid' when {_HAS('encoder_model.onnx')} or {_HAS('model.onnx')} and {_CAUSAL} then 'translate' when {_HAS('model.onnx', 'config.json')} and not {_HAS('labels.json')} and ({_HAS('tokenizer.json')} or {_HAS('vocab.txt')}) then 'lid' end as kind from hub", "hub")
+def repo_kinds(spark, sf_dir):
+    return crawl.kind(table(spark, "hub"))
+
+
+@query(
+    f"""with a as (select repo, case when {_CAUSAL} then case when curated = 'causal-lm' then 'causal-lm' end when {_HAS('source.spm', 'target.spm', 'vocab.json')} or model_type = 'marian' then 'marian' when model_type in ('t5', 'umt5') and curated = 't5-prefix' then 't5-prefix' when model_type = 'umt5' then null
+    when model_type = 't5' and not {_HAS('spiece.model')} and {_HAS('tokenizer.json')} then case when curated = 't5-fast' then 't5-fast' end when model_type = 't5' then 'madlad' when model_type = 'IndicTrans' then 'indictrans2'
+    when model_type = 'pegasus' then case when {_HAS('onmt_vocab.json')} or {_HAS('nos_vocab.json')} then 'opennmt-bpe' when {_HAS('tokenizer.json')} then 'pegasus-fast' end when model_type = 'mbart' then 'mbart' when {_HAS('vocab.json')} then 'm2m100' else 'nllb' end as arch from hub) select repo, arch, arch is null as skip from a""",
+    "hub",
+)
+def repo_architectures(spark, sf_dir):
+    return crawl.architecture(table(spark, "hub"))
+
+
+@query("select repo, nullif(regexp_extract(repo, 'opus-mt-(?:tc-big-)?([a-z]{2,3})-([a-z]{2,3})(?:-onnx)?$', 1), '') as src, nullif(regexp_extract(repo, 'opus-mt-(?:tc-big-)?([a-z]{2,3})-([a-z]{2,3})(?:-onnx)?$', 2), '') as tgt from hub", "hub")
+def repo_name_pairs(spark, sf_dir):
+    return table(spark, "hub").withColumn("p", crawl.name_pair(F.col("repo"))).select("repo", "p.src", "p.tgt")
+
+
+@query(f"with c as (select repo, coalesce(nullif(regexp_extract(piece, '^<2([A-Za-z]{{2,3}}(?:_[A-Za-z0-9]+)?)>$', 1), ''), nullif(regexp_extract(piece, '^>>([A-Za-z]{{2,3}}(?:_[A-Za-z]{{4}})?)<<$', 1), '')) as code from pieces) select distinct repo, code from c where code is not null and not regexp_matches(code, '^[A-Z]{{2}}$') and {_map_sql(crawl.FAMILIES, 'split_part(lower(code), chr(95), 1)')} is null", "pieces")
+def target_tokens(spark, sf_dir):
+    return crawl.target_tokens(table(spark, "pieces"))
+
+
 @query("select sum(size_mb)::bigint as loaded_mb, max(size_mb) as largest_mb, round(86 + 1.84::double * (sum(size_mb) + 2 * max(size_mb)), 2) as peak_mb from models where cached", "models")
 def memory_plan(spark, sf_dir):
     return registry.memory_plan(table(spark, "models").where("cached"), 2)

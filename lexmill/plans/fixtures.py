@@ -47,6 +47,12 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "new_fields": ("model_id string, key string, value string", [("m1", "size_mb", "11"), ("m1", "notes", "bad"), ("m1", "quality", "50"), ("m2", "size_mb", "5"), ("m2", "arch", "nllb"), ("m4", "size_mb", "7"), ("m4", "notes", "fresh")]),
     "codes": ("model_id string, tag string, native string", [("m1", "pt", "__pt__"), ("m1", "pt", "__pt_PT__"), ("m1", "es", "__es__"), ("m2", "es", "spa_Latn"), ("m2", "es", "spa_Latn")]),
     "repos": ("repo string", [("Helsinki-NLP/opus-mt-en-es",), ("HiTZ/mt-hitz-en-eu",), ("proxectonos/Nos_MT-es-gl",), ("someone/else",), ("Helsinki-NLP/opus-tatoeba-x",)]),
+    "hub": ("repo string, files array<string>, model_type string, architectures array<string>, curated string", [
+        ("o/opus-mt-en-es-onnx", ["encoder_model.onnx", "source.spm", "target.spm", "vocab.json"], "m2m_100", None, None), ("o/opus-mt-tc-big-itc-en", ["encoder_model.onnx"], "marian", None, None), ("g/lid", ["model.onnx", "labels.json", "glot_hash.py"], None, None, None),
+        ("a/classifier", ["model.onnx", "config.json", "tokenizer.json"], "bert", ["BertForSequenceClassification"], None), ("p/causal", ["model.onnx", "config.json", "tokenizer.json"], "gemma", ["GemmaForCausalLM"], "causal-lm"), ("q/causal", ["model.onnx"], "gemma", ["GemmaForCausalLM"], None),
+        ("t/madlad", ["encoder_model.onnx", "spiece.model"], "t5", None, None), ("t/fast", ["encoder_model.onnx", "tokenizer.json"], "t5", None, None), ("t/fast2", ["encoder_model.onnx", "tokenizer.json"], "t5", None, "t5-fast"), ("t/umt5", ["encoder_model.onnx"], "umt5", None, None), ("t/prefix", ["encoder_model.onnx"], "umt5", None, "t5-prefix"),
+        ("i/indic", ["encoder_model.onnx"], "IndicTrans", None, None), ("n/nos", ["encoder_model.onnx", "onmt_vocab.json"], "pegasus", None, None), ("n/peg", ["encoder_model.onnx", "tokenizer.json"], "pegasus", None, None), ("n/odd", ["encoder_model.onnx"], "pegasus", None, None), ("m/mbart", ["encoder_model.onnx"], "mbart", None, None), ("m/m2m", ["encoder_model.onnx", "vocab.json"], "m2m_100", None, None), ("m/nllb", ["encoder_model.onnx"], "m2m_100", None, None), ("x/other", ["readme.md"], None, None, None)]),
+    "pieces": ("repo string, piece string", [("t/madlad", "<2en>"), ("t/madlad", "<2es_419>"), ("t/madlad", "<2CA>"), ("t/madlad", "<2itc>"), ("t/madlad", "en"), ("o/g", ">>por<<"), ("o/g", ">>lat_Latn<<"), ("o/g", ">>sla<<"), ("o/g", "<<x>>")]),
     "prefixes": ("pos int, prefix string, org string", [(0, "Helsinki-NLP/opus-tatoeba", "Tatoeba"), (1, "Helsinki-NLP/", "Helsinki-NLP"), (2, "HiTZ/", "HiTZ"), (3, "proxectonos/", "Proxecto Nós")]),
     "licences": ("repo string, card string, readme string", [("r1", "apache-2.0", None), ("r2", None, "License: CC-BY-NC-4.0 and more"), ("r3", "cc-by-sa-4.0", "x"), ("r4", None, "none told"), ("r5", "proprietary", None)]),
     "labels_list": ("label_idx int, raw string", list(enumerate("__label__eng_Latn arb_Arab ajp_Arab zho_Hans zho_Hant yue_Hani pt __label__srp_Cyrl ell_Latn ell_Grek swh_Latn nan_lang cmn_Hani por_Latn kor_Hang".split()))),
