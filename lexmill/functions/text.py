@@ -162,19 +162,23 @@ def split_sentences(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     accepted cut is what built-in functions don't have.
     """
     import re
+    from itertools import pairwise
 
     stop = re.compile(_ENDS)
 
     def cut(line: str | None):
         if line is None:
             return None
-        out, begin = [], 0
-        for m in stop.finditer(line):
-            end = m.start() + len(m[0].rstrip())
-            if m.end() < len(line) and any(c.isalpha() for c in line[begin:end]):
-                out.append({"sentence": line[begin:end], "gap": line[end : m.end()]})
-                begin = m.end()
-        return [*out, {"sentence": line[begin:], "gap": ""}]
+        edges = [e for e in (m.end() for m in stop.finditer(line)) if e < len(line)]
+        *chunks, last = [line[a:b] for a, b in pairwise([0, *edges, len(line)])]
+        done, held = [], ""
+        for chunk in chunks:  # chunks without a letter wait for the next one
+            held += chunk
+            body = held.rstrip()
+            if any(map(str.isalpha, body)):
+                done.append({"sentence": body, "gap": held[len(body) :]})
+                held = ""
+        return [*done, {"sentence": held + last, "gap": ""}]
 
     for batch in lines:
         yield batch.map(cut)
