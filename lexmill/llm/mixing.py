@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.cluster import numbered
 
+#: A larger rate is drawn as the sum of several equal ones, so that exp(-rate) stays a normal number.
 MOST_RATE = 500.0
 
 
@@ -23,7 +24,6 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     weights gives each source's share of the output (they are scaled to sum to 1; sources
     left out get none); without it shares follow rows ** temperature. total is the number
     of output rows to aim at, by default as many as come in. Null is a source of its own.
-    A rate above 500 is an error: such a source is too small for its weight.
     """
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
@@ -34,8 +34,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     sums = shares.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()  # one row of totals
     all_w, goal = sums["w"] or 0.0, float(total if total is not None else sums["n"] or 0)
     rate = F.col("w") / F.lit(all_w) * F.lit(goal) / F.col("n") if all_w else F.lit(0.0)
-    rates = shares.select("source", rate.alias("rate"))
-    return rates.withColumn("rate", F.when(F.col("rate") <= MOST_RATE, F.col("rate")).otherwise(F.raise_error(F.lit(f"a source needs more than {MOST_RATE} copies of each document"))))
+    return shares.select("source", rate.alias("rate"))
 
 
 _CDF = """aggregate(sequence(1, cast(ceil(rate + 12 * sqrt(rate)) as int) + 30),
@@ -53,12 +52,13 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     are replaced. An empty table gives no rows. The order of shuffle_key is the global order.
     """
     docs = docs.drop("copies", "copy", "shuffle_key")
-    rates = source_rates(docs, weights, temperature, total).select(F.col("source").alias("_source"), F.expr(_CDF).alias("_cdf"))
+    rates = source_rates(docs, weights, temperature, total).withColumn("parts", F.greatest(F.ceil(F.col("rate") / MOST_RATE), F.lit(1)).cast("int")).withColumn("rate", F.col("rate") / F.col("parts")).select(F.col("source").alias("_source"), "parts", F.expr(_CDF).alias("_cdf"))
     key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("-")).cast("binary")))
-    u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    drawn = docs.withColumn("_key", key).withColumn("_u", u).join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("copies", F.expr("size(filter(_cdf, c -> c <= _u))")).where("copies > 0")
-    out = drawn.drop("_source", "_cdf", "_u").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    uniform = lambda k: F.conv(F.substring(F.md5(k.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    drawn = docs.withColumn("_key", key).join(rates.withColumnRenamed("parts", "_parts"), F.col("source").eqNullSafe(F.col("_source")))
+    drawn = drawn.withColumn("_u", F.transform(F.sequence(F.lit(1), "_parts"), lambda j: uniform(F.when(j == 1, F.col("_key")).otherwise(F.concat_ws("#", F.col("_key"), j.cast("string"))))))
+    drawn = drawn.withColumn("copies", F.expr("aggregate(_u, 0, (s, u) -> s + size(filter(_cdf, c -> c <= u)))")).where("copies > 0")
+    out = drawn.drop("_source", "_parts", "_cdf", "_u").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return out.withColumn("shuffle_key", F.md5(F.concat_ws("|", "_key", F.col("copy").cast("string")).cast("binary"))).drop("_key")
 
 
