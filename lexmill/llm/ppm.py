@@ -42,7 +42,7 @@ def is_training(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 10 != 0
 
 
-def dealt_blobs(docs: DataFrame, size: int, each: int = 6 << 20) -> tuple[DataFrame, int]:
+def dealt_blobs(docs: DataFrame, size: int, each: int = 4 << 20) -> tuple[DataFrame, int]:
     """(bucket, packed): documents of a bucket as compressed blobs, dealt by bucket; and over how many tasks."""
     n = tasks_for(size, 4 * each, docs.sparkSession)
     buckets = max(4 * n, -(-size // each))
@@ -94,40 +94,77 @@ def _grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return g[wide[ORDER:] != PAD]
 
 
-def _distinct(values: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, ascending, and how often each is in training."""
-    seen, counts = np.unique(values[training], return_counts=True)
-    every = np.union1d(seen, values[~training])
-    out = np.zeros(len(every), I64)
-    out[np.searchsorted(every, seen)] = counts
-    return every, out
+def _merged(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of several ascending lists, ascending, with their summed counts."""
+    v, c = np.concatenate(values), np.concatenate(counts)
+    if len(values) > 1:
+        order = np.argsort(v, kind="stable")
+        v, c = v[order], c[order]
+    if not len(v):
+        return v, c
+    head = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+    return v[head], np.add.reduceat(c, head)
 
 
 def _ranged(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> U64(32)) * U64(parts)) >> U64(32)).astype(I64)
 
 
+PIECE, MOST_DOCS = 2 << 20, 1 << 16
+
+
+class _Piece:
+    """Some texts of a bucket. grams: distinct, ascending; a sort of (gram, document) pairs in one integer gives them and their places at once."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, training: np.ndarray):
+        self.n = len(off) - 1
+        size = np.diff(off) + 1
+        pairs = _grams(data, off)
+        pairs <<= U64(16)
+        pairs |= np.repeat(np.arange(self.n, dtype=U64), size)
+        pairs.sort()
+        self.doc = (pairs & U64(0xFFFF)).astype(np.uint16)
+        pairs >>= U64(16)
+        head = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        self.gram, self.runs = pairs[head], np.diff(np.append(head, len(pairs)))
+        self.gram_n = np.add.reduceat(training[self.doc].astype(I64), head)
+        w = wh.words(data, off)
+        self.counts = w.counts + 1
+        first = np.concatenate(([0], np.cumsum(self.counts)))
+        words = np.full(first[-1], END_WORD, dtype=U64)
+        words[np.arange(len(w.start)) + w.owner()] = wh.span_hashes(data, w.start, w.end)
+        self.first = first[:-1]
+        self.word, self.word_at = np.unique(words, return_inverse=True)
+        self.word_n = np.bincount(self.word_at, np.repeat(training, self.counts), len(self.word)).astype(I64)
+
+    def gram_sums(self, scores: np.ndarray) -> np.ndarray:
+        """Per text, the sum of scores (one per distinct gram) over its grams."""
+        return np.bincount(self.doc, np.repeat(scores, self.runs), self.n)
+
+
 class _Bucket:
     """Distinct grams and words of a bucket in the order in which they are sent: by range, then by value."""
 
     def __init__(self, table: pa.Table, parts: int):
-        self.ids, self.known, data, self.off = _open(table)
+        self.ids, self.known, self.data, self.off = _open(table)
         self.training = np.array([is_training(i if k else None) for i, k in zip(self.ids.tolist(), self.known.tolist(), strict=True)], bool)
-        self.grams = _grams(data, self.off)
-        n = len(self.ids)
-        self.size = np.diff(self.off) + 1
-        self.gram, self.gram_n = _distinct(self.grams, np.repeat(self.training, self.size))
-        w = wh.words(data, self.off)
-        self.counts = w.counts + 1
-        first = np.concatenate(([0], np.cumsum(self.counts)))
-        self.words = np.full(first[-1], END_WORD, dtype=U64)
-        self.words[np.arange(len(w.start)) + np.repeat(np.arange(n), w.counts)] = wh.span_hashes(data, w.start, w.end)
-        self.word, self.word_n = _distinct(self.words, np.repeat(self.training, self.counts))
+        grams, gram_n, words, word_n = [], [], [], []
+        for p in self.pieces():
+            grams.append(p.gram)
+            gram_n.append(p.gram_n)
+            words.append(p.word)
+            word_n.append(p.word_n)
+        self.gram, self.gram_n = _merged(grams, gram_n)
+        self.word, self.word_n = _merged(words, word_n)
         gram_part, word_part = _ranged(wh.mix(self.gram >> U64(8)), parts), _ranged(self.word, parts)
         self.gram_order, self.word_order = np.argsort(gram_part, kind="stable"), np.argsort(word_part, kind="stable")
         self.gram_cuts = np.searchsorted(gram_part[self.gram_order], np.arange(parts + 1))
         self.word_cuts = np.searchsorted(word_part[self.word_order], np.arange(parts + 1))
 
+    def pieces(self):
+        for a, b in wh.pieces(self.off, PIECE, MOST_DOCS):
+            yield _Piece(self.data[self.off[a] : self.off[b]], self.off[a : b + 1] - self.off[a], self.training[a:b])
+
 
 def _planes(values: np.ndarray) -> np.ndarray:
     """Integers as byte planes; the shuffle's codec squeezes the empty ones."""
@@ -202,15 +239,14 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(kinds, pa.int32()), pa.array(grams, pa.int64()), pa.array(ns, pa.int64()), pa.array(scores), pa.array([None] * (1 + len(low)) + [blobs[k] for k in back], pa.binary())], schema=_PARTS)
 
 
-def _settle(pairs: np.ndarray):
-    """Scores of unseen grams by orders 4 to 2 of their own tables, then 1 and 0 (pairs[a, b]: how often b follows a), then evenly."""
+def _settle(pairs: np.ndarray, parts: int):
+    """Range and score of unseen grams by orders 4 to 2 of their own tables, then 1 and 0 (pairs[a, b]: how often b follows a), then evenly."""
     zero = pairs.sum(axis=0)
 
     def run(tables: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("gram", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("part", pa.int32()), ("gram", pa.int64()), ("score", pa.float64())])
         if not asked.num_rows:
             return schema.empty_table()
-        asked = asked.sort_by("gram")
         grams = np.asarray(asked.column("gram").combine_chunks()).view(U64)
         score = np.array(asked.column("score").combine_chunks())
         out = np.unpackbits(np.frombuffer(b"".join(asked.column("ruled_out").to_pylist()), np.uint8).reshape(-1, 32), axis=1).astype(bool)
@@ -251,7 +287,8 @@ def _settle(pairs: np.ndarray):
                 score[part.start + mine[escape]] += np.log10(d[escape] / (n + d)[escape])
                 out[part.start + mine] |= rows > 0
                 todo[mine[found]] = False
-        return pa.table([pa.array(grams.view(I64)), pa.array(score)], schema=schema)
+        part = _ranged(wh.mix(grams >> U64(8)), parts).astype(np.int32)
+        return pa.table([pa.array(part), pa.array(grams.view(I64)), pa.array(score)], schema=schema)
 
     return run
 
@@ -286,13 +323,16 @@ def _score(parts: int):
         scores, counts = np.empty(len(b.gram)), np.empty(len(b.word), I64)
         scores[b.gram_order] = np.concatenate([t[0] for t in told])
         counts[b.word_order] = np.concatenate([_from_planes(t[1]) for t in told]).astype(I64)
-        each = scores[np.searchsorted(b.gram, b.grams)]
-        score = np.add.reduceat(each, np.concatenate(([0], np.cumsum(b.size)[:-1])))
-        c = counts[np.searchsorted(b.word, b.words)]
-        first = np.concatenate(([0], np.cumsum(b.counts)[:-1]))
-        known, logs = np.add.reduceat((c > 0).astype(I64), first), np.add.reduceat(np.log10(c + 0.1), first)
+        score, known, logs, size = [], [], [], []
+        for p in b.pieces():
+            score.append(p.gram_sums(scores[np.searchsorted(b.gram, p.gram)]))
+            c = counts[np.searchsorted(b.word, p.word)]
+            known.append(np.add.reduceat((c > 0)[p.word_at].astype(I64), p.first))
+            logs.append(np.add.reduceat(np.log10(c + 0.1)[p.word_at], p.first))
+            size.append(p.counts)
+        score, known, logs, size = map(np.concatenate, (score, known, logs, size))
         ids = pa.array(b.ids, mask=~b.known)
-        return pa.table([ids, pa.array(~b.training), pa.array(b.counts.astype(I64)), pa.array(known), pa.array(logs), pa.array(score)], schema=_SCORED)
+        return pa.table([ids, pa.array(~b.training), pa.array(size.astype(I64)), pa.array(known), pa.array(logs), pa.array(score)], schema=_SCORED)
 
     return run
 
@@ -310,7 +350,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     size = text_bytes(docs)[1]
-    parts = max(8, -(-size // (24 << 20)))
+    parts = max(8, -(-size // (16 << 20)))
     dealt, n = dealt_blobs(docs, size)
     buckets = dealt.groupBy("bucket")
     sent = buckets.applyInArrow(_send(parts), _SPAN)
@@ -323,22 +363,14 @@ def language_scores(docs: DataFrame) -> DataFrame:
     pairs = np.zeros((256, 256), I64)
     for row in lower.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("p")).agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
         pairs[row["p"] >> 8, row["p"] & 255] = row["n"]
-    suffix = F.shiftright("gram", 8).bitwiseAND(0xFFFF).alias("suffix")
-    settled = lower.groupBy(suffix).cogroup(model.where("kind = 2").select("gram", "score", "ruled_out").groupBy(suffix)).applyInArrow(_settle(pairs), "gram long, score double")
+    suffix = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
+    tables, asked = lower.withColumn("suffix", suffix), model.where("kind = 2").select("gram", "score", "ruled_out").withColumn("suffix", suffix)
+    settled = tables.groupBy("suffix").cogroup(asked.groupBy("suffix")).applyInArrow(_settle(pairs, parts), "part int, gram long, score double")
     settled_path = scratch(spark, "ppm-settled")
-    settled.mapInArrow(_with_part(parts), "part int, gram long, score double").write.parquet(settled_path)
+    settled.write.parquet(settled_path)
     settled = spark.read.schema("part int, gram long, score double").parquet(settled_path)
     replies = sent.groupBy("part").cogroup(settled.groupBy("part")).applyInArrow(_answer, _SPAN)
     scored = buckets.cogroup(replies.repartition(n, "bucket").groupBy("bucket")).applyInArrow(_score(parts), "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
     base = F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(train + 0.1 * (kinds + 1))))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
-
-def _with_part(parts: int):
-    def run(batches):
-        for batch in batches:
-            grams = np.asarray(batch.column(0)).view(U64)
-            part = _ranged(wh.mix(grams >> U64(8)), parts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(1)], names=["part", "gram", "score"])
-
-    return run
