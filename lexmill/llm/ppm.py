@@ -110,7 +110,7 @@ def _ranged(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> U64(32)) * U64(parts)) >> U64(32)).astype(I64)
 
 
-PIECE, MOST_DOCS = 2 << 20, 1 << 16
+PIECE, MOST_DOCS = 1 << 20, 1 << 16
 
 
 class _Piece:
@@ -350,7 +350,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     size = text_bytes(docs)[1]
-    parts = max(8, -(-size // (16 << 20)))
+    parts = max(8, -(-size // (8 << 20)))
     dealt, n = dealt_blobs(docs, size)
     buckets = dealt.groupBy("bucket")
     sent = buckets.applyInArrow(_send(parts), _SPAN)
