@@ -26,8 +26,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates; rows that share an id stay together."""
-    kept = near_duplicate_groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    """One document, that of the smallest id, of each group of near-duplicates; rows that share an id stay together.
+
+    Links start at a similarity of 0.80. With 40 bands of 6 coordinates a pair exactly there
+    escapes every band with probability (1 - 0.8**6)**40 = 5e-6.
+    """
+    kept = near_duplicate_groups(docs, percent=80, bands=40, rows=6).where("kept and doc_id is not null").select("doc_id").distinct()
     nameless = docs.where("doc_id is null")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(nameless.select(*COLUMNS))
 

@@ -557,6 +557,39 @@ def test_pipeline(spark, docs, rows, library):
     check_packing(seen.collect(), [(r.doc_id, r.text) for r in before.collect()], library, 1024)
 
 
+def test_pipeline_links_from_080_on(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    plain = []
+    for k, n in enumerate((44, 45, 50, 60, 61, 62)):  # shingles; an edit in the middle changes five
+        t = [f"d{k}w{i}" for i in range(n + 4)]
+        plain += [(10 * k, " ".join(t)), (10 * k + 1, " ".join([*t[: n // 2], "edited", *t[n // 2 + 1 :]]))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in plain], "doc_id long, text string, lang string, source string, n_chars long")
+    groups = brute.components({i: brute.shingles(t) for i, t in plain}, lambda a, b: brute.near(a, b, 80))
+    left = sorted(i for i, g in groups.items() if i == g)
+    assert left == [0, 1, 10, 20, 30, 40, 50]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == left
+
+
+def test_pipeline_stages_before_packing(spark, docs):
+    from lexmill.llm.quality import quality_cascade
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    good = corpus_pipeline.quality_rules(spark, docs, "").cache()
+    judged = quality_cascade(docs, carry=("doc_id",), with_text=True).where("kept").collect()
+    assert Counter((r.doc_id, r.text) for r in good.collect()) == Counter((r.doc_id, r.text) for r in judged)
+    one = corpus_pipeline.near_dedup(spark, good, "").cache()
+    sets = defaultdict(set)
+    for r in good.collect():
+        if r.doc_id is not None:
+            sets[r.doc_id] |= brute.shingles(r.text)
+    groups = brute.components(sets, lambda a, b: brute.near(a, b, 80))
+    want = Counter((r.doc_id, r.text) for r in good.collect() if r.doc_id is None or groups[r.doc_id] == r.doc_id)
+    assert Counter((r.doc_id, r.text) for r in one.collect()) == want
+    plain = sorted(((r.doc_id, r.text) for r in one.collect()), key=str)
+    kept = Counter((i, tuple(k)) for (i, _), k in zip(plain, brute.kept_words(plain)) if k)
+    assert Counter((r.doc_id, tuple(brute.words(r.text))) for r in corpus_pipeline.substring_dedup(spark, one, "").collect()) == kept
+
+
 def test_pipeline_of_nothing(spark, no_docs):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     seen = no_docs
