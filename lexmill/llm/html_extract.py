@@ -24,9 +24,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style title textarea noscript template svg math iframe object canvas audio video select button datalist map".split())
 RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg")
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd", ("dl",)), "dt": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("th", ("tr",)), "option": ("option", ("select",))}
 
 #: words in class, id and role that speak for or against an element
@@ -41,7 +42,8 @@ OTHER_WORDS = frozenset(
 OTHER_TAGS = {"nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "header": -6.0}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"'=/]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']*+)|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<[a-zA-Z/][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -109,6 +111,8 @@ def blocks_of(page: str) -> list[Block]:
     at = 0
     for m in _TOKEN.finditer(page):
         a, b = m.span()
+        if a > at and here.tag == "head" and not page[at:a].isspace():  # text ends an open head
+            here = here.parent
         if a > at and not here.silent:
             text = page[at:a]
             if block is None:
@@ -134,6 +138,8 @@ def blocks_of(page: str) -> list[Block]:
             if tag in BLOCKS:
                 block = None
             continue
+        if here.tag == "head" and tag not in IN_HEAD and tag != "body":  # as does an element that cannot be in one
+            here = here.parent
         if tag in BLOCKS:
             block = None
             x, depth = here, 0
@@ -159,6 +165,8 @@ def blocks_of(page: str) -> list[Block]:
         attrs = m["attrs"]
         if not attrs.endswith("/") or tag in BLOCKS or tag == "a":
             here = _Element(tag, attrs, here)
+    if at < len(page) and here.tag == "head" and not page[at:].isspace():
+        here = here.parent
     if at < len(page) and not here.silent:
         if block is None:
             owner = here

@@ -525,6 +525,32 @@ def test_pages(spark):
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in out) == sorted((str(a[0]), t, len(t)) for a, t in zip(rows, want))
 
 
+def test_pages_that_only_look_silent(spark):
+    from lexmill.llm.html_extract import extract_main_text
+
+    one, two = "A first paragraph, long enough to be text.", "And a second one that says a little more."
+    both = f"{one}\n{two}"
+    pages = {
+        f"<article><p>{one}</p><svg-icon name=x></svg-icon><p>{two}</p></article>": both,
+        f"<article><template-card></template-card><p>{one}</p><title-bar>x</title-bar><p>{two}</p></article>": None,
+        f"<article><p>{one}</p><svg class='a/b' viewBox=\"0 0 1 1\" /><p>{two}</p></article>": both,
+        f"<article><p>{one}</p><svg/><p>{two}</p><svg><text>drawn</text></svg></article>": both,
+        f"<article><p>{one}</p><svg href=a/><text>drawn</text></svg><p>{two}</p></article>": both,
+        f"<article><p>{one}</p><svg><text>drawn</text></svg><script>x</script><p>{two}</p></article>": both,
+        f"<head><title>t</title><meta charset=utf-8><bgsound src=x><article><p>{one}</p><p>{two}</p></article>": both,
+        f"<html><head><title>t</title><link rel=x>\n<p>{one}</p>\n<p>{two}</p>": both,
+        f"<head><title>t</title><style>s</style>\n{one}": one,
+        f"<html><head><title>t</title></head><body><article><p>{one}</p><p>{two}</p></article>": both,
+    }
+    df = spark.createDataFrame([(k, "u", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    for k, (page, want) in enumerate(pages.items()):
+        if want is None:
+            assert one in got[k] and two in got[k], page
+        else:
+            assert got[k] == want, page
+
+
 def test_cut_is_minimal():
     from lexmill.llm.html_extract import minimum_cut
 
