@@ -18,10 +18,9 @@ UNIT = 1_000_000
 
 
 def token_counts(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, token, n for the texts that pass the guards; the end token stays out."""
-    ok = docs.where(T.guard_status(F.col("text")) == "OK")
+    """keys, token, n of whole texts; the end token stays out."""
     words = F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")
-    return ok.select(*keys, F.explode(words).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(*keys, F.explode(words).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def token_features(tokens: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -36,11 +35,15 @@ def is_training(text: Column) -> Column:
 
 
 def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """(priors: lang, prior; model: lang, total) and (weights: lang, fid, w) from docs (doc_id, text, lang)."""
-    counts = token_counts(docs, ["lang"])
+    """(priors: lang, prior; model: lang, total) and (weights: lang, fid, w) from docs (doc_id, text, lang).
+
+    All texts with visible content count whole: the guards are limits of a request, not of training.
+    """
+    seen = docs.where(T.has_visible_content(F.col("text")))
+    counts = token_counts(seen, ["lang"])
     features = counts.join(token_features(counts, buckets), "token").groupBy("lang", "fid").agg(F.sum(F.col("n") * F.col("m")).alias("c"))
     totals = features.groupBy("lang").agg(F.sum("c").alias("total"))
-    ok = docs.where(T.guard_status(F.col("text")) == "OK").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    ok = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     every = F.sum("n_docs").over(Window.partitionBy())  # a row per language
     priors = ok.join(totals, "lang").select("lang", "n_docs", "total", F.round(F.log(F.col("n_docs") / every) * UNIT).cast("long").alias("prior"))
     return priors, features
@@ -48,7 +51,7 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame
 
 def scores(docs: DataFrame, priors: DataFrame, features: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, lang, score (micro-nats) for every text that passes the guards and every language."""
-    counts = token_counts(docs, ["doc_id"])
+    counts = token_counts(docs.where(T.guard_status(F.col("text")) == "OK"), ["doc_id"])
     grams = token_features(counts, buckets)
     langs = F.broadcast(priors)  # a row per language
     weight = F.round(F.log((F.coalesce("c", F.lit(0)) + 1) / (F.col("total") + buckets)) * UNIT).cast("long")
@@ -59,6 +62,13 @@ def scores(docs: DataFrame, priors: DataFrame, features: DataFrame, buckets: int
     return summed.join(langs, "lang").select("doc_id", "lang", (F.col("s") + F.col("prior")).alias("score"))
 
 
+def with_refused(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """found (doc_id, ...) with status OK, and a row with the guards' status and nulls for each of docs that they turn away."""
+    status = T.guard_status(F.col("text"))
+    refused = docs.select("doc_id", status.alias("status")).where("status <> 'OK'")
+    return found.withColumn("status", F.lit("OK")).unionByName(refused, allowMissingColumns=True)
+
+
 def predict(scored: DataFrame) -> DataFrame:
     """doc_id, predicted, score: the best language, the first by name on a tie."""
     best = F.max(F.struct("score", F.translate("lang", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba").alias("turned"), "lang"))

@@ -206,7 +206,7 @@ best as (select doc_id, lang as predicted, score from (select *, row_number() ov
 
 def _lid(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    training = detect.is_training(F.col("text"))
+    training = F.coalesce(detect.is_training(F.col("text")), F.lit(False))  # a null text is held out, and refused
     priors, features = detect.train(docs.where(training))
     return docs.where(~training), priors, features
 
@@ -223,24 +223,31 @@ def lid_train(spark, sf_dir):
 
 @query(_LID + " select doc_id, predicted, score from best")
 def lid_predict(spark, sf_dir):
-    return detect.predict(_scored(spark, sf_dir)[1])
+    held, scored = _scored(spark, sf_dir)
+    return detect.with_refused(detect.predict(scored), held)
 
 
 @query(_LID + ", e as (select doc_id, lang, exp((score - max(score) over (partition by doc_id)) / 1000000) as e from sc), p as (select doc_id, lang, e / sum(e) over (partition by doc_id) as p from e), r as (select *, row_number() over (partition by doc_id order by p desc, lang) as rank from p) select doc_id, lang as tag, round(p, 6) as p, rank from r where rank <= 3")
 def lid_probs_topk(spark, sf_dir):
-    return detect.top_k(detect.probabilities(_scored(spark, sf_dir)[1]), 3).select("doc_id", "tag", F.round("p", 6).alias("p"), F.col("rank").cast("long").alias("rank"))
+    held, scored = _scored(spark, sf_dir)
+    best = detect.top_k(detect.probabilities(scored), 3).select("doc_id", "tag", F.round("p", 6).alias("p"), F.col("rank").cast("long").alias("rank"))
+    return detect.with_refused(best, held)
 
 
 @query(_LID + " select lang, predicted, count(*)::bigint as n from best join documents using (doc_id) group by all")
 def lid_confusion(spark, sf_dir):
     held, scored = _scored(spark, sf_dir)
-    return detect.predict(scored).join(held.select("doc_id", "lang"), "doc_id").groupBy("lang", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    found = detect.predict(scored).join(held.select("doc_id", "lang"), "doc_id").select("lang", "predicted", F.lit("OK").alias("status"))
+    refused = held.select("lang", F.lit(None).cast("string").alias("predicted"), T.guard_status(F.col("text")).alias("status")).where("status <> 'OK'")
+    return found.union(refused).groupBy("lang", "predicted", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_LID + " select source, count(*)::bigint as n, sum((lang = predicted)::int)::bigint as right from best join documents using (doc_id) group by source".replace(" as right", ' as "right"'))
 def lid_accuracy_by_source(spark, sf_dir):
     held, scored = _scored(spark, sf_dir)
-    return detect.predict(scored).join(held.select("doc_id", "lang", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("lang") == F.col("predicted")).cast("int")).alias("right"))
+    found = detect.predict(scored).join(held.select("doc_id", "lang", "source"), "doc_id").select("source", (F.col("lang") == F.col("predicted")).cast("int").alias("right"), F.lit("OK").alias("status"))
+    refused = held.select("source", F.lit(0).alias("right"), T.guard_status(F.col("text")).alias("status")).where("status <> 'OK'")
+    return found.union(refused).groupBy("source").agg(F.sum((F.col("status") == "OK").cast("int")).alias("n"), F.sum("right").alias("right"), F.sum((F.col("status") != "OK").cast("int")).alias("refused"))
 
 
 @query("select doc_id, label_idx, round(exp(sum(ln(greatest(case when bit then score else 1 - score end, 1e-12)))), 6) as p from node_scores join hs_tree using (node) group by doc_id, label_idx", "hs_tree", "node_scores")
@@ -250,7 +257,7 @@ def hs_probs(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out accuracy of language identification by language."""
-    return lid_confusion(spark, sf_dir).groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lang") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"))
+    return lid_confusion(spark, sf_dir).where("status = 'OK'").groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lang") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"))
 
 
 # --- quality and selection -------------------------------------------------------------------
