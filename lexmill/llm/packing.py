@@ -111,7 +111,7 @@ def plan_packing(histogram: np.ndarray, room: int) -> list[tuple[tuple[int, ...]
 
 def _pieces(tokenizer: str, room: int, end_id: int, with_ids: bool):
     def run(batches):
-        encoder = BatchEncoder.of(tokenizer)
+        encoder = BatchEncoder.of(tokenizer, special=True)
         for batch in batches:
             data, off = wh.utf8(batch.column(1))
             for a, b in wh.pieces(off, 2 << 20, 1 << 20):

@@ -82,7 +82,7 @@ class FrameReader:
 
 def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches):
-        encoder, writer, path, waiting, rows, seq = BatchEncoder.of(tokenizer), None, None, [], [], 0
+        encoder, writer, path, waiting, rows, seq = BatchEncoder.of(tokenizer, special=True), None, None, [], [], 0
         part = TaskContext.get().partitionId()
 
         def flush():

@@ -48,21 +48,26 @@ def _byte_letters() -> np.ndarray:
 
 
 class BatchEncoder:
-    """Ids of the texts of a batch, by one tokenizer file; keeps its table for the life of the worker."""
+    """Ids of the texts of a batch, by one tokenizer file; keeps its table for the life of the worker.
 
-    _made: dict[str, "BatchEncoder"] = {}
+    With special, the string of an added token in a text is that token, as the library has it
+    by default; else it is ordinary text.
+    """
+
+    _made: dict[tuple[str, bool], "BatchEncoder"] = {}
 
     @classmethod
-    def of(cls, path: str) -> "BatchEncoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, special: bool = False) -> "BatchEncoder":
+        if (path, special) not in cls._made:
+            cls._made[path, special] = cls(path, special)
+        return cls._made[path, special]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the special token's string in a text is ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         self.kinds = _classes()
         self.letters = _byte_letters()
         self.clear()
@@ -151,6 +156,13 @@ class BatchEncoder:
         place, size = self.at[slot], self.n[slot].astype(np.int64)
         miss = (self.key[slot] != keys) | (size == 0)
         doc = np.searchsorted(starts, off)
+        raw = data.tobytes()
+        for token in self.added:  # texts that hold an added token go to the library whole
+            p = raw.find(token)
+            while p >= 0:
+                d = int(np.searchsorted(off, p, side="right")) - 1
+                rare[d] |= p + len(token) <= off[d + 1]
+                p = raw.find(token, p + 1)
         whole = np.flatnonzero(rare)
         for d in whole:
             miss[doc[d] : doc[d + 1]] = False
@@ -161,7 +173,6 @@ class BatchEncoder:
             place[lost], size[lost] = new_place[back], new_size[back]
         per_doc = np.diff(np.concatenate(([0], np.cumsum(size)))[doc])
         if len(whole):
-            raw = data.tobytes()
             own = self._library([raw[off[d] : off[d + 1]].decode("utf-8") for d in whole])
             for d in whole:
                 size[doc[d] : doc[d + 1]] = 0

@@ -62,6 +62,32 @@ def test_batch_encoder_equals_the_library(library):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == library(t), repr(t)
 
 
+def test_special_tokens_are_read_as_the_library_does(spark, tmp_path):
+    import pyarrow as pa
+
+    from lexmill.llm import wordhash as wh
+    from lexmill.llm.packing import pack_documents
+    from lexmill.llm.token_output import read_tokens, write_tokens
+    from lexmill.llm.tokens import BatchEncoder
+
+    plain = tokenizers.Tokenizer.from_file(TOKENIZER)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endo", "ftext|> y", "<|endoftext|><|endoftext|> z 日", "none", "", None]
+    want = [plain.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert want[0] == [64, 50256, 65, 2]
+    data, off = wh.utf8(pa.array(texts, pa.string()))
+    ids, bounds = BatchEncoder.of(TOKENIZER, special=True).encode(data, off, 2)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    # texts that only make the string together stay apart
+    data, off = wh.utf8(pa.array(["x <|endo", "ftext|>"], pa.string()))
+    ids, bounds = BatchEncoder.of(TOKENIZER, special=True).encode(data, off, 2)
+    assert 50256 not in ids.tolist()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in pack_documents(df, TOKENIZER).collect()) == [(k, len(w), crc(w)) for k, w in enumerate(want)]
+    out = read_tokens(write_tokens(df, f"file://{tmp_path}/out", TOKENIZER)).collect()
+    starts = np.concatenate(([0], np.cumsum([len(w) for w in want])))
+    assert sorted(tuple(r)[:4] for r in out) == [(k, int(starts[k]), len(w), crc(w)) for k, w in enumerate(want)]
+
+
 # --- 1 packing ---------------------------------------------------------------------------------
 
 
