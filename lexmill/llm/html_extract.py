@@ -19,6 +19,8 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexmill.llm.cluster import small_batches
+
 #: element names of the HTML standard by their part here (fixed values)
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -303,6 +305,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     pass through; repeated rows are read once each; other columns are ignored. An empty
     table gives no rows. Pages cut off in a tag, comment or script end there.
     """
+    small_batches(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):

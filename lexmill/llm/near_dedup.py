@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import wordhash as wh
-from lexmill.llm.cluster import components, saved, scratch, tasks_for, text_bytes
+from lexmill.llm.cluster import components, saved, scratch, small_batches, tasks_for, text_bytes
 
 U64 = np.uint64
 FULL = U64(0xFFFFFFFFFFFFFFFF)
-PIECE = 2 << 20
+PIECE = 1 << 20
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 300_000
 
 
@@ -173,6 +173,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = 32, r
     are one document for links. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = text_bytes(docs)[1]
     parts = tasks_for(size, 48 << 20, spark)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import wordhash as wh
-from lexmill.llm.cluster import numbered, scratch
+from lexmill.llm.cluster import numbered, scratch, small_batches
 from lexmill.llm.tokens import BatchEncoder
 
 FIT_STEPS = 200
@@ -114,7 +114,7 @@ def _pieces(tokenizer: str, room: int, end_id: int, with_ids: bool):
         encoder = BatchEncoder.of(tokenizer, special=True)
         for batch in batches:
             data, off = wh.utf8(batch.column(1))
-            for a, b in wh.pieces(off, 2 << 20, 1 << 20):
+            for a, b in wh.pieces(off, 1 << 20, 1 << 20):
                 ids, bounds = encoder.encode(data[off[a] : off[b]], off[a : b + 1] - off[a], end_id)
                 size = np.diff(bounds)
                 n = -(-size // room)
@@ -142,6 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: in
     table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     path = scratch(spark, "pieces")
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, room, end_id, with_ids), ddl).write.parquet(path)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import wordhash as wh
-from lexmill.llm.cluster import pack, scratch, tasks_for, text_bytes, unpack
+from lexmill.llm.cluster import pack, scratch, small_batches, tasks_for, text_bytes, unpack
 
 U64, U32, I64 = np.uint64, np.uint32, np.int64
 ORDER = 5
@@ -349,6 +349,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     every byte costs log10(256) or less.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     size = text_bytes(docs)[1]
     parts = max(8, -(-size // (8 << 20)))
     dealt, n = dealt_blobs(docs, size)

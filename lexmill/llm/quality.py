@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import wordhash as wh
+from lexmill.llm.cluster import small_batches
 
 U64 = np.uint64
-PIECE = 2 << 20
+PIECE = 1 << 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -187,6 +188,7 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] | None = None, orde
     at fault it depends on the order. Repeated rows are judged alike; columns that are not
     carried are ignored. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rules = rules or default_rules()
     by_name = {r.name: r for r in rules}
     ranked = [by_name[n] for n in (order or rule_order(docs, rules))]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import wordhash as wh
-from lexmill.llm.cluster import bucketed, pack, squeeze, text_bytes, unpack, unsqueeze
+from lexmill.llm.cluster import bucketed, pack, small_batches, squeeze, text_bytes, unpack, unsqueeze
 
 U64, U32, I64 = np.uint64, np.uint32, np.int64
 LAST = np.iinfo(np.int64).max
@@ -54,7 +54,7 @@ def _ids(table: pa.Table) -> np.ndarray:
 def _hashed_words(table: pa.Table, seeds=(11,)) -> tuple[wh.Words, list[np.ndarray]]:
     data, off = wh.utf8(table.column("text"))
     starts, ends, counts, hashes = [], [], [], [[] for _ in seeds]
-    for a, b in wh.pieces(off, 4 << 20, 1 << 30):
+    for a, b in wh.pieces(off, 1 << 20, 1 << 30):
         w = wh.words(data[off[a] : off[b]], off[a : b + 1] - off[a])
         starts.append(w.start + off[a])
         ends.append(w.end + off[a])
@@ -137,6 +137,11 @@ def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[at] == values
 
 
+def _fingerprints(h: np.ndarray, window: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 independent bits of each window; they differ in where the sequence of word hashes starts from."""
+    return wh.gram_hashes(h, window)[begin], (wh.gram_hashes(h, window, salt=9)[begin] >> U64(32)).astype(U32)
+
+
 def _candidates(block: int, window: int, parts: int):
     """Per hash range: the fingerprints of the bucket's windows that contain an anchor, with the smallest doc_id of each."""
 
@@ -150,8 +155,7 @@ def _candidates(block: int, window: int, parts: int):
         begin, doc = wh.gram_starts(w.first, window)
         near = sums[begin + window - block + 1] > sums[begin]
         begin, doc = begin[near], doc[near]
-        one = wh.gram_hashes(h, window)[begin]
-        two = (wh.gram_hashes(h, window, salt=9)[begin] >> U64(32)).astype(U32)
+        one, two = _fingerprints(h, window, begin)
         ids = _ids(table)[doc]
         order = np.lexsort((ids, two, one))
         one, two, ids = one[order], two[order], ids[order]
@@ -188,16 +192,16 @@ def _first_holders(table: pa.Table) -> pa.Table:
     head = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
     lowest = np.repeat(ids[head], np.diff(np.append(head, len(one))))
     keep = (ids > lowest) | many
-    one, own, lowest = one[keep], own[keep], lowest[keep]
+    one, two, own, lowest = one[keep], two[keep], own[keep], lowest[keep]
     order = np.lexsort((lowest, own))
-    one, own, lowest = one[order], own[order], lowest[order]
+    one, two, own, lowest = one[order], two[order], own[order], lowest[order]
     cuts = np.searchsorted(own, np.arange(table.num_rows + 1))
     part, buckets = table.column("part")[0].as_py(), table.column("bucket").to_pylist()
     out = []
     for i in np.flatnonzero(np.diff(cuts)):
         own_part = slice(cuts[i], cuts[i + 1])
         docs, runs = np.unique(lowest[own_part], return_counts=True)
-        out.append((part, buckets[i], pack(docs, runs.astype(U32), one[own_part])))
+        out.append((part, buckets[i], pack(docs, runs.astype(U32), one[own_part], two[own_part])))
     return _rows(out)
 
 
@@ -214,20 +218,25 @@ def _cut(window: int, with_text: bool, carry: tuple[str, ...]):
         keep = None
         if replies.num_rows:
             w, (h,) = _hashed_words(table)
-            told, holder = [], []
+            told, second, holder = [], [], []
             for blob in replies.column("packed"):
-                docs, runs, one = unpack(blob.as_py(), I64, U32, U64)
+                docs, runs, one, two = unpack(blob.as_py(), I64, U32, U64, U32)
                 told.append(one)
+                second.append(two)
                 holder.append(np.repeat(docs, runs))
-            told, holder = np.concatenate(told), np.concatenate(holder)
-            order = np.argsort(told)
-            told, holder = told[order], holder[order]
+            told, second, holder = np.concatenate(told), np.concatenate(second), np.concatenate(holder)
+            order = np.lexsort((second, told))
+            told, second, holder = told[order], second[order], holder[order]
             begin, doc = wh.gram_starts(w.first, window)
-            grams = wh.gram_hashes(h, window)[begin]
-            at = np.searchsorted(told, grams)
-            at[at == len(told)] = 0
+            grams, twos = _fingerprints(h, window, begin)
             ids = _ids(table)[doc]
-            gone = (told[at] == grams) & (holder[at] < ids) & (ids != LAST)
+            at, gone = np.searchsorted(told, grams), np.zeros(len(grams), bool)
+            here = np.flatnonzero(at < len(told))
+            while len(here):  # nearly always one step: told windows that share their first 64 bits follow each other
+                here = here[told[at[here]] == grams[here]]
+                gone[here] |= (second[at[here]] == twos[here]) & (holder[at[here]] < ids[here]) & (ids[here] != LAST)
+                at[here] += 1
+                here = here[at[here] < len(told)]
             cover = np.zeros(len(h) + 1, np.int32)
             np.add.at(cover, begin[gone], 1)
             np.add.at(cover, begin[gone] + window, -1)
@@ -262,6 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, with_text:
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block at every offset: window >= 2 * block - 1")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    small_batches(docs.sparkSession)
     size = text_bytes(docs)[1]
     dealt, tasks = bucketed(docs, size)
     parts = max(8, -(-size // (16 << 20)))

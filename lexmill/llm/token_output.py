@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import wordhash as wh
-from lexmill.llm.cluster import scratch, tasks_for, text_bytes
+from lexmill.llm.cluster import scratch, small_batches, tasks_for, text_bytes
 from lexmill.llm.tokens import BatchEncoder
 
 #: of the public seekable format (fixed values)
@@ -95,7 +95,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         held = 0
         for batch in batches:
             data, off = wh.utf8(batch.column(1))
-            for a, b in wh.pieces(off, 2 << 20, 1 << 20):
+            for a, b in wh.pieces(off, 1 << 20, 1 << 20):
                 ids, bounds = encoder.encode(data[off[a] : off[b]], off[a : b + 1] - off[a], end_id)
                 if writer is None:
                     fs, base = pa.fs.FileSystem.from_uri(folder)
@@ -133,6 +133,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
     empty table gives an empty index and no file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     size = text_bytes(docs)[1]
     files = tasks_for(size, FILE_TEXT, spark)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -5,7 +5,8 @@ pre-tokens. So a batch is cut into pre-tokens with numpy (the byte-level BPE pat
 contractions, letters, digits, other signs, each with one space before, and white space),
 only pre-tokens that this worker hasn't met are given to the library's BPE model, and the ids are
 put together by look-up. The worker's table has a fixed number of slots and keeps the first
-pre-token of each slot; others are encoded again when they come back. Texts with
+pre-token of each slot, with its bytes, which a look-up compares; others, and pre-tokens of
+more than 24 bytes, are encoded again when they come back. Texts with
 characters outside the ranges below, whose class may differ between Unicode versions, are
 encoded whole by the library.
 """
@@ -21,7 +22,9 @@ from lexmill.llm import wordhash as wh
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-SLOTS = 1 << 21
+SLOT_BITS = 20
+#: bytes of a pre-token that the table can hold, in integers of 8
+HELD = 3
 _LETTER, _DIGIT, _OTHER, _BLANK, _SPACE, _RARE = range(6)
 _BLANKS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F)
 #: contractions of the pre-token pattern (fixed values)
@@ -73,9 +76,10 @@ class BatchEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.zeros(SLOTS, np.uint64)
-        self.at = np.zeros(SLOTS, np.int64)
-        self.n = np.zeros(SLOTS, np.int32)
+        self.bytes = np.zeros((HELD, 1 << SLOT_BITS), np.uint64)
+        self.length = np.zeros(1 << SLOT_BITS, np.uint8)  # 0: a free slot
+        self.at = np.zeros(1 << SLOT_BITS, np.int32)
+        self.n = np.zeros(1 << SLOT_BITS, np.uint8)
         self.pool, self.used = np.zeros(1 << 20, np.int32), 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -123,38 +127,63 @@ class BatchEncoder:
         lead = np.append(lead, len(data))
         return lead[np.flatnonzero(begin)], rare
 
-    def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Encodes pre-tokens with distinct keys; their ids go to the pool, as (keys, places, sizes)."""
-        size = ends - starts
-        at = np.concatenate(([0], np.cumsum(size)))
-        letters = self.letters[data[np.arange(at[-1]) + np.repeat(starts - at[:-1], size)]].tobytes().decode("utf-32-le")
-        split, cuts = self.tokenizer.model.tokenize, at.tolist()
-        ids = [[t.id for t in split(letters[a:b])] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
+    def _ids(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places, sizes) of the ids of pre-tokens, which are put at the end of the pool."""
+        letters, at, split = self.letters, 0, self.tokenizer.model.tokenize
+        text = letters[np.frombuffer(b"".join(pretokens), np.uint8)].tobytes().decode("utf-32-le")
+        ids = []
+        for p in pretokens:
+            ids.append([t.id for t in split(text[at : at + len(p)])])
+            at += len(p)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(size.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         self.pool[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), np.int32, total)
-        place = self.used + np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+        place = self.used + np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64) if len(size) else size
         self.used += total
-        slot = (keys >> np.uint64(43)).astype(np.int64)
-        slot, first = np.unique(slot, return_index=True)
-        free = self.n[slot] == 0
-        slot, first = slot[free], first[free]
-        self.key[slot], self.at[slot], self.n[slot] = keys[first], place[first], size[first]
-        return keys, place, size
+        return place, size
+
+    def _look_up(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places, sizes) in the pool of the ids of pre-tokens, and where what the table doesn't keep begins in the pool."""
+        length, view = ends - starts, wh.eights(data)
+        chunks = []
+        for k in range(HELD):
+            left = np.clip(length - 8 * k, 0, 8)
+            chunks.append(view[np.where(left > 0, starts + 8 * k, 0)] & wh.MASKS[left])
+        slot = (wh.span_hashes(data, starts, ends) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        hit = self.length[slot] == length
+        for k in range(HELD):
+            hit &= self.bytes[k, slot] == chunks[k]
+        place, size = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
+        lost = np.flatnonzero(~hit & ~skip)
+        # the first pre-token of each free slot moves in
+        new = lost[(self.length[slot[lost]] == 0) & (length[lost] <= 8 * HELD)]
+        new = new[np.unique(slot[new], return_index=True)[1]]
+        kept_place, kept_size = self._ids([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        free = self.used
+        fits = kept_size < 256
+        new, own = new[fits], slot[new[fits]]
+        self.length[own], self.at[own], self.n[own] = length[new], kept_place[fits], kept_size[fits]
+        for k in range(HELD):
+            self.bytes[k, own] = chunks[k][new]
+        hit = self.length[slot[lost]] == length[lost]
+        for k in range(HELD):
+            hit &= self.bytes[k, slot[lost]] == chunks[k][lost]
+        done = lost[hit]
+        place[done], size[done] = self.at[slot[done]], self.n[slot[done]]
+        rest = lost[~hit]
+        if len(rest):
+            found: dict[bytes, int] = {}
+            number = [found.setdefault(raw[a:b], len(found)) for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            own_place, own_size = self._ids(list(found))
+            place[rest], size[rest] = own_place[number], own_size[number]
+        return place, size, free
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text) of the texts in data; end_id is put after each text."""
-        if self.used > 16 * SLOTS:
-            self.clear()
-        n_docs = len(off) - 1
         cut, rare = self._pretokens(data, off)
         starts, ends = cut[:-1], cut[1:]
-        keys = wh.span_hashes(data, starts, ends)
-        slot = (keys >> np.uint64(43)).astype(np.int64)
-        place, size = self.at[slot], self.n[slot].astype(np.int64)
-        miss = (self.key[slot] != keys) | (size == 0)
         doc = np.searchsorted(starts, off)
         raw = data.tobytes()
         for token in self.added:  # texts that hold an added token go to the library whole
@@ -164,13 +193,7 @@ class BatchEncoder:
                 rare[d] |= p + len(token) <= off[d + 1]
                 p = raw.find(token, p + 1)
         whole = np.flatnonzero(rare)
-        for d in whole:
-            miss[doc[d] : doc[d + 1]] = False
-        if miss.any():
-            lost = np.flatnonzero(miss)
-            distinct, first, back = np.unique(keys[lost], return_index=True, return_inverse=True)
-            _, new_place, new_size = self._learn(data, distinct, starts[lost[first]], ends[lost[first]])
-            place[lost], size[lost] = new_place[back], new_size[back]
+        place, size, kept = self._look_up(data, raw, starts, ends, np.repeat(rare, np.diff(doc)))
         per_doc = np.diff(np.concatenate(([0], np.cumsum(size)))[doc])
         if len(whole):
             own = self._library([raw[off[d] : off[d + 1]].decode("utf-8") for d in whole])
@@ -194,4 +217,5 @@ class BatchEncoder:
             out[body] = self.pool[flat]
         else:
             out[:] = self.pool[flat]
+        self.used = kept
         return out, bounds

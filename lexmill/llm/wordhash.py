@@ -4,12 +4,14 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Those bytes neve
 inside a multi-byte UTF-8 character, so byte positions give the same words as a regular
 expression over code points, and whole batches are cut with a handful of numpy passes.
 
-Hashes are 64-bit: a polynomial over per-byte random constants (prefix sums make the hash
-of any byte range two look-ups), then a finaliser.
+Hashes are 64-bit and mixed word by word of 8 bytes: each step is a bijection of the state
+that depends on the bytes in a non-linear way, so byte ranges of one length up to 8 bytes
+never share a hash and longer ones only by chance. Long ranges are hashed by blake2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,6 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _STEP = U64(0x9E3779B97F4A7C15)
-_BASE = 0x2545F4914F6CDD1D | 1
 _GRAM = U64(0xD6E8FEB86659FD93)
 
 
@@ -39,25 +40,14 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U64) + U64(seed << 32)) * _STEP)
 
 
-_TABLES = {seed: stream(seed, 256) for seed in (11, 12)}
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i (mod 2**64) for i < n; grown by doubling and kept in the worker."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(1 << 20, 1 << int(n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=U64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=U64)
-    return _powers["up"], _powers["down"]
+#: ranges of more bytes are hashed one by one
+LONG = 512
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -106,25 +96,41 @@ def words(data: np.ndarray, off: np.ndarray) -> Words:
     return Words(start, np.flatnonzero(finish) + 1, np.searchsorted(start, off))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position of data on as one integer; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 11) -> np.ndarray:
     """A 64-bit hash of each byte range data[start:end]."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.multiply(_TABLES[seed][data], up[: len(data)], out=sums[1:])
-    np.cumsum(sums, out=sums)
-    h = sums[end] - sums[start]
-    h *= down[start]
-    h += (end - start).astype(U64) * _STEP
-    return mix(h)
+    size = end - start
+    h = mix(size.astype(U64) * _STEP + U64(seed))
+    if not len(h):
+        return h
+    view = eights(data)
+    h ^= view[start] & MASKS[np.minimum(size, 8)]
+    h = mix(h)
+    live = np.flatnonzero((size > 8) & (size <= LONG))
+    at, left = start[live] + 8, size[live] - 8
+    while len(live):
+        h[live] = mix(h[live] ^ (view[at] & MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(data[start[k] : end[k]], digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        h[k] = mix(h[k : k + 1] ^ np.frombuffer(digest, "<u8"))[0]
+    return h
 
 
 def gram_hashes(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
-    """A hash of each run of `width` consecutive values of h, whatever documents they come from."""
+    """A hash of each run of `width` consecutive values of h, whatever documents they come from; hashes of two salts are independent."""
     n = max(0, len(h) - width + 1)
-    out = np.full(n, U64(width + (salt << 8)), dtype=U64)
+    out = np.full(n, mix(np.array([width + (salt << 8)], dtype=U64))[0], dtype=U64)
     for k in range(width):
+        out ^= h[k : k + n]
         out *= _GRAM
-        out += h[k : k + n]
+        out ^= out >> U64(32)
     return mix(out)
 
 
