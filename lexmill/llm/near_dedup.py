@@ -10,9 +10,14 @@ Plan: one Arrow pass makes a row per document (set size, 128-bit set fingerprint
 keys). Documents with equal sets collapse to one class, so copies cost nothing further.
 Per band bucket each class is paired with the smallest class only (a star: linear in the
 bucket), and links are confirmed on the full shingle sets. Where a bucket still holds
-several components after that, its members meet in blocks of bounded size, where all
-intersections across components are counted exactly inside the task and at most one link
-per document comes out; so no link that can join components is lost, and no pair rows are made.
+several components after that, its members meet in cells of bounded size: the members of
+its most common component and the others are cut into blocks, and every pair of blocks that
+isn't of that component alone is a cell. In a cell all intersections across components are
+counted exactly and at most one link per document comes out; so no link that can join
+components is lost, and no pair rows are made. Buckets with the same members are compared
+once. Texts travel once per bucket of up to 256 members; in a larger bucket those of its
+most common component travel once per 256 of the others, and the others once per 256 members:
+quadratic only in members that no star and no component joins.
 """
 
 from __future__ import annotations
@@ -92,60 +97,92 @@ def _overlaps(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(both)], schema=schema)
 
 
+def _links_in(sets: list[np.ndarray], comp: np.ndarray, sides: tuple[np.ndarray, np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of components with a link between some text of the one side and some of the other: a spanning forest of them.
+
+    sets: ascending distinct shingles of each text; comp: its component; sides: positions of the texts.
+    """
+    size = np.array([len(x) for x in sets])
+    values = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(sets)), size)
+    place = np.full((2, len(sets)), -1)
+    for k in range(2):
+        place[k, sides[k]] = np.arange(len(sides[k]))
+    # intersections of all pairs at once: products of 0/1 columns, a slice of the shared shingles at a time
+    order = np.argsort(values, kind="stable")
+    values, doc = values[order], doc[order]
+    column = np.cumsum(np.concatenate(([True], values[1:] != values[:-1]))) - 1
+    shared = np.bincount(column)[column] > 1
+    column, doc = np.unique(column[shared], return_inverse=True)[1], doc[shared]
+    both = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+    width = min(2048, int(column.max(initial=-1)) + 1)
+    for low in range(0, int(column.max(initial=-1)) + 1, width or 1):
+        part = slice(*np.searchsorted(column, [low, low + width]))
+        grids = []
+        for k in range(2):
+            at = place[k, doc[part]]
+            grid = np.zeros((len(sides[k]), width), np.float32)
+            grid[at[at >= 0], column[part][at >= 0] - low] = 1
+            grids.append(grid)
+        both += grids[0] @ grids[1].T
+    total = size[sides[0]][:, None] + size[sides[1]][None, :]
+    link = 100 * both.astype(np.int64) >= percent * (total - both.astype(np.int64))
+    link &= comp[sides[0]][:, None] != comp[sides[1]][None, :]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for a, b in zip(*np.nonzero(link), strict=True):
+        x, y = int(comp[sides[0][a]]), int(comp[sides[1][b]])
+        p, q = root(x), root(y)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
 def _bridges(percent: int):
-    """Links between two blocks of a group (or inside one) that join components: at most one per document."""
+    """Links that join components, from a bundle of cells (cell, i, j, own, rep, c, text): in a cell texts of block i meet those of block j."""
 
     def run(table: pa.Table) -> pa.Table:
         data, off = wh.utf8(table.column("text"))
-        own, i, j = (np.asarray(table.column(c).combine_chunks()) for c in ("own", "i", "j"))
-        rep, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("rep", "c"))
-        parts = [wh.shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in wh.pieces(off, PIECE, wh.MOST_DOCS)]
-        starts = [a for a, _ in wh.pieces(off, PIECE, wh.MOST_DOCS)]
-        values = np.concatenate([p[0] for p in parts])
-        doc = np.concatenate([p[1] + a for p, a in zip(parts, starts, strict=True)])
-        size = np.bincount(doc, minlength=len(rep))
-        side = [np.flatnonzero(own == x) for x in (i[0], j[0])]
-        place = np.full((2, len(rep)), -1)
-        for k in range(2):
-            place[k, side[k]] = np.arange(len(side[k]))
-        # intersections of all pairs at once: products of 0/1 columns, a slice of the shared shingles at a time
-        order = np.argsort(values, kind="stable")
-        values, doc = values[order], doc[order]
-        column = np.cumsum(np.concatenate(([True], values[1:] != values[:-1]))) - 1
-        shared = np.bincount(column)[column] > 1
-        column, doc = np.unique(column[shared], return_inverse=True)[1], doc[shared]
-        both = np.zeros((len(side[0]), len(side[1])), np.float32)
-        for low in range(0, int(column.max(initial=-1)) + 1, 4096):
-            part = slice(*np.searchsorted(column, [low, low + 4096]))
-            grids = []
-            for k in range(2):
-                at = place[k, doc[part]]
-                grid = np.zeros((len(side[k]), 4096), np.float32)
-                grid[at[at >= 0], column[part][at >= 0] - low] = 1
-                grids.append(grid)
-            both += grids[0] @ grids[1].T
-        total = size[side[0]][:, None] + size[side[1]][None, :]
-        link = 100 * both.astype(np.int64) >= percent * (total - both.astype(np.int64))
-        link &= comp[side[0]][:, None] != comp[side[1]][None, :]
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while up.get(x, x) != x:
-                x = up[x]
-            return x
-
+        cell, own, i, j, rep, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("cell", "own", "i", "j", "rep", "c"))
+        _, first, back = np.unique(rep, return_index=True, return_inverse=True)
+        sets: list[np.ndarray] = []
+        for k in first:  # each text once
+            values, _, _ = wh.shingle_sets(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]))
+            sets.append(values)
         out = []
-        for a, b in zip(*np.nonzero(link), strict=True):
-            x, y = int(comp[side[0][a]]), int(comp[side[1][b]])
-            p, q = root(x), root(y)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                out.append((x, y))
+        for key in np.unique(np.stack((cell, i, j)), axis=1).T:
+            mine = np.flatnonzero((cell == key[0]) & (i == key[1]) & (j == key[2]))
+            sides = tuple(np.flatnonzero(own[mine] == x) for x in (key[1], key[2]))
+            if len(sides[0]) and len(sides[1]):
+                out += _links_in([sets[b] for b in back[mine]], comp[mine], sides, percent)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
+def _cells(mixed: DataFrame) -> DataFrame:
+    """cell, i, j, own, rep, n, c: who meets whom in the buckets of mixed (cell, rep, n, c), in which several components are left."""
+    counts = mixed.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    top = counts.groupBy("cell").agg(F.max(F.struct("m", F.col("c").alias("main"), F.col("s").alias("ms"))).alias("top"), F.sum("m").alias("all_m"), F.sum("s").alias("all_s"))
+    blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK_DOCS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    many = blocks(F.col("all_m"), F.col("all_s")) > 1
+    # all in block 0 if they fit; else blocks of the main component, then blocks of the others
+    top = top.select("cell", "top.main", F.when(many, blocks(F.col("top.m"), F.col("top.ms"))).otherwise(0).alias("nm"), F.when(many, blocks(F.col("all_m") - F.col("top.m"), F.col("all_s") - F.col("top.ms"))).otherwise(1).alias("no"))
+    placed = mixed.join(top, "cell")
+    is_main = (F.col("nm") > 0) & (F.col("c") == F.col("main"))
+    own = F.when(is_main, F.pmod(F.xxhash64("rep"), F.col("nm"))).otherwise(F.col("nm") + F.pmod(F.xxhash64("rep"), F.col("no"))).cast("int")
+    others = F.when(is_main, F.sequence("nm", F.col("nm") + F.col("no") - 1)).otherwise(F.sequence(F.lit(0), F.col("nm") + F.col("no") - 1))
+    met = placed.withColumn("own", own).withColumn("other", F.explode(others))
+    return met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose sets overlap enough, by the whole texts."""
     sides = (
@@ -195,18 +232,19 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = 32, r
     links = saved(_confirmed(star, texts, percent))
     found = components(links)
 
-    # Buckets that still hold several components: compare across components, block by block.
+    # Buckets that still hold several components: compare across components, cell by cell.
     tagged = members.join(found, members.rep == found.node, "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = tagged.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("first")).where("lo <> hi").select("band", "key", "first")
-    tagged = saved(tagged.join(mixed, ["band", "key"]))
+    prints = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x2")]
+    mixed = tagged.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *prints).where("lo <> hi")
+    mixed = mixed.groupBy("m", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("k")).select("k.band", "k.key", F.xxhash64("k.band", "k.key").alias("cell"))
+    tagged = saved(tagged.join(mixed, ["band", "key"]).select("cell", "rep", "n", "c"))
     if not tagged.isEmpty():
-        near = components(tagged.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
-        placed = tagged.select("rep", "n", "c").dropDuplicates(["rep", "n"]).join(near.select(F.col("node").alias("rep"), F.col("component").alias("g")), "rep")
-        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-        sizes = placed.groupBy("g").agg(blocks.alias("blocks"))
-        cells = placed.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c")
-        more = saved(cells.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("g", "i", "j").applyInArrow(_bridges(percent), "a long, b long"))
+        cells = saved(_cells(tagged))
+        sums = cells.agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).first()
+        bundles = max(parts, -(-sums["m"] // BLOCK_DOCS), -(-sums["n"] // BLOCK_SHINGLES))
+        bundle = F.pmod(F.xxhash64("cell", "i", "j"), F.lit(bundles)).cast("int")
+        met = cells.drop("n").withColumn("bundle", bundle).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+        more = saved(met.groupBy("bundle").applyInArrow(_bridges(percent), "a long, b long"))
         found = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     by_class = classes.join(found, classes.rep == found.node, "left").select(*same, F.coalesce("component", "rep").alias("component"))

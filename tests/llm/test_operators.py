@@ -496,11 +496,36 @@ def test_a_large_group_of_edits_of_one_text(spark):
         plain.append((1000 - i, " ".join(t)))
     df = spark.createDataFrame(plain, "doc_id long, text string")
     block = near_dedup.BLOCK_DOCS
-    near_dedup.BLOCK_DOCS = 40
+    for near_dedup.BLOCK_DOCS in (block, 40):
+        try:
+            check_groups(near_dedup.near_duplicate_groups(df).collect(), plain)
+        finally:
+            near_dedup.BLOCK_DOCS = block
+
+
+def test_cells_let_all_members_of_two_components_meet(spark):
+    from lexmill.llm import near_dedup
+
+    rng = random.Random(2)
+    plain = [(cell, rep, 5, rng.choice([1, 1, 1, 1, 2, 3, rep])) for cell in range(8) for rep in rng.sample(range(10, 400), rng.choice([2, 5, 60, 150]))]
+    block = near_dedup.BLOCK_DOCS
+    near_dedup.BLOCK_DOCS = 20
     try:
-        check_groups(near_dedup.near_duplicate_groups(df).collect(), plain)
+        cells = near_dedup._cells(spark.createDataFrame(plain, "cell long, rep long, n long, c long")).collect()
     finally:
         near_dedup.BLOCK_DOCS = block
+    inside = defaultdict(list)
+    for r in cells:
+        inside[r.cell, r.i, r.j].append((r.own, r.rep, r.c))
+    met = {(k[0], *sorted((a[1], b[1]))) for k, rows in inside.items() for a in rows if a[0] == k[1] for b in rows if b[0] == k[2] and a[1] != b[1]}
+    for cell in range(8):
+        mine = [(rep, c) for x, rep, _, c in plain if x == cell]
+        main = Counter(c for _, c in mine).most_common(1)[0][0]
+        need = {(cell, *sorted((a, b))) for a, x in mine for b, y in mine if a < b and x != y}
+        assert need <= met
+        if len(mine) > 100:  # the main component doesn't meet itself, and travels once per block of the others
+            others = -(-sum(c != main for _, c in mine) // 20)
+            assert sum(len(rows) for k, rows in inside.items() if k[0] == cell) <= len(mine) * others + sum(c != main for _, c in mine) * -(-len(mine) // 20) + len(mine)
 
 
 def test_near_groups_of_nothing(no_docs):
