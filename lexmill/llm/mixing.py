@@ -30,7 +30,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
         shares = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
         table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, w double")
-        shares = counts.join(F.broadcast(table), "source", "left").fillna({"w": 0.0})
+        shares = counts.join(table, "source", "left").fillna({"w": 0.0})
     sums = shares.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()  # one row of totals
     all_w, goal = sums["w"] or 0.0, float(total if total is not None else sums["n"] or 0)
     rate = F.col("w") / F.lit(all_w) * F.lit(goal) / F.col("n") if all_w else F.lit(0.0)
@@ -49,23 +49,25 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     A document is told from others by doc_id and text. Null doc_id or text is as good as any
     value; null source is a source. Repeated rows get the same number of copies. Rows with
     no copy are left out, as their rate has it. Columns named copies, copy or shuffle_key
-    are replaced. An empty table gives no rows. The order of shuffle_key is the global order.
+    are replaced; any other name may occur. An empty table gives no rows. The order of
+    shuffle_key is the global order.
     """
     docs = docs.drop("copies", "copy", "shuffle_key")
+    whole = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
     rates = source_rates(docs, weights, temperature, total).withColumn("parts", F.greatest(F.ceil(F.col("rate") / MOST_RATE), F.lit(1)).cast("int")).withColumn("rate", F.col("rate") / F.col("parts")).select(F.col("source").alias("_source"), "parts", F.expr(_CDF).alias("_cdf"))
     key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("-")).cast("binary")))
     uniform = lambda k: F.conv(F.substring(F.md5(k.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    drawn = docs.withColumn("_key", key).join(rates.withColumnRenamed("parts", "_parts"), F.col("source").eqNullSafe(F.col("_source")))
+    drawn = whole.withColumn("_key", key).join(rates.withColumnRenamed("parts", "_parts"), F.col("source").eqNullSafe(F.col("_source")))
     drawn = drawn.withColumn("_u", F.transform(F.sequence(F.lit(1), "_parts"), lambda j: uniform(F.when(j == 1, F.col("_key")).otherwise(F.concat_ws("#", F.col("_key"), j.cast("string"))))))
     drawn = drawn.withColumn("copies", F.expr("aggregate(_u, 0, (s, u) -> s + size(filter(_cdf, c -> c <= u)))")).where("copies > 0")
-    out = drawn.drop("_source", "_parts", "_cdf", "_u").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.withColumn("shuffle_key", F.md5(F.concat_ws("|", "_key", F.col("copy").cast("string")).cast("binary"))).drop("_key")
+    out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select("row.*", "copies", "copy", F.md5(F.concat_ws("|", "_key", F.col("copy").cast("string")).cast("binary")).alias("shuffle_key"))
 
 
 def shuffled(mixed: DataFrame, parts: int) -> DataFrame:
     """The rows in the global order: dealt by ranges of shuffle_key, and sorted in each."""
     cut = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * F.lit(parts) / F.lit(1 << 32)).cast("int")
-    return mixed.withColumn("_cut", cut).repartition(parts, "_cut").sortWithinPartitions("_cut", "shuffle_key").drop("_cut")
+    return mixed.repartition(parts, cut).sortWithinPartitions("shuffle_key")
 
 
 def mix_table(docs: DataFrame, seed: int = 23) -> DataFrame:

@@ -160,7 +160,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: in
             used[v] += n
             offset += v
         first += n
-    table = spark.createDataFrame(places or [(0, 0, 0, 0, 0)], "length long, low long, high long, first long, offset long")
+    columns = zip(*places, strict=True) if places else [[]] * 5
+    table = spark.createDataFrame(pa.table({c: pa.array(list(v), pa.int64()) for c, v in zip(("length", "low", "high", "first", "offset"), columns, strict=True)}))
     salt = max(1, int(histogram.max()) // 50_000)
     columns = ["doc_id", "piece", "start", "ids_crc32"]
     ranked = numbered(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salt)).cast("int")), "length", "salt", columns, "number")

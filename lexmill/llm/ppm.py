@@ -178,15 +178,11 @@ def _from_planes(planes: np.ndarray) -> np.ndarray:
 def _send(parts: int):
     def run(table: pa.Table) -> pa.Table:
         b, out = _Bucket(table, parts), []
-        for p in range(parts):
+        for p in np.flatnonzero((np.diff(b.gram_cuts) > 0) | (np.diff(b.word_cuts) > 0)):
             g, w = b.gram_order[b.gram_cuts[p] : b.gram_cuts[p + 1]], b.word_order[b.word_cuts[p] : b.word_cuts[p + 1]]
-            if len(g) or len(w):
-                out.append(pack(_planes(np.diff(b.gram[g], prepend=U64(0))), _planes(b.gram_n[g]), _planes(np.diff(b.word[w], prepend=U64(0))), _planes(b.word_n[w])))
-            else:
-                out.append(None)
-        have = [p for p in range(parts) if out[p] is not None]
+            out.append((int(p), pack(_planes(np.diff(b.gram[g], prepend=U64(0))), _planes(b.gram_n[g]), _planes(np.diff(b.word[w], prepend=U64(0))), _planes(b.word_n[w]))))
         bucket = table.column("bucket")[0].as_py()
-        return pa.table([pa.array(have, pa.int32()), pa.array([bucket] * len(have), pa.int32()), pa.array([out[p] for p in have], pa.binary())], schema=_SPAN_SCHEMA)
+        return pa.table([pa.array([p for p, _ in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=_SPAN_SCHEMA)
 
     return run
 
@@ -253,6 +249,11 @@ def _settle(pairs: np.ndarray, parts: int):
         low = np.asarray(tables.column("gram").combine_chunks()).view(U64) if tables.num_rows else np.zeros(0, U64)
         low_n = np.asarray(tables.column("n").combine_chunks()).astype(float) if tables.num_rows else np.zeros(0)
         symbol = (grams & U64(255)).astype(I64)
+        by_context = {}  # of each order from 4 to 2: the counts sorted by context
+        for order in (4, 3, 2):
+            own = (low & U64((1 << (8 * (order + 1))) - 1)) >> U64(8)
+            sort = np.argsort(own, kind="stable")
+            by_context[order] = own[sort], (low[sort] & U64(255)).astype(I64), low_n[sort]
         for at in range(0, len(grams), 2048):
             part = slice(at, at + 2048)
             todo = np.ones(len(grams[part]), bool)
@@ -264,12 +265,12 @@ def _settle(pairs: np.ndarray, parts: int):
                 if order >= 2:
                     mask = U64((1 << (8 * (order + 1))) - 1)
                     context, back = np.unique((grams[part][mine] & mask) >> U64(8), return_inverse=True)
-                    own = (low & mask) >> U64(8)
-                    place = np.searchsorted(context, own)
-                    place[place == len(context)] = 0
-                    hit = context[place] == own
-                    grid = np.zeros((len(context), 256))
-                    np.add.at(grid, (place[hit], (low[hit] & U64(255)).astype(I64)), low_n[hit])
+                    own, symbols, counts = by_context[order]
+                    first, last = np.searchsorted(own, context), np.searchsorted(own, context, side="right")
+                    size = last - first
+                    place = np.repeat(np.arange(len(context)), size)
+                    held = np.arange(len(place)) + np.repeat(first - np.cumsum(size) + size, size)
+                    grid = np.bincount(256 * place + symbols[held], counts[held], 256 * len(context)).reshape(-1, 256)
                     rows = grid[back]
                 elif order == 1:
                     rows = pairs[((grams[part][mine] >> U64(8)) & U64(255)).astype(I64)].astype(float)

@@ -1,11 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
-A rule looks at a batch of texts and says which ones it rejects. Its cost (seconds per
-document) and selectivity (share rejected) are measured on a bounded sample by a Spark
-job, rules are ordered by rejection per cost, and each rule then sees only the documents
-that every rule before it let through. The verdict does not depend on the order; only the
-work does. Rules share lazily computed columns of the batch (words, line hashes), so what
-one rule has computed the next one need not.
+A rule looks at a batch of texts and says which ones it rejects. Rules share lazily computed
+columns of the batch (words, line hashes), so what one rule has computed the next one need
+not. Costs (seconds of each column and of each rule's own work) and the patterns of
+rejection are measured on a bounded sample by a Spark job. The order is greedy: next comes
+the rule that rejects most of what is left for each second that it adds, columns that are
+there already being free. Each rule then sees only the documents that every rule before it
+let through. The verdict does not depend on the order; only the work does.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.data, self.off, self._have = data, off, {}
+        self._seconds, self._needs, self._open = {}, {}, []  # of each column: seconds without those that it asked for, and which it asked for
 
     def __len__(self) -> int:
         return len(self.off) - 1
@@ -55,10 +57,28 @@ class Texts:
     def __getattr__(self, name: str):
         if name.startswith("_"):
             raise AttributeError(name)
+        if self._open:
+            self._open[-1][1].add(name)
         if name not in self._have:
+            self._open.append([0.0, set()])
+            began = time.perf_counter()
             self._have[name] = getattr(self, f"_get_{name}")()
+            spent = time.perf_counter() - began
+            inner, asked = self._open.pop()
+            self._seconds[name], self._needs[name] = spent - inner, asked
+            if self._open:
+                self._open[-1][0] += spent
         return self._have[name]
 
+    def watched(self, rule: "Rule") -> tuple[np.ndarray, float, set[str]]:
+        """The rule's mask, its seconds without those of columns, and the columns that it asked for."""
+        self._open.append([0.0, set()])
+        began = time.perf_counter()
+        bad = rule.rejects(self)
+        spent = time.perf_counter() - began
+        inner, asked = self._open.pop()
+        return bad, spent - inner, asked
+
     def _get_words(self):
         return wh.words(self.data, self.off)
 
@@ -155,27 +175,67 @@ def _each_piece(batches, column: int):
             yield batch.slice(a, b - a), Texts(data[off[a] : off[b]], off[a : b + 1] - off[a])
 
 
-def rule_order(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = 2000, seed: int = 1) -> list[str]:
+def _all_needs(asked: set[str], needs: dict[str, set[str]]) -> set[str]:
+    found, todo = set(), list(asked)
+    while todo:
+        c = todo.pop()
+        if c not in found:
+            found.add(c)
+            todo += needs.get(c, ())
+    return found
+
+
+def greedy_order(names: list[str], patterns: dict[int, int], own: dict[str, float], columns: dict[str, float], needs: dict[str, set[str]], free: set[str]) -> list[str]:
+    """Rules by what they reject of the rest, per second that they add.
+
+    patterns: how many documents are rejected by which rules (bit k: the k-th name); own:
+    seconds of each rule without columns; columns: seconds of each column; needs: all
+    columns of each rule; free: columns that are computed anyway. Ties keep the given order.
+    """
+    order, rest, have = [], list(range(len(names))), set(free)
+    while rest:
+        rate = lambda k: sum(n for p, n in patterns.items() if p >> k & 1) / max(own.get(names[k], 0.0) + sum(columns.get(c, 0.0) for c in needs.get(names[k], set()) - have), 1e-9)  # noqa: B023, E731
+        best = max(rest, key=lambda k: (rate(k), -k))
+        order.append(names[best])
+        rest.remove(best)
+        have |= needs.get(names[best], set())
+        patterns = {p: n for p, n in patterns.items() if not p >> best & 1}
+    return order
+
+
+def rule_order(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = 2000, seed: int = 1, free: tuple[str, ...] = ()) -> list[str]:
     """Names of the rules by rejection per second, highest first, on a sample of about sample_rows rows.
 
-    The sample decides the order of work alone, never a verdict. With an empty sample the given order stays.
+    The sample decides the order of work alone, never a verdict. With an empty sample the
+    given order stays. free: columns that are computed for every text anyway.
     """
     total = docs.count()
     sample = docs.select("text").sample(min(1.0, sample_rows / max(total, 1)), seed)
 
     def measure(batches):
         for _, texts in _each_piece(batches, 0):
-            for rule in rules:
-                alone, began = Texts(texts.data, texts.off), time.perf_counter()
-                n = int(rule.rejects(alone).sum())
-                yield pa.RecordBatch.from_pydict({"rule": [rule.name], "n": [n], "s": [time.perf_counter() - began]})
-
-    found = sample.mapInArrow(measure, "rule string, n long, s double").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
-    rate = {r["rule"]: r["n"] / max(r["s"], 1e-9) for r in found}
-    return sorted((r.name for r in rules), key=lambda name: -rate.get(name, 0.0))
+            masks, rows = np.zeros(len(texts), np.int64), []
+            for k, rule in enumerate(rules):
+                bad, spent, asked = texts.watched(rule)
+                masks |= bad.astype(np.int64) << k
+                rows += [("rule", rule.name, 0, spent), *(("need", f"{rule.name} {c}", 0, 0.0) for c in _all_needs(asked, texts._needs))]
+            rows += [("column", c, 0, s) for c, s in texts._seconds.items()]
+            rows += [("pattern", str(p), n, 0.0) for p, n in zip(*(x.tolist() for x in np.unique(masks, return_counts=True)), strict=True)]
+            yield pa.RecordBatch.from_pydict(dict(zip(("kind", "name", "n", "s"), map(list, zip(*rows, strict=True)), strict=True)))
+
+    # a row per rule, column, need and pattern of rejection
+    found = sample.mapInArrow(measure, "kind string, name string, n long, s double").groupBy("kind", "name").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+    of = lambda kind: {r["name"]: r for r in found if r["kind"] == kind}
+    seconds = lambda kind: {k: r["s"] for k, r in of(kind).items()}
+    needs = {r.name: {k.split(" ")[1] for k in of("need") if k.split(" ")[0] == r.name} for r in rules}
+    columns = seconds("column")
+    paid = {c for c in columns if c in free}
+    return greedy_order([r.name for r in rules], {int(k): r["n"] for k, r in of("pattern").items()}, seconds("rule"), columns, needs, paid)
 
 
 _BASE = ("n_words", "n_word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: columns that those are made from
+_SHARED = ("words", "hashes", "lines")
 
 
 def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] | None = None, order: list[str] | None = None, counts: bool = False, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
@@ -191,7 +251,7 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] | None = None, orde
     small_batches(docs.sparkSession)
     rules = rules or default_rules()
     by_name = {r.name: r for r in rules}
-    ranked = [by_name[n] for n in (order or rule_order(docs, rules))]
+    ranked = [by_name[n] for n in (order or rule_order(docs, rules, free=(*_BASE, *_SHARED) if counts else ()))]
     source = docs.select(*carry, "text")
     fields = [source.schema[c] for c in carry]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", kept boolean, rejected_by string"

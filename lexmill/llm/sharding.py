@@ -4,7 +4,8 @@
 2. The matrix A, A[i][j] = rows of bucket i that go to shard j, is drawn from the law that
    a uniform random permutation gives it, with row sums n_i and column sums m_j (the shard
    sizes, at most one apart). Each entry is a hypergeometric draw given those before it.
-   Only the n_i come to the driver; their number is a parameter, not a count of rows.
+   Only the n_i come to the driver: at most MOST_ENTRIES / shards of them, however many rows
+   there are, so buckets grow with the table (and are sorted by Spark, which spills).
 3. Each bucket permutes its rows (by a second hash) and sends the first A[i][0] to shard 0,
    the next A[i][1] to shard 1, and so on.
 4. Each shard permutes what it got (by a third hash). A shard is cut into ranges of that
@@ -24,6 +25,8 @@ from lexmill.llm.cluster import numbered
 
 BUCKET_ROWS = 100_000
 RANGE_ROWS = 100_000
+#: entries of the communication matrix
+MOST_ENTRIES = 1 << 17
 
 
 def hypergeometric(u: float, good: int, bad: int, n: int) -> int:
@@ -72,13 +75,15 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, keys: list[str], seed: int
 
     keys name columns that tell rows apart, null allowed; rows that agree in all of them are
     interchangeable only if they are equal in every column, as repeated rows are. Columns
-    named shard or slot are replaced. With fewer rows than shards some shards stay empty.
-    An empty table gives no rows.
+    named shard or slot are replaced; any other name may occur. With fewer rows than shards
+    some shards stay empty. An empty table gives no rows.
     """
     df = df.drop("shard", "slot")
     total = df.count()
-    buckets = max(32, -(-total // BUCKET_ROWS))
+    buckets = min(max(32, -(-total // BUCKET_ROWS)), max(1, MOST_ENTRIES // n_shards))
     ranges = max(4, -(-total // (n_shards * RANGE_ROWS)))
+    df = df.select(F.struct("*").alias("row"))
+    keys = [f"row.`{k}`" for k in keys]
     columns = [F.col(k) for k in keys]
     dealt = df.withColumn("_bucket", F.pmod(_hash(seed, 1, columns), F.lit(buckets)).cast("int")).withColumn("_first", _hash(seed, 2, columns)).withColumn("_second", _hash(seed, 3, columns))
     counts = {r["_bucket"]: r["count"] for r in dealt.groupBy("_bucket").count().collect()}  # `buckets` rows at most
@@ -88,7 +93,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, keys: list[str], seed: int
     local = F.row_number().over(Window.partitionBy("_bucket").orderBy("_first", *keys)) - 1
     sent = dealt.withColumn("_rank", local).join(F.broadcast(bounds), "_bucket").withColumn("shard", F.size(F.filter("_bounds", lambda b: b <= F.col("_rank"))).cast("int"))
     sent = sent.withColumn("_range", _range_of(F.col("_second"), ranges)).drop("_bucket", "_first", "_rank", "_bounds")
-    return numbered(sent, "shard", "_range", ["_second", *keys], "slot").drop("_second", "_range")
+    return numbered(sent, "shard", "_range", ["_second", *keys], "slot").select("row.*", "shard", "slot")
 
 
 def shard_table(docs: DataFrame, n_shards: int = 16, seed: int = 17) -> DataFrame:

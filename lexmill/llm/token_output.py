@@ -5,7 +5,8 @@ A file is a row of independent zstandard frames, each with the little-endian uns
 table (sizes of each frame, and the low 32 bits of the XXH64 of its content). A reader
 that wants a few documents reads the table, then only the frames that hold them.
 
-Documents are dealt by ranges of doc_id and sorted, each task tokenises its range and
+Documents are dealt by ranges of doc_id (and of the first characters of the text, so that rows
+without id or of one id are dealt too) and sorted, each task tokenises its range and
 writes one file under a name of its own; only files named in the index (one row per
 document, written by Spark and so only by tasks that succeeded) count, and a task that
 runs again leaves nothing but an unused file. Positions over all files come from running
@@ -136,13 +137,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
     small_batches(spark)
     size = text_bytes(docs)[1]
     files = tasks_for(size, FILE_TEXT, spark)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_writer(f"{folder}/ids", tokenizer, end_id), _INDEX).write.parquet(f"{folder}/index")
     index = spark.read.parquet(f"{folder}/index")
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = F.sum("n").over(Window.orderBy("part")) - F.col("n")
     before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    return index.withColumn("before", before).join(F.broadcast(totals.select("part", base.alias("base"))), "part").withColumn("start", F.col("base") + F.col("before")).drop("before", "base")
+    return index.withColumn("before", before).join(totals.select("part", base.alias("base")), "part").withColumn("start", F.col("base") + F.col("before")).drop("before", "base")
 
 
 def read_tokens(index: DataFrame, with_ids: bool = True) -> DataFrame:

@@ -211,6 +211,29 @@ def test_shards(docs, rows):
     assert Counter(tuple(r) for r in out) == Counter(tuple(r) for r in shard_table(docs.repartition(3), 4).collect())
 
 
+def test_clashing_names_stay(spark):
+    from lexmill.llm.mixing import poisson_mix
+    from lexmill.llm.sharding import shuffle_into_shards
+
+    names = ["_bucket", "_first", "_second", "_rank", "_range", "_own", "_n", "_before", "_key", "_source", "_parts", "_cdf", "_u", "_cut", "row", "copy", "shard", "a b"]
+    plain = [(i, f"t{i}", "s", *(f"{c}{i}" for c in names)) for i in range(40)]
+    df = spark.createDataFrame(plain, ["doc_id", "text", "source", *names])
+    out = shuffle_into_shards(df, 3, ["doc_id"])
+    kept = [c for c in df.columns if c != "shard"]
+    assert out.columns == [*kept, "shard", "slot"]
+    assert sorted(out.select(*[F.col(f"`{c}`") for c in kept]).collect()) == sorted(df.drop("shard").collect())
+    mixed = poisson_mix(df, total=200)
+    kept = [c for c in df.columns if c != "copy"]
+    assert mixed.columns == [*kept, "copies", "copy", "shuffle_key"]
+    assert set(mixed.select(*[F.col(f"`{c}`") for c in kept]).collect()) <= set(df.drop("copy").collect())
+
+
+def test_matrix_stays_small_however_many_rows():
+    from lexmill.llm import sharding
+
+    assert max(1, sharding.MOST_ENTRIES // 16) == 8192
+
+
 def test_shards_of_nothing(no_docs):
     from lexmill.llm.sharding import shard_table
 
@@ -332,6 +355,19 @@ def test_quality(docs, rows):
     assert {r.kept for r in out} == {True, False}
 
 
+def test_quality_order_counts_shared_columns_once():
+    from lexmill.llm.quality import greedy_order
+
+    needs, columns = {"a": {"words"}, "b": {"words", "hashes"}, "c": {"bytes"}}, {"words": 1.0, "hashes": 0.1, "bytes": 0.5}
+    own = dict.fromkeys("abc", 0.0)
+    # a and b overlap: once b has rejected what a does too, c is worth more
+    patterns = {0b011: 50, 0b010: 20, 0b100: 20, 0: 10}
+    assert greedy_order(list("abc"), patterns, own, columns, needs, set()) == ["b", "c", "a"]
+    assert greedy_order(list("abc"), patterns, own, columns, needs, {"words"}) == ["a", "b", "c"]
+    assert greedy_order(list("abc"), {0b100: 1, 0b001: 1}, own, columns, needs, set())[0] == "c"
+    assert greedy_order(list("abc"), {}, {}, {}, {}, set()) == list("abc")
+
+
 def test_quality_order_puts_the_most_rejections_a_second_first(docs, no_docs):
     import time
 
