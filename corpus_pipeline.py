@@ -20,7 +20,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule turns away; null and empty texts go."""
+    """Documents that no quality rule turns away; null and empty texts go.
+
+    Rows without doc_id and repeated rows are judged like any other. An empty table gives no rows.
+    """
     judged = quality_cascade(docs, carry=("doc_id", "lang", "source", "n_chars"), with_text=True)
     return judged.where("kept").select(*COLUMNS)
 
@@ -37,18 +40,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 13-word passages that a smaller id has too; those with nothing left go."""
+    """Documents without the 13-word passages that a smaller id has too; those with nothing left go.
+
+    Rows without doc_id keep all and take nothing from others; rows of one id take nothing
+    from each other. An empty table gives no rows.
+    """
     return remove_repeats(docs, carry=("lang", "source")).where("kept_text <> ''").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by the Poisson counts of their sources' target rates, in a global random order."""
+    """Documents repeated by the Poisson counts of their sources' target rates, in a global random order.
+
+    Null doc_id, text or source are values like any other, empty texts count as documents,
+    repeated rows get the same number of copies. An empty table gives no rows. Columns
+    beyond those of documents are dropped.
+    """
     mixed = poisson_mix(docs.select(*COLUMNS))
     return shuffled(mixed, tasks_for(2 * text_bytes(docs)[1], 24 << 20, spark)).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all token pieces in sequences of 1024."""
+    """The places of all token pieces in sequences of 1024.
+
+    Null and empty texts are the end id alone; rows with a null doc_id and repeated rows are
+    packed like any other, once each. An empty table gives no rows.
+    """
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -61,7 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
+    """All stages over documents, each written as Parquet in the shared folder and read again.
+
+    Nulls, empty texts and repeated rows fare as each stage states: null and empty texts go
+    with the first stage, rows without doc_id pass all of them, columns beyond those of
+    documents are dropped. An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
