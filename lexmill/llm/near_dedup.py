@@ -34,6 +34,8 @@ U64 = np.uint64
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 PIECE = 1 << 20
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 300_000
+#: pairs of one text that meet under one key
+STAR_ROWS = 500
 
 
 def fast_sketch(values: np.ndarray, doc: np.ndarray, n_docs: int, bins: int) -> np.ndarray:
@@ -84,17 +86,23 @@ def _sketches(bands: int, rows: int):
     return run
 
 
-def _overlaps(batches):
-    """(a, b, both): size of the intersection of the shingle sets of text a and text b."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64())])
-    for batch in batches:
-        left, right = wh.utf8(batch.column(2)), wh.utf8(batch.column(3))
-        for a, b in wh.pieces(left[1] + right[1], PIECE, wh.MOST_DOCS):
-            sets = [wh.shingle_sets(d[o[a] : o[b]], o[a : b + 1] - o[a]) for d, o in (left, right)]
-            keys = np.sort(np.concatenate([(doc.astype(U64) << U64(wh.SHINGLE_BITS)) | v for v, doc, _ in sets]))
-            twice = keys[1:][keys[1:] == keys[:-1]] >> U64(wh.SHINGLE_BITS)
-            both = np.bincount(twice.astype(np.int64), minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(both)], schema=schema)
+def _overlapping(percent: int):
+    """The pairs (a, b) of (a, b, ta, tb) whose texts' shingle sets overlap enough."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            left, right = wh.utf8(batch.column(2)), wh.utf8(batch.column(3))
+            for a, b in wh.pieces(left[1] + right[1], PIECE, wh.MOST_DOCS):
+                sets = [wh.shingle_sets(d[o[a] : o[b]], o[a : b + 1] - o[a]) for d, o in (left, right)]
+                keys = np.sort(np.concatenate([(doc.astype(U64) << U64(wh.SHINGLE_BITS)) | v for v, doc, _ in sets]))
+                twice = keys[1:][keys[1:] == keys[:-1]] >> U64(wh.SHINGLE_BITS)
+                both = np.bincount(twice.astype(np.int64), minlength=b - a)
+                total = sum(np.diff(first) for _, _, first in sets)
+                link = pa.array(100 * both >= percent * (total - both))
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a).filter(link) for k in (0, 1)], schema=schema)
+
+    return run
 
 
 def _links_in(sets: list[np.ndarray], comp: np.ndarray, sides: tuple[np.ndarray, np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -184,15 +192,13 @@ def _cells(mixed: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sets overlap enough, by the whole texts."""
-    sides = (
-        pairs.select("a", "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        .select("a", "b", "ta", "tb")
-    )
-    both = sides.mapInArrow(_overlaps, "a long, b long, both long")
-    return both.join(pairs, ["a", "b"]).where(F.expr(f"100 * both >= {percent} * (na + nb - both)")).select("a", "b")
+    """The pairs (a, b, m) whose sets overlap enough, by the whole texts. A text that is paired with many, m at least, is dealt over several keys."""
+    salts = lambda m: F.ceil(m / STAR_ROWS).cast("int")
+    hubs = pairs.groupBy("a").agg(salts(F.max("m")).alias("salts"))
+    hubs = hubs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    sides = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts(F.col("m"))).cast("int")).join(hubs, ["a", "salt"])
+    sides = sides.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return sides.mapInArrow(_overlapping(percent), "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = 32, rows: int = 7) -> DataFrame:
@@ -213,7 +219,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = 32, r
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = text_bytes(docs)[1]
-    parts = tasks_for(size, 48 << 20, spark)
+    parts = tasks_for(size, 16 << 20, spark)
     sketched = docs.mapInArrow(_sketches(bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>")
     path = scratch(spark, "sketches")
     sketched.write.parquet(path)
@@ -224,10 +230,11 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = 32, r
     one = sketched.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", *same])
     members = one.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key"))
     low = members.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = saved(members.join(low, ["band", "key"]).select("band", "key", "rep", "n", "low"))
+    members = saved(members.join(low, ["band", "key"]).select("band", "key", "rep", "n", "low", "m"))
 
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    star = members.where("rep <> low.rep").select(F.col("low.rep").alias("a"), F.col("rep").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb")).where(fits).distinct()
+    fits = f"100 * least(n, low.n) >= {percent} * greatest(n, low.n)"
+    star = members.where("rep <> low.rep").where(fits).select(F.col("low.rep").alias("a"), F.col("rep").alias("b"), "m")
+    star = saved(star.groupBy("a", "b").agg(F.max("m").alias("m")))
     texts = docs.where("doc_id is not null").repartition(parts, "doc_id")
     links = saved(_confirmed(star, texts, percent))
     found = components(links)
