@@ -1,16 +1,12 @@
 """Text columns: guards, tokens, n-gram feature ids, punctuation, placeholders, lines and sentences.
 
-Everything but sentence cutting is built-in functions, so it stays inside generated code.
+All of it is built-in functions, so nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Format characters without width, and what counts as white space at the ends of a text.
 INVISIBLE = "\\u200B-\\u200F\\u2028-\\u202E\\u2060-\\u2064\\uFEFF"
@@ -66,26 +62,28 @@ def subword_ids(token: Column, nwords: int, bucket: int, minn: int = 2, maxn: in
     return F.transform(subwords(token, minn, maxn), lambda g: F.lit(nwords) + fnv1a(g) % bucket)
 
 
-def _chain(text: Column, rules: list[tuple[str, str]]) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
-
-
-NBSP = "\\u00A0"
-#: Punctuation rules in their order, as (pattern, replacement).
-PUNCTUATION = [
-    ("\\r", ""), ("\\(", " ("), ("\\)", ") "), (" +", " "), ("\\) ([.!:?;,])", ")$1"), ("\\( ", "("), (" \\)", ")"), ("(\\d) %", "$1%"), (" :", ":"), (" ;", ";"),
-    ("„", '"'), ("“", '"'), ("”", '"'), ("–", "-"), ("—", " - "), (" +", " "), ("´", "'"), ("([a-zA-Z])‘([a-zA-Z])", "$1'$2"), ("([a-zA-Z])’([a-zA-Z])", "$1'$2"),
-    ("‘", "'"), ("‹", "'"), ("›", "'"), ("’", "'"), ("ʼ", "'"), ("‚", "'"), ("′", "'"), ("″", '"'), ("«", '"'), ("»", '"'), ("‟", '"'), ("‶", '"'), ("〃", '"'), ("˝", '"'),
-    (f"{NBSP}«{NBSP}", '"'), (f"«{NBSP}", '"'), ("«", '"'), (f"{NBSP}»{NBSP}", '"'), (f"{NBSP}»", '"'), ("»", '"'),
-    (f"{NBSP}%", "%"), (f"n[bB]sp;", " "), (f"{NBSP}:", ":"), (f"{NBSP}º{NBSP}C", " ºC"), (f"{NBSP}cm", " cm"), (f"{NBSP}\\?", "?"), (f"{NBSP}!", "!"), (f"{NBSP};", ";"), (f",{NBSP}", ", "), (" +", " "),
-    ('"([,.]+)', '$1"'),
-]
+#: Signs that become a plain one, each by itself.
+QUOTES, APOSTROPHES, DASH, LONG_DASH = "„“”″«»‟‶〃˝", "´‘‹›’ʼ‚′", "–", "—"
+NBSP = "\u00A0"
 
 
 def normalize_punctuation(text: Column) -> Column:
-    return F.regexp_replace(_chain(text, PUNCTUATION), f"^[{BLANK}]+|[{BLANK}]+$", "")
+    """Plain quotes, dashes and brackets, with spaces where English has them.
+
+    Signs that stand for themselves are mapped in one pass (none of the other rules sees
+    them), fixed sequences are replaced literally; only what depends on a class of
+    characters is a regular expression.
+    """
+    put = lambda c, *pairs: put(F.replace(c, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:]) if pairs else c
+    one_space = lambda c: F.regexp_replace(c, " {2,}", " ")
+    t = F.translate(text, QUOTES + APOSTROPHES + DASH + "\r", '"' * len(QUOTES) + "'" * len(APOSTROPHES) + "-")
+    t = one_space(put(t, ("(", " ("), (")", ") ")))
+    t = put(F.regexp_replace(t, "\\) ([.!:?;,])", ")$1"), ("( ", "("), (" )", ")"))
+    t = put(F.regexp_replace(t, "(\\p{Nd}) %", "$1%"), (" :", ":"), (" ;", ";"))
+    t = one_space(put(t, (LONG_DASH, " - ")))
+    t = put(t, (NBSP + "%", "%"), ("nbsp;", " "), (NBSP + ":", ":"), (f"{NBSP}º{NBSP}C", " ºC"), (NBSP + "cm", " cm"), (NBSP + "?", "?"), (NBSP + "!", "!"), (NBSP + ";", ";"), ("," + NBSP, ", "))
+    t = F.regexp_replace(one_space(t), '"([,.]+)', '$1"')
+    return F.regexp_replace(t, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 #: Spaces that go before punctuation and contractions, in order.
@@ -98,16 +96,23 @@ def clean_up_spaces(text: Column) -> Column:
     return text
 
 
-def native_digits() -> dict[str, str]:
-    """Digits of other scripts and the ASCII digit of each: runs of ten from their zeros, without three that have no run here."""
-    # fixed values: zeros of Devanagari, Bengali, Gurmukhi, Gujarati, Oriya, Kannada, Meetei Mayek, Ol Chiki, Extended Arabic
-    runs = {chr(zero + d): str(d) for zero in (0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0CE6, 0xABF0, 0x1C50, 0x06F0) for d in range(10)}
-    return runs | {chr(0x0C66 + d): str(d) for d in range(1, 10)} | {chr(0x0660): "0"}  # Telugu from 1, Arabic zero
+#: Digits of other scripts and the ASCII digit of each.
+NATIVE_DIGITS = {
+    "\u09E6": "0", "\u0AE6": "0", "\u0CE6": "0", "\u0966": "0", "\u0660": "0", "\uABF0": "0", "\u0B66": "0", "\u0A66": "0", "\u1C50": "0", "\u06F0": "0",
+    "\u09E7": "1", "\u0AE7": "1", "\u0967": "1", "\u0CE7": "1", "\u06F1": "1", "\uABF1": "1", "\u0B67": "1", "\u0A67": "1", "\u1C51": "1", "\u0C67": "1",
+    "\u09E8": "2", "\u0AE8": "2", "\u0968": "2", "\u0CE8": "2", "\u06F2": "2", "\uABF2": "2", "\u0B68": "2", "\u0A68": "2", "\u1C52": "2", "\u0C68": "2",
+    "\u09E9": "3", "\u0AE9": "3", "\u0969": "3", "\u0CE9": "3", "\u06F3": "3", "\uABF3": "3", "\u0B69": "3", "\u0A69": "3", "\u1C53": "3", "\u0C69": "3",
+    "\u09EA": "4", "\u0AEA": "4", "\u096A": "4", "\u0CEA": "4", "\u06F4": "4", "\uABF4": "4", "\u0B6A": "4", "\u0A6A": "4", "\u1C54": "4", "\u0C6A": "4",
+    "\u09EB": "5", "\u0AEB": "5", "\u096B": "5", "\u0CEB": "5", "\u06F5": "5", "\uABF5": "5", "\u0B6B": "5", "\u0A6B": "5", "\u1C55": "5", "\u0C6B": "5",
+    "\u09EC": "6", "\u0AEC": "6", "\u096C": "6", "\u0CEC": "6", "\u06F6": "6", "\uABF6": "6", "\u0B6C": "6", "\u0A6C": "6", "\u1C56": "6", "\u0C6C": "6",
+    "\u09ED": "7", "\u0AED": "7", "\u096D": "7", "\u0CED": "7", "\u06F7": "7", "\uABF7": "7", "\u0B6D": "7", "\u0A6D": "7", "\u1C57": "7", "\u0C6D": "7",
+    "\u09EE": "8", "\u0AEE": "8", "\u096E": "8", "\u0CEE": "8", "\u06F8": "8", "\uABF8": "8", "\u0B6E": "8", "\u0A6E": "8", "\u1C58": "8", "\u0C6E": "8",
+    "\u09EF": "9", "\u0AEF": "9", "\u096F": "9", "\u0CEF": "9", "\u06F9": "9", "\uABF9": "9", "\u0B6F": "9", "\u0A6F": "9", "\u1C59": "9", "\u0C6F": "9",
+}
 
 
 def fold_digits(text: Column) -> Column:
-    table = native_digits()
-    return F.translate(text, "".join(table), "".join(table.values()))
+    return F.translate(text, "".join(NATIVE_DIGITS), "".join(NATIVE_DIGITS.values()))
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -115,7 +120,8 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def drop_bpe_markers(text: Column) -> Column:
-    return F.regexp_replace(text, f"@@[{BLANK}]*", "")
+    """Without any @ and the white space after it: a subword vocabulary's sign that the word goes on."""
+    return F.regexp_replace(text, f"@[{BLANK}]*", "")
 
 
 def bare_code(token: Column) -> Column:
@@ -151,37 +157,26 @@ CLOSERS = "\"'”’»)\\]」』）》】"
 _ENDS = rf"[.!?…؟۔।॥]+(?<!\w\.\w.)(?<![A-Z][a-z]\.)[{CLOSERS}]*\s+|[。！？｡]+[{CLOSERS}]*\s*"
 
 
-_PARTS = ArrayType(StructType([StructField("sentence", StringType()), StructField("gap", StringType())]))
-
-
-@F.pandas_udf(_PARTS)
-def split_sentences(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def split_sentences(line: Column) -> Column:
     """(sentence, white space after it) pairs of a line; they join back to the line.
 
-    A cut needs a letter since the last one and something after it. That memory of the last
-    accepted cut is what built-in functions don't have.
+    The line is taken apart after each stop; then chunks are folded: a sentence closes with a
+    chunk once it has a letter, what has none waits for the next one, and the last chunk
+    closes whatever is open, with its white space. Null stays null, an empty line is one empty sentence.
     """
-    import re
-    from itertools import pairwise
-
-    stop = re.compile(_ENDS)
-
-    def cut(line: str | None):
-        if line is None:
-            return None
-        edges = [e for e in (m.end() for m in stop.finditer(line)) if e < len(line)]
-        *chunks, last = [line[a:b] for a, b in pairwise([0, *edges, len(line)])]
-        done, held = [], ""
-        for chunk in chunks:  # chunks without a letter wait for the next one
-            held += chunk
-            body = held.rstrip()
-            if any(map(str.isalpha, body)):
-                done.append({"sentence": body, "gap": held[len(body) :]})
-                held = ""
-        return [*done, {"sentence": held + last, "gap": ""}]
-
-    for batch in lines:
-        yield batch.map(cut)
+    pair = lambda sentence, gap: F.struct(sentence.alias("sentence"), gap.alias("gap"))
+    chunks = F.regexp_extract_all(line, F.lit(f"(?Us).*?(?:{_ENDS})|.+\\z"), F.lit(0))
+    start = F.struct(F.array().cast("array<struct<sentence:string,gap:string>>").alias("done"), F.lit("").alias("open"))
+
+    def step(state: Column, chunk: Column) -> Column:
+        whole = F.concat(state["open"], chunk)
+        body = F.regexp_replace(whole, f"[{BLANK}]+$", "")
+        closed = F.concat(state["done"], F.array(pair(body, F.substr(whole, F.length(body) + 1))))
+        return F.when(body.rlike("\\p{L}"), F.struct(closed.alias("done"), F.lit("").alias("open"))).otherwise(F.struct(state["done"].alias("done"), whole.alias("open")))
+
+    ended = F.aggregate(F.slice(chunks, 1, F.greatest(F.size(chunks) - 1, F.lit(0))), start, step)
+    rest = F.concat(ended["open"], F.coalesce(F.try_element_at(chunks, F.lit(-1)), F.lit("")))
+    return F.when(line.isNotNull(), F.concat(ended["done"], F.array(pair(rest, F.lit("")))))
 
 
 #: Scripts without spaces between sentences.

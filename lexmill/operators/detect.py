@@ -1,8 +1,10 @@
 """Language identification as joins and aggregates.
 
-The scorer is multinomial naive Bayes over hashed character trigrams. Work is done once per
-distinct token: a token's score for a language is the sum over its trigrams, and a document's
-is the sum over its tokens. Scores are whole micro-nats, so sums are exact in any order.
+The scorer is multinomial naive Bayes over hashed character trigrams. Training counts
+trigrams per language; scoring counts them per document, which needs no exchange, and joins
+the distinct ones with what they add for each language that has seen them: what every
+trigram costs at least is a multiple of the document's length. Hashes are taken once per
+distinct trigram. Scores are whole micro-nats, so sums are exact in any order.
 """
 
 from __future__ import annotations
@@ -17,16 +19,20 @@ BUCKETS = 1 << 16
 UNIT = 1_000_000
 
 
-def token_counts(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, token, n of whole texts; the end token stays out."""
-    words = F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")
-    return docs.select(*keys, F.explode(words).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
+def words_of(text: Column) -> Column:
+    """White-space tokens of a whole text; the end token stays out."""
+    return F.filter(F.split(text, f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")
 
 
-def token_features(tokens: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """token, fid, m: hashed trigrams of each distinct token and how often it has them."""
-    ids = T.subword_ids(F.col("token"), 0, buckets, 3, 3)
-    return tokens.select("token").distinct().select("token", F.explode(ids).alias("fid")).groupBy("token", "fid").agg(F.count(F.lit(1)).alias("m"))
+def trigrams(words: Column) -> Column:
+    """Trigrams of every <word>; a word has as many as it has code points."""
+    each = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(F.concat(F.lit("<"), t, F.lit(">")), i, F.lit(3)))
+    return F.flatten(F.transform(words, each))
+
+
+def with_ids(grams: DataFrame, buckets: int) -> DataFrame:
+    """g, fid of the distinct trigrams of a table (g)."""
+    return grams.select("g").distinct().withColumn("fid", T.fnv1a(F.col("g")) % buckets)
 
 
 def is_training(text: Column) -> Column:
@@ -40,8 +46,8 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame
     All texts with visible content count whole: the guards are limits of a request, not of training.
     """
     seen = docs.where(T.has_visible_content(F.col("text")))
-    counts = token_counts(seen, ["lang"])
-    features = counts.join(token_features(counts, buckets), "token").groupBy("lang", "fid").agg(F.sum(F.col("n") * F.col("m")).alias("c"))
+    counts = seen.select("lang", F.explode(trigrams(words_of(F.col("text")))).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
+    features = counts.withColumn("fid", T.fnv1a(F.col("g")) % buckets).groupBy("lang", "fid").agg(F.sum("n").alias("c"))
     totals = features.groupBy("lang").agg(F.sum("c").alias("total"))
     ok = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     every = F.sum("n_docs").over(Window.partitionBy())  # a row per language
@@ -51,14 +57,17 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame
 
 def scores(docs: DataFrame, priors: DataFrame, features: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, lang, score (micro-nats) for every text that passes the guards and every language."""
-    counts = token_counts(docs.where(T.guard_status(F.col("text")) == "OK"), ["doc_id"])
-    grams = token_features(counts, buckets)
-    langs = F.broadcast(priors)  # a row per language
-    weight = F.round(F.log((F.coalesce("c", F.lit(0)) + 1) / (F.col("total") + buckets)) * UNIT).cast("long")
-    # every gram meets every language: the number of languages is small and fixed by the model
-    per_gram = grams.select("token", "fid", "m", F.explode(literal_rows(priors.select("lang", "total"))).alias("l")).select("token", "fid", "m", "l.lang", "l.total")
-    per_token = per_gram.join(features, ["lang", "fid"], "left").groupBy("token", "lang").agg(F.sum(F.col("m") * weight).alias("w"))
-    summed = counts.join(per_token, "token").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
+    read = docs.where(T.guard_status(F.col("text")) == "OK").select("doc_id", words_of(F.col("text")).alias("words"))
+    cost = lambda c: F.round(F.log((c + 1) / (F.col("total") + buckets)) * UNIT).cast("long")
+    langs = priors.select("lang", "prior", "total", cost(F.lit(0)).alias("floor"))
+    # what an unseen trigram costs, for all of them; languages are few and fixed by the model
+    size = F.aggregate("words", F.lit(0), lambda s, t: s + F.length(t)).cast("long")
+    base = read.select("doc_id", size.alias("size"), F.explode(literal_rows(langs.select("lang", "floor"))).alias("l")).select("doc_id", "l.lang", (F.col("size") * F.col("l.floor")).alias("s"))
+    grams = read.select("doc_id", F.explode(trigrams(F.col("words"))).alias("g")).groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("n"))
+    gain = features.join(langs, "lang").select("lang", "fid", (cost(F.col("c")) - F.col("floor")).alias("gain"))
+    gain = with_ids(grams, buckets).join(gain, "fid").select("g", "lang", "gain")
+    more = grams.join(gain, "g").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("s"))
+    summed = base.union(more).groupBy("doc_id", "lang").agg(F.sum("s").alias("s"))
     return summed.join(langs, "lang").select("doc_id", "lang", (F.col("s") + F.col("prior")).alias("score"))
 
 
@@ -71,8 +80,8 @@ def with_refused(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def predict(scored: DataFrame) -> DataFrame:
     """doc_id, predicted, score: the best language, the first by name on a tie."""
-    best = F.max(F.struct("score", F.translate("lang", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba").alias("turned"), "lang"))
-    return scored.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.col("b.lang").alias("predicted"), F.col("b.score").alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("cost"), "lang"))
+    return scored.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.col("b.lang").alias("predicted"), (-F.col("b.cost")).alias("score"))
 
 
 def probabilities(scored: DataFrame) -> DataFrame:
@@ -93,4 +102,4 @@ def top_k(probs: DataFrame, k: int, tag: Column | None = None) -> DataFrame:
 def huffman_probabilities(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     """doc_id, label_idx, p from node scores (doc_id, node, score) and the tree (label_idx, node, bit): product along each path."""
     step = F.log(F.greatest(F.when(F.col("bit"), F.col("score")).otherwise(1 - F.col("score")), F.lit(1e-12)))
-    return nodes.join(F.broadcast(tree), "node").groupBy("doc_id", "label_idx").agg(F.exp(F.sum(step)).alias("p"))
+    return nodes.join(tree, "node").groupBy("doc_id", "label_idx").agg(F.exp(F.sum(step)).alias("p"))

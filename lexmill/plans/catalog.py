@@ -102,6 +102,18 @@ def line_split_rejoin(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.array_max(F.transform(lines, F.length)).cast("long").alias("longest"), (F.array_join(lines, "\n") == F.col("text")).alias("same"))
 
 
+_NBSP = "\\u00A0"
+#: The punctuation rules one after the other, as (pattern, replacement); the operator does the same work in fewer passes.
+_PUNCTUATION = [
+    ("\\r", ""), ("\\(", " ("), ("\\)", ") "), (" +", " "), ("\\) ([.!:?;,])", ")$1"), ("\\( ", "("), (" \\)", ")"), ("(\\p{Nd}) %", "$1%"), (" :", ":"), (" ;", ";"),
+    ("„", '"'), ("“", '"'), ("”", '"'), ("–", "-"), ("—", " - "), (" +", " "), ("´", "'"), ("([a-zA-Z])‘([a-zA-Z])", "$1'$2"), ("([a-zA-Z])’([a-zA-Z])", "$1'$2"),
+    ("‘", "'"), ("‹", "'"), ("›", "'"), ("’", "'"), ("ʼ", "'"), ("‚", "'"), ("′", "'"), ("″", '"'), ("«", '"'), ("»", '"'), ("‟", '"'), ("‶", '"'), ("〃", '"'), ("˝", '"'),
+    (f"{_NBSP}«{_NBSP}", '"'), (f"«{_NBSP}", '"'), ("«", '"'), (f"{_NBSP}»{_NBSP}", '"'), (f"{_NBSP}»", '"'), ("»", '"'),
+    (f"{_NBSP}%", "%"), ("nbsp;", " "), (f"{_NBSP}:", ":"), (f"{_NBSP}º{_NBSP}C", " ºC"), (f"{_NBSP}cm", " cm"), (f"{_NBSP}\\?", "?"), (f"{_NBSP}!", "!"), (f"{_NBSP};", ";"), (f",{_NBSP}", ", "), (" +", " "),
+    ('"([,.]+)', '$1"'),
+]
+
+
 def _chain_sql(column: str, rules: list[tuple[str, str]]) -> str:
     import re
 
@@ -118,7 +130,7 @@ def _texts_and_strings(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("s")).union(table(spark, "strings").select((-1 - F.col("id")).cast("long"), "s"))
 
 
-@query(f"select id, md5({_chain_sql(_chain_sql('s', T.PUNCTUATION), [('^[' + _BLANK + ']+|[' + _BLANK + ']+$', '')])}) as h from {_BOTH}", "strings")
+@query(f"select id, md5({_chain_sql(_chain_sql('s', _PUNCTUATION), [('^[' + _BLANK + ']+|[' + _BLANK + ']+$', '')])}) as h from {_BOTH}", "strings")
 def moses_punct(spark, sf_dir):
     return _texts_and_strings(spark, sf_dir).select("id", F.md5(T.normalize_punctuation(F.col("s")).cast("binary")).alias("h"))
 
@@ -129,14 +141,14 @@ def _replaces(column: str) -> str:
     return column
 
 
-_DIGITS = T.native_digits()
+_DIGITS = T.NATIVE_DIGITS
 
 
-@query(f"select id, md5({_replaces('s')}) as cleaned, md5(regexp_replace(s, ' {{2,}}', ' ', 'g')) as collapsed, md5(translate(s, '{''.join(_DIGITS)}', '{''.join(_DIGITS.values())}')) as folded, regexp_replace(s, '@@[{_BLANK}]*', '', 'g') = s as no_markers, nullif(regexp_extract(s, '^__([a-z_A-Z-]+)__$', 1), '') as code from {_BOTH}", "strings")
+@query(f"select id, md5({_replaces('s')}) as cleaned, md5(regexp_replace(s, ' {{2,}}', ' ', 'g')) as collapsed, md5(translate(s, '{''.join(_DIGITS)}', '{''.join(_DIGITS.values())}')) as folded, md5(regexp_replace(s, '@[{_BLANK}]*', '', 'g')) as unmarked, nullif(regexp_extract(s, '^__([a-z_A-Z-]+)__$', 1), '') as code from {_BOTH}", "strings")
 def text_clean_ups(spark, sf_dir):
     s = F.col("s")
     h = lambda c: F.md5(c.cast("binary"))
-    return _texts_and_strings(spark, sf_dir).select("id", h(T.clean_up_spaces(s)).alias("cleaned"), h(T.collapse_spaces(s)).alias("collapsed"), h(T.fold_digits(s)).alias("folded"), (T.drop_bpe_markers(s) == s).alias("no_markers"), T.bare_code(s).alias("code"))
+    return _texts_and_strings(spark, sf_dir).select("id", h(T.clean_up_spaces(s)).alias("cleaned"), h(T.collapse_spaces(s)).alias("collapsed"), h(T.fold_digits(s)).alias("folded"), h(T.drop_bpe_markers(s)).alias("unmarked"), T.bare_code(s).alias("code"))
 
 
 @query("select id, len(list_distinct(regexp_extract_all(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}')))::bigint as emails, len(list_distinct(regexp_extract_all(s, '[A-Za-z0-9]*[#|@][A-Za-z0-9_]+')))::bigint as others from " + _BOTH, "strings")
@@ -146,7 +158,7 @@ def placeholder_counts(spark, sf_dir):
 
 @query()
 def sentence_split(spark, sf_dir):
-    parts = T.split_sentences("text")
+    parts = T.split_sentences(F.col("text"))
     return _read(spark, sf_dir, "conversations").withColumn("p", parts).select("conv_id", "turn", F.size("p").alias("n"), (F.array_join(F.transform("p", lambda x: F.concat(x["sentence"], x["gap"])), "") == F.col("text")).alias("same"), F.md5(T.rejoin(F.col("p"), F.lit("Latn")).cast("binary")).alias("h"))
 
 
@@ -191,12 +203,13 @@ def available_languages(spark, sf_dir):
 
 # --- detection -------------------------------------------------------------------------------
 
-_LID = f"""with ok as (select doc_id, lang, text, source, ('0x' || substr(md5(text), 1, 2))::int % 5 <> 0 as training from documents where {_at(_STATUS, 'text')} = 'OK'),
-tok as (select doc_id, lang, training, unnest({_at(_TOKENS, 'text')}) as token from ok), words as (select distinct token, '<' || token || '>' as w from tok),
+_LID = f"""with d as (select doc_id, lang, text, source, coalesce(('0x' || substr(md5(text), 1, 2))::int % 5 <> 0, false) as training, {_at(_STATUS, 'text')} as status from documents),
+refused as (select doc_id, lang, source, status from d where not training and status <> 'OK'),
+tok as (select doc_id, lang, training, unnest({_at(_TOKENS, 'text')}) as token from d where training and status <> 'EMPTY_INPUT' or not training and status = 'OK'), words as (select distinct token, '<' || token || '>' as w from tok),
 g as (select token, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i::int, 3))) as g from words), h as (select g, {_at(_FNV, 'g')} % 65536 as fid from (select distinct g from g)),
 gf as (select token, fid, count(*) as m from g join h using (g) group by all),
 lt as (select lang, token, count(*) as n from tok where training group by all), feat as (select lang, fid, sum(n * m)::bigint as c from lt join gf using (token) group by all),
-tot as (select lang, sum(c)::bigint as total from feat group by lang), nd as (select lang, count(*) as n_docs from ok where training group by lang),
+tot as (select lang, sum(c)::bigint as total from feat group by lang), nd as (select lang, count(*) as n_docs from d where training and status <> 'EMPTY_INPUT' group by lang),
 pri as (select lang, n_docs, total, round(ln(n_docs / sum(n_docs) over ()) * 1000000)::bigint as prior from nd join tot using (lang)),
 tw as (select token, lang, sum(m * round(ln((coalesce(c, 0) + 1) / (total + 65536)) * 1000000)::bigint)::bigint as w from gf cross join (select lang, total from tot) t left join feat using (lang, fid) group by all),
 dt as (select doc_id, token, count(*) as n from tok where not training group by all),
@@ -221,20 +234,20 @@ def lid_train(spark, sf_dir):
     return _lid(spark, sf_dir)[1]
 
 
-@query(_LID + " select doc_id, predicted, score from best")
+@query(_LID + " select doc_id, predicted, score, 'OK' as status from best union all select doc_id, null, null, status from refused")
 def lid_predict(spark, sf_dir):
     held, scored = _scored(spark, sf_dir)
     return detect.with_refused(detect.predict(scored), held)
 
 
-@query(_LID + ", e as (select doc_id, lang, exp((score - max(score) over (partition by doc_id)) / 1000000) as e from sc), p as (select doc_id, lang, e / sum(e) over (partition by doc_id) as p from e), r as (select *, row_number() over (partition by doc_id order by p desc, lang) as rank from p) select doc_id, lang as tag, round(p, 6) as p, rank from r where rank <= 3")
+@query(_LID + ", e as (select doc_id, lang, exp((score - max(score) over (partition by doc_id)) / 1000000) as e from sc), p as (select doc_id, lang, e / sum(e) over (partition by doc_id) as p from e), r as (select *, row_number() over (partition by doc_id order by p desc, lang) as rank from p) select doc_id, lang as tag, round(p, 6) as p, rank, 'OK' as status from r where rank <= 3 union all select doc_id, null, null, null, status from refused")
 def lid_probs_topk(spark, sf_dir):
     held, scored = _scored(spark, sf_dir)
     best = detect.top_k(detect.probabilities(scored), 3).select("doc_id", "tag", F.round("p", 6).alias("p"), F.col("rank").cast("long").alias("rank"))
     return detect.with_refused(best, held)
 
 
-@query(_LID + " select lang, predicted, count(*)::bigint as n from best join documents using (doc_id) group by all")
+@query(_LID + " select lang, predicted, status, count(*)::bigint as n from (select lang, predicted, 'OK' as status from best join documents using (doc_id) union all select lang, null, status from refused) group by all")
 def lid_confusion(spark, sf_dir):
     held, scored = _scored(spark, sf_dir)
     found = detect.predict(scored).join(held.select("doc_id", "lang"), "doc_id").select("lang", "predicted", F.lit("OK").alias("status"))
@@ -242,7 +255,7 @@ def lid_confusion(spark, sf_dir):
     return found.union(refused).groupBy("lang", "predicted", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_LID + " select source, count(*)::bigint as n, sum((lang = predicted)::int)::bigint as right from best join documents using (doc_id) group by source".replace(" as right", ' as "right"'))
+@query(_LID + " select source, sum((status = 'OK')::int)::bigint as n, sum(hit)::bigint as \"right\", sum((status <> 'OK')::int)::bigint as refused from (select source, (lang = predicted)::int as hit, 'OK' as status from best join documents using (doc_id) union all select source, 0, status from refused) group by source")
 def lid_accuracy_by_source(spark, sf_dir):
     held, scored = _scored(spark, sf_dir)
     found = detect.predict(scored).join(held.select("doc_id", "lang", "source"), "doc_id").select("source", (F.col("lang") == F.col("predicted")).cast("int").alias("right"), F.lit("OK").alias("status"))

@@ -40,3 +40,11 @@ def test_long_texts_are_trained_on_and_refused_ones_are_returned(spark, tmp_path
     assert confusion == Counter((langs[i], s) for i, s in status)
     (r,) = run("lid_accuracy_by_source")
     assert (r.n, r.refused) == (1, len(status) - 1)
+
+
+def test_ties_go_to_the_first_name(spark):
+    from lexmill.operators.detect import predict
+
+    rows = [(1, "zh-Hant", 5), (1, "zh", 5), (2, "eng", 3), (2, "en", 3), (2, "a", 1), (3, "é", 2), (3, "z", 2)]
+    got = {r.doc_id: (r.predicted, r.score) for r in predict(spark.createDataFrame(rows, "doc_id long, lang string, score long")).collect()}
+    assert got == {1: ("zh", 5), 2: ("en", 3), 3: ("z", 2)}

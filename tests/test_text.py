@@ -44,14 +44,29 @@ def test_tokens_keep_no_break_spaces(spark):
 
 @pytest.mark.parametrize("line,parts", [("One. Two.", ["One.", "Two."]), ("1. First item", ["1. First item"]), ("Dr. Smith came. He left.", ["Dr. Smith came.", "He left."]), ("e.g. this one", ["e.g. this one"]), ("日本。語", ["日本。", "語"]), ("", [""])])
 def test_sentences(spark, line, parts):
-    assert [p["sentence"] for p in one(spark, T.split_sentences("s"), s=line)] == parts
+    assert [p["sentence"] for p in one(spark, T.split_sentences(F.col("s")), s=line)] == parts
 
 
 def test_sentences_join_back(spark):
     rng = random.Random(4)
     lines = ["".join(rng.choice("aB. !?\n”)。 1") for _ in range(30)) for _ in range(200)]
-    df = spark.createDataFrame([(x,) for x in lines], ["s"]).withColumn("p", T.split_sentences("s"))
-    assert all("".join(p["sentence"] + p["gap"] for p in r["p"]) == r["s"] for r in df.collect())
+    df = spark.createDataFrame([(x,) for x in [*lines, None]], "s string").withColumn("p", T.split_sentences(F.col("s")))
+    assert [r["p"] for r in df.where("s is null").collect()] == [None]
+    assert all("".join(p["sentence"] + p["gap"] for p in r["p"]) == r["s"] for r in df.where("s is not null").collect())
+    # an inner sentence ends with a stop and closing signs, has a letter, and white space or an unspaced stop after it
+    for r in df.where("s is not null").collect():
+        for p in r["p"][:-1]:
+            assert any(map(str.isalpha, p["sentence"])) and p["sentence"].rstrip("”)")[-1] in ".!?。" and (p["gap"] or "。" in p["sentence"])
+
+
+@pytest.mark.parametrize("text,left", [("un@@ do @@ ne", "undo ne"), ("ab@ cd", "abcd"), ("x@\u00a0\u2003y", "xy"), ("plain", "plain")])
+def test_markers(spark, text, left):
+    assert one(spark, T.drop_bpe_markers(F.col("s")), s=text) == left
+
+
+@pytest.mark.parametrize("text,plain", [("nbsp;a", "a"), ("anBsp;b", "anBsp;b"), ("anbsp;b", "a b"), ("« oui »", '" oui "'), ("(a ) ,", "(a),"), ('"x", y', '"x," y')])
+def test_punctuation(spark, text, plain):
+    assert one(spark, T.normalize_punctuation(F.col("s")), s=text) == plain
 
 
 @pytest.mark.parametrize("label,tag", [("eng_Latn", "en"), ("__label__pt", "pt"), ("arb_Arab", "ar"), ("zho_Hans", "zh-Hans"), ("srp_Cyrl", "sr-Cyrl"), ("ell_Latn", "el-Latn"), ("nan_lang", "und"), ("ajp_Arab", "ajp"), ("xyz_Latn", "xyz")])
