@@ -638,6 +638,41 @@ def test_pages_that_only_look_silent(spark):
             assert got[k] == want, page
 
 
+def test_pages_of_many_templates():
+    import page_templates
+
+    from lexmill.llm.html_extract import main_text
+
+    assert len(page_templates.TEMPLATES) >= 20
+    for seed in (2, 3):
+        for k, (page, want) in enumerate(page_templates.pages(seed, 5)):
+            assert main_text(page) == want, page_templates.TEMPLATES[k // 5]
+
+
+def test_weights_are_those_of_the_fit():
+    import page_templates
+
+    from lexmill.llm.html_extract import FEATURES, WEIGHTS, blocks_of, features, fit_weights
+
+    blocks = [(features(b), b.text in want.split("\n")) for page, want in page_templates.pages(1) for b in blocks_of(page)]
+    found = fit_weights([f for f, _ in blocks], [y for _, y in blocks])
+    assert len(FEATURES) == len(WEIGHTS) and np.abs(np.array(found) - WEIGHTS).max() < 0.02
+
+
+def test_the_table_of_pages():
+    import html as entities
+    import re
+
+    import pyarrow.parquet as pq
+
+    from lexmill.llm.html_extract import main_text
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        article = page[page.index("<article>") : page.index("</article>")]
+        parts = re.split(r"</?(?:h1|p|div|article)[^>]*>", re.sub("</?b>", "", article.replace("<br>", " ")))
+        assert main_text(page) == "\n".join(y for x in parts if (y := " ".join(entities.unescape(x).split())))
+
+
 def test_cut_is_minimal():
     from lexmill.llm.html_extract import minimum_cut
 
