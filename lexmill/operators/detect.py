@@ -9,6 +9,8 @@ distinct trigram. Scores are whole micro-nats, so sums are exact in any order.
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,69 @@ def top_k(probs: DataFrame, k: int, tag: Column | None = None) -> DataFrame:
     return cut.withColumn("f", first).where("f = 1").select("doc_id", "tag", "p", F.col("r").alias("rank"))
 
 
+MOST_LABELS = 100_000
+
+
+def huffman_tree(counts: DataFrame) -> DataFrame:
+    """label_idx, pos, node, bit: the path of each label from its leaf to the root of a Huffman tree over counts (label_idx, n).
+
+    Labels are given in descending order of their counts, as label_idx has it. The lightest two
+    are joined again and again; of equal weights joined ones come first, and the second of
+    a pair has the bit set. A model's labels are a bounded list (MOST_LABELS).
+    """
+    rows = counts.orderBy("label_idx").limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    leaves, joined = deque((r["n"], k) for k, r in reversed(list(enumerate(rows)))), deque()
+    above: dict[int, tuple[int, bool]] = {}
+    for node in range(len(rows) - 1):
+        pair = [leaves.popleft() if leaves and (not joined or leaves[0][0] < joined[0][0]) else joined.popleft() for _ in range(2)]
+        for bit, (_, child) in enumerate(pair):
+            above[child] = len(rows) + node, bool(bit)
+        joined.append((pair[0][0] + pair[1][0], len(rows) + node))
+    steps = []
+    for k, r in enumerate(rows):
+        at, pos = k, 0
+        while at in above:
+            at, bit = above[at]
+            steps.append((r["label_idx"], pos, at - len(rows), bit))
+            pos += 1
+    return counts.sparkSession.createDataFrame(steps, "label_idx int, pos int, node int, bit boolean")
+
+
+def tree_faults(tree: DataFrame, n_labels: int) -> DataFrame:
+    """fault, n of a tree (label_idx, node, bit): labels without a path, labels beyond n_labels, steps without a bit, nodes beyond n_labels - 2; none for a sound tree."""
+    labels = tree.select("label_idx").distinct()
+    rows = [
+        labels.where(F.col("label_idx") < n_labels).agg((F.lit(n_labels) - F.count(F.lit(1))).alias("n")).select(F.lit("labels without a path").alias("fault"), "n"),
+        labels.where(F.col("label_idx") >= n_labels).agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown labels").alias("fault"), "n"),
+        tree.where("bit is null or node is null").agg(F.count(F.lit(1)).alias("n")).select(F.lit("steps without a branch").alias("fault"), "n"),
+        tree.where(F.col("node") > n_labels - 2).agg(F.countDistinct("node").alias("n")).select(F.lit("unknown nodes").alias("fault"), "n"),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out.where("n > 0" if n_labels > 1 else "n > 0 and fault <> 'labels without a path'")
+
+
+def word_features(words: DataFrame, vocabulary: DataFrame, nwords: int, buckets: int, minn: int = 2, maxn: int = 5) -> DataFrame:
+    """token, known, ids of the distinct tokens of words (token): what a model with the vocabulary (word, word_id) reads for each.
+
+    A known word is its id, then its n-grams; an unknown one its n-grams alone; the end
+    token its id or nothing. Without n-grams (maxn 0) unknown words are nothing. Hashes are
+    taken once per distinct n-gram.
+    """
+    told = words.select("token").distinct().join(vocabulary.select(F.col("word").alias("token"), "word_id"), "token", "left")
+    own = F.when(F.col("word_id").isNotNull(), F.array(F.col("word_id").cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    if maxn <= 0:
+        return told.select("token", F.col("word_id").isNotNull().alias("known"), own.alias("ids"))
+    grams = told.where(F.col("token") != T.END_TOKEN).select("token", F.posexplode(T.subwords(F.col("token"), minn, maxn)).alias("pos", "g"))
+    hashed = grams.select("g").distinct().withColumn("fid", F.lit(nwords) + T.fnv1a(F.col("g")) % buckets)
+    lists = grams.join(hashed, "g").groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "fid"))), lambda x: x["fid"]).alias("subwords"))
+    rest = F.coalesce("subwords", F.array().cast("array<bigint>"))
+    return told.join(lists, "token", "left").select("token", F.col("word_id").isNotNull().alias("known"), F.concat(own, rest).alias("ids"))
+
+
 def huffman_probabilities(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     """doc_id, label_idx, p from node scores (doc_id, node, score) and the tree (label_idx, node, bit): product along each path."""
     step = F.log(F.greatest(F.when(F.col("bit"), F.col("score")).otherwise(1 - F.col("score")), F.lit(1e-12)))

@@ -98,6 +98,37 @@ def vocabulary_coverage(pieces: DataFrame, vocabulary: DataFrame, floor: float =
     return out.withColumn("ok", F.col("hits") >= floor * F.col("n"))
 
 
+def undeclared_keys(generated: DataFrame, declared: list[str]) -> DataFrame:
+    """key, n_models of generated fields (model_id, key, value) that neither the generator's list nor the human one declares; must be empty before a merge is written."""
+    return generated.where(~F.col("key").isin(*declared, *HUMAN)).groupBy("key").agg(F.countDistinct("model_id").alias("n_models"))
+
+
+def native_lookup(asked: DataFrame, codes: DataFrame) -> DataFrame:
+    """model_id, tag, native, supported: a model's own spelling of each asked tag (model_id, tag), and how many tags it has where it lacks this one."""
+    table = codes.groupBy("model_id", "tag").agg(F.min("native").alias("native"))
+    sizes = table.groupBy("model_id").agg(F.count(F.lit(1)).alias("supported"))
+    return asked.join(table, ["model_id", "tag"], "left").join(sizes, "model_id", "left").select("model_id", "tag", "native", F.coalesce("supported", F.lit(0)).alias("supported"))
+
+
+def special_tokens(maps: DataFrame) -> DataFrame:
+    """repo, name, token of special-token maps (repo, content as JSON text): a token is a string, or an object with its content; others don't count."""
+    raw = maps.select("repo", F.explode(F.from_json("content", "map<string,string>")).alias("name", "value")).where(F.col("name").isin("eos_token", "pad_token", "unk_token"))
+    token = F.when(F.col("value").startswith("{"), F.get_json_object("value", "$.content")).when(~F.col("value").rlike("^(\\[|true$|false$|-?[0-9])"), F.col("value"))
+    return raw.select("repo", "name", token.alias("token")).where("token is not null")
+
+
+def write_skipped(skipped: DataFrame, path: str) -> None:
+    """One JSON line per repository that was left out (repo, reason), by repository."""
+    skipped.select("repo", "reason").distinct().orderBy("repo", "reason").coalesce(1).write.mode("overwrite").json(path)
+
+
+def card_languages(cards: DataFrame) -> DataFrame:
+    """repo, languages of model cards (repo, language, language_bcp47, arrays or null): distinct, in order; null where a card lists none."""
+    none = F.array().cast("array<string>")
+    both = F.array_distinct(F.concat(F.coalesce("language", none), F.coalesce("language_bcp47", none)))
+    return cards.select("repo", F.when(F.size(both) > 0, both).alias("languages"))
+
+
 def provenance(repos: DataFrame, prefixes: DataFrame) -> DataFrame:
     """repo, org: the first prefix (pos, prefix, org) that the repository name starts with; null if none does."""
     hit = repos.join(F.broadcast(prefixes), F.col("repo").startswith(F.col("prefix")), "left")

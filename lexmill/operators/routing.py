@@ -206,6 +206,29 @@ def validate_routes(hops: DataFrame, requests: DataFrame, edge: DataFrame, model
     return requests.join(per, "route_id", "left").select("route_id", ends.alias("error"))
 
 
+def pinned_routes(asked: DataFrame, models: DataFrame, edge: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """req_id, src, tgt, error for requests that name their model (req_id, model_id, src, tgt; languages may be null).
+
+    A model of one pair goes its own way whatever is asked; others need both languages and an
+    edge. error: unknown_model, not_selected, languages_needed, not_covered, or null.
+    """
+    known = models.select("model_id", "pair", F.lit(True).alias("known"))
+    told = asked.join(known, "model_id", "left").withColumn("src", F.when(F.col("pair").isNotNull(), F.element_at("pair", 1)).otherwise(F.col("src"))).withColumn("tgt", F.when(F.col("pair").isNotNull(), F.element_at("pair", 2)).otherwise(F.col("tgt")))
+    told = told.join(edge.select("model_id", "src", "tgt").distinct().withColumn("covers", F.lit(True)), ["model_id", "src", "tgt"], "left")
+    allowed = (selected if selected is not None else models).select("model_id").distinct().withColumn("allowed", F.lit(True))
+    told = told.join(allowed, "model_id", "left")
+    error = (
+        F.when(F.col("known").isNull(), "unknown_model").when(F.col("allowed").isNull(), "not_selected").when(F.col("pair").isNotNull(), None)
+        .when(F.col("src").isNull() | F.col("tgt").isNull(), "languages_needed").when(F.col("covers").isNull(), "not_covered")
+    )
+    return told.select("req_id", "src", "tgt", error.alias("error"))
+
+
+def under_ceiling(ceiling_mb: int | None) -> Column:
+    """Whether a model (size_mb, cached) may be used without a download above the ceiling."""
+    return F.lit(True) if ceiling_mb is None or ceiling_mb <= 0 else (F.col("cached") | (F.col("size_mb") <= ceiling_mb))
+
+
 # Regions whose default script isn't that of their language, and the region a bare language defaults to.
 REGION_SCRIPTS = {"az-RU": "Cyrl", "az-IR": "Arab", "zh-TW": "Hant", "zh-HK": "Hant", "sr-ME": "Latn", "pa-PK": "Arab", "uz-AF": "Arab", "kk-CN": "Arab", "yue-CN": "Hans"}
 DEFAULT_REGIONS = {"es": "es-ES", "pt": "pt-PT", "en": "en-GB", "fr": "fr-FR", "de": "de-DE", "az": "az-AZ", "eu": "eu-ES", "gl": "gl-ES", "nl": "nl-NL", "yue": "yue-CN"}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import indic as I
 from lexmill.functions import labels as L
 from lexmill.functions import text as T
 from lexmill.operators import cache, crawl, decode, detect, quality, registry, routing
@@ -135,6 +136,17 @@ def moses_punct(spark, sf_dir):
     return _texts_and_strings(spark, sf_dir).select("id", F.md5(T.normalize_punctuation(F.col("s")).cast("binary")).alias("h"))
 
 
+@query(f"select id, md5({_chain_sql(_chain_sql('s', [(a.replace(I.S, '[' + _BLANK + ']'), b) for a, b in I.PUNCTUATION]), [('^[' + _BLANK + ']+|[' + _BLANK + ']+$', '')])}) as h from {_BOTH}", "strings")
+def indic_punct(spark, sf_dir):
+    return _texts_and_strings(spark, sf_dir).select("id", F.md5(I.normalize_punctuation(F.col("s")).cast("binary")).alias("h"))
+
+
+@query()
+def placeholder_round_trip(spark, sf_dir):
+    wrapped = _texts_and_strings(spark, sf_dir).withColumn("w", I.wrap_placeholders(F.col("s")))
+    return wrapped.select("id", F.size("w.entities").alias("n"), F.md5(F.col("w.text").cast("binary")).alias("wrapped"), F.md5(I.restore_placeholders(F.col("w.text"), F.col("w.entities")).cast("binary")).alias("restored"))
+
+
 def _replaces(column: str) -> str:
     for old, new in T.CLEAN_UP:
         column = "replace({}, '{}', '{}')".format(column, old.replace("'", "''"), new.replace("'", "''"))
@@ -201,6 +213,18 @@ def available_languages(spark, sf_dir):
     return L.label_maps(table(spark, "labels_list")).agg(F.countDistinct("tag").alias("n_languages"))
 
 
+_NORMAL = f"""with t as (select id, trim(tag) as own, lower(trim(tag)) as low, regexp_replace(trim(tag), '^(.+)-([A-Z][a-z]{{3}})$', '\\1_\\2') as label from tags_list),
+n as (select *, contains(label, '_') or regexp_matches(label, '^\\p{{L}}{{2,3}}$') as by_label, case when contains(label, '_') then lower(regexp_extract(label, '^(.+)_[^_]+$', 1)) else lower(label) end as code, nullif(regexp_extract(label, '_([^_]+)$', 1), '') as script, string_split(own, '-') as parts from t),
+m as (select *, coalesce({_map_sql(L.MACRO, 'code')}, code) as c2 from n), b as (select *, coalesce({_map_sql(L.SHORT, 'c2')}, c2) as base from m),
+o as (select id, own, low, case when by_label then case when script is not null and (base in ('zh', 'sr') or coalesce({_map_sql(L.SCRIPTS, 'base')}, 'Latn') <> script) then base || '-' || script else base end
+ when regexp_matches(own, '^[A-Za-z]{{2,8}}(-[A-Za-z0-9]{{1,8}})*$') then array_to_string(list_prepend(coalesce({_map_sql(L.SHORT, 'lower(parts[1])')}, lower(parts[1])), list_transform(parts[2:], lambda p: case when regexp_matches(p, '^[A-Za-z]{{2}}$') then upper(p) when regexp_matches(p, '^[A-Za-z]{{4}}$') then upper(p[1]) || lower(p[2:]) else lower(p) end)), '-') end as found from b)"""
+
+
+@query(_NORMAL + f" select id, case when own = '' then null else coalesce({_map_sql(L.NONSTANDARD, 'low')}, found) end as strict, case when own = '' then null else coalesce({_map_sql(L.NONSTANDARD, 'low')}, found, low) end as lenient from o", "tags_list")
+def normalize_tags(spark, sf_dir):
+    return table(spark, "tags_list").select("id", L.normalize_tag(F.col("tag"), strict=True).alias("strict"), L.normalize_tag(F.col("tag")).alias("lenient"))
+
+
 # --- detection -------------------------------------------------------------------------------
 
 _LID = f"""with d as (select doc_id, lang, text, source, coalesce(('0x' || substr(md5(text), 1, 2))::int % 5 <> 0, false) as training, {_at(_STATUS, 'text')} as status from documents),
@@ -263,6 +287,37 @@ def lid_accuracy_by_source(spark, sf_dir):
     return found.union(refused).groupBy("source").agg(F.sum((F.col("status") == "OK").cast("int")).alias("n"), F.sum("right").alias("right"), F.sum((F.col("status") != "OK").cast("int")).alias("refused"))
 
 
+@query("select 'labels without a path' as fault, 5 - count(distinct label_idx) filter (label_idx < 5) as n from broken_tree union all select 'steps without a branch', count(*) from broken_tree where bit is null or node is null union all select 'unknown nodes', count(distinct node) from broken_tree where node > 3", "broken_tree")
+def hs_tree_faults(spark, sf_dir):
+    return detect.tree_faults(table(spark, "broken_tree"), 5)
+
+
+@query()
+def hs_tree(spark, sf_dir):
+    """The tree over languages and sources, by how many documents each has."""
+    n = _read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    ranked = n.withColumn("label_idx", F.row_number().over(Window.orderBy(F.desc("n"), "lang", "source")) - 1)  # a row per label
+    return detect.huffman_tree(ranked)
+
+
+@query(
+    f"""with t as (select doc_id, unnest({_at(_TOKENS, 'text')}) as token from documents), w as (select distinct token from t),
+    v as (select word, (row_number() over (order by word) - 1) as word_id from (select distinct unnest({_at(_TOKENS, 'text')}) as word from benchmark)),
+    g as (select token, unnest({_at(_GRAMS, chr(39) + '<' + chr(39) + ' || token || ' + chr(39) + '>' + chr(39), 2, 5)}) as g from w where token <> '</s>'), h as (select g, 100000 + {_at(_FNV, 'g')} % 65536 as fid from (select distinct g from g)),
+    f as (select token, count(*) as n, sum(fid) as s from g join h using (g) group by token),
+    per as (select w.token, v.word_id is not null as known, coalesce(f.n, 0) + (v.word_id is not null)::int as n, coalesce(f.s, 0) + coalesce(v.word_id, 0) as s from w left join v on v.word = w.token left join f on f.token = w.token)
+    select doc_id, sum(known::int)::bigint as n_known, sum(n)::bigint as n_ids, sum(s)::bigint as id_sum from t join per using (token) group by doc_id"""
+)
+def known_word_features(spark, sf_dir):
+    own = F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")
+    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(own).alias("token"))
+    vocabulary = _read(spark, sf_dir, "benchmark").select(F.explode(own).alias("word")).distinct().withColumn("word_id", F.row_number().over(Window.orderBy("word")) - 1)  # a model's vocabulary
+    per = detect.word_features(words, vocabulary, 100_000, 65_536)
+    per = per.select("token", F.col("known").cast("long").alias("k"), F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("s"))
+    counts = words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("m"))
+    return counts.join(per, "token").groupBy("doc_id").agg(F.sum(F.col("m") * F.col("k")).alias("n_known"), F.sum(F.col("m") * F.col("n")).alias("n_ids"), F.sum(F.col("m") * F.col("s")).alias("id_sum"))
+
+
 @query("select doc_id, label_idx, round(exp(sum(ln(greatest(case when bit then score else 1 - score end, 1e-12)))), 6) as p from node_scores join hs_tree using (node) group by doc_id, label_idx", "hs_tree", "node_scores")
 def hs_probs(spark, sf_dir):
     return detect.huffman_probabilities(table(spark, "node_scores"), table(spark, "hs_tree")).select("doc_id", "label_idx", F.round("p", 6).alias("p"))
@@ -451,6 +506,23 @@ def validate_routes(spark, sf_dir):
     return routing.validate_routes(table(spark, "given_hops"), table(spark, "given_routes"), _edge(spark, m), m)
 
 
+@query(
+    _EDGES + """ select p.req_id, coalesce(m.pair[1], p.src) as src, coalesce(m.pair[2], p.tgt) as tgt, case when m.model_id is null then 'unknown_model' when not m.runnable then 'not_selected' when m.pair is not null then null when p.src is null or p.tgt is null then 'languages_needed'
+    when not exists (from edge e where e.model_id = p.model_id and e.src = p.src and e.tgt = p.tgt) then 'not_covered' end as error from pinned p left join models m using (model_id)""",
+    "models", "barred", "pinned",
+)
+def pinned_routes(spark, sf_dir):
+    m = table(spark, "models")
+    return routing.pinned_routes(table(spark, "pinned"), m, _edge(spark, m), m.where("runnable"))
+
+
+@query(_EDGES + " select src, tgt, count(*) as n from edge join models using (model_id) where cached or size_mb <= 170 group by all", "models", "barred")
+def edges_under_ceiling(spark, sf_dir):
+    m = table(spark, "models")
+    kept = m.where(routing.under_ceiling(170)).select("model_id")
+    return _edge(spark, m).join(kept, "model_id", "left_semi").groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("n"))
+
+
 _PAIRS = f""", nodes as (select distinct unnest([src, tgt]) as lang from edge join models using (model_id) where runnable),
 tags as (select distinct unnest([src, tgt]) as tag from regional_requests),
 forms as (select tag, case when regexp_matches(tag, '^[a-z]{{2,3}}-([A-Z]{{2}}|[0-9]{{3}})$') and {_map_sql(routing.REGION_SCRIPTS, 'tag')} is null and split_part(tag, '-', 1) in (from nodes) then split_part(tag, '-', 1) else tag end as based,
@@ -526,6 +598,26 @@ def registry_losses(spark, sf_dir):
     return registry.curated_losses(table(spark, "old_fields"), _merged(spark))
 
 
+@query("select key, count(distinct model_id) as n_models from new_fields where key not in ('size_mb', 'notes', 'quality', 'language_flags') group by key", "new_fields")
+def undeclared_keys(spark, sf_dir):
+    return registry.undeclared_keys(table(spark, "new_fields"), ["size_mb"])
+
+
+@query("select a.model_id, a.tag, (select min(native) from codes c where c.model_id = a.model_id and c.tag = a.tag) as native, (select count(distinct tag) from codes c where c.model_id = a.model_id) as supported from asked_codes a", "asked_codes", "codes")
+def native_code_lookup(spark, sf_dir):
+    return registry.native_lookup(table(spark, "asked_codes"), table(spark, "codes"))
+
+
+@query("with j as (select repo, case when json_valid(content) then content::json end as c from token_maps), n as (select repo, unnest(['eos_token', 'pad_token', 'unk_token']) as name, c from j), v as (select repo, name, json_extract(c, '$.' || name) as v from n) select repo, name, case when json_type(v) = 'VARCHAR' then v ->> '$' else v ->> '$.content' end as token from v where json_type(v) = 'VARCHAR' or json_type(v) = 'OBJECT' and json_type(v, '$.content') = 'VARCHAR'", "token_maps")
+def special_tokens(spark, sf_dir):
+    return registry.special_tokens(table(spark, "token_maps"))
+
+
+@query("with x as (select repo, list_distinct(list_concat(coalesce(language, []), coalesce(language_bcp47, []))) as l from cards) select repo, case when len(l) > 0 then array_to_string(list_sort(l), ',') end as languages from x", "cards")
+def card_languages(spark, sf_dir):
+    return registry.card_languages(table(spark, "cards")).select("repo", F.array_join(F.array_sort("languages"), ",").alias("languages"))
+
+
 @query("select distinct model_id, 'added' as change from new_fields where model_id not in (select model_id from old_fields) union all select distinct model_id, 'removed' from old_fields where model_id not in (select model_id from new_fields)", "old_fields", "new_fields")
 def registry_drift(spark, sf_dir):
     return registry.drift(table(spark, "old_fields"), table(spark, "new_fields"))

@@ -54,6 +54,12 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         ("i/indic", ["encoder_model.onnx"], "IndicTrans", None, None), ("n/nos", ["encoder_model.onnx", "onmt_vocab.json"], "pegasus", None, None), ("n/peg", ["encoder_model.onnx", "tokenizer.json"], "pegasus", None, None), ("n/odd", ["encoder_model.onnx"], "pegasus", None, None), ("m/mbart", ["encoder_model.onnx"], "mbart", None, None), ("m/m2m", ["encoder_model.onnx", "vocab.json"], "m2m_100", None, None), ("m/nllb", ["encoder_model.onnx"], "m2m_100", None, None), ("x/other", ["readme.md"], None, None, None)]),
     "pieces": ("repo string, piece string", [("t/madlad", "<2en>"), ("t/madlad", "<2es_419>"), ("t/madlad", "<2CA>"), ("t/madlad", "<2itc>"), ("t/madlad", "en"), ("o/g", ">>por<<"), ("o/g", ">>lat_Latn<<"), ("o/g", ">>sla<<"), ("o/g", "<<x>>")]),
     "prefixes": ("pos int, prefix string, org string", [(0, "Helsinki-NLP/opus-tatoeba", "Tatoeba"), (1, "Helsinki-NLP/", "Helsinki-NLP"), (2, "HiTZ/", "HiTZ"), (3, "proxectonos/", "Proxecto Nós")]),
+    "tags_list": ("id int, tag string", list(enumerate(["por_Latn", "pt", "POR", " eng ", "ace-Arab", "fr-ca", "az-RU", "zho_Hans", "cmn-Hans", "ext-PT-x-Barrancos", "", "  ", "not a tag", "x", "eng-us", "sr-Latn", "arb_Arab", "1234", "es-419"]))),
+    "pinned": ("req_id int, model_id string, src string, tgt string", [(1, "pair-en-es", None, None), (2, "pair-en-es", "fr", "de"), (3, "wide-a", "en", "fr"), (4, "wide-a", "en", None), (5, "wide-a", "en", "eu"), (6, "nobody", "en", "fr"), (7, "broken", "sw", "en"), (8, "wide-a", "en", "gl")]),
+    "broken_tree": ("label_idx int, node int, bit boolean", [(0, 1, False), (1, 0, None), (1, 1, True), (4, 0, False), (4, 7, True)]),
+    "asked_codes": ("model_id string, tag string", [("m1", "pt"), ("m1", "eu"), ("m2", "es"), ("m9", "es")]),
+    "token_maps": ("repo string, content string", [("r1", '{"pad_token": "<pad>", "eos_token": "</s>", "bos_token": "<s>"}'), ("r2", '{"pad_token": {"content": "<blank>", "lstrip": false}, "unk_token": ["x"], "eos_token": 3}'), ("r3", "not json"), ("r4", None)]),
+    "cards": ("repo string, language array<string>, language_bcp47 array<string>", [("a", ["en", "es"], ["es", "pt-BR"]), ("b", None, ["fr"]), ("c", [], None), ("d", None, None)]),
     "licences": ("repo string, card string, readme string", [("r1", "apache-2.0", None), ("r2", None, "License: CC-BY-NC-4.0 and more"), ("r3", "cc-by-sa-4.0", "x"), ("r4", None, "none told"), ("r5", "proprietary", None)]),
     "labels_list": ("label_idx int, raw string", list(enumerate("__label__eng_Latn arb_Arab ajp_Arab zho_Hans zho_Hant yue_Hani pt __label__srp_Cyrl ell_Latn ell_Grek swh_Latn nan_lang cmn_Hani por_Latn kor_Hang".split()))),
     "hs_tree": ("label_idx int, node int, bit boolean", [(0, 1, False), (1, 0, True), (1, 1, True), (2, 0, False), (2, 1, True)]),
