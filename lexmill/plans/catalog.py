@@ -85,16 +85,17 @@ def fnv_buckets(spark, sf_dir):
 
 
 @query(
-    f"""with t as (select item_id, unnest({_at(_TOKENS, 'text')}) as token from benchmark), d as (select distinct token, '<' || token || '>' as w from t),
+    f"""with t as (select doc_id, unnest({_at(_TOKENS, 'text')}) as token from documents), d as (select distinct token, '<' || token || '>' as w from t),
     g as (select token, unnest({_at(_GRAMS, 'w', 2, 5)}) as g from d), u as (select distinct g from g), h as (select g, 1000 + {_at(_FNV, 'g')} % 65536 as fid from u),
     f as (select token, count(*) as n, sum(fid) as s, min(fid) as lo, max(fid) as hi from g join h using (g) group by token)
-    select item_id, sum(n)::bigint as n_ids, sum(s)::bigint as id_sum, min(lo)::bigint as lo, max(hi)::bigint as hi from t join f using (token) group by item_id"""
+    select doc_id, sum(n)::bigint as n_ids, sum(s)::bigint as id_sum, min(lo)::bigint as lo, max(hi)::bigint as hi from t join f using (token) group by doc_id"""
 )
 def feature_ids(spark, sf_dir):
-    words = _read(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("token")).where(F.col("token") != T.END_TOKEN)
-    ids = words.select("token").distinct().select("token", T.subword_ids(F.col("token"), 1000, 65536).alias("ids"))
-    per = ids.select("token", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("s"), F.array_min("ids").alias("lo"), F.array_max("ids").alias("hi"))
-    return words.join(per, "token").groupBy("item_id").agg(F.sum("n").alias("n_ids"), F.sum("s").alias("id_sum"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(detect.words_of(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("m"))
+    grams = words.select("token").distinct().select("token", F.explode(T.subwords(F.col("token"))).alias("g"))
+    ids = detect.with_ids(grams, 65_536).select("g", (F.col("fid") + 1000).alias("fid"))
+    per = grams.join(ids, "g").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("fid").alias("s"), F.min("fid").alias("lo"), F.max("fid").alias("hi"))
+    return words.join(per, "token").groupBy("doc_id").agg(F.sum(F.col("m") * F.col("n")).alias("n_ids"), F.sum(F.col("m") * F.col("s")).alias("id_sum"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 @query("select doc_id, len(string_split(text, chr(10)))::bigint as n_lines, list_aggregate(list_transform(string_split(text, chr(10)), lambda x: length(x)), 'max')::bigint as longest, array_to_string(string_split(text, chr(10)), chr(10)) = text as same from documents")
@@ -175,14 +176,14 @@ def sentence_split(spark, sf_dir):
 
 
 @query(
-    """with t as (select item_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: length(x)) as ids from benchmark),
-    c as (select item_id, ids, ids[len(ids) - 0 : len(ids)] as tail1, len(ids) as n from t)
-    select item_id, coalesce(list_sort(list_distinct(list_transform(list_filter(range(1, n), lambda i: ids[i] = ids[n]), lambda i: ids[i + 1]))), [])::bigint[]::varchar as bans from c"""
+    """with t as (select doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: length(x)) as ids from documents),
+    c as (select doc_id, ids, len(ids) as n from t)
+    select doc_id, coalesce(list_sort(list_distinct(list_transform(list_filter(range(1, n), lambda i: ids[i] = ids[n]), lambda i: ids[i + 1]))), [])::bigint[]::varchar as bans from c"""
 )
 def ngram_ban(spark, sf_dir):
-    ids = F.transform(F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != ""), F.length)
-    bans = _read(spark, sf_dir, "benchmark").select("item_id", T.repeated_ngram_bans(ids, 2).alias("b"))
-    return bans.select("item_id", F.concat(F.lit("["), F.array_join("b", ", "), F.lit("]")).alias("bans"))
+    """Word lengths stand for tokens."""
+    bans = _read(spark, sf_dir, "documents").select("doc_id", T.repeated_ngram_bans(F.transform(detect.words_of(F.col("text")), F.length), 2).alias("b"))
+    return bans.select("doc_id", F.concat(F.lit("["), F.array_join("b", ", "), F.lit("]")).alias("bans"))
 
 
 # --- labels and tags -------------------------------------------------------------------------
@@ -593,9 +594,17 @@ def registry_merge(spark, sf_dir):
     return _merged(spark)
 
 
-@query(_MERGE + " select model_id, key from old_fields o where key in ('notes', 'quality', 'language_flags') and not exists (from merged m where m.model_id = o.model_id and m.key = o.key and m.value is not distinct from o.value)", "old_fields", "new_fields")
+@query("select model_id, key from old_fields o where key in ('notes', 'quality', 'language_flags') and not exists (from new_fields m where m.model_id = o.model_id and m.key = o.key and m.value is not distinct from o.value)", "old_fields", "new_fields")
 def registry_losses(spark, sf_dir):
-    return registry.curated_losses(table(spark, "old_fields"), _merged(spark))
+    """What writing the generated fields as they are, without a merge, would lose."""
+    return registry.curated_losses(table(spark, "old_fields"), table(spark, "new_fields"))
+
+
+@query(_MERGE + " select count(*) as n from old_fields o where model_id in (select model_id from new_fields) and key in ('notes', 'quality', 'language_flags') and not exists (from merged m where m.model_id = o.model_id and m.key = o.key and m.value is not distinct from o.value)", "old_fields", "new_fields")
+def merge_losses(spark, sf_dir):
+    """A merge loses none."""
+    kept = table(spark, "old_fields").join(table(spark, "new_fields").select("model_id").distinct(), "model_id", "left_semi")
+    return registry.curated_losses(kept, _merged(spark)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select key, count(distinct model_id) as n_models from new_fields where key not in ('size_mb', 'notes', 'quality', 'language_flags') group by key", "new_fields")
@@ -675,17 +684,19 @@ def memory_plan(spark, sf_dir):
 
 
 @query(
-    f"with p as (select source as model_id, unnest({_at(_TOKENS, 'text')}) as piece from documents), v as (select distinct source as model_id, piece from (select source, doc_id, unnest({_at(_TOKENS, 'text')}) as piece from documents) where doc_id >= 500), pp as (select distinct * from p) "
+    f"with p as (select source as model_id, unnest({_at(_TOKENS, 'text')}) as piece from documents), v as (select distinct source as model_id, piece from (select source, lang, unnest({_at(_TOKENS, 'text')}) as piece from documents) where lang in ('en', 'de')), pp as (select distinct * from p) "
     "select pp.model_id, count(*)::bigint as n, count(v.piece)::bigint as hits, count(v.piece) >= 0.9 * count(*) as ok from pp left join v using (model_id, piece) group by pp.model_id"
 )
 def vocab_coverage(spark, sf_dir):
-    pieces = _read(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "doc_id", F.explode(F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")).alias("piece"))
-    return registry.vocabulary_coverage(pieces.select("model_id", "piece").distinct(), pieces.where("doc_id >= 500"))
+    """What a vocabulary made of the English and German texts of a source covers of all its texts."""
+    pieces = _read(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "lang", F.explode(F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")).alias("piece"))
+    return registry.vocabulary_coverage(pieces.select("model_id", "piece").distinct(), pieces.where("lang in ('en', 'de')"))
 
 
 @query()
 def lru_trace(spark, sf_dir):
-    log = _read(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(16)).alias("cache"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), F.pmod(F.xxhash64("user_id", "event_type"), F.lit(24)).cast("string")).alias("model_id"))
+    """A cache for each user; a user's whole log is one group."""
+    log = _read(spark, sf_dir, "events").select(F.col("user_id").alias("cache"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), F.pmod(F.xxhash64("user_id", "event_type"), F.lit(24)).cast("string")).alias("model_id"))
     return cache.lru_trace(log.withColumn("size_mb", (F.length("model_id") * 100).cast("double")), 4, 900.0)
 
 
