@@ -10,8 +10,8 @@ already ruled out (symbol exclusion); below order 0 every byte left is equally l
 Spark carries it so: texts are dealt into buckets; each bucket sends its distinct grams
 (and distinct words) with their training counts to ranges of a hash of the context, so the
 children of a node meet in one task. Grams seen in training are settled there. The others,
-a few in a hundred, are settled by the lower orders, for which grams are dealt by the last
-two bytes of the context: contexts of orders 4, 3 and 2 of a gram share them. Orders 1 and 0
+a few in a hundred, are settled by the lower orders: one join after the other, of the grams
+still open with the contexts of that order, a row of at most 256 symbols each. Orders 1 and 0
 are a table of 256 x 256 counts, small by construction. Every bucket is told one number per
 distinct gram and sums them over its texts. Counts cover all training texts.
 """
@@ -235,65 +235,82 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(kinds, pa.int32()), pa.array(grams, pa.int64()), pa.array(ns, pa.int64()), pa.array(scores), pa.array([None] * (1 + len(low)) + [blobs[k] for k in back], pa.binary())], schema=_PARTS)
 
 
-def _settle(pairs: np.ndarray, parts: int):
-    """Range and score of unseen grams by orders 4 to 2 of their own tables, then 1 and 0 (pairs[a, b]: how often b follows a), then evenly."""
-    zero = pairs.sum(axis=0)
-
-    def run(tables: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("part", pa.int32()), ("gram", pa.int64()), ("score", pa.float64())])
-        if not asked.num_rows:
-            return schema.empty_table()
-        grams = np.asarray(asked.column("gram").combine_chunks()).view(U64)
-        score = np.array(asked.column("score").combine_chunks())
-        out = np.unpackbits(np.frombuffer(b"".join(asked.column("ruled_out").to_pylist()), np.uint8).reshape(-1, 32), axis=1).astype(bool)
-        low = np.asarray(tables.column("gram").combine_chunks()).view(U64) if tables.num_rows else np.zeros(0, U64)
-        low_n = np.asarray(tables.column("n").combine_chunks()).astype(float) if tables.num_rows else np.zeros(0)
-        symbol = (grams & U64(255)).astype(I64)
-        by_context = {}  # of each order from 4 to 2: the counts sorted by context
-        for order in (4, 3, 2):
-            own = (low & U64((1 << (8 * (order + 1))) - 1)) >> U64(8)
-            sort = np.argsort(own, kind="stable")
-            by_context[order] = own[sort], (low[sort] & U64(255)).astype(I64), low_n[sort]
-        for at in range(0, len(grams), 2048):
-            part = slice(at, at + 2048)
-            todo = np.ones(len(grams[part]), bool)
-            for order in range(4, -2, -1):
-                mine = np.flatnonzero(todo)
-                if not len(mine):
-                    break
-                ruled = out[part][mine]
-                if order >= 2:
-                    mask = U64((1 << (8 * (order + 1))) - 1)
-                    context, back = np.unique((grams[part][mine] & mask) >> U64(8), return_inverse=True)
-                    own, symbols, counts = by_context[order]
-                    first, last = np.searchsorted(own, context), np.searchsorted(own, context, side="right")
-                    size = last - first
-                    place = np.repeat(np.arange(len(context)), size)
-                    held = np.arange(len(place)) + np.repeat(first - np.cumsum(size) + size, size)
-                    grid = np.bincount(256 * place + symbols[held], counts[held], 256 * len(context)).reshape(-1, 256)
-                    rows = grid[back]
-                elif order == 1:
-                    rows = pairs[((grams[part][mine] >> U64(8)) & U64(255)).astype(I64)].astype(float)
-                elif order == 0:
-                    rows = np.broadcast_to(zero.astype(float), (len(mine), 256))
-                else:
-                    score[part.start + mine] -= np.log10(256 - ruled.sum(axis=1))
-                    break
-                rows = np.where(ruled, 0.0, rows)
-                n, d = rows.sum(axis=1), (rows > 0).sum(axis=1)
-                c = rows[np.arange(len(mine)), symbol[part][mine]]
-                found = c > 0
-                score[part.start + mine[found]] += np.log10(c[found] / (n + d)[found])
-                escape = ~found & (n > 0)
-                score[part.start + mine[escape]] += np.log10(d[escape] / (n + d)[escape])
-                out[part.start + mine] |= rows > 0
-                todo[mine[found]] = False
-        part = _ranged(wh.mix(grams >> U64(8)), parts).astype(np.int32)
-        return pa.table([pa.array(part), pa.array(grams.view(I64)), pa.array(score)], schema=schema)
+_OPEN = "part int, gram long, score double, ruled_out binary"
+_OPEN_SCHEMA = pa.schema([("part", pa.int32()), ("gram", pa.int64()), ("score", pa.float64()), ("ruled_out", pa.binary())])
+SLICE = 2048
+
+
+def _tried(rows: np.ndarray, symbol: np.ndarray, score: np.ndarray, ruled: np.ndarray) -> np.ndarray:
+    """Which grams are found among the counts of their contexts (rows), in which score and ruled (symbols ruled out) advance in place."""
+    rows = np.where(ruled, 0.0, rows)
+    n, d = rows.sum(axis=1), (rows > 0).sum(axis=1)
+    c = rows[np.arange(len(rows)), symbol]
+    found = c > 0
+    score[found] += np.log10(c[found] / (n + d)[found])
+    escape = ~found & (n > 0)
+    score[escape] += np.log10(d[escape] / (n + d)[escape])
+    ruled |= rows > 0
+    return found
+
+
+def _settle(parts: int, pairs: np.ndarray | None):
+    """One order of unseen grams (gram, score, ruled_out, symbols: the counts of its context): range, gram, score and what is ruled out now, null once settled.
+
+    With pairs (pairs[a, b]: how often b follows a) orders 1 and 0 and even shares come after it, so all are settled.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                grams = np.asarray(batch.column("gram")).view(U64)
+                score = np.array(batch.column("score"))
+                ruled = np.unpackbits(np.frombuffer(b"".join(batch.column("ruled_out").to_pylist()), np.uint8).reshape(-1, 32), axis=1).astype(bool)
+                symbol = (grams & U64(255)).astype(I64)
+                lists = batch.column("symbols")
+                own = np.repeat(np.arange(len(grams)), np.asarray(lists.value_lengths()))
+                held = lists.flatten()
+                rows = np.zeros((len(grams), 256))
+                rows[own, np.asarray(held.field(0)).astype(I64)] = np.asarray(held.field(1))
+                todo = ~_tried(rows, symbol, score, ruled)
+                for table in () if pairs is None else (pairs[((grams >> U64(8)) & U64(255)).astype(I64)], np.broadcast_to(pairs.sum(axis=0), rows.shape)):
+                    mine = np.flatnonzero(todo)
+                    own_score, own_ruled = score[mine], ruled[mine]
+                    found = _tried(table[mine].astype(float), symbol[mine], own_score, own_ruled)
+                    score[mine], ruled[mine] = own_score, own_ruled
+                    todo[mine[found]] = False
+                if pairs is not None:
+                    score[todo] -= np.log10(256 - ruled[todo].sum(axis=1))
+                    todo[:] = False
+                masks = [x.tobytes() if left else None for x, left in zip(np.packbits(ruled, axis=1), todo.tolist(), strict=True)]
+                part = _ranged(wh.mix(grams >> U64(8)), parts).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("gram"), pa.array(score), pa.array(masks, pa.binary())], schema=_OPEN_SCHEMA)
 
     return run
 
 
+def _settled(model: DataFrame, parts: int, pairs: np.ndarray) -> DataFrame:
+    """part, gram, score of all unseen grams of the model, by orders 4, 3 and 2, each of which gets what the one before left open.
+
+    A context is one row of at most 256 symbols, so this is a join in which no row is large and a common context may be split.
+    """
+    spark, done = model.sparkSession, None
+    left = model.where("kind = 2").select("gram", "score", "ruled_out")
+    for order in (4, 3, 2):
+        mask = F.lit((1 << (8 * order)) - 1)
+        context = F.shiftright("gram", 8).bitwiseAND(mask).alias("context")
+        counts = model.where("kind = 1").groupBy(context, F.col("gram").bitwiseAND(255).cast("short").alias("s")).agg(F.sum("n").alias("n"))
+        table = counts.groupBy("context").agg(F.collect_list(F.struct("s", "n")).alias("symbols"))
+        none = F.array().cast("array<struct<s:smallint,n:bigint>>")
+        met = left.withColumn("context", F.shiftright("gram", 8).bitwiseAND(mask)).join(table, "context", "left").select("gram", "score", "ruled_out", F.coalesce("symbols", none).alias("symbols"))
+        path = scratch(spark, f"ppm-order-{order}")
+        met.mapInArrow(_settle(parts, pairs if order == 2 else None), _OPEN).write.parquet(path)
+        tried = spark.read.schema(_OPEN).parquet(path)
+        now = tried.where("ruled_out is null").select("part", "gram", "score")
+        done, left = now if done is None else done.union(now), tried.where("ruled_out is not null")
+    return done
+
+
 def _answer(table: pa.Table, settled: pa.Table) -> pa.Table:
     """Per bucket: the score of each gram it sent and the training count of each word."""
     if not table.num_rows:
@@ -361,16 +378,10 @@ def language_scores(docs: DataFrame) -> DataFrame:
     model = spark.read.schema("gram long, n long, score double, ruled_out binary, kind int").parquet(path)
     totals = model.where("kind = 0").agg(F.sum("n").alias("n"), F.sum("gram").alias("v")).first()
     train, kinds = totals["n"] or 0, totals["v"] or 0
-    lower = model.where("kind = 1").groupBy("gram").agg(F.sum("n").alias("n"))
     pairs = np.zeros((256, 256), I64)
-    for row in lower.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("p")).agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
+    for row in model.where("kind = 1").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("p")).agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
         pairs[row["p"] >> 8, row["p"] & 255] = row["n"]
-    suffix = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
-    tables, asked = lower.withColumn("suffix", suffix), model.where("kind = 2").select("gram", "score", "ruled_out").withColumn("suffix", suffix)
-    settled = tables.groupBy("suffix").cogroup(asked.groupBy("suffix")).applyInArrow(_settle(pairs, parts), "part int, gram long, score double")
-    settled_path = scratch(spark, "ppm-settled")
-    settled.write.parquet(settled_path)
-    settled = spark.read.schema("part int, gram long, score double").parquet(settled_path)
+    settled = _settled(model, parts, pairs)
     replies = sent.groupBy("part").cogroup(settled.groupBy("part")).applyInArrow(_answer, _SPAN)
     scored = buckets.cogroup(replies.repartition(n, "bucket").groupBy("bucket")).applyInArrow(_score(parts), "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
     base = F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(train + 0.1 * (kinds + 1))))
