@@ -147,9 +147,14 @@ def placeholder_matches(text: Column, kind: str) -> Column:
 
 def repeated_ngram_bans(ids: Column, n: int) -> Column:
     """Next tokens that would repeat an n-gram of the sequence so far; n >= 2."""
-    tail = F.slice(ids, F.greatest(F.size(ids) - n + 2, F.lit(1)), n - 1)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ids) - n + 1, F.lit(1))), lambda i: (i + n - 1 <= F.size(ids)) & (F.slice(ids, i, n - 1) == tail))
-    return F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.element_at(ids, (i + n - 1).cast("int")))))
+
+    def bans(ids: Column) -> Column:
+        tail = F.slice(ids, F.greatest(F.size(ids) - n + 2, F.lit(1)), n - 1)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ids) - n + 1, F.lit(1))), lambda i: (i + n - 1 <= F.size(ids)) & (F.slice(ids, i, n - 1) == tail))
+        return F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.element_at(ids, (i + n - 1).cast("int")))))
+
+    # bound as a variable: an expression within a lambda is worked out again for every element
+    return F.element_at(F.transform(F.array(ids), bans), 1)
 
 
 #: Signs that may close a sentence after its stop, and stops with and without white space after them.
