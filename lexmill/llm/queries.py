@@ -77,6 +77,24 @@ def op10_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.merkle import manifest_table
+
+    return manifest_table(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.fill_middle import fill_in_middle_table
+
+    return fill_in_middle_table(_table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.windows import pack_windows
+
+    return pack_windows(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -160,5 +178,70 @@ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id =
 """
 
 
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _crc32(text: str) -> str:
+    """Bit by bit, of a text of one-byte characters."""
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda y: ascii(y)::bigint)), lambda c, b: {byte}), 4294967295)"
+
+
+def _trees(leaves: str, name: str) -> str:
+    """All nodes of the trees over leaves (g, i, n, h): name (g, k, i, n, h)."""
+    return f"""
+{name} as (
+  select g, 0 as k, i, n, h from {leaves}
+  union all
+  select g, k + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from {name} where n > 1 group by g, k, i // 8, n)"""
+
+
+#: Op 11: trees level by level, siblings by their coordinates, and every row folded step by step.
+_OP11 = f"""
+with recursive d as (select *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered, coalesce('=' || lang, '') as g from documents),
+tampered as (select *, coalesce({_crc32('doc_id::varchar')} % 3 = 0, false) as hit from d),
+digests as (select doc_id, g, {_leaf('text')} as leaf, case when hit then {_leaf('lowered')} else {_leaf('text')} end as other from tampered),
+rows as (select *, row_number() over () as r, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as n from digests),
+lower_leaves as (select g, i, n, leaf as h from rows),{_trees('lower_leaves', 'lower_tree')},
+subroots as (select g, h from lower_tree where n = 1),
+upper_leaves as (select 0 as g, row_number() over (order by g) - 1 as i, count(*) over () as n, h from subroots),{_trees('upper_leaves', 'upper_tree')},
+tops as (select s.g, s.h, u.i, u.n from (select g, h, row_number() over (order by g) - 1 as i from subroots) s join upper_leaves u using (i)),
+top as (select h as root from upper_tree where n = 1),
+levels as (
+  select r.r, t.k, string_agg(t.h, '' order by t.i) filter (t.i < r.i // (8 ** t.k)::bigint) as before, string_agg(t.h, '' order by t.i) filter (t.i > r.i // (8 ** t.k)::bigint) as after
+  from rows r join lower_tree t on t.g = r.g and t.n > 1 and t.i // 8 = (r.i // (8 ** t.k)::bigint) // 8 group by r.r, t.k
+  union all
+  select r.r, 100 + t.k, string_agg(t.h, '' order by t.i) filter (t.i < p.i // (8 ** t.k)::bigint), string_agg(t.h, '' order by t.i) filter (t.i > p.i // (8 ** t.k)::bigint)
+  from rows r join tops p using (g) join upper_tree t on t.n > 1 and t.i // 8 = (p.i // (8 ** t.k)::bigint) // 8 group by r.r, t.k),
+steps as (select *, row_number() over (partition by r order by k) as step from levels),
+folded as (
+  select r, 0 as step, other as h from rows
+  union all
+  select f.r, f.step + 1, sha256(coalesce(s.before, '') || f.h || coalesce(s.after, '')) from folded f join steps s on s.r = f.r and s.step = f.step + 1),
+ends as (select r, arg_max(h, step) as folded_root from folded group by r),
+proofs as (select r, sha256(string_agg(coalesce(before, '') || coalesce(after, ''), '' order by step)) as p from steps group by r)
+select doc_id, leaf, tops.h as subroot, root, coalesce(p, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from rows join tops using (g) cross join top join ends using (r) left join proofs using (r)
+"""
+
+#: Op 12: cuts by code points; what is restored is cut from the output at its marks.
+_OP12 = """
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '-')) as h from documents),
+draws as (select *, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+cuts as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from draws),
+made as (
+  select *, case form when 'plain' then t when 'psm' then '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+            else '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) end as o from cuts),
+marks as (select *, strpos(o, '<P>') as p, strpos(o, '<S>') as s, strpos(o, '<M>') as m from made)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars, sha256(o) as output_sha256,
+       sha256(case form when 'plain' then o when 'psm' then substring(o, 4, s - 4) || substring(o, m + 3) || substring(o, s + 3, m - s - 3)
+              else substring(o, p + 3, m - p - 3) || substring(o, m + 3) || substring(o, 4, p - 4) end) as restored_sha256
+from marks
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": _OP2, "op9_minhash_near_dedup": _OP9, "op4_poisson_mixing": _OP4, "op6_quality_cascade": _OP6}
+    return {"op11_merkle_manifest": _OP11, "op12_fill_in_middle": _OP12, "op2_substring_dedup": _OP2, "op9_minhash_near_dedup": _OP9, "op4_poisson_mixing": _OP4, "op6_quality_cascade": _OP6}
