@@ -1,21 +1,21 @@
-"""Language identification as joins and aggregates.
+"""Language identification as sums of packed weights.
 
 The scorer is multinomial naive Bayes over hashed character trigrams. Training counts
-trigrams per language; scoring counts them per document, which needs no exchange, and joins
-the distinct ones with what they add for each language that has seen them: what every
-trigram costs at least is a multiple of the document's length. Hashes are taken once per
-distinct trigram. Scores are whole micro-nats, so sums are exact in any order.
+trigrams per language; the model keeps, for each trigram id, what it adds for each language
+over what an unseen one costs. A score is then a sparse row times that table (product.py),
+plus a multiple of the text's length. Scores are whole micro-nats, so sums are exact in any
+order.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import ngrams
 from lexmill.functions import text as T
-from lexmill.functions.small import literal_rows
+from lexmill.operators import product
+from lexmill.operators.shared import saved, small
 
 BUCKETS = 1 << 16
 UNIT = 1_000_000
@@ -26,17 +26,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")
 
 
-def trigrams(words: Column) -> Column:
-    """Trigrams of every <word>; a word has as many as it has code points."""
-    each = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(F.concat(F.lit("<"), t, F.lit(">")), i, F.lit(3)))
-    return F.flatten(F.transform(words, each))
-
-
-def with_ids(grams: DataFrame, buckets: int) -> DataFrame:
-    """g, fid of the distinct trigrams of a table (g)."""
-    return grams.select("g").distinct().withColumn("fid", T.fnv1a(F.col("g")) % buckets)
-
-
 def is_training(text: Column) -> Column:
     """Four texts in five, by a hash of the text, so copies stay on one side."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 2), 16, 10).cast("int") % 5 != 0
@@ -48,29 +37,35 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame
     All texts with visible content count whole: the guards are limits of a request, not of training.
     """
     seen = docs.where(T.has_visible_content(F.col("text")))
-    counts = seen.select("lang", F.explode(trigrams(words_of(F.col("text")))).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
-    features = counts.withColumn("fid", T.fnv1a(F.col("g")) % buckets).groupBy("lang", "fid").agg(F.sum("n").alias("c"))
+    features = saved(ngrams.label_features(seen, F.col("lang"), F.col("text"), 3, 3, buckets).select(F.col("label").alias("lang"), F.col("id").alias("fid"), F.col("n").alias("c")))
     totals = features.groupBy("lang").agg(F.sum("c").alias("total"))
     ok = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     every = F.sum("n_docs").over(Window.partitionBy())  # a row per language
     priors = ok.join(totals, "lang").select("lang", "n_docs", "total", F.round(F.log(F.col("n_docs") / every) * UNIT).cast("long").alias("prior"))
-    return priors, features
+    return saved(priors), features
 
 
-def scores(docs: DataFrame, priors: DataFrame, features: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, lang, score (micro-nats) for every text that passes the guards and every language."""
-    read = docs.where(T.guard_status(F.col("text")) == "OK").select("doc_id", words_of(F.col("text")).alias("words"))
+def packed(priors: DataFrame, features: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(langs: idx, lang, prior, floor) and (weights: id, block, vec): what a trigram id adds over floor, the cost of an unseen one, for each language."""
     cost = lambda c: F.round(F.log((c + 1) / (F.col("total") + buckets)) * UNIT).cast("long")
-    langs = priors.select("lang", "prior", "total", cost(F.lit(0)).alias("floor"))
-    # what an unseen trigram costs, for all of them; languages are few and fixed by the model
-    size = F.aggregate("words", F.lit(0), lambda s, t: s + F.length(t)).cast("long")
-    base = read.select("doc_id", size.alias("size"), F.explode(literal_rows(langs.select("lang", "floor"))).alias("l")).select("doc_id", "l.lang", (F.col("size") * F.col("l.floor")).alias("s"))
-    grams = read.select("doc_id", F.explode(trigrams(F.col("words"))).alias("g")).groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("n"))
-    gain = features.join(langs, "lang").select("lang", "fid", (cost(F.col("c")) - F.col("floor")).alias("gain"))
-    gain = with_ids(grams, buckets).join(gain, "fid").select("g", "lang", "gain")
-    more = grams.join(gain, "g").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("s"))
-    summed = base.union(more).groupBy("doc_id", "lang").agg(F.sum("s").alias("s"))
-    return summed.join(langs, "lang").select("doc_id", "lang", (F.col("s") + F.col("prior")).alias("score"))
+    idx = F.row_number().over(Window.orderBy("lang")) - 1  # a row per language
+    langs = saved(priors.select(idx.alias("idx"), "lang", "prior", "total", cost(F.lit(0)).alias("floor")))
+    gain = features.join(small(langs), "lang").select("fid", "idx", (cost(F.col("c")) - F.col("floor")).cast("double").alias("gain"))
+    of_block = gain.groupBy(F.col("fid").alias("id"), F.floor(F.col("idx") / product.COLUMNS).cast("int").alias("block"))
+    by_place = F.map_from_entries(F.collect_list(F.struct(F.col("idx") % product.COLUMNS, "gain")))  # COLUMNS at most
+    weights = of_block.agg(by_place.alias("m")).select("id", "block", F.transform(F.sequence(F.lit(0), F.lit(product.COLUMNS - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("vec"))
+    return langs.drop("total"), saved(weights)
+
+
+def scores(docs: DataFrame, langs: DataFrame, weights: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, lang, score (micro-nats) for every text that passes the guards and every language; rows of one doc_id count as one text."""
+    read = docs.where(T.guard_status(F.col("text")) == "OK")
+    features = ngrams.document_features(read, F.col("doc_id"), F.col("text"), 3, 3, buckets, product.IDS)
+    n = langs.count()
+    sums = product.sparse_dense(features, weights, n, docs.count())
+    each = sums.select(F.col("key").alias("doc_id"), "n", "block", F.posexplode("vec").alias("k", "gain")).withColumn("idx", F.col("block") * product.COLUMNS + F.col("k"))
+    # a word has as many trigrams as characters, so n is the text's length
+    return each.join(small(langs, n), "idx").select("doc_id", "lang", (F.col("n") * F.col("floor") + F.col("gain").cast("long") + F.col("prior")).alias("score"))
 
 
 def with_refused(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -101,36 +96,6 @@ def top_k(probs: DataFrame, k: int, tag: Column | None = None) -> DataFrame:
     return cut.withColumn("f", first).where("f = 1").select("doc_id", "tag", "p", F.col("r").alias("rank"))
 
 
-MOST_LABELS = 100_000
-
-
-def huffman_tree(counts: DataFrame) -> DataFrame:
-    """label_idx, pos, node, bit: the path of each label from its leaf to the root of a Huffman tree over counts (label_idx, n).
-
-    Labels are given in descending order of their counts, as label_idx has it. The lightest two
-    are joined again and again; of equal weights joined ones come first, and the second of
-    a pair has the bit set. A model's labels are a bounded list (MOST_LABELS).
-    """
-    rows = counts.orderBy("label_idx").limit(MOST_LABELS + 1).collect()
-    if len(rows) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    leaves, joined = deque((r["n"], k) for k, r in reversed(list(enumerate(rows)))), deque()
-    above: dict[int, tuple[int, bool]] = {}
-    for node in range(len(rows) - 1):
-        pair = [leaves.popleft() if leaves and (not joined or leaves[0][0] < joined[0][0]) else joined.popleft() for _ in range(2)]
-        for bit, (_, child) in enumerate(pair):
-            above[child] = len(rows) + node, bool(bit)
-        joined.append((pair[0][0] + pair[1][0], len(rows) + node))
-    steps = []
-    for k, r in enumerate(rows):
-        at, pos = k, 0
-        while at in above:
-            at, bit = above[at]
-            steps.append((r["label_idx"], pos, at - len(rows), bit))
-            pos += 1
-    return counts.sparkSession.createDataFrame(steps, "label_idx int, pos int, node int, bit boolean")
-
-
 def tree_faults(tree: DataFrame, n_labels: int) -> DataFrame:
     """fault, n of a tree (label_idx, node, bit): labels without a path, labels beyond n_labels, steps without a bit, nodes beyond n_labels - 2; none for a sound tree."""
     labels = tree.select("label_idx").distinct()

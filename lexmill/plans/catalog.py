@@ -2,106 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import indic as I
 from lexmill.functions import labels as L
+from lexmill.functions import ngrams
 from lexmill.functions import text as T
-from lexmill.operators import cache, crawl, decode, detect, quality, registry, routing
-from lexmill.plans.fixtures import table, values_sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *tables: str):
-    """Registers a query under its own name; the SQL may use the named fixture tables."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            head = values_sql(*tables) if tables else ""
-            body = sql.strip()
-            if head and body.upper().startswith("WITH "):
-                body = ", " + body[5:]
-            ORACLES[f.__name__] = f"{head}\n{body}"
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _at(template: str, *values) -> str:
-    """The SQL template with @0, @1, ... filled in."""
-    for k, v in enumerate(values):
-        template = template.replace(f"@{k}", str(v))
-    return template
-
+from lexmill.operators import cache, crawl, decode, detect, quality, registry, routing, tree_softmax
+from lexmill.plans.common import BLANK, FNV, GRAMS, INVISIBLE, SEEN, STATUS, TOKENS, at, query, read
+from lexmill.plans.fixtures import table
 
 # --- texts -----------------------------------------------------------------------------------
 
-_BLANK = "".join(f"\\x{{{c:x}}}" for c in [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
-_INVISIBLE = "\\x{200B}-\\x{200F}\\x{2028}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}"
-_SEEN = f"coalesce(regexp_matches(regexp_replace(@0, '[{_INVISIBLE}]', '', 'g'), '[^{_BLANK}]'), false)"
-_TOKENS = "list_filter(regexp_split_to_array(@0, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
-_STATUS = f"case when not {_SEEN} then 'EMPTY_INPUT' when length(@0) > 10000 then 'TOO_MANY_CHARS' when len({_TOKENS}) > 1024 then 'TOO_MANY_TOKENS' else 'OK' end"
-_BYTES = "list_transform(range(1, octet_length(encode(@0)) + 1), lambda i: ('0x' || substr(hex(encode(@0)), (2 * i - 1)::int, 2))::bigint)"
-_FNV = f"list_reduce(list_prepend(2166136261::bigint, {_BYTES}), lambda h, b: ((xor(h, case when b >= 128 then b + 4294967040 else b end) * 16777619) & 4294967295)::bigint)"
-_GRAMS = "flatten(list_transform(range(1, length(@0) + 1), lambda i: list_transform(list_filter(range(@1, @2 + 1), lambda n: i + n - 1 <= length(@0)), lambda n: substr(@0, i::int, n::int))))"
-
-
 @query(
-    f"select 'documents' as tbl, doc_id::bigint as id, {_at(_SEEN, 'text')} as visible from documents union all "
-    f"select 'conversations', conv_id * 1000 + turn, {_at(_SEEN, 'text')} from conversations union all select 'strings', id, {_at(_SEEN, 's')} from strings",
+    f"select 'documents' as tbl, doc_id::bigint as id, {at(SEEN, 'text')} as visible from documents union all "
+    f"select 'conversations', conv_id * 1000 + turn, {at(SEEN, 'text')} from conversations union all select 'strings', id, {at(SEEN, 's')} from strings",
     "strings",
 )
 def visible_content(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
-    turns = _read(spark, sf_dir, "conversations").select(F.lit("conversations"), F.expr("conv_id * 1000 + turn"), "text")
+    docs = read(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
+    turns = read(spark, sf_dir, "conversations").select(F.lit("conversations"), F.expr("conv_id * 1000 + turn"), "text")
     every = docs.union(turns).union(table(spark, "strings").select(F.lit("strings"), F.col("id").cast("long"), "s"))
     return every.select("tbl", "id", T.has_visible_content(F.col("text")).alias("visible"))
 
 
-@query(f"select doc_id, {_at(_STATUS, 'text')} as status from documents")
+@query(f"select doc_id, {at(STATUS, 'text')} as status from documents")
 def detect_guards(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", T.guard_status(F.col("text")).alias("status"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.guard_status(F.col("text")).alias("status"))
 
 
-@query(f"select doc_id, (len({_at(_TOKENS, 'text')}) + 1)::bigint as n_tokens from documents")
+@query(f"select doc_id, (len({at(TOKENS, 'text')}) + 1)::bigint as n_tokens from documents")
 def token_counts(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query(f"with t as (select distinct unnest({_at(_TOKENS, 'text')}) as token from benchmark) select token, {_at(_FNV, 'token')} as h, len({_at(_GRAMS, chr(39) + '<' + chr(39) + ' || token || ' + chr(39) + '>' + chr(39), 2, 5)})::bigint as n_subwords from t")
+@query(f"with t as (select distinct unnest({at(TOKENS, 'text')}) as token from benchmark) select token, {at(FNV, 'token')} as h, len({at(GRAMS, chr(39) + '<' + chr(39) + ' || token || ' + chr(39) + '>' + chr(39), 2, 5)})::bigint as n_subwords from t")
 def fnv_buckets(spark, sf_dir):
-    words = _read(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).where(F.col("token") != T.END_TOKEN).distinct()
+    words = read(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).where(F.col("token") != T.END_TOKEN).distinct()
     return words.select("token", T.fnv1a(F.col("token")).alias("h"), F.size(T.subwords(F.col("token"))).cast("long").alias("n_subwords"))
 
 
 @query(
-    f"""with t as (select doc_id, unnest({_at(_TOKENS, 'text')}) as token from documents), d as (select distinct token, '<' || token || '>' as w from t),
-    g as (select token, unnest({_at(_GRAMS, 'w', 2, 5)}) as g from d), u as (select distinct g from g), h as (select g, 1000 + {_at(_FNV, 'g')} % 65536 as fid from u),
+    f"""with t as (select doc_id, unnest({at(TOKENS, 'text')}) as token from documents), d as (select distinct token, '<' || token || '>' as w from t),
+    g as (select token, unnest({at(GRAMS, 'w', 2, 5)}) as g from d), u as (select distinct g from g), h as (select g, 1000 + {at(FNV, 'g')} % 65536 as fid from u),
     f as (select token, count(*) as n, sum(fid) as s, min(fid) as lo, max(fid) as hi from g join h using (g) group by token)
     select doc_id, sum(n)::bigint as n_ids, sum(s)::bigint as id_sum, min(lo)::bigint as lo, max(hi)::bigint as hi from t join f using (token) group by doc_id"""
 )
 def feature_ids(spark, sf_dir):
-    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(detect.words_of(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("m"))
-    grams = words.select("token").distinct().select("token", F.explode(T.subwords(F.col("token"))).alias("g"))
-    ids = detect.with_ids(grams, 65_536).select("g", (F.col("fid") + 1000).alias("fid"))
-    per = grams.join(ids, "g").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("fid").alias("s"), F.min("fid").alias("lo"), F.max("fid").alias("hi"))
-    return words.join(per, "token").groupBy("doc_id").agg(F.sum(F.col("m") * F.col("n")).alias("n_ids"), F.sum(F.col("m") * F.col("s")).alias("id_sum"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    sums = ngrams.feature_sums(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), 2, 5, 65_536, 1000)
+    return sums.select(F.col("key").alias("doc_id"), F.col("n").alias("n_ids"), F.col("total").alias("id_sum"), F.col("low").alias("lo"), F.col("high").alias("hi"))
 
 
 @query("select doc_id, len(string_split(text, chr(10)))::bigint as n_lines, list_aggregate(list_transform(string_split(text, chr(10)), lambda x: length(x)), 'max')::bigint as longest, array_to_string(string_split(text, chr(10)), chr(10)) = text as same from documents")
 def line_split_rejoin(spark, sf_dir):
     lines = F.split("text", "\n", -1)
-    return _read(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.array_max(F.transform(lines, F.length)).cast("long").alias("longest"), (F.array_join(lines, "\n") == F.col("text")).alias("same"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.array_max(F.transform(lines, F.length)).cast("long").alias("longest"), (F.array_join(lines, "\n") == F.col("text")).alias("same"))
 
 
 _NBSP = "\\u00A0"
@@ -129,15 +85,15 @@ _BOTH = "(select doc_id as id, text as s from documents union all select -1 - id
 
 
 def _texts_and_strings(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("s")).union(table(spark, "strings").select((-1 - F.col("id")).cast("long"), "s"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("s")).union(table(spark, "strings").select((-1 - F.col("id")).cast("long"), "s"))
 
 
-@query(f"select id, md5({_chain_sql(_chain_sql('s', _PUNCTUATION), [('^[' + _BLANK + ']+|[' + _BLANK + ']+$', '')])}) as h from {_BOTH}", "strings")
+@query(f"select id, md5({_chain_sql(_chain_sql('s', _PUNCTUATION), [('^[' + BLANK + ']+|[' + BLANK + ']+$', '')])}) as h from {_BOTH}", "strings")
 def moses_punct(spark, sf_dir):
     return _texts_and_strings(spark, sf_dir).select("id", F.md5(T.normalize_punctuation(F.col("s")).cast("binary")).alias("h"))
 
 
-@query(f"select id, md5({_chain_sql(_chain_sql('s', [(a.replace(I.S, '[' + _BLANK + ']'), b) for a, b in I.PUNCTUATION]), [('^[' + _BLANK + ']+|[' + _BLANK + ']+$', '')])}) as h from {_BOTH}", "strings")
+@query(f"select id, md5({_chain_sql(_chain_sql('s', [(a.replace(I.S, '[' + BLANK + ']'), b) for a, b in I.PUNCTUATION]), [('^[' + BLANK + ']+|[' + BLANK + ']+$', '')])}) as h from {_BOTH}", "strings")
 def indic_punct(spark, sf_dir):
     return _texts_and_strings(spark, sf_dir).select("id", F.md5(I.normalize_punctuation(F.col("s")).cast("binary")).alias("h"))
 
@@ -157,7 +113,7 @@ def _replaces(column: str) -> str:
 _DIGITS = T.NATIVE_DIGITS
 
 
-@query(f"select id, md5({_replaces('s')}) as cleaned, md5(regexp_replace(s, ' {{2,}}', ' ', 'g')) as collapsed, md5(translate(s, '{''.join(_DIGITS)}', '{''.join(_DIGITS.values())}')) as folded, md5(regexp_replace(s, '@[{_BLANK}]*', '', 'g')) as unmarked, nullif(regexp_extract(s, '^__([a-z_A-Z-]+)__$', 1), '') as code from {_BOTH}", "strings")
+@query(f"select id, md5({_replaces('s')}) as cleaned, md5(regexp_replace(s, ' {{2,}}', ' ', 'g')) as collapsed, md5(translate(s, '{''.join(_DIGITS)}', '{''.join(_DIGITS.values())}')) as folded, md5(regexp_replace(s, '@[{BLANK}]*', '', 'g')) as unmarked, nullif(regexp_extract(s, '^__([a-z_A-Z-]+)__$', 1), '') as code from {_BOTH}", "strings")
 def text_clean_ups(spark, sf_dir):
     s = F.col("s")
     h = lambda c: F.md5(c.cast("binary"))
@@ -172,7 +128,7 @@ def placeholder_counts(spark, sf_dir):
 @query()
 def sentence_split(spark, sf_dir):
     parts = T.split_sentences(F.col("text"))
-    return _read(spark, sf_dir, "conversations").withColumn("p", parts).select("conv_id", "turn", F.size("p").alias("n"), (F.array_join(F.transform("p", lambda x: F.concat(x["sentence"], x["gap"])), "") == F.col("text")).alias("same"), F.md5(T.rejoin(F.col("p"), F.lit("Latn")).cast("binary")).alias("h"))
+    return read(spark, sf_dir, "conversations").withColumn("p", parts).select("conv_id", "turn", F.size("p").alias("n"), (F.array_join(F.transform("p", lambda x: F.concat(x["sentence"], x["gap"])), "") == F.col("text")).alias("same"), F.md5(T.rejoin(F.col("p"), F.lit("Latn")).cast("binary")).alias("h"))
 
 
 @query(
@@ -182,7 +138,7 @@ def sentence_split(spark, sf_dir):
 )
 def ngram_ban(spark, sf_dir):
     """Word lengths stand for tokens."""
-    bans = _read(spark, sf_dir, "documents").select("doc_id", T.repeated_ngram_bans(F.transform(detect.words_of(F.col("text")), F.length), 2).alias("b"))
+    bans = read(spark, sf_dir, "documents").select("doc_id", T.repeated_ngram_bans(F.transform(detect.words_of(F.col("text")), F.length), 2).alias("b"))
     return bans.select("doc_id", F.concat(F.lit("["), F.array_join("b", ", "), F.lit("]")).alias("bans"))
 
 
@@ -228,10 +184,10 @@ def normalize_tags(spark, sf_dir):
 
 # --- detection -------------------------------------------------------------------------------
 
-_LID = f"""with d as (select doc_id, lang, text, source, coalesce(('0x' || substr(md5(text), 1, 2))::int % 5 <> 0, false) as training, {_at(_STATUS, 'text')} as status from documents),
+_LID = f"""with d as (select doc_id, lang, text, source, coalesce(('0x' || substr(md5(text), 1, 2))::int % 5 <> 0, false) as training, {at(STATUS, 'text')} as status from documents),
 refused as (select doc_id, lang, source, status from d where not training and status <> 'OK'),
-tok as (select doc_id, lang, training, unnest({_at(_TOKENS, 'text')}) as token from d where training and status <> 'EMPTY_INPUT' or not training and status = 'OK'), words as (select distinct token, '<' || token || '>' as w from tok),
-g as (select token, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i::int, 3))) as g from words), h as (select g, {_at(_FNV, 'g')} % 65536 as fid from (select distinct g from g)),
+tok as (select doc_id, lang, training, unnest({at(TOKENS, 'text')}) as token from d where training and status <> 'EMPTY_INPUT' or not training and status = 'OK'), words as (select distinct token, '<' || token || '>' as w from tok),
+g as (select token, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i::int, 3))) as g from words), h as (select g, {at(FNV, 'g')} % 65536 as fid from (select distinct g from g)),
 gf as (select token, fid, count(*) as m from g join h using (g) group by all),
 lt as (select lang, token, count(*) as n from tok where training group by all), feat as (select lang, fid, sum(n * m)::bigint as c from lt join gf using (token) group by all),
 tot as (select lang, sum(c)::bigint as total from feat group by lang), nd as (select lang, count(*) as n_docs from d where training and status <> 'EMPTY_INPUT' group by lang),
@@ -243,7 +199,7 @@ best as (select doc_id, lang as predicted, score from (select *, row_number() ov
 
 
 def _lid(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents")
     training = F.coalesce(detect.is_training(F.col("text")), F.lit(False))  # a null text is held out, and refused
     priors, features = detect.train(docs.where(training))
     return docs.where(~training), priors, features
@@ -251,7 +207,7 @@ def _lid(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     held, priors, features = _lid(spark, sf_dir)
-    return held, detect.scores(held, priors, features)
+    return held, detect.scores(held, *detect.packed(priors, features))
 
 
 @query(_LID + " select lang, n_docs::bigint as n_docs, total, prior from pri")
@@ -296,23 +252,23 @@ def hs_tree_faults(spark, sf_dir):
 @query()
 def hs_tree(spark, sf_dir):
     """The tree over languages and sources, by how many documents each has."""
-    n = _read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    n = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     ranked = n.withColumn("label_idx", F.row_number().over(Window.orderBy(F.desc("n"), "lang", "source")) - 1)  # a row per label
-    return detect.huffman_tree(ranked)
+    return tree_softmax.huffman_tree(ranked)
 
 
 @query(
-    f"""with t as (select doc_id, unnest({_at(_TOKENS, 'text')}) as token from documents), w as (select distinct token from t),
-    v as (select word, (row_number() over (order by word) - 1) as word_id from (select distinct unnest({_at(_TOKENS, 'text')}) as word from benchmark)),
-    g as (select token, unnest({_at(_GRAMS, chr(39) + '<' + chr(39) + ' || token || ' + chr(39) + '>' + chr(39), 2, 5)}) as g from w where token <> '</s>'), h as (select g, 100000 + {_at(_FNV, 'g')} % 65536 as fid from (select distinct g from g)),
+    f"""with t as (select doc_id, unnest({at(TOKENS, 'text')}) as token from documents), w as (select distinct token from t),
+    v as (select word, (row_number() over (order by word) - 1) as word_id from (select distinct unnest({at(TOKENS, 'text')}) as word from benchmark)),
+    g as (select token, unnest({at(GRAMS, chr(39) + '<' + chr(39) + ' || token || ' + chr(39) + '>' + chr(39), 2, 5)}) as g from w where token <> '</s>'), h as (select g, 100000 + {at(FNV, 'g')} % 65536 as fid from (select distinct g from g)),
     f as (select token, count(*) as n, sum(fid) as s from g join h using (g) group by token),
     per as (select w.token, v.word_id is not null as known, coalesce(f.n, 0) + (v.word_id is not null)::int as n, coalesce(f.s, 0) + coalesce(v.word_id, 0) as s from w left join v on v.word = w.token left join f on f.token = w.token)
     select doc_id, sum(known::int)::bigint as n_known, sum(n)::bigint as n_ids, sum(s)::bigint as id_sum from t join per using (token) group by doc_id"""
 )
 def known_word_features(spark, sf_dir):
     own = F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")
-    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(own).alias("token"))
-    vocabulary = _read(spark, sf_dir, "benchmark").select(F.explode(own).alias("word")).distinct().withColumn("word_id", F.row_number().over(Window.orderBy("word")) - 1)  # a model's vocabulary
+    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(own).alias("token"))
+    vocabulary = read(spark, sf_dir, "benchmark").select(F.explode(own).alias("word")).distinct().withColumn("word_id", F.row_number().over(Window.orderBy("word")) - 1)  # a model's vocabulary
     per = detect.word_features(words, vocabulary, 100_000, 65_536)
     per = per.select("token", F.col("known").cast("long").alias("k"), F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("s"))
     counts = words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("m"))
@@ -343,7 +299,7 @@ def quality_flags(spark, sf_dir):
 
 
 _TWIN = "case when @0 like '%-int8' then left(@0, length(@0) - 5) else @0 || '-int8' end"
-_FLAGS = f"""with a as (select model_id, model_id as o, 0 as turn from models union all select model_id, {_at(_TWIN, 'model_id')}, 1 from models),
+_FLAGS = f"""with a as (select model_id, model_id as o, 0 as turn from models union all select model_id, {at(_TWIN, 'model_id')}, 1 from models),
 lf as (select a.model_id, lang, arg_min(coalesce(nullif(reason, ''), 'flagged, no reason recorded'), turn) as reason from a join flags on a.o = flags.model_id where coalesce(side, 'target') in ('target', 'both') group by all),
 tl as (select model_id, unnest(coalesce(case when pair is not null then [pair[2]] end, tgt_languages, languages)) as lang from models)"""
 
@@ -684,26 +640,26 @@ def memory_plan(spark, sf_dir):
 
 
 @query(
-    f"with p as (select source as model_id, unnest({_at(_TOKENS, 'text')}) as piece from documents), v as (select distinct source as model_id, piece from (select source, lang, unnest({_at(_TOKENS, 'text')}) as piece from documents) where lang in ('en', 'de')), pp as (select distinct * from p) "
+    f"with p as (select source as model_id, unnest({at(TOKENS, 'text')}) as piece from documents), v as (select distinct source as model_id, piece from (select source, lang, unnest({at(TOKENS, 'text')}) as piece from documents) where lang in ('en', 'de')), pp as (select distinct * from p) "
     "select pp.model_id, count(*)::bigint as n, count(v.piece)::bigint as hits, count(v.piece) >= 0.9 * count(*) as ok from pp left join v using (model_id, piece) group by pp.model_id"
 )
 def vocab_coverage(spark, sf_dir):
     """What a vocabulary made of the English and German texts of a source covers of all its texts."""
-    pieces = _read(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "lang", F.explode(F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")).alias("piece"))
+    pieces = read(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "lang", F.explode(F.filter(F.split("text", f"[{T.TOKEN_BREAKS}]+"), lambda t: t != "")).alias("piece"))
     return registry.vocabulary_coverage(pieces.select("model_id", "piece").distinct(), pieces.where("lang in ('en', 'de')"))
 
 
 @query()
 def lru_trace(spark, sf_dir):
     """A cache for each user; a user's whole log is one group."""
-    log = _read(spark, sf_dir, "events").select(F.col("user_id").alias("cache"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), F.pmod(F.xxhash64("user_id", "event_type"), F.lit(24)).cast("string")).alias("model_id"))
+    log = read(spark, sf_dir, "events").select(F.col("user_id").alias("cache"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), F.pmod(F.xxhash64("user_id", "event_type"), F.lit(24)).cast("string")).alias("model_id"))
     return cache.lru_trace(log.withColumn("size_mb", (F.length("model_id") * 100).cast("double")), 4, 900.0)
 
 
-@query("select role, case when not " + _at(_SEEN, "output") + " then 'empty' when trim(output) = trim(text) then 'verbatim' else 'ok' end as status, count(*)::bigint as n from (select role, text, case when length(text) % 5 = 0 then '' when length(text) % 5 = 1 then text || ' ' else upper(text) || '.' end as output from conversations) group by all")
+@query("select role, case when not " + at(SEEN, "output") + " then 'empty' when trim(output) = trim(text) then 'verbatim' else 'ok' end as status, count(*)::bigint as n from (select role, text, case when length(text) % 5 = 0 then '' when length(text) % 5 = 1 then text || ' ' else upper(text) || '.' end as output from conversations) group by all")
 def sweep_verdicts(spark, sf_dir):
     n = F.length("text") % 5
-    out = _read(spark, sf_dir, "conversations").select("role", F.col("text").alias("sample"), F.when(n == 0, "").when(n == 1, F.concat("text", F.lit(" "))).otherwise(F.concat(F.upper("text"), F.lit("."))).alias("output"), F.lit(None).cast("string").alias("error"))
+    out = read(spark, sf_dir, "conversations").select("role", F.col("text").alias("sample"), F.when(n == 0, "").when(n == 1, F.concat("text", F.lit(" "))).otherwise(F.concat(F.upper("text"), F.lit("."))).alias("output"), F.lit(None).cast("string").alias("error"))
     return decode.verdicts(out).groupBy("role", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -711,7 +667,7 @@ def sweep_verdicts(spark, sf_dir):
 def beam_toy(spark, sf_dir):
     import numpy as np
 
-    rows = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.array((F.col("item_id") % 12).cast("int"), F.lit(7), F.lit(2)).alias("source"))
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.array((F.col("item_id") % 12).cast("int"), F.lit(7), F.lit(2)).alias("source"))
     weights = np.random.default_rng(7).normal(size=(7, 12)) * 3
     config = decode.DecodeConfig(num_beams=4, max_new_tokens=12)
     out = decode.decode_rows(rows, lambda: decode.table_step(weights), config)

@@ -13,9 +13,10 @@ def detect_stream(spark: SparkSession, stream: DataFrame, priors: DataFrame, fea
     Each micro-batch is the batch operator; a batch is written below its own number, so a
     batch that runs again replaces its rows instead of adding to them.
     """
+    model = detect.packed(priors, features)
 
     def write(batch: DataFrame, number: int) -> None:
-        detect.predict(detect.scores(batch, priors, features)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        detect.predict(detect.scores(batch, *model)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     writer = stream.select("doc_id", "text").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

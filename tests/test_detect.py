@@ -3,7 +3,7 @@
 import hashlib
 from collections import Counter
 
-from lexmill.plans.catalog import QUERIES
+from lexmill.plans.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import indic as I
-from lexmill.operators.detect import huffman_tree, tree_faults, word_features
+from lexmill.operators.detect import tree_faults, word_features
+from lexmill.operators.tree_softmax import huffman_tree
 
 
 def wrap(text):

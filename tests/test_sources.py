@@ -75,4 +75,4 @@ def test_stream_equals_batch(spark, tmp_path):
     query = detect_stream(spark, stream, priors, features, str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
     got = sorted((r.doc_id, r.predicted, r.score) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == sorted(tuple(r) for r in detect.predict(detect.scores(held, priors, features)).collect())
+    assert got == sorted(tuple(r) for r in detect.predict(detect.scores(held, *detect.packed(priors, features))).collect())
