@@ -33,6 +33,8 @@ from lexmill.llm.tokens import BatchEncoder
 ROOM, END_ID = 2048, 1
 #: padding that is put up with before documents are cut for it, by the size of all tokens
 PADDING = 0.002
+#: pieces of one length that are numbered together
+SALTED_ROWS = 50_000
 
 
 class OpenWindows:
@@ -230,7 +232,8 @@ def pack_windows(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int
     names = ("length", "low", "high", "first", "offset", "from", "size")
     columns = zip(*places, strict=True) if places else [[]] * len(names)
     table = spark.createDataFrame(pa.table({c: pa.array(list(v), pa.int64()) for c, v in zip(names, columns, strict=True)}))
-    salt = max(1, int(histogram.max()) // 50_000)
+    most = int(histogram.max())
+    salt = max(1, min(64, most // 50), most // SALTED_ROWS)
     ranked = numbered(pieces.drop("ids").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salt)).cast("int")), "length", "salt", ["key"], "number")
     out = ranked.join(F.broadcast(table), "length").where("number >= low and number < high")
     out = out.withColumn("sequence_id", F.col("first") + F.col("number") - F.col("low")).withColumn("start", F.col("start") + F.col("from"))
