@@ -107,16 +107,27 @@ def literal_matches(docs: DataFrame, literals: DataFrame) -> DataFrame:
     return rows.select("row", "matches").mapInArrow(_settled, f"row {kind}, matches {_MATCHES}").select("row.*", "matches")
 
 
+def _pieces(batches):
+    """The text of each row cut at its matches."""
+    kind = pa.list_(pa.struct([("piece", pa.string()), ("id", pa.int64())]))
+    for batch in batches:
+        out = []
+        for text, matches in zip(batch.column("text").to_pylist(), batch.column("matches").to_pylist(), strict=True):
+            cut, at = [], 0
+            for m in matches:
+                cut.append((text[at : m["start"]], None))
+                at = m["start"] + m["length"]
+                cut.append((text[m["start"] : at], m["id"]))
+            cut.append(((text or "")[at:], None))
+            out.append([{"piece": piece, "id": number} for piece, number in cut if piece])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], names=["row", "pieces"])
+
+
 def split_at_literals(docs: DataFrame, literals: DataFrame) -> DataFrame:
-    """docs with pieces: the text cut at its literals, in order, as (piece, id); id is null for what lies between, which is never empty."""
-    found = literal_matches(docs, literals)
-    size = F.size("matches")
-    ends = F.concat(F.array(F.lit(0)), F.transform("matches", lambda m: m["start"] + m["length"]))
-    starts = F.concat(F.transform("matches", lambda m: m["start"]), F.array(F.coalesce(F.length("text"), F.lit(0))))
-    between = lambda k: F.struct(F.substr(F.col("text"), ends[k] + 1, starts[k] - ends[k]).alias("piece"), F.lit(None).cast("long").alias("id"))
-    match = lambda k: F.struct(F.substr(F.col("text"), F.col("matches")[k]["start"] + 1, F.col("matches")[k]["length"]).alias("piece"), F.col("matches")[k]["id"].alias("id"))
-    pieces = F.flatten(F.transform(F.sequence(F.lit(0), size), lambda k: F.when(k < size, F.array(between(k), match(k))).otherwise(F.array(between(k)))))
-    return found.withColumn("pieces", F.filter(pieces, lambda p: (p["piece"] != "") | p["id"].isNotNull())).drop("matches")
+    """docs with pieces: the text cut at its literals, in order, as (piece, id); id is null for what lies between, which is never empty. Columns named matches or pieces are replaced."""
+    found = literal_matches(docs.drop("pieces"), literals)
+    rows = found.select(F.struct(*[c for c in found.columns if c != "matches"]).alias("row"), "text", "matches")
+    return rows.mapInArrow(_pieces, f"row {rows.schema['row'].dataType.simpleString()}, pieces array<struct<piece: string, id: long>>").select("row.*", "pieces")
 
 
 def literals_of(rows: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import ngrams
-from lexmill.operators import detect, product, tree_softmax
+from lexmill.operators import detect, limits, lines, literals, product, tree_softmax
 from lexmill.operators.shared import saved
-from lexmill.plans.common import FNV, TOKENS, at, query, read
+from lexmill.plans.common import FNV, SEEN, TOKENS, at, query, read
 
 # --- scoring with given weights --------------------------------------------------------------
 
@@ -54,3 +54,92 @@ def tree_softmax_scores(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumn("label", F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), F.coalesce("source", F.lit(""))))
     training = F.coalesce(detect.is_training(F.col("text")), F.lit(False))
     return tree_softmax.held_out_scores(docs.withColumn("training", training), saved(_hidden(docs)), WIDTH)
+
+
+# --- literals and lines ----------------------------------------------------------------------
+
+@query()
+def literal_split(spark, sf_dir):
+    """All words of the benchmark and pairs of neighbours, found in whole documents, the longest at each place."""
+    words = read(spark, sf_dir, "benchmark").select(detect.words_of(F.col("text")).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    phrases = words.select(F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("literal")).distinct()
+    numbered = phrases.withColumn("id", F.xxhash64("literal"))  # ids as a table might bring them
+    pieces = literals.split_at_literals(read(spark, sf_dir, "documents").select("doc_id", "text"), numbered)
+    hits = F.filter("pieces", lambda p: p["id"].isNotNull())
+    rest = F.array_join(F.transform("pieces", lambda p: F.when(p["id"].isNotNull(), "\x01").otherwise(p["piece"])), "")
+    md5 = lambda c: F.md5(c.cast("binary"))
+    return pieces.select("doc_id", F.size(hits).cast("long").alias("n"), md5(F.array_join(F.transform(hits, lambda p: p["piece"]), "|")).alias("matched"), md5(rest).alias("rest"))
+
+
+@query(
+    f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents)
+    select doc_id, count(*)::bigint as n_lines, md5(string_agg(case when {at(SEEN, 'line')} then regexp_replace(trim(replace(line, 'e', '3')), ' +', ' ', 'g') || '.' else line end, chr(10) order by pos)) as h from l group by doc_id"""
+)
+def line_rules(spark, sf_dir):
+    """A rule applied to the distinct visible lines of all documents, texts put together again."""
+    rule = lines.by_column(lambda c: F.concat(F.regexp_replace(F.trim(F.replace(c, F.lit("e"), F.lit("3"))), " +", " "), F.lit(".")))
+    mapped = lines.map_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), rule)
+    return mapped.where("text is not null").select("doc_id", F.size(F.split("mapped", "\n", -1)).cast("long").alias("n_lines"), F.md5(F.col("mapped").cast("binary")).alias("h"))
+
+
+# --- limits on routes ------------------------------------------------------------------------
+
+CAP, HOPS = 30, 2
+LIMITS = {1: "size", 2: "absent", 4: "source", 8: "target", 16: "hops"}
+
+#: Lines of an order follow each other; each step from a part to the next is an edge, and each customer asks for a way from their first part to their last.
+_EDGES = """lines as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus, l_returnflag,
+      lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus, l_returnflag) as nxt from lineitem),
+    edges as (select l_partkey as src, nxt as tgt, l_suppkey as model, l_quantity as size,
+      (l_quantity > 30)::int + 2 * (l_linestatus <> 'F')::int + 4 * (l_returnflag = 'A')::int + 8 * (l_returnflag = 'R')::int as mask from lines where nxt is not null),
+    asked as (select o_custkey as req_id, arg_min(l_partkey, k) as src, arg_max(l_partkey, k) as tgt
+      from (select o_custkey, l_partkey, row(o_orderdate, o_orderkey, l_linenumber, l_partkey) as k from orders join lineitem on l_orderkey = o_orderkey) group by o_custkey)"""
+
+
+def part_edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(edges: src, tgt, model, size, mask; requests: req_id, src, tgt)."""
+    items = read(spark, sf_dir, "lineitem")
+    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag")
+    bit = lambda c, n: F.when(c, n).otherwise(0)
+    mask = bit(F.col("l_quantity") > CAP, 1) + bit(F.col("l_linestatus") != "F", 2) + bit(F.col("l_returnflag") == "A", 4) + bit(F.col("l_returnflag") == "R", 8)
+    edges = items.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(after).alias("tgt"), F.col("l_suppkey").alias("model"), F.col("l_quantity").alias("size"), mask.alias("mask")).where("tgt is not null")
+    key = F.struct("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey")
+    bought = read(spark, sf_dir, "orders").join(items, F.col("l_orderkey") == F.col("o_orderkey"))
+    return edges, bought.groupBy(F.col("o_custkey").alias("req_id")).agg(F.min_by("l_partkey", key).alias("src"), F.max_by("l_partkey", key).alias("tgt"))
+
+
+_NAMED = " || ".join(f"case when m & {b} <> 0 then '{n}+' else '' end" for b, n in LIMITS.items())
+
+
+@query(
+    f"""with {_EDGES}, e as (select distinct src, tgt, mask from edges),
+    p1 as (select distinct req_id, asked.tgt as goal, e.tgt as node, mask from asked join e using (src)),
+    p2 as (select distinct req_id, goal, e.tgt as node, p1.mask | e.mask as mask from p1 join e on e.src = p1.node),
+    p3 as (select distinct req_id, (p2.mask | e.mask | 16) as mask from p2 join e on e.src = p2.node and e.tgt = goal),
+    hit as (select req_id, mask as m from p1 where node = goal union select req_id, mask from p2 where node = goal union select req_id, mask from p3),
+    least as (select * from hit where not exists (select 1 from hit h where h.req_id = hit.req_id and h.m <> hit.m and h.m & hit.m = h.m))
+    select req_id, coalesce(bool_or(m = 0), false) as served, count(m)::bigint as n_sets, coalesce(string_agg(rtrim({_NAMED}, '+'), '|' order by m), '') as causes from asked left join least using (req_id) group by req_id"""
+)
+def limit_causes(spark, sf_dir):
+    edges, asked = part_edges(spark, sf_dir)
+    sets = limits.limit_sets(edges, asked, HOPS, 16)
+    return sets.select("req_id", F.array_contains("masks", 0).alias("served"), F.size("masks").cast("long").alias("n_sets"), limits.named(F.col("masks"), LIMITS).alias("causes"))
+
+
+@query(
+    f"""with {_EDGES}, e as (select src, tgt, min(size) as size, arg_min(model, row(size, model)) as model from edges group by src, tgt),
+    p1 as (select req_id, e.tgt as node, min(size) as b from asked join e using (src) group by req_id, e.tgt),
+    p2 as (select req_id, e.tgt as node, min(greatest(b, size)) as b from p1 join e on e.src = node group by req_id, e.tgt),
+    p3 as (select p2.req_id, asked.tgt as node, min(greatest(b, size)) as b from p2 join asked using (req_id) join e on e.src = node and e.tgt = asked.tgt group by p2.req_id, asked.tgt),
+    step as (select req_id, src, tgt, min(b) as step from asked join (select * from p1 union all select * from p2 union all select * from p3) p using (req_id) where node = tgt group by all),
+    q1 as (select req_id, step.tgt as goal, step, e.tgt as node, [step.src, e.tgt] as nodes, [model] as models from step join e on e.src = step.src and size <= step),
+    q2 as (select req_id, goal, step, e.tgt as node, min(list_append(nodes, e.tgt)) as nodes, arg_min(list_append(models, model), list_append(nodes, e.tgt)) as models from q1 join e on e.src = node and size <= step group by all),
+    q3 as (select req_id, goal, step, e.tgt as node, min(list_append(nodes, e.tgt)) as nodes, arg_min(list_append(models, model), list_append(nodes, e.tgt)) as models from q2 join e on e.src = node and e.tgt = goal and size <= step group by all),
+    found as (select req_id, step, arg_min(nodes, len(nodes)) as nodes, arg_min(models, len(nodes)) as models from (select * from q1 union all select * from q2 union all select * from q3) where node = goal group by all)
+    select req_id, step, (len(nodes) - 1)::bigint as hops, array_to_string(nodes, '>') as route, array_to_string(models, '>') as models from asked left join found using (req_id)"""
+)
+def escalated_routes(spark, sf_dir):
+    edges, asked = part_edges(spark, sf_dir)
+    found = limits.bottleneck_routes(edges, asked, HOPS + 1)
+    return found.select("req_id", "step", F.col("hops").cast("long").alias("hops"), F.array_join("nodes", ">").alias("route"), F.array_join("models", ">").alias("models"))
