@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,7 +66,32 @@ _MATCHES = "array<struct<start: int, length: int, id: long>>"
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("id", pa.int64())]))
 
 
-def _lot_matches(name: str, shipped):
+def _lists(per_row: list[int], starts: list[int], lengths: list[int], ids: list[int]) -> pa.ListArray:
+    offsets = pa.array(np.concatenate(([0], np.cumsum(per_row))), pa.int32())
+    fields = [pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(ids, pa.int64())]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=["start", "length", "id"])).cast(_ARROW)
+
+
+def _only_lot(name: str, shipped):
+    """Leftmost-longest matches straight from the automaton."""
+
+    def run(batches):
+        own = automaton(name, shipped.value)
+        for batch in batches:
+            per_row, starts, lengths, ids = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                had = len(ids)
+                for end, (length, number) in own.iter_long(text) if text and len(own) else ():
+                    starts.append(end - length + 1)
+                    lengths.append(length)
+                    ids.append(number)
+                per_row.append(len(ids) - had)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(per_row, starts, lengths, ids)], names=["row", "matches"])
+
+    return run
+
+
+def _one_of_lots(name: str, shipped):
     """Adds the matches of one lot, the longest at each start, to those that rows (row, text, matches) bring along."""
 
     def run(batches):
@@ -103,24 +129,33 @@ def literal_matches(docs: DataFrame, literals: DataFrame) -> DataFrame:
     dealt, n = _lots(literals.select(F.col("literal"), F.col("id").cast("long").alias("id")).where("literal is not null and id is not null"))
     for lot in range(n):
         held = [(r["literal"], r["id"]) for r in dealt.where(F.col("lot") == lot).collect()]  # LOT_CHARS at most, on average
-        rows = rows.mapInArrow(_lot_matches(uuid.uuid4().hex, spark.sparkContext.broadcast(held)), f"row {kind}, text string, matches {_MATCHES}")
+        name, shipped = uuid.uuid4().hex, spark.sparkContext.broadcast(held)
+        if n == 1:
+            return rows.mapInArrow(_only_lot(name, shipped), f"row {kind}, matches {_MATCHES}").select("row.*", "matches")
+        rows = rows.mapInArrow(_one_of_lots(name, shipped), f"row {kind}, text string, matches {_MATCHES}")
     return rows.select("row", "matches").mapInArrow(_settled, f"row {kind}, matches {_MATCHES}").select("row.*", "matches")
 
 
 def _pieces(batches):
     """The text of each row cut at its matches."""
-    kind = pa.list_(pa.struct([("piece", pa.string()), ("id", pa.int64())]))
     for batch in batches:
-        out = []
+        per_row, pieces, ids = [], [], []
         for text, matches in zip(batch.column("text").to_pylist(), batch.column("matches").to_pylist(), strict=True):
-            cut, at = [], 0
+            had, at = len(ids), 0
             for m in matches:
-                cut.append((text[at : m["start"]], None))
-                at = m["start"] + m["length"]
-                cut.append((text[m["start"] : at], m["id"]))
-            cut.append(((text or "")[at:], None))
-            out.append([{"piece": piece, "id": number} for piece, number in cut if piece])
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], names=["row", "pieces"])
+                start = m["start"]
+                if start > at:
+                    pieces.append(text[at:start])
+                    ids.append(None)
+                at = start + m["length"]
+                pieces.append(text[start:at])
+                ids.append(m["id"])
+            if text and at < len(text):
+                pieces.append(text[at:])
+                ids.append(None)
+            per_row.append(len(ids) - had)
+        flat = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(ids, pa.int64())], names=["piece", "id"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_row))), pa.int32()), flat)], names=["row", "pieces"])
 
 
 def split_at_literals(docs: DataFrame, literals: DataFrame) -> DataFrame:
