@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import ngrams
-from lexmill.operators import detect, limits, lines, literals, product, tree_softmax
+from lexmill.functions import text as T
+from lexmill.operators import detect, gates, limits, lines, literals, product, tree_softmax
 from lexmill.operators.shared import saved
-from lexmill.plans.common import FNV, SEEN, TOKENS, at, query, read
+from lexmill.plans.common import FNV, GRAMS, SEEN, TOKENS, at, query, read
+from lexmill.sources import entries
 
 # --- scoring with given weights --------------------------------------------------------------
 
@@ -143,3 +145,99 @@ def escalated_routes(spark, sf_dir):
     edges, asked = part_edges(spark, sf_dir)
     found = limits.bottleneck_routes(edges, asked, HOPS + 1)
     return found.select("req_id", "step", F.col("hops").cast("long").alias("hops"), F.array_join("nodes", ">").alias("route"), F.array_join("models", ">").alias("models"))
+
+
+# --- gates -----------------------------------------------------------------------------------
+
+_RULES = f"""d as (select documents.*, not {at(SEEN, 'text')} as invisible, length(text) > 10000 as "long", coalesce(toxic, 0) = 1 as toxic_label, lang is null or source is null as unnamed
+      from documents left join (select doc_id, max(toxic) as toxic from labels group by doc_id) l using (doc_id)),
+    g as (select doc_id, list_filter([case when invisible then 'invisible' end, case when "long" then 'long' end, case when toxic_label then 'toxic' end, case when unnamed then 'unnamed' end], lambda x: x is not null) as reasons from d)"""
+
+
+def _gated(spark, sf_dir):
+    toxic = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    docs = read(spark, sf_dir, "documents").join(toxic, "doc_id", "left")
+    return gates.gate(docs, {"invisible": ~T.has_visible_content(F.col("text")), "long": F.length("text") > T.MAX_CHARS, "toxic": F.col("toxic") == 1, "unnamed": F.col("lang").isNull() | F.col("source").isNull()})
+
+
+@query(f"with {_RULES} select doc_id, len(reasons) = 0 as kept, array_to_string(reasons, '+') as reasons from g")
+def document_gates(spark, sf_dir):
+    found = _gated(spark, sf_dir)
+    kept = found.kept.select("doc_id", F.lit(True).alias("kept"), F.lit("").alias("reasons"))
+    return kept.union(found.quarantined.select("doc_id", F.lit(False), F.array_join("reasons", "+")))
+
+
+@query(f"with {_RULES} select unnest(['rows', 'kept', 'invisible', 'long', 'toxic', 'unnamed']) as what, unnest([count(*), count(*) filter (len(reasons) = 0), count(*) filter (list_contains(reasons, 'invisible')), count(*) filter (list_contains(reasons, 'long')), count(*) filter (list_contains(reasons, 'toxic')), count(*) filter (list_contains(reasons, 'unnamed'))])::bigint as n from g")
+def gate_counts(spark, sf_dir):
+    return spark.createDataFrame(list(_gated(spark, sf_dir).counts.items()), "what string, n long")
+
+
+# --- entries of many shapes ------------------------------------------------------------------
+
+#: Each supplier is an entry that names the nations of its customers in one of five shapes.
+_ENTRIES = """served as (select distinct l_suppkey as s, n_name as lang from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+    listed as (select s, list(lang order by lang) as l from served group by s),
+    entries as (select s, case s % 5
+      when 0 then json_object('model_id', 'm' || s, 'languages', l, 'size_mb', s)
+      when 1 then json_object('model_id', 'm' || s, 'languages', array_to_string(l, ' '), 'size_mb', s::varchar)
+      when 2 then json_object('model_id', 'm' || s, 'pair', [l[1], l[-1]], 'languages', null, 'size_mb', s + 0.5)
+      when 3 then json_object('model_id', 'm' || s, 'src_languages', l, 'tgt_languages', l[1:3])
+      else json_object('model_id', 'm' || s, 'coverage', json_object('src', l, 'tgt', null), 'languages', l[1:2], 'size_mb', 'unknown') end::json as j from listed)"""
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    served = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    listed = served.groupBy(F.col("l_suppkey").alias("s")).agg(F.array_sort(F.collect_set("n_name")).alias("l"))  # nations
+    name, s, l = F.concat(F.lit("m"), F.col("s").cast("string")).alias("model_id"), F.col("s"), F.col("l")
+    json = lambda *fields: F.to_json(F.struct(name, *fields), {"ignoreNullFields": "false"})
+    nothing = F.lit(None).cast("string")
+    shape = (
+        F.when(s % 5 == 0, json(l.alias("languages"), s.alias("size_mb")))
+        .when(s % 5 == 1, json(F.array_join(l, " ").alias("languages"), s.cast("string").alias("size_mb")))
+        .when(s % 5 == 2, json(F.array(F.element_at(l, 1), F.element_at(l, -1)).alias("pair"), nothing.alias("languages"), (s + F.lit(0.5)).alias("size_mb")))
+        .when(s % 5 == 3, json(l.alias("src_languages"), F.slice(l, 1, 3).alias("tgt_languages")))
+        .otherwise(json(F.struct(l.alias("src"), nothing.alias("tgt")).alias("coverage"), F.slice(l, 1, 2).alias("languages"), F.lit("unknown").alias("size_mb")))
+    )
+    return entries.parsed(listed.select("s", shape.alias("json")))
+
+
+_STRINGS = "case json_type(j, '@0') when 'ARRAY' then list_filter(json_extract_string(j, '@0[*]'), lambda x: x is not null) when 'VARCHAR' then string_split(json_extract_string(j, '@0'), ' ') end"
+
+
+@query(
+    f"""with {_ENTRIES}, sides as (select j, 'source' as side, coalesce(case when len({at(_STRINGS, '$.pair')}) = 2 then [json_extract_string(j, '$.pair[0]')] end, {at(_STRINGS, '$.src_languages')}, {at(_STRINGS, '$.coverage.src')}, {at(_STRINGS, '$.languages')}) as l from entries
+    union all select j, 'target', coalesce(case when len({at(_STRINGS, '$.pair')}) = 2 then [json_extract_string(j, '$.pair[1]')] end, {at(_STRINGS, '$.tgt_languages')}, {at(_STRINGS, '$.coverage.tgt')}, {at(_STRINGS, '$.languages')}) from entries)
+    select distinct json_extract_string(j, '$.model_id') as model_id, side, unnest(l) as lang from sides"""
+)
+def entry_coverage(spark, sf_dir):
+    return entries.coverage(_entries(spark, sf_dir))
+
+
+@query(f"with {_ENTRIES} select json_extract_string(j, '$.model_id') as model_id, try_cast(json_extract_string(j, '$.size_mb') as double) as size_mb from entries")
+def entry_sizes(spark, sf_dir):
+    return _entries(spark, sf_dir).select(F.try_variant_get("v", "$.model_id", "string").alias("model_id"), entries.number("$.size_mb").alias("size_mb"))
+
+
+@query(
+    f"""with {_ENTRIES}, f as (select unnest(json_keys(j)) as key, j from entries)
+    select key, case json_type(j, '$.' || key) when 'ARRAY' then 'list' when 'OBJECT' then 'object' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind, count(*)::bigint as n from f group by all"""
+)
+def entry_shapes(spark, sf_dir):
+    return entries.shapes(_entries(spark, sf_dir))
+
+
+# --- ordered features ------------------------------------------------------------------------
+
+
+@query(
+    f"""with t as (select doc_id, {at(TOKENS, 'text')} as w from documents),
+    each as (select doc_id, generate_subscripts(w, 1) as i, unnest(w) as token from t), d as (select distinct token, '<' || token || '>' as b from each),
+    g as (select token, unnest({at(GRAMS, 'b', 2, 5)}) as g, generate_subscripts({at(GRAMS, 'b', 2, 5)}, 1) as j from d), h as (select g, {at(FNV, 'g')} % 65536 as fid from (select distinct g from g)),
+    ids as (select token, list(fid order by j) as ids from g join h using (g) group by token)
+    select doc_id, sum(len(ids))::bigint as n_ids, md5(string_agg(array_to_string(ids, ' '), ' ' order by i)) as h from each join ids using (token) group by doc_id"""
+)
+def ordered_feature_ids(spark, sf_dir):
+    slices = ngrams.ordered_features(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), 2, 5, BUCKETS)
+    # the digest alone puts a text's slices side by side
+    whole = slices.groupBy("key").agg(F.sum(F.size("ids")).cast("long").alias("n_ids"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.array_join("ids", " ").alias("t")))), lambda s: s["t"]), " ").alias("t"))
+    return whole.select(F.col("key").alias("doc_id"), "n_ids", F.md5(F.col("t").cast("binary")).alias("h"))
