@@ -67,13 +67,13 @@ def _band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 _SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def _sketches(bands: int, rows: int):
+def _sketches(bands: int, rows: int, key: int):
     def run(batches):
         for batch in batches:
             data, off = wh.utf8(batch.column(1))
             for a, b in wh.pieces(off, PIECE, wh.MOST_DOCS):
                 n = b - a
-                values, doc, first = wh.shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                values, doc, first = wh.shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], key=key)
                 keys = _band_keys(fast_sketch(values, doc, n, bands * rows), bands, rows)
                 sums = [np.concatenate((np.zeros(1, U64), np.cumsum(wh.mix(values + U64(s)), dtype=U64))) for s in (1, 2)]
                 prints = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
@@ -86,7 +86,7 @@ def _sketches(bands: int, rows: int):
     return run
 
 
-def _overlapping(percent: int):
+def _overlapping(percent: int, key: int):
     """The pairs (a, b) of (a, b, ta, tb) whose texts' shingle sets overlap enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -94,9 +94,9 @@ def _overlapping(percent: int):
         for batch in batches:
             left, right = wh.utf8(batch.column(2)), wh.utf8(batch.column(3))
             for a, b in wh.pieces(left[1] + right[1], PIECE, wh.MOST_DOCS):
-                sets = [wh.shingle_sets(d[o[a] : o[b]], o[a : b + 1] - o[a]) for d, o in (left, right)]
-                keys = np.sort(np.concatenate([(doc.astype(U64) << U64(wh.SHINGLE_BITS)) | v for v, doc, _ in sets]))
-                twice = keys[1:][keys[1:] == keys[:-1]] >> U64(wh.SHINGLE_BITS)
+                sets = [wh.shingle_sets(d[o[a] : o[b]], o[a : b + 1] - o[a], key=key) for d, o in (left, right)]
+                both_keys = np.sort(np.concatenate([(doc.astype(U64) << U64(wh.SHINGLE_BITS)) | v for v, doc, _ in sets]))
+                twice = both_keys[1:][both_keys[1:] == both_keys[:-1]] >> U64(wh.SHINGLE_BITS)
                 both = np.bincount(twice.astype(np.int64), minlength=b - a)
                 total = sum(np.diff(first) for _, _, first in sets)
                 link = pa.array(100 * both >= percent * (total - both))
@@ -153,7 +153,7 @@ def _links_in(sets: list[np.ndarray], comp: np.ndarray, sides: tuple[np.ndarray,
     return out
 
 
-def _bridges(percent: int):
+def _bridges(percent: int, secret: int):
     """Links that join components, from a bundle of cells (cell, i, j, own, rep, c, text): in a cell texts of block i meet those of block j."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -162,7 +162,7 @@ def _bridges(percent: int):
         _, first, back = np.unique(rep, return_index=True, return_inverse=True)
         sets: list[np.ndarray] = []
         for k in first:  # each text once
-            values, _, _ = wh.shingle_sets(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]))
+            values, _, _ = wh.shingle_sets(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]), key=secret)
             sets.append(values)
         out = []
         for key in np.unique(np.stack((cell, i, j)), axis=1).T:
@@ -191,14 +191,14 @@ def _cells(mixed: DataFrame) -> DataFrame:
     return met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, key: int) -> DataFrame:
     """The pairs (a, b, m) whose sets overlap enough, by the whole texts. A text that is paired with many, m at least, is dealt over several keys."""
     salts = lambda m: F.ceil(m / STAR_ROWS).cast("int")
     hubs = pairs.groupBy("a").agg(salts(F.max("m")).alias("salts"))
     hubs = hubs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     sides = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts(F.col("m"))).cast("int")).join(hubs, ["a", "salt"])
     sides = sides.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return sides.mapInArrow(_overlapping(percent), "a long, b long")
+    return sides.mapInArrow(_overlapping(percent, key), "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = 32, rows: int = 7) -> DataFrame:
@@ -219,8 +219,8 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = 32, r
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = text_bytes(docs)[1]
-    parts = tasks_for(size, 16 << 20, spark)
-    sketched = docs.mapInArrow(_sketches(bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>")
+    parts, secret = tasks_for(size, 16 << 20, spark), wh.fresh_key()
+    sketched = docs.mapInArrow(_sketches(bands, rows, secret), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>")
     path = scratch(spark, "sketches")
     sketched.write.parquet(path)
     sketched = spark.read.parquet(path)
@@ -236,7 +236,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = 32, r
     star = members.where("rep <> low.rep").where(fits).select(F.col("low.rep").alias("a"), F.col("rep").alias("b"), "m")
     star = saved(star.groupBy("a", "b").agg(F.max("m").alias("m")))
     texts = docs.where("doc_id is not null").repartition(parts, "doc_id")
-    links = saved(_confirmed(star, texts, percent))
+    links = saved(_confirmed(star, texts, percent, secret))
     found = components(links)
 
     # Buckets that still hold several components: compare across components, cell by cell.
@@ -251,7 +251,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = 32, r
         bundles = max(parts, -(-sums["m"] // BLOCK_DOCS), -(-sums["n"] // BLOCK_SHINGLES))
         bundle = F.pmod(F.xxhash64("cell", "i", "j"), F.lit(bundles)).cast("int")
         met = cells.drop("n").withColumn("bundle", bundle).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-        more = saved(met.groupBy("bundle").applyInArrow(_bridges(percent), "a long, b long"))
+        more = saved(met.groupBy("bundle").applyInArrow(_bridges(percent, secret), "a long, b long"))
         found = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     by_class = classes.join(found, classes.rep == found.node, "left").select(*same, F.coalesce("component", "rep").alias("component"))

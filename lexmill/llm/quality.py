@@ -25,6 +25,8 @@ from lexmill.llm.cluster import small_batches
 
 U64 = np.uint64
 PIECE = 1 << 20
+#: hashes meet within one text alone, so each worker has a key of its own
+_KEY = wh.fresh_key()
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -107,7 +109,7 @@ class Texts:
         doc = np.searchsorted(self.off, starts, side="right") - 1
         solid = np.searchsorted(self.words.start, [starts, ends])
         full = (ends > starts) & (solid[1] > solid[0])
-        h = wh.span_hashes(self.data, starts[full], ends[full])
+        h = wh.span_hashes(self.data, starts[full], ends[full], _KEY)
         order = np.lexsort((h, doc[full]))
         return doc[full][order], h[order]
 
@@ -120,7 +122,7 @@ class Texts:
         return np.bincount(doc[1:][again], minlength=len(self)).astype(np.int64)
 
     def _get_hashes(self):
-        return wh.span_hashes(self.data, self.words.start, self.words.end)
+        return wh.span_hashes(self.data, self.words.start, self.words.end, _KEY)
 
     def _get_n_stutters(self):
         """Words equal to the word before them in the same text."""
@@ -134,7 +136,7 @@ class Texts:
         at, doc = wh.gram_starts(w.first, 5)
         if not len(at):
             return np.zeros(len(self), np.int64)
-        grams = wh.gram_hashes(self.hashes, 5)[at]
+        grams = wh.gram_hashes(self.hashes, 5, key=_KEY)[at]
         cover = np.zeros(len(w.start) + 1, np.int64)
         order = np.lexsort((grams, doc))
         same = (grams[order][1:] == grams[order][:-1]) & (doc[order][1:] == doc[order][:-1])

@@ -51,7 +51,7 @@ def _ids(table: pa.Table) -> np.ndarray:
     return np.asarray(column.fill_null(LAST)).astype(I64)
 
 
-def _hashed_words(table: pa.Table, seeds=(11,)) -> tuple[wh.Words, list[np.ndarray]]:
+def _hashed_words(table: pa.Table, seeds: tuple[int, ...]) -> tuple[wh.Words, list[np.ndarray]]:
     data, off = wh.utf8(table.column("text"))
     starts, ends, counts, hashes = [], [], [], [[] for _ in seeds]
     for a, b in wh.pieces(off, 1 << 20, 1 << 30):
@@ -65,18 +65,18 @@ def _hashed_words(table: pa.Table, seeds=(11,)) -> tuple[wh.Words, list[np.ndarr
     return wh.Words(cat(starts), cat(ends), np.concatenate(([0], np.cumsum(cat(counts))))), [cat(h, U64) for h in hashes]
 
 
-def _anchors_of(table: pa.Table, block: int) -> tuple[wh.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """words, word hashes, and per rolling window its hash, its first word and its document."""
-    w, (h,) = _hashed_words(table)
+def _anchors_of(table: pa.Table, block: int, keys: tuple[int, ...]) -> tuple[wh.Words, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """words, word hashes by key, and per rolling window its hash by the first key, its first word and its document."""
+    w, h = _hashed_words(table, keys)
     at, doc = wh.gram_starts(w.first, block)
-    return w, h, wh.gram_hashes(h, block)[at], at, doc
+    return w, h, wh.gram_hashes(h[0], block, key=keys[0])[at], at, doc
 
 
-def _probe(block: int, parts: int):
+def _probe(block: int, parts: int, keys: tuple[int, int]):
     """Per hash range: the bucket's distinct window hashes, as four classes (in one document or several; as a block or not)."""
 
     def run(table: pa.Table) -> pa.Table:
-        w, _, grams, at, doc = _anchors_of(table, block)
+        w, _, grams, at, doc = _anchors_of(table, block, keys[:1])
         order = np.argsort(grams)
         grams, doc, is_block = grams[order], doc[order], ((at - w.first[doc]) % block == 0)[order]
         if not len(grams):
@@ -137,25 +137,25 @@ def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[at] == values
 
 
-def _fingerprints(h: np.ndarray, window: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 independent bits of each window; they differ in where the sequence of word hashes starts from."""
-    return wh.gram_hashes(h, window)[begin], (wh.gram_hashes(h, window, salt=9)[begin] >> U64(32)).astype(U32)
+def _fingerprints(h: list[np.ndarray], window: int, begin: np.ndarray, keys: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of each window, from two hashes of each word under two keys, which know nothing of each other."""
+    return wh.gram_hashes(h[0], window, key=keys[0])[begin], (wh.gram_hashes(h[1], window, key=keys[1])[begin] >> U64(32)).astype(U32)
 
 
-def _candidates(block: int, window: int, parts: int):
+def _candidates(block: int, window: int, parts: int, keys: tuple[int, int]):
     """Per hash range: the fingerprints of the bucket's windows that contain an anchor, with the smallest doc_id of each."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
             return _rows([])
-        w, h, grams, at, _ = _anchors_of(table, block)
-        hit = np.zeros(len(h) + 1, np.int64)
+        w, h, grams, at, _ = _anchors_of(table, block, keys)
+        hit = np.zeros(len(h[0]) + 1, np.int64)
         hit[at] = _member((_part(grams, parts).astype(U64) << U64(32)) | (grams & U64(0xFFFFFFFF)), _known(replies, parts))
         sums = np.concatenate(([0], np.cumsum(hit)))
         begin, doc = wh.gram_starts(w.first, window)
         near = sums[begin + window - block + 1] > sums[begin]
         begin, doc = begin[near], doc[near]
-        one, two = _fingerprints(h, window, begin)
+        one, two = _fingerprints(h, window, begin, keys)
         ids = _ids(table)[doc]
         order = np.lexsort((ids, two, one))
         one, two, ids = one[order], two[order], ids[order]
@@ -208,7 +208,7 @@ def _first_holders(table: pa.Table) -> pa.Table:
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
-def _cut(window: int, with_text: bool, carry: tuple[str, ...]):
+def _cut(window: int, with_text: bool, carry: tuple[str, ...], keys: tuple[int, int]):
     """Per document of the bucket: what is left once the covered words are gone."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -217,7 +217,7 @@ def _cut(window: int, with_text: bool, carry: tuple[str, ...]):
         data, off = wh.utf8(table.column("text"))
         keep = None
         if replies.num_rows:
-            w, (h,) = _hashed_words(table)
+            w, h = _hashed_words(table, keys)
             told, second, holder = [], [], []
             for blob in replies.column("packed"):
                 docs, runs, one, two = unpack(blob.as_py(), I64, U32, U64, U32)
@@ -228,7 +228,7 @@ def _cut(window: int, with_text: bool, carry: tuple[str, ...]):
             order = np.lexsort((second, told))
             told, second, holder = told[order], second[order], holder[order]
             begin, doc = wh.gram_starts(w.first, window)
-            grams, twos = _fingerprints(h, window, begin)
+            grams, twos = _fingerprints(h, window, begin, keys)
             ids = _ids(table)[doc]
             at, gone = np.searchsorted(told, grams), np.zeros(len(grams), bool)
             here = np.flatnonzero(at < len(told))
@@ -237,7 +237,7 @@ def _cut(window: int, with_text: bool, carry: tuple[str, ...]):
                 gone[here] |= (second[at[here]] == twos[here]) & (holder[at[here]] < ids[here]) & (ids[here] != LAST)
                 at[here] += 1
                 here = here[at[here] < len(told)]
-            cover = np.zeros(len(h) + 1, np.int32)
+            cover = np.zeros(len(h[0]) + 1, np.int32)
             np.add.at(cover, begin[gone], 1)
             np.add.at(cover, begin[gone] + window, -1)
             keep = np.cumsum(cover)[:-1] == 0
@@ -270,14 +270,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int = 7, with_text:
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block at every offset: window >= 2 * block - 1")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    inner = tuple(f"_carry{k}" for k in range(len(carry)))  # so that carried names don't meet ours
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(carry, inner, strict=True)])
     small_batches(docs.sparkSession)
     size = text_bytes(docs)[1]
     dealt, tasks = bucketed(docs, size)
     parts = max(8, -(-size // (16 << 20)))
+    keys = wh.fresh_key(), wh.fresh_key()
     grouped = dealt.groupBy("bucket")
     by_bucket = lambda df: df.repartition(tasks, "bucket").groupBy("bucket")
-    shared = grouped.applyInArrow(_probe(block, parts), _SPAN).groupBy("part").applyInArrow(_shared, _SPAN)
-    windows = grouped.cogroup(by_bucket(shared)).applyInArrow(_candidates(block, window, parts), _SPAN)
+    shared = grouped.applyInArrow(_probe(block, parts, keys), _SPAN).groupBy("part").applyInArrow(_shared, _SPAN)
+    windows = grouped.cogroup(by_bucket(shared)).applyInArrow(_candidates(block, window, parts, keys), _SPAN)
     holders = windows.groupBy("part").applyInArrow(_first_holders, _SPAN)
-    return grouped.cogroup(by_bucket(holders)).applyInArrow(_cut(window, with_text, carry), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
+    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in inner)
+    out = grouped.cogroup(by_bucket(holders)).applyInArrow(_cut(window, with_text, inner, keys), ddl)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *[F.col(k).alias(c) for c, k in zip(carry, inner, strict=True)])

@@ -12,6 +12,7 @@ never share a hash and longer ones only by chance. Long ranges are hashed by bla
 from __future__ import annotations
 
 import hashlib
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,6 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _STEP = U64(0x9E3779B97F4A7C15)
-_GRAM = U64(0xD6E8FEB86659FD93)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -123,15 +123,60 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return h
 
 
-def gram_hashes(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
-    """A hash of each run of `width` consecutive values of h, whatever documents they come from; hashes of two salts are independent."""
-    n = max(0, len(h) - width + 1)
-    out = np.full(n, mix(np.array([width + (salt << 8)], dtype=U64))[0], dtype=U64)
-    for k in range(width):
-        out ^= h[k : k + n]
-        out *= _GRAM
-        out ^= out >> U64(32)
-    return mix(out)
+def fresh_key() -> int:
+    """A secret of one run: drawn on the driver and sent along with the work, so a task that runs again hashes as before, and no text can be written to collide."""
+    return int.from_bytes(os.urandom(8), "little") >> 2
+
+
+PRIME = U64((1 << 61) - 1)
+_LOW29, _LOW32 = U64((1 << 29) - 1), U64((1 << 32) - 1)
+
+
+def _times(a: np.ndarray, r: int) -> np.ndarray:
+    """a * r modulo 2**61 - 1, for values below 2**61; the result may be the modulus plus a little."""
+    high, low = U64(r >> 32), U64(r & 0xFFFFFFFF)
+    a_high, a_low = a >> U64(32), a & _LOW32
+    middle = a_high * low + a_low * high
+    bottom = a_low * low
+    s = ((a_high * high) << U64(3)) + (middle >> U64(29)) + ((middle & _LOW29) << U64(32)) + (bottom >> U64(61)) + (bottom & PRIME)
+    return (s & PRIME) + (s >> U64(61))
+
+
+def _reduced(a: np.ndarray) -> np.ndarray:
+    a = (a & PRIME) + (a >> U64(61))
+    return np.where(a >= PRIME, a - PRIME, a)
+
+
+def run_point(salt: int, key: int) -> int:
+    digest = hashlib.blake2b(b"%d:%d" % (salt, key), digest_size=8).digest()
+    return int.from_bytes(digest, "little") % (int(PRIME) - 2) + 2
+
+
+def gram_hashes(h: np.ndarray, width: int, salt: int = 0, key: int = 0) -> np.ndarray:
+    """A hash of each run of `width` consecutive values of h, whatever documents they come from.
+
+    A polynomial in a point that depends on the key, modulo the prime 2**61 - 1, of the upper
+    61 bits of the values, then mixed: two different runs agree for at most width - 1 of all
+    points. Runs of twice the length are made of two of half of it, so the work grows with
+    the logarithm of the width.
+    """
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    point = run_point(salt, key)
+    power, run, size = point, _reduced(h >> U64(3)), 1  # run: hashes of all runs of `size`, power: point to the `size`
+    out, done = None, 0
+    while True:
+        if width & size:
+            # what is done so far lies before the next `size` values
+            part = run[done : done + n]
+            out = part if out is None else _reduced(_times(out, power) + part)
+            done += size
+        if done == width:
+            break
+        run = _reduced(_times(run[:-size], power) + run[size:])
+        power, size = power * power % int(PRIME), 2 * size
+    return mix(out ^ (U64(width & 7) << U64(61)))
 
 
 def gram_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,20 +202,20 @@ SHINGLE_BITS = 54
 MOST_DOCS = 1 << (64 - SHINGLE_BITS)
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingles as 54-bit hashes, document of each, first index by document) of at most 1024 documents.
+def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles as 54-bit hashes under the key, document of each, first index by document) of at most 1024 documents.
 
     A-Z are lower-cased. A document of fewer than `width` words has its whole word sequence
     as one shingle; one without words has none.
     """
     data = LOWER[data]
     w = words(data, off)
-    h = span_hashes(data, w.start, w.end)
+    h = span_hashes(data, w.start, w.end, 11 + key)
     at, doc = gram_starts(w.first, width)
-    grams = gram_hashes(h, width)[at]
+    grams = gram_hashes(h, width, key=key)[at]
     short = np.flatnonzero((w.counts > 0) & (w.counts < width))
     if len(short):
-        own = np.array([gram_hashes(h[w.first[d] : w.first[d + 1]], int(w.counts[d]), salt=1)[0] for d in short], dtype=U64)
+        own = np.array([gram_hashes(h[w.first[d] : w.first[d + 1]], int(w.counts[d]), salt=1, key=key)[0] for d in short], dtype=U64)
         grams, doc = np.concatenate((grams, own)), np.concatenate((doc, short))
     key = np.sort((doc.astype(U64) << U64(SHINGLE_BITS)) | (grams >> U64(64 - SHINGLE_BITS)))
     if len(key):

@@ -118,3 +118,64 @@ def test_word_counts(texts, docs):
             training.update([*t.split(), None])
     got = {r.doc_id: (r.n_tokens, r.n_known) for r in language_scores(docs).collect()}
     assert got == {i: (len(t.split()) + 1, sum(training[w] > 0 for w in [*t.split(), None])) for i, t in texts}
+
+
+#: words found by inverting the word hash of the default seed: their differences cancelled in the run hash as it once was
+CRAFTED = ("k=w6|hu_ d.'bka~@", "d]_j[{0% \"$od`s5g")
+
+
+def test_crafted_words_neither_remove_nor_link(spark):
+    from lexmill.llm.near_dedup import near_duplicate_groups
+    from lexmill.llm.quality import quality_cascade
+    from lexmill.llm.substring_dedup import remove_repeats
+
+    one, two = CRAFTED
+    tail = " ".join(f"t{k}" for k in range(11))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"a b {one} c"), (4, f"a b {two} c"), (5, f"x {one} y z {two} y z x {one} y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = brute.kept_words(rows)
+    want = {i: hashlib.sha256(" ".join(k).encode()).hexdigest() for (i, _), k in zip(rows, kept)}
+    assert {r.doc_id: r.kept_sha256 for r in remove_repeats(df).collect()} == want
+    assert {r.doc_id: r.component_id for r in near_duplicate_groups(df).collect()} == brute.components({i: brute.shingles(t) for i, t in rows}, brute.near)
+    assert {r.doc_id: r.n_repeat_words for r in quality_cascade(df, counts=True).collect()} == {i: brute.quality(t)[4] for i, t in rows}
+
+
+def test_differences_of_word_hashes_do_not_cancel():
+    from lexmill.llm import wordhash as wh
+
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 64, size=(2000, 13), dtype=np.uint64)
+    plain = wh.gram_hashes(h.ravel(), 13, key=7)[::13]
+    for a in range(12):  # top bits, low bits and sparse differences in two neighbours
+        for d, e in [(1 << 63, (1 << 63) | (1 << 31)), (1 << 63, 1 << 63), (8, 8), (1 << 31, 1 << 32), *rng.integers(8, 1 << 63, size=(20, 2)).tolist()]:
+            other = h.copy()
+            other[:, a] ^= np.uint64(d)
+            other[:, a + 1] ^= np.uint64(e)
+            assert not (wh.gram_hashes(other.ravel(), 13, key=7)[::13] == plain).any()
+
+
+def test_run_hashes_are_polynomials_modulo_the_prime():
+    from lexmill.llm import wordhash as wh
+
+    prime = (1 << 61) - 1
+    rng = np.random.default_rng(1)
+    h = np.concatenate((rng.integers(0, 1 << 64, size=60, dtype=np.uint64), np.array([0, 1, 7, 8, (1 << 64) - 1, (1 << 64) - 8, prime << 3, (prime - 1) << 3], np.uint64)))
+    for width in (1, 2, 3, 5, 7, 8, 13, 30):
+        for key, salt in ((0, 0), (wh.fresh_key(), 0), (5, 9)):
+            point = wh.run_point(salt, key)
+            got = wh.gram_hashes(h, width, salt, key)
+            assert len(got) == len(h) - width + 1
+            for k in range(len(got)):
+                value = 0
+                for x in h[k : k + width]:
+                    value = (value * point + (int(x) >> 3)) % prime
+                assert got[k] == wh.mix(np.array([value | (width & 7) << 61], np.uint64))[0]
+    assert len(wh.gram_hashes(h[:4], 5)) == 0
+
+
+def test_carried_columns_may_have_any_name(spark):
+    from lexmill.llm.substring_dedup import remove_repeats
+
+    df = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, bucket string, part int")
+    (row,) = remove_repeats(df, carry=("bucket", "part")).collect()
+    assert (row.bucket, row.part, row.kept_text) == ("x", 2, "a b")
