@@ -58,7 +58,7 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "silent", "article", "link", "inline", "open_p", "whole", "part", "good", "hidden", "core", "words", "heads")
+    __slots__ = ("tag", "parent", "depth", "silent", "article", "link", "inline", "open_p", "whole", "part", "good", "hidden", "core", "words", "heads", "own", "outer", "above")
 
     def __init__(self, tag: str, attrs: str, parent: "_Element | None"):
         self.tag, self.parent = tag, parent
@@ -74,6 +74,8 @@ class _Element:
         mine = tag in ("article", "main") and not (self.whole or self.part)
         self.article = mine or bool(parent and parent.article)
         self.core, self.words, self.heads = mine, 0, int(tag == "h1")  # of the element with all below it, once the page is read
+        # evidence of the element on its own text, on what lies below it, and that of it and all above it on what lies below
+        self.own = self.outer = self.above = frozenset()
 
 
 _names: dict[str, tuple[bool, bool, bool, bool]] = {}
@@ -196,9 +198,28 @@ def blocks_of(page: str) -> list[Block]:
         e.parent.core |= e.core
         e.parent.words += e.words
         e.parent.heads += e.heads
+    for e in elements:
+        e.own = _evidence(e)
+        # what holds the article says nothing about it
+        wraps = e.core or e.heads and 2 * e.words >= top.words
+        e.outer = e.own & _ALWAYS if wraps else e.own
+        e.above = e.outer | e.parent.above if e.parent else e.outer
     return out
 
 
+_ALWAYS = frozenset(("good_name", "hidden"))
+_evidences: dict[tuple, frozenset] = {}
+
+
+def _evidence(e: _Element) -> frozenset:
+    """The features that an element's tag and names speak for."""
+    key = e.tag in OTHER_TAGS, e.tag == "header", e.article, e.whole, e.part, e.good, e.hidden
+    if key not in _evidences:
+        named = {"other_tag": key[0], "inner_header": key[1] and e.article, "header": key[1] and not e.article, "whole_name": e.whole, "part_name": e.part, "good_name": e.good, "hidden": e.hidden}
+        _evidences[key] = frozenset(name for name, is_so in named.items() if is_so)
+    return _evidences[key]
+
+
 FEATURES = ("one", "words", "stop", "text_tag", "links", "article", "other_tag", "header", "inner_header", "whole_name", "part_name", "good_name", "hidden")
 #: what one would expect of them: where the fit starts, and what it is drawn to
 PRIOR = (-0.6, 1.0, 0.4, 0.8, -4.0, 4.0, -8.0, -6.0, -2.0, -8.0, -8.0, 2.0, -8.0)
@@ -211,9 +232,9 @@ def features(block: Block) -> list[float]:
     """What the classifier looks at, in the order of FEATURES.
 
     An ancestor's tag or name counts less the farther it is above the block, down to half
-    its weight NEAR steps up. It does not count if the article itself lies below it: an
-    article or main element that is not named like a comment, or a first heading with a
-    hundred words.
+    its weight NEAR steps up and beyond, where it is looked up in what all ancestors have in
+    common. It does not count if the article itself lies below it: an article or main
+    element that is not named like a comment, or a first heading with half of the page's running words.
     """
     e, text = block.element, block.text
     n = text.count(" ") + 1
@@ -225,24 +246,14 @@ def features(block: Block) -> list[float]:
     found["text_tag"] = float(e.tag in ("p", "pre", "blockquote", "h1", "h2", "h3"))
     found["links"] = share if share > 0.3 else 0.0
     found["article"] = float(e.article)
-    x, steps = e, 0
-    while x is not None:
-        weight = max(0.5, 1 - steps / (2 * NEAR))
-        wraps = x.core or x.heads and x.words >= 100
-        if not wraps or x is e:
-            named = []
-            if x.tag in OTHER_TAGS:
-                named.append("other_tag")
-            elif x.tag == "header":
-                named.append("inner_header" if x.article else "header")
-            named += [name for name, is_so in (("whole_name", x.whole), ("part_name", x.part)) if is_so]
-            for name in named:
-                found[name] = max(found[name], weight)
-        if x.good:
-            found["good_name"] = max(found["good_name"], weight)
-        if x.hidden:
-            found["hidden"] = 1.0
+    weigh = lambda names, w: found.update({name: max(found[name], 1.0 if name == "hidden" else w) for name in names})
+    weigh(e.own, 1.0)
+    x, steps = e.parent, 1
+    while x is not None and x.above and steps < NEAR:
+        weigh(x.outer, 1 - steps / (2 * NEAR))
         x, steps = x.parent, steps + 1
+    if x is not None:
+        weigh(x.above, 0.5)
     return [found[name] for name in FEATURES]
 
 
