@@ -11,7 +11,7 @@ from lexmill.functions import ngrams
 from lexmill.functions import text as T
 from lexmill.operators import cache, crawl, decode, detect, quality, registry, routing, tree_softmax
 from lexmill.plans.common import BLANK, FNV, GRAMS, INVISIBLE, SEEN, STATUS, TOKENS, at, query, read
-from lexmill.plans.fixtures import table
+from lexmill.plans.derived import table
 
 # --- texts -----------------------------------------------------------------------------------
 
@@ -23,7 +23,7 @@ from lexmill.plans.fixtures import table
 def visible_content(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
     turns = read(spark, sf_dir, "conversations").select(F.lit("conversations"), F.expr("conv_id * 1000 + turn"), "text")
-    every = docs.union(turns).union(table(spark, "strings").select(F.lit("strings"), F.col("id").cast("long"), "s"))
+    every = docs.union(turns).union(table(spark, sf_dir, "strings").select(F.lit("strings"), F.col("id").cast("long"), "s"))
     return every.select("tbl", "id", T.has_visible_content(F.col("text")).alias("visible"))
 
 
@@ -85,7 +85,7 @@ _BOTH = "(select doc_id as id, text as s from documents union all select -1 - id
 
 
 def _texts_and_strings(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("s")).union(table(spark, "strings").select((-1 - F.col("id")).cast("long"), "s"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("s")).union(table(spark, sf_dir, "strings").select((-1 - F.col("id")).cast("long"), "s"))
 
 
 @query(f"select id, md5({_chain_sql(_chain_sql('s', _PUNCTUATION), [('^[' + BLANK + ']+|[' + BLANK + ']+$', '')])}) as h from {_BOTH}", "strings")
@@ -157,17 +157,17 @@ tagged as (select label_idx, raw, case when raw = 'nan_lang' then 'und' when scr
 
 @query(_TAG + ", h as (select tag, min(label_idx) as head from tagged group by tag) select label_idx, raw, tag, label_idx = head as first from tagged join h using (tag)", "labels_list")
 def label_to_bcp47(spark, sf_dir):
-    return L.label_maps(table(spark, "labels_list"))
+    return L.label_maps(table(spark, sf_dir, "labels_list"))
 
 
 @query(_TAG + f", s as (select tag, split_part(tag, '-', 1) as p, nullif(regexp_extract(tag, '^[^-]*-(.+)$', 1), '') as rest from (select distinct tag from tagged)), c as (select *, {_map_sql(L.VARIETY, 'p')} as macro from s) select tag, case when macro is null then tag when rest is not null and macro in ('zh', 'sr') then macro || '-' || rest else macro end as collapsed from c", "labels_list")
 def collapse_variety(spark, sf_dir):
-    return L.label_maps(table(spark, "labels_list")).select("tag").distinct().select("tag", L.collapse_variety(F.col("tag")).alias("collapsed"))
+    return L.label_maps(table(spark, sf_dir, "labels_list")).select("tag").distinct().select("tag", L.collapse_variety(F.col("tag")).alias("collapsed"))
 
 
 @query(_TAG + " select count(distinct tag)::bigint as n_languages from tagged", "labels_list")
 def available_languages(spark, sf_dir):
-    return L.label_maps(table(spark, "labels_list")).agg(F.countDistinct("tag").alias("n_languages"))
+    return L.label_maps(table(spark, sf_dir, "labels_list")).agg(F.countDistinct("tag").alias("n_languages"))
 
 
 _NORMAL = f"""with t as (select id, trim(tag) as own, lower(trim(tag)) as low, regexp_replace(trim(tag), '^(.+)-([A-Z][a-z]{{3}})$', '\\1_\\2') as label from tags_list),
@@ -179,7 +179,7 @@ o as (select id, own, low, case when by_label then case when script is not null
 
 @query(_NORMAL + f" select id, case when own = '' then null else coalesce({_map_sql(L.NONSTANDARD, 'low')}, found) end as strict, case when own = '' then null else coalesce({_map_sql(L.NONSTANDARD, 'low')}, found, low) end as lenient from o", "tags_list")
 def normalize_tags(spark, sf_dir):
-    return table(spark, "tags_list").select("id", L.normalize_tag(F.col("tag"), strict=True).alias("strict"), L.normalize_tag(F.col("tag")).alias("lenient"))
+    return table(spark, sf_dir, "tags_list").select("id", L.normalize_tag(F.col("tag"), strict=True).alias("strict"), L.normalize_tag(F.col("tag")).alias("lenient"))
 
 
 # --- detection -------------------------------------------------------------------------------
@@ -244,9 +244,12 @@ def lid_accuracy_by_source(spark, sf_dir):
     return found.union(refused).groupBy("source").agg(F.sum((F.col("status") == "OK").cast("int")).alias("n"), F.sum("right").alias("right"), F.sum((F.col("status") != "OK").cast("int")).alias("refused"))
 
 
-@query("select 'labels without a path' as fault, 5 - count(distinct label_idx) filter (label_idx < 5) as n from broken_tree union all select 'steps without a branch', count(*) from broken_tree where bit is null or node is null union all select 'unknown nodes', count(distinct node) from broken_tree where node > 3", "broken_tree")
+@query(
+    "select * from (select 'labels without a path' as fault, 30 - count(distinct label_idx) filter (label_idx < 30) as n from broken_tree union all select 'unknown labels', count(distinct label_idx) filter (label_idx >= 30) from broken_tree"
+    " union all select 'steps without a branch', count(*) filter (bit is null or node is null) from broken_tree union all select 'unknown nodes', count(distinct node) filter (node > 28) from broken_tree) where n > 0", "broken_tree",
+)
 def hs_tree_faults(spark, sf_dir):
-    return detect.tree_faults(table(spark, "broken_tree"), 5)
+    return detect.tree_faults(table(spark, sf_dir, "broken_tree"), 30)
 
 
 @query()
@@ -277,7 +280,7 @@ def known_word_features(spark, sf_dir):
 
 @query("select doc_id, label_idx, round(exp(sum(ln(greatest(case when bit then score else 1 - score end, 1e-12)))), 6) as p from node_scores join hs_tree using (node) group by doc_id, label_idx", "hs_tree", "node_scores")
 def hs_probs(spark, sf_dir):
-    return detect.huffman_probabilities(table(spark, "node_scores"), table(spark, "hs_tree")).select("doc_id", "label_idx", F.round("p", 6).alias("p"))
+    return detect.huffman_probabilities(table(spark, sf_dir, "node_scores"), table(spark, sf_dir, "hs_tree")).select("doc_id", "label_idx", F.round("p", 6).alias("p"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +298,7 @@ f as (select model_id, [x for x in [
 
 @query(_QUALITY + " select model_id, array_to_string(reasons, '; ') as reasons, len(reasons) > 0 as flagged from f", "models")
 def quality_flags(spark, sf_dir):
-    return quality.quality_flags(table(spark, "models")).select("model_id", F.array_join("reasons", "; ").alias("reasons"), "flagged")
+    return quality.quality_flags(table(spark, sf_dir, "models")).select("model_id", F.array_join("reasons", "; ").alias("reasons"), "flagged")
 
 
 _TWIN = "case when @0 like '%-int8' then left(@0, length(@0) - 5) else @0 || '-int8' end"
@@ -306,23 +309,23 @@ tl as (select model_id, unnest(coalesce(case when pair is not null then [pair[2]
 
 @query(_FLAGS + " select model_id, lang, reason from lf", "models", "flags")
 def language_flags(spark, sf_dir):
-    return quality.language_flags(table(spark, "models"), table(spark, "flags"))
+    return quality.language_flags(table(spark, sf_dir, "models"), table(spark, sf_dir, "flags"))
 
 
 @query(_FLAGS + ", j as (select tl.lang, tl.model_id, reason from tl left join lf using (model_id, lang)) select lang, array_to_string(list_sort(list(model_id || ': ' || reason)), '; ') as reasons from j group by lang having bool_and(reason is not null)", "models", "flags")
 def all_flagged_languages(spark, sf_dir):
-    return quality.all_flagged_targets(table(spark, "models"), table(spark, "flags")).select("lang", F.array_join("reasons", "; ").alias("reasons"))
+    return quality.all_flagged_targets(table(spark, sf_dir, "models"), table(spark, sf_dir, "flags")).select("lang", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(_FLAGS + " select distinct lang from tl where lang not in (select tl.lang from tl left join lf using (model_id, lang) group by tl.lang having bool_and(reason is not null))", "models", "flags")
 def unflagged_languages(spark, sf_dir):
-    m, f = table(spark, "models"), table(spark, "flags")
+    m, f = table(spark, sf_dir, "models"), table(spark, sf_dir, "flags")
     return quality.target_languages(m).select("lang").distinct().join(quality.all_flagged_targets(m, f), "lang", "left_anti")
 
 
 @query(_QUALITY + " select m.model_id, case when license_tier = 'non-commercial' then 'licence' when precision <> 'int8' then 'precision' when len(reasons) > 0 then 'flagged' when chrf < 50 then 'min_chrf' end as left_out from models m join f using (model_id)", "models")
 def selection_reasons(spark, sf_dir):
-    m = table(spark, "models")
+    m = table(spark, sf_dir, "models")
     return quality.selection(m, quality.quality_flags(m), "int8", False, True, 50.0)
 
 
@@ -364,12 +367,12 @@ _OUT = " select req_id, rank::bigint as rank, route, total_mb, largest_mb from f
 _ROUTE_TABLES = ("models", "barred", "requests")
 
 
-def _kept(spark):
-    return table(spark, "models").where("runnable")
+def _kept(spark, sf_dir):
+    return table(spark, sf_dir, "models").where("runnable")
 
 
-def _edge(spark, models=None):
-    return routing.edges(models if models is not None else _kept(spark), table(spark, "barred"))
+def _edge(spark, sf_dir, models=None):
+    return routing.edges(models if models is not None else _kept(spark, sf_dir), table(spark, sf_dir, "barred"))
 
 
 def _listing(routes, prefer, limit):
@@ -379,49 +382,49 @@ def _listing(routes, prefer, limit):
 
 @query(_EDGES + " select * from edge", "models", "barred")
 def capability_edges(spark, sf_dir):
-    return _edge(spark, table(spark, "models"))
+    return _edge(spark, sf_dir, table(spark, sf_dir, "models"))
 
 
 @query(_EDGES + ", x as (select distinct model_id, unnest([src, tgt]) as lang from edge) select cap_mb, count(distinct lang) as n_languages, count(distinct model_id) as n_models from caps, x join models using (model_id) where cap_mb is null or size_mb <= cap_mb or cached group by cap_mb", "models", "barred", "caps")
 def coverage_by_cap(spark, sf_dir):
-    m = table(spark, "models")
-    return routing.coverage_by_cap(_edge(spark, m), m, table(spark, "caps"), cached_is_free=True)
+    m = table(spark, sf_dir, "models")
+    return routing.coverage_by_cap(_edge(spark, sf_dir, m), m, table(spark, sf_dir, "caps"), cached_is_free=True)
 
 
 @query(_LEGS + ", found as (from direct)" + _FEWEST + _OUT, *_ROUTE_TABLES)
 def route_direct(spark, sf_dir):
-    return _listing(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 1), "fewest_hops", None)
+    return _listing(routing.candidate_routes(spark, table(spark, sf_dir, "requests"), _kept(spark, sf_dir), _edge(spark, sf_dir), 1), "fewest_hops", None)
 
 
 @query(_LEGS + _TWO + _CLEAN + _FEWEST + _OUT + " where rank = 1", *_ROUTE_TABLES)
 def route_best_fewest(spark, sf_dir):
-    return _listing(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 2, short_circuit=True), "fewest_hops", 1)
+    return _listing(routing.candidate_routes(spark, table(spark, sf_dir, "requests"), _kept(spark, sf_dir), _edge(spark, sf_dir), 2, short_circuit=True), "fewest_hops", 1)
 
 
 @query(_LEGS + _TWO + ", found as (from direct union all from two)" + _DEDICATED + _OUT + " where rank = 1", *_ROUTE_TABLES)
 def route_best_dedicated(spark, sf_dir):
-    return _listing(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 2), "dedicated", 1)
+    return _listing(routing.candidate_routes(spark, table(spark, sf_dir, "requests"), _kept(spark, sf_dir), _edge(spark, sf_dir), 2), "dedicated", 1)
 
 
 @query(_LEGS + _TWO + ", found as (from direct union all from two)" + _FEWEST + _OUT + " where rank <= 10", *_ROUTE_TABLES)
 def routes_top10(spark, sf_dir):
-    return _listing(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 2), "fewest_hops", 10)
+    return _listing(routing.candidate_routes(spark, table(spark, sf_dir, "requests"), _kept(spark, sf_dir), _edge(spark, sf_dir), 2), "fewest_hops", 10)
 
 
 @query(_LEGS + _TWO + _THREE + ", found as (from direct union all from two union all from three)" + _FEWEST + _OUT + " where rank <= 10", *_ROUTE_TABLES)
 def route_three_hop(spark, sf_dir):
-    return _listing(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 3), "fewest_hops", 10)
+    return _listing(routing.candidate_routes(spark, table(spark, sf_dir, "requests"), _kept(spark, sf_dir), _edge(spark, sf_dir), 3), "fewest_hops", 10)
 
 
 @query(_LEGS + _TWO + ", found as (from direct union all from two)" + _FEWEST + " select req_id, route, n_hops::int as n_hops, n_multilingual::int as n_multilingual, n_flagged::int as n_flagged, n_non_specialist::int as n_non_specialist, worst_tier::int as worst_tier from final", *_ROUTE_TABLES)
 def route_costs(spark, sf_dir):
-    costed = routing.route_costs(routing.candidate_routes(spark, table(spark, "requests"), _kept(spark), _edge(spark), 2))
+    costed = routing.route_costs(routing.candidate_routes(spark, table(spark, sf_dir, "requests"), _kept(spark, sf_dir), _edge(spark, sf_dir), 2))
     return routing.rank_routes(costed, limit=None).select("req_id", "route", "n_hops", "n_multilingual", "n_flagged", "n_non_specialist", "worst_tier")
 
 
 @query(_LEGS + ' select req_id, pv as "pivot", pivot_rank from pivots', *_ROUTE_TABLES)
 def pivot_order(spark, sf_dir):
-    return routing.pivot_table(spark, table(spark, "requests"), _edge(spark))
+    return routing.pivot_table(spark, table(spark, sf_dir, "requests"), _edge(spark, sf_dir))
 
 
 @query(
@@ -430,13 +433,13 @@ def pivot_order(spark, sf_dir):
     *_ROUTE_TABLES, "distances",
 )
 def route_pivot_distance(spark, sf_dir):
-    requests = table(spark, "requests")
-    return routing.pivot_order_by_distance(routing.pivot_table(spark, requests, _edge(spark)), requests, table(spark, "distances"))
+    requests = table(spark, sf_dir, "requests")
+    return routing.pivot_order_by_distance(routing.pivot_table(spark, requests, _edge(spark, sf_dir)), requests, table(spark, sf_dir, "distances"))
 
 
 @query("select distinct size_mb from models where size_mb > 500", "models")
 def escalation_steps(spark, sf_dir):
-    return routing.escalation_steps(table(spark, "models"), 500)
+    return routing.escalation_steps(table(spark, sf_dir, "models"), 500)
 
 
 @query(
@@ -445,8 +448,8 @@ def escalation_steps(spark, sf_dir):
     *_ROUTE_TABLES,
 )
 def route_failure_reason(spark, sf_dir):
-    m = table(spark, "models")
-    kept, edge, requests = m.where("runnable and size_mb <= 500"), _edge(spark, m), table(spark, "requests")
+    m = table(spark, sf_dir, "models")
+    kept, edge, requests = m.where("runnable and size_mb <= 500"), _edge(spark, sf_dir, m), table(spark, sf_dir, "requests")
     routes = routing.candidate_routes(spark, requests, kept, edge.join(kept.select("model_id"), "model_id", "left_semi"), 1)
     return routing.failure_reasons(requests, routes, edge, m, kept).select("req_id", "reason", F.array_join("models", ",").alias("models"))
 
@@ -459,8 +462,8 @@ def route_failure_reason(spark, sf_dir):
     "models", "barred", "given_routes", "given_hops",
 )
 def validate_routes(spark, sf_dir):
-    m = table(spark, "models")
-    return routing.validate_routes(table(spark, "given_hops"), table(spark, "given_routes"), _edge(spark, m), m)
+    m = table(spark, sf_dir, "models")
+    return routing.validate_routes(table(spark, sf_dir, "given_hops"), table(spark, sf_dir, "given_routes"), _edge(spark, sf_dir, m), m)
 
 
 @query(
@@ -469,15 +472,15 @@ def validate_routes(spark, sf_dir):
     "models", "barred", "pinned",
 )
 def pinned_routes(spark, sf_dir):
-    m = table(spark, "models")
-    return routing.pinned_routes(table(spark, "pinned"), m, _edge(spark, m), m.where("runnable"))
+    m = table(spark, sf_dir, "models")
+    return routing.pinned_routes(table(spark, sf_dir, "pinned"), m, _edge(spark, sf_dir, m), m.where("runnable"))
 
 
 @query(_EDGES + " select src, tgt, count(*) as n from edge join models using (model_id) where cached or size_mb <= 170 group by all", "models", "barred")
 def edges_under_ceiling(spark, sf_dir):
-    m = table(spark, "models")
+    m = table(spark, sf_dir, "models")
     kept = m.where(routing.under_ceiling(170)).select("model_id")
-    return _edge(spark, m).join(kept, "model_id", "left_semi").groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("n"))
+    return _edge(spark, sf_dir, m).join(kept, "model_id", "left_semi").groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("n"))
 
 
 _PAIRS = f""", nodes as (select distinct unnest([src, tgt]) as lang from edge join models using (model_id) where runnable),
@@ -490,8 +493,8 @@ pairs as (select req_id, src, tgt, min(turn) as turn from turns where src <> tgt
 
 @query(_EDGES + _PAIRS + " select req_id, turn, src, tgt from pairs", "models", "barred", "regional_requests")
 def endpoint_pairs(spark, sf_dir):
-    edge = _edge(spark)
-    return routing.endpoint_pairs(table(spark, "regional_requests"), edge.select(F.explode(F.array("src", "tgt")).alias("lang")).distinct())
+    edge = _edge(spark, sf_dir)
+    return routing.endpoint_pairs(table(spark, sf_dir, "regional_requests"), edge.select(F.explode(F.array("src", "tgt")).alias("lang")).distinct())
 
 
 @query(
@@ -499,7 +502,7 @@ def endpoint_pairs(spark, sf_dir):
     "models", "barred", "regional_requests",
 )
 def route_regional(spark, sf_dir):
-    return routing.search_endpoints(spark, table(spark, "regional_requests"), _kept(spark), _edge(spark))
+    return routing.search_endpoints(spark, table(spark, sf_dir, "regional_requests"), _kept(spark, sf_dir), _edge(spark, sf_dir))
 
 
 @query(
@@ -512,7 +515,7 @@ def route_regional(spark, sf_dir):
     *_ROUTE_TABLES,
 )
 def route_escalated(spark, sf_dir):
-    return routing.escalated_steps(spark, table(spark, "requests"), _kept(spark), _edge(spark), 170)
+    return routing.escalated_steps(spark, table(spark, sf_dir, "requests"), _kept(spark, sf_dir), _edge(spark, sf_dir), 170)
 
 
 # --- registry --------------------------------------------------------------------------------
@@ -523,86 +526,86 @@ miss as (select distinct model_id, file from n where not exists (from present p
 
 @query(_FILES + " select model_id, file from miss", "entries", "present")
 def missing_files(spark, sf_dir):
-    return registry.missing_files(table(spark, "entries"), table(spark, "present"))
+    return registry.missing_files(table(spark, sf_dir, "entries"), table(spark, sf_dir, "present"))
 
 
 @query(_FILES + " select model_id, model_id not in (select model_id from miss) as cached, model_id in (select model_id from miss) and size_mb > 8192 as refused from entries", "entries", "present")
 def cached_models(spark, sf_dir):
-    e, p = table(spark, "entries"), table(spark, "present")
+    e, p = table(spark, sf_dir, "entries"), table(spark, sf_dir, "present")
     return registry.cached_models(e, p).join(registry.over_download_budget(e, p, 8192), "model_id")
 
 
 @query(_FILES + " select model_id, file, starts_with(file, '/') or regexp_matches(file, '^[A-Za-z]:') or list_contains(string_split(file, '/'), '..') or file = '' as unsafe from n", "entries", "present")
 def unsafe_paths(spark, sf_dir):
-    return registry.needed_files(table(spark, "entries")).select("model_id", "file", registry.unsafe_path(F.col("file")).alias("unsafe"))
+    return registry.needed_files(table(spark, sf_dir, "entries")).select("model_id", "file", registry.unsafe_path(F.col("file")).alias("unsafe"))
 
 
 _MERGE = """with o as (select * from old_fields where model_id in (select model_id from new_fields)), j as (select coalesce(o.model_id, n.model_id) as model_id, coalesce(o.key, n.key) as key, o.value as old, n.value as new, o.key is not null as had, n.key is not null as made from o full join new_fields n on o.model_id = n.model_id and o.key = n.key),
 k as (select *, had and (key in ('notes', 'quality', 'language_flags') or not made and key not in ('size_mb', 'arch')) as keep from j), merged as (select model_id, key, case when keep then old else new end as value, keep and made and old is distinct from new as overruled from k where keep or made)"""
 
 
-def _merged(spark):
-    return registry.merge(table(spark, "old_fields"), table(spark, "new_fields"), ["size_mb", "arch"])
+def _merged(spark, sf_dir):
+    return registry.merge(table(spark, sf_dir, "old_fields"), table(spark, sf_dir, "new_fields"), ["size_mb", "arch"])
 
 
 @query(_MERGE + " select * from merged", "old_fields", "new_fields")
 def registry_merge(spark, sf_dir):
-    return _merged(spark)
+    return _merged(spark, sf_dir)
 
 
 @query("select model_id, key from old_fields o where key in ('notes', 'quality', 'language_flags') and not exists (from new_fields m where m.model_id = o.model_id and m.key = o.key and m.value is not distinct from o.value)", "old_fields", "new_fields")
 def registry_losses(spark, sf_dir):
     """What writing the generated fields as they are, without a merge, would lose."""
-    return registry.curated_losses(table(spark, "old_fields"), table(spark, "new_fields"))
+    return registry.curated_losses(table(spark, sf_dir, "old_fields"), table(spark, sf_dir, "new_fields"))
 
 
 @query(_MERGE + " select count(*) as n from old_fields o where model_id in (select model_id from new_fields) and key in ('notes', 'quality', 'language_flags') and not exists (from merged m where m.model_id = o.model_id and m.key = o.key and m.value is not distinct from o.value)", "old_fields", "new_fields")
 def merge_losses(spark, sf_dir):
     """A merge loses none."""
-    kept = table(spark, "old_fields").join(table(spark, "new_fields").select("model_id").distinct(), "model_id", "left_semi")
-    return registry.curated_losses(kept, _merged(spark)).agg(F.count(F.lit(1)).alias("n"))
+    kept = table(spark, sf_dir, "old_fields").join(table(spark, sf_dir, "new_fields").select("model_id").distinct(), "model_id", "left_semi")
+    return registry.curated_losses(kept, _merged(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select key, count(distinct model_id) as n_models from new_fields where key not in ('size_mb', 'notes', 'quality', 'language_flags') group by key", "new_fields")
 def undeclared_keys(spark, sf_dir):
-    return registry.undeclared_keys(table(spark, "new_fields"), ["size_mb"])
+    return registry.undeclared_keys(table(spark, sf_dir, "new_fields"), ["size_mb"])
 
 
 @query("select a.model_id, a.tag, (select min(native) from codes c where c.model_id = a.model_id and c.tag = a.tag) as native, (select count(distinct tag) from codes c where c.model_id = a.model_id) as supported from asked_codes a", "asked_codes", "codes")
 def native_code_lookup(spark, sf_dir):
-    return registry.native_lookup(table(spark, "asked_codes"), table(spark, "codes"))
+    return registry.native_lookup(table(spark, sf_dir, "asked_codes"), table(spark, sf_dir, "codes"))
 
 
 @query("with j as (select repo, case when json_valid(content) then content::json end as c from token_maps), n as (select repo, unnest(['eos_token', 'pad_token', 'unk_token']) as name, c from j), v as (select repo, name, json_extract(c, '$.' || name) as v from n) select repo, name, case when json_type(v) = 'VARCHAR' then v ->> '$' else v ->> '$.content' end as token from v where json_type(v) = 'VARCHAR' or json_type(v) = 'OBJECT' and json_type(v, '$.content') = 'VARCHAR'", "token_maps")
 def special_tokens(spark, sf_dir):
-    return registry.special_tokens(table(spark, "token_maps"))
+    return registry.special_tokens(table(spark, sf_dir, "token_maps"))
 
 
 @query("with x as (select repo, list_distinct(list_concat(coalesce(language, []), coalesce(language_bcp47, []))) as l from cards) select repo, case when len(l) > 0 then array_to_string(list_sort(l), ',') end as languages from x", "cards")
 def card_languages(spark, sf_dir):
-    return registry.card_languages(table(spark, "cards")).select("repo", F.array_join(F.array_sort("languages"), ",").alias("languages"))
+    return registry.card_languages(table(spark, sf_dir, "cards")).select("repo", F.array_join(F.array_sort("languages"), ",").alias("languages"))
 
 
 @query("select distinct model_id, 'added' as change from new_fields where model_id not in (select model_id from old_fields) union all select distinct model_id, 'removed' from old_fields where model_id not in (select model_id from new_fields)", "old_fields", "new_fields")
 def registry_drift(spark, sf_dir):
-    return registry.drift(table(spark, "old_fields"), table(spark, "new_fields"))
+    return registry.drift(table(spark, sf_dir, "old_fields"), table(spark, sf_dir, "new_fields"))
 
 
 @query("select model_id, tag, array_to_string(list_sort(list(distinct native)), ',') as spellings from codes group by all having count(distinct native) > 1", "codes")
 def native_codes(spark, sf_dir):
-    return registry.native_code_conflicts(table(spark, "codes"))
+    return registry.native_code_conflicts(table(spark, sf_dir, "codes"))
 
 
 @query("select repo, arg_min(org, pos) filter (org is not null) as org from (select repo, pos, org from repos left join prefixes on starts_with(repo, prefix)) group by repo", "repos", "prefixes")
 def provenance(spark, sf_dir):
-    return registry.provenance(table(spark, "repos"), table(spark, "prefixes"))
+    return registry.provenance(table(spark, sf_dir, "repos"), table(spark, sf_dir, "prefixes"))
 
 
 @query("select repo, lower(coalesce(card, nullif(regexp_extract(readme, '(?i)licen[sc]e: *([A-Za-z0-9.-]+)', 1), ''))) as licence, case lower(coalesce(card, nullif(regexp_extract(readme, '(?i)licen[sc]e: *([A-Za-z0-9.-]+)', 1), ''))) when 'apache-2.0' then 'permissive' when 'mit' then 'permissive' when 'cc-by-4.0' then 'permissive' when 'cc-by-sa-4.0' then 'share-alike' when 'cc-by-nc-4.0' then 'non-commercial' end as tier from licences", "licences")
 def licence_tiers(spark, sf_dir):
     found = F.lower(F.coalesce("card", F.nullif(F.regexp_extract("readme", "(?i)licen[sc]e: *([A-Za-z0-9.-]+)", 1), F.lit(""))))
     tiers = {"apache-2.0": "permissive", "mit": "permissive", "cc-by-4.0": "permissive", "cc-by-sa-4.0": "share-alike", "cc-by-nc-4.0": "non-commercial"}
-    return table(spark, "licences").select("repo", found.alias("licence"), L.lookup(found, tiers).alias("tier"))
+    return table(spark, sf_dir, "licences").select("repo", found.alias("licence"), L.lookup(found, tiers).alias("tier"))
 
 
 _CAUSAL = "coalesce(len(list_filter(architectures, lambda a: ends_with(a, 'ForCausalLM'))) > 0, false)"
@@ -611,7 +614,7 @@ _HAS = lambda *names: "list_has_all(files, [" + ", ".join(f"'{n}'" for n in name
 
 @query(f"select repo, case when {_HAS('labels.json')} and len(list_filter(files, lambda f: ends_with(f, '_hash.py'))) > 0 then 'lid' when {_HAS('encoder_model.onnx')} or {_HAS('model.onnx')} and {_CAUSAL} then 'translate' when {_HAS('model.onnx', 'config.json')} and not {_HAS('labels.json')} and ({_HAS('tokenizer.json')} or {_HAS('vocab.txt')}) then 'lid' end as kind from hub", "hub")
 def repo_kinds(spark, sf_dir):
-    return crawl.kind(table(spark, "hub"))
+    return crawl.kind(table(spark, sf_dir, "hub"))
 
 
 @query(
@@ -621,22 +624,22 @@ def repo_kinds(spark, sf_dir):
     "hub",
 )
 def repo_architectures(spark, sf_dir):
-    return crawl.architecture(table(spark, "hub"))
+    return crawl.architecture(table(spark, sf_dir, "hub"))
 
 
 @query("select repo, nullif(regexp_extract(repo, 'opus-mt-(?:tc-big-)?([a-z]{2,3})-([a-z]{2,3})(?:-onnx)?$', 1), '') as src, nullif(regexp_extract(repo, 'opus-mt-(?:tc-big-)?([a-z]{2,3})-([a-z]{2,3})(?:-onnx)?$', 2), '') as tgt from hub", "hub")
 def repo_name_pairs(spark, sf_dir):
-    return table(spark, "hub").withColumn("p", crawl.name_pair(F.col("repo"))).select("repo", "p.src", "p.tgt")
+    return table(spark, sf_dir, "hub").withColumn("p", crawl.name_pair(F.col("repo"))).select("repo", "p.src", "p.tgt")
 
 
 @query(f"with c as (select repo, coalesce(nullif(regexp_extract(piece, '^<2([A-Za-z]{{2,3}}(?:_[A-Za-z0-9]+)?)>$', 1), ''), nullif(regexp_extract(piece, '^>>([A-Za-z]{{2,3}}(?:_[A-Za-z]{{4}})?)<<$', 1), '')) as code from pieces) select distinct repo, code from c where code is not null and not regexp_matches(code, '^[A-Z]{{2}}$') and {_map_sql(crawl.FAMILIES, 'split_part(lower(code), chr(95), 1)')} is null", "pieces")
 def target_tokens(spark, sf_dir):
-    return crawl.target_tokens(table(spark, "pieces"))
+    return crawl.target_tokens(table(spark, sf_dir, "pieces"))
 
 
 @query("select sum(size_mb)::bigint as loaded_mb, max(size_mb) as largest_mb, round(86 + 1.84::double * (sum(size_mb) + 2 * max(size_mb)), 2) as peak_mb from models where cached", "models")
 def memory_plan(spark, sf_dir):
-    return registry.memory_plan(table(spark, "models").where("cached"), 2)
+    return registry.memory_plan(table(spark, sf_dir, "models").where("cached"), 2)
 
 
 @query(

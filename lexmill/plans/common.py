@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans.fixtures import values_sql
+from lexmill.plans.derived import values_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None, *tables: str):
-    """Registers a query under its own name; the SQL may use the named fixture tables."""
+    """Registers a query under its own name; the SQL may use the named registry tables."""
 
     def add(f):
         QUERIES[f.__name__] = f

@@ -95,16 +95,13 @@ def _literal(v) -> str:
     return " || ".join("'" + r.replace("'", "''") + "'" if ord(r[0]) >= 32 else f"chr({ord(r)})" for r in runs) or "''"
 
 
-_TYPES = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<array<string>>": "VARCHAR[][]", "map<string,string>": "MAP(VARCHAR, VARCHAR)"}
-
-
-def values_sql(*names: str) -> str:
-    """WITH entries for DuckDB that hold the named tables."""
-    out = []
-    for name in names:
-        schema, rows = TABLES[name]
-        columns = [c.split(" ", 1) for c in schema.split(", ")]
-        body = ", ".join("(" + ", ".join(_literal(v) for v in r) + ")" for r in rows)
-        casts = ", ".join(f"c{i}::{_TYPES[t.strip()]} AS {c}" for i, (c, t) in enumerate(columns))
-        out.append(f"{name} AS (SELECT {casts} FROM (VALUES {body}) AS v({', '.join(f'c{i}' for i in range(len(columns)))}))")
-    return "WITH RECURSIVE " + ",\n".join(out)
+SQL_TYPES = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<array<string>>": "VARCHAR[][]", "map<string,string>": "MAP(VARCHAR, VARCHAR)"}
+
+
+def entry_sql(name: str) -> str:
+    """A SELECT for DuckDB that gives the rows of a table."""
+    schema, rows = TABLES[name]
+    columns = [c.split(" ", 1) for c in schema.split(", ")]
+    body = ", ".join("(" + ", ".join(_literal(v) for v in r) + ")" for r in rows)
+    casts = ", ".join(f"c{i}::{SQL_TYPES[t.strip()]} AS {c}" for i, (c, t) in enumerate(columns))
+    return f"SELECT {casts} FROM (VALUES {body}) AS v({', '.join(f'c{i}' for i in range(len(columns)))})"
