@@ -652,11 +652,16 @@ def vocab_coverage(spark, sf_dir):
     return registry.vocabulary_coverage(pieces.select("model_id", "piece").distinct(), pieces.where("lang in ('en', 'de')"))
 
 
-@query()
+@query(
+    """with a as (select user_id, event_id, event_type, lag(event_id) over (partition by user_id, event_type order by event_id) as p from events where event_type is not null),
+    d as (select a.user_id, a.event_id, count(distinct e.event_type) as n from a join events e on e.user_id = a.user_id and e.event_id > a.p and e.event_id < a.event_id group by all)
+    select a.user_id as cache, a.event_id as seq, a.event_type as model_id, case when p is not null then coalesce(n, 0) end::bigint as distance, coalesce(case when p is not null then coalesce(n, 0) end < 3, false) as hit
+    from a left join d on d.user_id = a.user_id and d.event_id = a.event_id"""
+)
 def lru_trace(spark, sf_dir):
-    """A cache for each user; a user's whole log is one group."""
-    log = read(spark, sf_dir, "events").select(F.col("user_id").alias("cache"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), F.pmod(F.xxhash64("user_id", "event_type"), F.lit(24)).cast("string")).alias("model_id"))
-    return cache.lru_trace(log.withColumn("size_mb", (F.length("model_id") * 100).cast("double")), 4, 900.0)
+    """Kinds of events as models, a cache of three for each user."""
+    log = read(spark, sf_dir, "events").select(F.col("user_id").alias("cache"), F.col("event_id").alias("seq"), F.col("event_type").alias("model_id"))
+    return cache.hits(cache.recency(log), 3)
 
 
 @query("select role, case when not " + at(SEEN, "output") + " then 'empty' when trim(output) = trim(text) then 'verbatim' else 'ok' end as status, count(*)::bigint as n from (select role, text, case when length(text) % 5 = 0 then '' when length(text) % 5 = 1 then text || ' ' else upper(text) || '.' end as output from conversations) group by all")

@@ -1,25 +1,22 @@
-from lexmill.operators.cache import lru_trace
+"""Recency distances against a cache that is kept step by step."""
 
+import random
 
-def replay(log, most, mb):
-    out = []
-    for name in {x[0] for x in log}:
-        held = []
-        for _, seq, model, size in sorted(x for x in log if x[0] == name):
-            hit = any(m == model for m, _ in held)
-            held = [h for h in held if h[0] != model] + [(model, size)]
-            gone = 0
-            while len(held) > 1 and (len(held) > most or sum(s for _, s in held) > mb):
-                held, gone = held[1:], gone + 1
-            out.append((name, seq, model, hit, gone, sum(s for _, s in held)))
-    return sorted(out)
+from lexmill.operators.cache import hits, recency
 
 
-def test_lru_follows_a_plain_replay(spark):
-    import random
-
+def test_hits_are_those_of_least_recently_used_caches(spark):
     rng = random.Random(4)
-    sizes = {f"m{k}": float(rng.choice([50, 100, 400, 1000])) for k in range(9)}
-    log = [(c, s, m := f"m{rng.randrange(9)}", sizes[m]) for c in range(3) for s in range(60)]
-    got = lru_trace(spark.createDataFrame(log, "cache long, seq long, model_id string, size_mb double"), 4, 900.0).collect()
-    assert sorted(tuple(r) for r in got) == replay(log, 4, 900.0)
+    rows = [(c, s, f"m{rng.randint(0, 6)}") for c in range(4) for s in sorted(rng.sample(range(1000), 60))] + [(None, 1, "m1"), (1, None, "m1"), (1, 2000, None), (9, 1, "lone")]
+    df = spark.createDataFrame(rows, "cache long, seq long, model_id string").repartition(3)
+    found = recency(df)
+    for size in (1, 3, 7):
+        got = {(r.cache, r.seq): r.hit for r in hits(found, size).collect()}
+        want = {}
+        for c in (0, 1, 2, 3, 9):
+            held = []
+            for _, s, m in sorted(r for r in rows if r[0] == c and None not in r):
+                want[c, s] = m in held
+                held = [m] + [x for x in held if x != m][: size - 1]
+        assert got == want
+    assert recency(df.limit(0)).count() == 0
