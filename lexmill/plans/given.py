@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import ngrams
 from lexmill.functions import text as T
-from lexmill.operators import detect, gates, limits, lines, literals, product, tree_softmax
+from lexmill.operators import beam, detect, gates, limits, lines, literals, product, tree_softmax
 from lexmill.operators.shared import saved
 from lexmill.plans.common import FNV, GRAMS, SEEN, TOKENS, at, query, read
 from lexmill.sources import entries
@@ -241,3 +241,29 @@ def ordered_feature_ids(spark, sf_dir):
     # the digest alone puts a text's slices side by side
     whole = slices.groupBy("key").agg(F.sum(F.size("ids")).cast("long").alias("n_ids"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.array_join("ids", " ").alias("t")))), lambda s: s["t"]), " ").alias("t"))
     return whole.select(F.col("key").alias("doc_id"), "n_ids", F.md5(F.col("t").cast("binary")).alias("h"))
+
+
+# --- beams -----------------------------------------------------------------------------------
+
+BEAMS, STEPS = 4, 5
+
+
+@query(
+    f"""with recursive w as (select {at(TOKENS, 'text')} as w from documents), p as (select unnest(w) as prev, unnest(list_append(w[2:], '</s>')) as nxt from w),
+    c as (select prev, nxt, count(*) as c from p group by all), r as (select *, sum(c) over (partition by prev) as every, row_number() over (partition by prev order by c desc, nxt) as r from c),
+    s as (select prev, nxt, round(-ln(c / every) * 1000000)::bigint as lp from r where r <= {BEAMS}),
+    b as (
+      select 0 as step, item_id as row_id, [({at(TOKENS, 'text')})[1]] as tokens, ({at(TOKENS, 'text')})[1] as last, 0::bigint as cost from benchmark where len({at(TOKENS, 'text')}) > 0
+      union all
+      select step, row_id, tokens, last, cost from (
+        select b.step + 1 as step, row_id, case when last = '</s>' then tokens else list_append(tokens, nxt) end as tokens, case when last = '</s>' then last else nxt end as last, cost + coalesce(lp, 0) as cost,
+               row_number() over (partition by row_id order by cost + coalesce(lp, 0), case when last = '</s>' then tokens else list_append(tokens, nxt) end) as k
+        from b left join s on s.prev = b.last where b.step < {STEPS} and (nxt is not null or last = '</s>')) where k <= {BEAMS})
+    select row_id, array_to_string(tokens, ' ') as tokens, cost, row_number() over (partition by row_id order by cost, tokens) as rank from b where step = {STEPS}"""
+)
+def beam_words(spark, sf_dir):
+    """The likeliest continuations of each benchmark item's first word, by the neighbours of words in all documents."""
+    pairs = read(spark, sf_dir, "documents").select(F.explode(beam.word_pairs(F.col("text"), "</s>")).alias("p")).select(F.col("p.prev").alias("prev"), F.col("p.next").alias("next"))
+    starts = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.get(detect.words_of(F.col("text")), F.lit(0)).alias("token"))
+    found = beam.beam_search(starts, beam.successors(pairs, BEAMS), BEAMS, STEPS, "</s>")
+    return found.select("row_id", F.array_join("tokens", " ").alias("tokens"), "cost", F.col("rank").cast("long").alias("rank"))
