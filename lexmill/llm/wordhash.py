@@ -132,19 +132,32 @@ PRIME = U64((1 << 61) - 1)
 _LOW29, _LOW32 = U64((1 << 29) - 1), U64((1 << 32) - 1)
 
 
+#: values that are hashed at a time
+_CHUNK = 1 << 13
+
+
 def _times(a: np.ndarray, r: int) -> np.ndarray:
-    """a * r modulo 2**61 - 1, for values below 2**61; the result may be the modulus plus a little."""
+    """a * r modulo 2**61 - 1, for values below 2**62 and r below 2**61; the result is below 2**61 + 8."""
     high, low = U64(r >> 32), U64(r & 0xFFFFFFFF)
     a_high, a_low = a >> U64(32), a & _LOW32
-    middle = a_high * low + a_low * high
-    bottom = a_low * low
-    s = ((a_high * high) << U64(3)) + (middle >> U64(29)) + ((middle & _LOW29) << U64(32)) + (bottom >> U64(61)) + (bottom & PRIME)
-    return (s & PRIME) + (s >> U64(61))
-
-
-def _reduced(a: np.ndarray) -> np.ndarray:
-    a = (a & PRIME) + (a >> U64(61))
-    return np.where(a >= PRIME, a - PRIME, a)
+    middle = a_high * low
+    middle += a_low * high
+    a_low *= low
+    a_high *= high
+    a_high <<= U64(3)
+    a_high += middle >> U64(29)
+    middle &= _LOW29
+    middle <<= U64(32)
+    a_high += middle
+    a_high += a_low >> U64(61)
+    a_low &= PRIME
+    a_high += a_low
+    return _folded(a_high)
+
+
+def _folded(a: np.ndarray) -> np.ndarray:
+    """The same modulo 2**61 - 1, below 2**61 + 8."""
+    return (a & PRIME) + (a >> U64(61))
 
 
 def run_point(salt: int, key: int) -> int:
@@ -160,23 +173,25 @@ def gram_hashes(h: np.ndarray, width: int, salt: int = 0, key: int = 0) -> np.nd
     points. Runs of twice the length are made of two of half of it, so the work grows with
     the logarithm of the width.
     """
-    n = len(h) - width + 1
+    n, point = len(h) - width + 1, run_point(salt, key)
     if n <= 0:
         return np.zeros(0, U64)
-    point = run_point(salt, key)
-    power, run, size = point, _reduced(h >> U64(3)), 1  # run: hashes of all runs of `size`, power: point to the `size`
+    if n > _CHUNK:  # what stays in a core's cache is done many times faster
+        return np.concatenate([gram_hashes(h[k : min(k + _CHUNK, n) + width - 1], width, salt, key) for k in range(0, n, _CHUNK)])
+    power, run, size = point, h >> U64(3), 1  # run: hashes of all runs of `size`, power: point to the `size`
     out, done = None, 0
     while True:
         if width & size:
             # what is done so far lies before the next `size` values
             part = run[done : done + n]
-            out = part if out is None else _reduced(_times(out, power) + part)
+            out = part if out is None else _folded(_times(out, power) + part)
             done += size
         if done == width:
             break
-        run = _reduced(_times(run[:-size], power) + run[size:])
+        run = _folded(_times(run[:-size], power) + run[size:])
         power, size = power * power % int(PRIME), 2 * size
-    return mix(out ^ (U64(width & 7) << U64(61)))
+    out = _folded(out)
+    return mix(np.where(out >= PRIME, out - PRIME, out) ^ (U64(width & 7) << U64(61)))
 
 
 def gram_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
