@@ -37,10 +37,6 @@ def guard_status(text: Column, max_chars: int = MAX_CHARS, max_tokens: int = MAX
     )
 
 
-def length_status(size: Column, limit: int, name: str) -> Column:
-    return F.when(size > limit, name).otherwise("OK")
-
-
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-8 bytes, where bytes from 0x80 on are extended by their sign."""
     code = F.hex(text.cast("binary"))
