@@ -79,3 +79,29 @@ def test_no_edges_no_requests(spark, requests):
 def test_sets_are_named(spark):
     df = spark.createDataFrame([([],), ([0],), ([1, 6],)], "m array<long>")
     assert [r.t for r in df.select(limits.named(F.col("m"), {1: "size", 2: "absent", 4: "source"}).alias("t")).collect()] == ["", "", "size|absent+source"]
+
+
+def test_a_signature_holds_its_nodes_and_few_others(spark):
+    nodes = spark.range(4000)
+    wanted = nodes.where("id % 200 = 0").agg(limits.signature(F.col("id")).alias("wanted"))
+    held = {r.id for r in nodes.crossJoin(wanted).where(limits.may_hold(F.col("wanted"), F.col("id"))).collect()}
+    assert held >= set(range(0, 4000, 200)) and len(held) < 800
+
+
+def test_the_hop_before_the_last_is_made_for_wanted_targets_alone(spark, monkeypatch):
+    """One request in a wide graph: 30 x 30 nodes are two hops away, one edge leads on to the target."""
+    rows = [(0, 1 + a, "m", 1.0, 0) for a in range(30)] + [(1 + a, 100 + 30 * a + b, "m", 1.0, 0) for a in range(30) for b in range(30)] + [(100, 5000, "m", 2.0, 1)]
+    edges, asked = spark.createDataFrame(rows, EDGES), spark.createDataFrame([(1, 0, 5000)], "req_id long, src long, tgt long")
+    sizes, keep = [], limits.saved
+
+    def counted(df):
+        made = keep(df)
+        sizes.append((tuple(made.columns), made.count()))
+        return made
+
+    monkeypatch.setattr(limits, "saved", counted)
+    assert limits.limit_sets(edges, asked, 2, HOP).first().masks == [HOP + 1]
+    assert max(n for c, n in sizes if c == ("src", "node", "mask")) < 60
+    route = limits.bottleneck_routes(edges, asked, 3).first()
+    assert (route.step, list(route.nodes)) == (2.0, [0, 1, 100, 5000])
+    assert max(n for c, n in sizes if "nodes" in c) < 60
