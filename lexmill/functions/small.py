@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,8 @@ def literal_rows(df: DataFrame, bound: int = 10_000) -> Column:
     if not rows:
         return F.array().cast(kind)
     return F.array(*[F.struct(*[F.lit(v).alias(f.name) for v, f in zip(r, df.schema, strict=True)]) for r in rows]).cast(kind)
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often then names it; a bare Column is copied to each place."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
