@@ -8,6 +8,7 @@ doesn't grow with the length of a text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,3 +194,36 @@ def ordered_features(docs: DataFrame, key: Column, text: Column, minn: int, maxn
                 yield pa.RecordBatch.from_pydict({"key": batch.column(0).take(pa.array(owner[head][run_of])), "offset": pa.array(before[run_of] + inner, pa.int64()), "ids": pa.ListArray.from_arrays(cuts, pa.array(ids + first, pa.int64()))})
 
     return docs.select(key.cast("long").alias("key"), text.alias("text")).mapInArrow(run, "key long, offset long, ids array<long>")
+
+
+def ordered_digests(docs: DataFrame, key: Column, text: Column, minn: int, maxn: int, buckets: int, first: int = 0) -> DataFrame:
+    """key, n_ids, h: how many n-gram ids each row's text has, and the md5 of them in order, in decimal with a space between; a text without words has no row.
+
+    The slices of a text follow each other where they are made, so the digest takes them one
+    by one and nothing is exchanged.
+    """
+
+    def run(batches):
+        key, n, h = None, 0, None
+        for batch in batches:
+            texts = pc.binary_join(batch.column(2).cast(pa.list_(pa.string())), " ").to_pylist()
+            sizes = pc.list_value_length(batch.column(2)).to_pylist()
+            out = []
+            for k, offset, size, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes, texts, strict=True):
+                if offset == 0:
+                    if h is not None:
+                        out.append((key, n, h.hexdigest()))
+                    key, n, h = k, 0, hashlib.md5(usedforsecurity=False)
+                h.update((" " + t if n else t).encode())
+                n += size
+            if out:
+                yield _digests(out)
+        if h is not None:
+            yield _digests([(key, n, h.hexdigest())])
+
+    return ordered_features(docs, key, text, minn, maxn, buckets, first).mapInArrow(run, "key long, n_ids long, h string")
+
+
+def _digests(rows: list[tuple]) -> pa.RecordBatch:
+    keys, ns, hs = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(hs, pa.string())], names=["key", "n_ids", "h"])

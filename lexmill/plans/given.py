@@ -237,10 +237,16 @@ def entry_shapes(spark, sf_dir):
     select doc_id, sum(len(ids))::bigint as n_ids, md5(string_agg(array_to_string(ids, ' '), ' ' order by i)) as h from each join ids using (token) group by doc_id"""
 )
 def ordered_feature_ids(spark, sf_dir):
-    slices = ngrams.ordered_features(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), 2, 5, BUCKETS)
-    # the digest alone puts a text's slices side by side
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    again = saved(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")))
+    if again.isEmpty():
+        return ngrams.ordered_digests(docs, F.col("doc_id"), F.col("text"), 2, 5, BUCKETS).withColumnRenamed("key", "doc_id")
+    # rows that share a doc_id have one digest, and are exchanged
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    alone = ngrams.ordered_digests(docs.join(again, same, "left_anti"), F.col("doc_id"), F.col("text"), 2, 5, BUCKETS).withColumnRenamed("key", "doc_id")
+    slices = ngrams.ordered_features(docs.join(again, same, "left_semi"), F.col("doc_id"), F.col("text"), 2, 5, BUCKETS)
     whole = slices.groupBy("key").agg(F.sum(F.size("ids")).cast("long").alias("n_ids"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.array_join("ids", " ").alias("t")))), lambda s: s["t"]), " ").alias("t"))
-    return whole.select(F.col("key").alias("doc_id"), "n_ids", F.md5(F.col("t").cast("binary")).alias("h"))
+    return alone.unionByName(whole.select(F.col("key").alias("doc_id"), "n_ids", F.md5(F.col("t").cast("binary")).alias("h")))
 
 
 # --- beams -----------------------------------------------------------------------------------
