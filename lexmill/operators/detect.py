@@ -129,6 +129,23 @@ def word_features(words: DataFrame, vocabulary: DataFrame, nwords: int, buckets:
     return told.join(lists, "token", "left").select("token", F.col("word_id").isNotNull().alias("known"), F.concat(own, rest).alias("ids"))
 
 
+def known_word_sums(docs: DataFrame, key: Column, text: Column, vocabulary: DataFrame, nwords: int, buckets: int, minn: int = 2, maxn: int = 5) -> DataFrame:
+    """key, n_known, n_ids, id_sum over the ids that word_features gives for the words of each text; a text without words has no row.
+
+    N-grams are hashed where the texts are; of the words only those of the vocabulary are
+    exchanged, as sums per text.
+    """
+    bare = f"(?<![^{T.TOKEN_BREAKS}]){T.END_TOKEN}(?![^{T.TOKEN_BREAKS}])"  # the end token has no n-grams
+    without = F.when(text.contains(T.END_TOKEN), F.regexp_replace(text, bare, "")).otherwise(text)
+    grams = ngrams.feature_sums(docs, key, without, minn, maxn, buckets, nwords).select("key", "n", "total")
+    words = docs.select(key.cast("long").alias("key"), F.explode(words_of(text)).alias("word"))
+    hits = words.join(small(vocabulary.select("word", "word_id")), "word").groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("word_id").alias("ids"))
+    ends = docs.where(text.contains(T.END_TOKEN)).select(key.cast("long").alias("key"), F.explode(words_of(text)).alias("word")).where(F.col("word") == T.END_TOKEN).select("key").distinct()
+    none = F.lit(0).cast("long")
+    every = grams.select("key", none.alias("k"), "n", F.col("total").alias("s")).unionByName(hits.select("key", "k", F.col("k").alias("n"), F.col("ids").cast("long").alias("s"))).unionByName(ends.select("key", none.alias("k"), none.alias("n"), none.alias("s")))
+    return every.groupBy("key").agg(F.sum("k").alias("n_known"), F.sum("n").alias("n_ids"), F.sum("s").alias("id_sum"))
+
+
 def huffman_probabilities(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     """doc_id, label_idx, p from node scores (doc_id, node, score) and the tree (label_idx, node, bit): product along each path."""
     step = F.log(F.greatest(F.when(F.col("bit"), F.col("score")).otherwise(1 - F.col("score")), F.lit(1e-12)))
