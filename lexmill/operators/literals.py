@@ -9,14 +9,16 @@ no limit.
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.ngrams import small_batches
+from lexmill.functions.ngrams import small_batches, utf8
 
 #: characters of the literals of one automaton
 LOT_CHARS = 4 << 20
@@ -66,31 +68,41 @@ _MATCHES = "array<struct<start: int, length: int, id: long>>"
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("id", pa.int64())]))
 
 
-def _lists(per_row: list[int], starts: list[int], lengths: list[int], ids: list[int]) -> pa.ListArray:
-    offsets = pa.array(np.concatenate(([0], np.cumsum(per_row))), pa.int32())
-    fields = [pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(ids, pa.int64())]
-    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=["start", "length", "id"])).cast(_ARROW)
-
-
 def _only_lot(name: str, shipped):
-    """Leftmost-longest matches straight from the automaton."""
+    """Leftmost-longest matches straight from the automaton, by number; what a number stands for is looked up for a whole batch."""
 
     def run(batches):
-        own = automaton(name, shipped.value)
+        own, lengths, ids = _numbered(name, shipped.value)
         for batch in batches:
-            per_row, starts, lengths, ids = [], [], [], []
+            per_row, found = [], []
             for text in batch.column("text").to_pylist():
-                had = len(ids)
-                for end, (length, number) in own.iter_long(text) if text and len(own) else ():
-                    starts.append(end - length + 1)
-                    lengths.append(length)
-                    ids.append(number)
-                per_row.append(len(ids) - had)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(per_row, starts, lengths, ids)], names=["row", "matches"])
+                flat = np.fromiter(chain.from_iterable(own.iter_long(text)), np.int64) if text and len(own) else _NOTHING
+                per_row.append(len(flat) // 2)
+                found.append(flat)
+            ends, numbers = np.concatenate([_NOTHING, *found]).reshape(-1, 2).T
+            offsets = pa.array(np.append(0, np.cumsum(per_row)), pa.int32())
+            fields = [pa.array(ends - lengths[numbers] + 1, pa.int32()), pa.array(lengths[numbers], pa.int32()), pa.array(ids[numbers], pa.int64())]
+            matches = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=["start", "length", "id"])).cast(_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), matches], names=["row", "matches"])
 
     return run
 
 
+_NOTHING = np.zeros(0, np.int64)
+
+
+def _numbered(name: str, literals: list[tuple[str, int]]):
+    """(automaton of numbers, length of each, id of each)."""
+    if name not in _MADE:
+        _MADE.clear()
+        made, held = ahocorasick.Automaton(), sorted((x for x in literals if x[0]), key=lambda x: (x[0], -x[1]))
+        for k, (text, _) in enumerate(held):
+            made.add_word(text, k)
+        made.make_automaton()
+        _MADE[name] = made, np.array([len(t) for t, _ in held], np.int64), np.array([i for _, i in held], np.int64)
+    return _MADE[name]
+
+
 def _one_of_lots(name: str, shipped):
     """Adds the matches of one lot, the longest at each start, to those that rows (row, text, matches) bring along."""
 
@@ -137,25 +149,24 @@ def literal_matches(docs: DataFrame, literals: DataFrame) -> DataFrame:
 
 
 def _pieces(batches):
-    """The text of each row cut at its matches."""
+    """The text of each row cut at its matches; put together the pieces are the texts, so only offsets are made."""
     for batch in batches:
-        per_row, pieces, ids = [], [], []
-        for text, matches in zip(batch.column("text").to_pylist(), batch.column("matches").to_pylist(), strict=True):
-            had, at = len(ids), 0
-            for m in matches:
-                start = m["start"]
-                if start > at:
-                    pieces.append(text[at:start])
-                    ids.append(None)
-                at = start + m["length"]
-                pieces.append(text[start:at])
-                ids.append(m["id"])
-            if text and at < len(text):
-                pieces.append(text[at:])
-                ids.append(None)
-            per_row.append(len(ids) - had)
-        flat = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(ids, pa.int64())], names=["piece", "id"])
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_row))), pa.int32()), flat)], names=["row", "pieces"])
+        data, off = utf8(batch.column("text"))
+        lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # byte of each character
+        first = np.searchsorted(lead, off)  # character at which each text begins
+        matches = batch.column("matches")
+        flat = matches.flatten()
+        row = np.repeat(np.arange(len(batch)), np.asarray(pc.fill_null(pc.list_value_length(matches), 0)))
+        start = first[row] + np.asarray(flat.field("start"), np.int64)
+        end = start + np.asarray(flat.field("length"), np.int64)
+        cuts = np.unique(np.concatenate([first, start, end]))  # the ends of texts among them
+        head = cuts[:-1] if len(cuts) else cuts
+        at = np.searchsorted(start, head)
+        hit = np.append(start, -1)[at] == head
+        ids = pa.array(np.append(np.asarray(flat.field("id"), np.int64), 0)[at], pa.int64(), mask=~hit)
+        pieces = pa.StringArray.from_buffers(len(head), pa.py_buffer(lead[cuts].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+        per_row = pa.array(np.searchsorted(head, first), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(per_row, pa.StructArray.from_arrays([pieces, ids], names=["piece", "id"]))], names=["row", "pieces"])
 
 
 def split_at_literals(docs: DataFrame, literals: DataFrame) -> DataFrame:
