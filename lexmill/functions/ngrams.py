@@ -18,14 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: bytes of text whose n-grams are made at a time
-CHUNK = 1 << 19
+CHUNK = 1 << 17
+#: counts that a task holds
+HELD = 1 << 22
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OFFSET, _PRIME = np.uint32(2166136261), np.uint32(16777619)
-_SIGNED = np.arange(256, dtype=np.uint32)
-_SIGNED[128:] += np.uint32(0xFFFFFF00)
-_BREAK = np.zeros(256, bool)
-_BREAK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -46,9 +44,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def _breaks(data: np.ndarray) -> np.ndarray:
+    return (data == 0x20) | (data - np.uint8(9) < 5)
+
+
+def _signed(data: np.ndarray) -> np.ndarray:
+    """Bytes as 32-bit numbers, extended by their sign."""
+    return data.view(np.int8).astype(np.int32).view(np.uint32)
+
+
 def word_ranges(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of every word."""
-    solid = ~_BREAK[data]
+    solid = ~_breaks(data)
     begin, finish = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     finish[:-1] &= ~solid[1:]
@@ -60,33 +67,44 @@ def word_ranges(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, minn: int, maxn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """([characters, lengths] hashes, which of them are n-grams, word of each character) of the words between < and >."""
+    """([characters, lengths] hashes, which of them are n-grams, characters of each word) of the words between < and >.
+
+    Hashes run on over the ends of words, in whole passes; those that do are no n-grams.
+    """
     size = end - start + 2
     at = np.cumsum(size) - size
-    text = np.zeros(int(size.sum()), np.uint8)
-    inner = np.ones(len(text), bool)
-    inner[at] = inner[at + size - 1] = False
-    text[at], text[at + size - 1] = ord("<"), ord(">")
-    shift = np.repeat(start - at - 1, size - 2)
-    text[inner] = data[np.flatnonzero(inner) + shift]
-    lead = np.flatnonzero((text & 0xC0) != 0x80)
-    wide = np.diff(np.append(lead, len(text)))
-    first = np.searchsorted(lead, at)
-    count = np.diff(np.append(first, len(lead)))
-    left = np.repeat(first + count, count) - np.arange(len(lead))  # characters from each to the end of its word
-    hashes, valid = np.empty((len(lead), maxn - minn + 1), np.uint32), np.empty((len(lead), maxn - minn + 1), bool)
-    h = np.full(len(lead), _OFFSET)
+    text = np.full(int(size.sum()), ord("<"), np.uint8)
+    text[at + size - 1] = ord(">")
+    piece = data[start[0] : end[-1]]
+    piece = piece[~_breaks(piece)]  # all between the words are breaks
+    text[np.repeat(2 * np.arange(len(start)) + 1, size - 2) + np.arange(len(piece))] = piece
+    opens = (text & 0xC0) != 0x80
+    if opens.all():  # all characters are single bytes
+        lead, count, more = None, size, []
+    else:
+        lead = np.flatnonzero(opens)
+        count = np.diff(np.searchsorted(lead, np.append(at, len(text))))
+        wide = np.diff(np.append(lead, len(text)))
+        more = [np.flatnonzero(wide > k) for k in range(1, 4)]
+    value = _signed(text if lead is None else text[lead])
+    rest = [(own, _signed(text[lead[own] + k])) for k, own in enumerate(more, 1) if len(own)]
+    left = np.repeat(np.cumsum(count), count) - np.arange(len(value))  # characters from each to the end of its word
+    hashes, valid = np.zeros((len(value), maxn - minn + 1), np.uint32), np.zeros((len(value), maxn - minn + 1), bool)
+    h = np.full(len(value), _OFFSET)
     for n in range(1, maxn + 1):
-        live = np.flatnonzero(left >= n)
-        into, width = lead[live + n - 1], wide[live + n - 1]
-        for k in range(4):
-            more = width > k
-            if k and not more.any():
-                break
-            h[live[more]] = (h[live[more]] ^ _SIGNED[text[into[more] + k]]) * _PRIME
+        reach = max(0, len(value) - n + 1)
+        if not reach:
+            break
+        h = h[:reach]
+        h ^= value[n - 1 :]
+        h *= _PRIME
+        for own, byte in rest:
+            far = int(np.searchsorted(own, n - 1))
+            into = own[far:] - (n - 1)
+            h[into] = (h[into] ^ byte[far:]) * _PRIME
         if n >= minn:
-            hashes[:, n - minn], valid[:, n - minn] = h, left >= n
-    return hashes, valid, np.repeat(np.arange(len(start)), count)
+            hashes[:reach, n - minn], valid[:, n - minn] = h, left >= n
+    return hashes, valid, count
 
 
 def ngram_ids(data: np.ndarray, off: np.ndarray, minn: int, maxn: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -97,9 +115,9 @@ def ngram_ids(data: np.ndarray, off: np.ndarray, minn: int, maxn: int, buckets:
     while at < len(start):
         base = upto[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(upto, base + CHUNK, side="right")))
-        hashes, valid, word = _hashed(data, start[at:to], end[at:to], minn, maxn)
-        owner = np.repeat(text[at:to][word], valid.sum(axis=1))
-        yield owner, (hashes[valid] % np.uint32(buckets)).astype(np.int64)
+        hashes, valid, count = _hashed(data, start[at:to], end[at:to], minn, maxn)
+        each = sum(np.maximum(count - n + 1, 0) for n in range(minn, maxn + 1))
+        yield np.repeat(text[at:to], each), (hashes[valid] % np.uint32(buckets)).astype(np.int64)
         at = to
 
 
@@ -130,17 +148,44 @@ def document_features(docs: DataFrame, key: Column, text: Column, minn: int, max
 
 
 def label_features(docs: DataFrame, label: Column, text: Column, minn: int, maxn: int, buckets: int) -> DataFrame:
-    """label, id, n: how often the texts of each label have each n-gram id."""
+    """label, id, n: how often the texts of each label have each n-gram id; with id null, how many rows the label has.
+
+    A task counts in a row of numbers per label and sends them when it would hold more than HELD, and at the end.
+    """
     small_batches(docs.sparkSession)
 
+    def sent(counts):
+        for label, row in counts.items():
+            ids = np.flatnonzero(row)
+            own = pa.array(ids, pa.int64(), mask=ids == buckets)
+            yield pa.RecordBatch.from_pydict({"label": pa.array([label] * len(ids), pa.string()), "id": own, "n": pa.array(row[ids], pa.int64())})
+
     def run(batches):
+        counts: dict[str | None, np.ndarray] = {}  # rows of texts are counted behind the ids
         for batch in batches:
             codes = batch.column(0).dictionary_encode(null_encoding="encode")
-            own = np.asarray(codes.indices)
-            data, off = utf8(batch.column(1))
+            names, own = codes.dictionary.to_pylist(), np.asarray(codes.indices)
+            order = np.argsort(own, kind="stable")
+            data, off = utf8(batch.column(1).take(pa.array(order)))
+            own = own[order]
+
+            def row(code):
+                if names[code] not in counts:
+                    if (len(counts) + 1) * buckets > HELD:
+                        yield from sent(counts)
+                        counts.clear()
+                    counts[names[code]] = np.zeros(buckets + 1, np.int64)
+
+            for code, n in zip(*np.unique(own, return_counts=True), strict=True):
+                yield from row(code)
+                counts[names[code]][buckets] += n
             for owner, ids in ngram_ids(data, off, minn, maxn, buckets):
-                both, ns = np.unique(own[owner].astype(np.int64) * buckets + ids, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"label": codes.dictionary.take(pa.array(both // buckets)), "id": pa.array(both % buckets, pa.int64()), "n": pa.array(ns, pa.int64())})
+                code = own[owner]
+                head = np.flatnonzero(np.diff(code, prepend=-1))
+                for a, b in zip(head, np.append(head[1:], len(ids)), strict=True):
+                    yield from row(code[a])
+                    counts[names[code[a]]][:buckets] += np.bincount(ids[a:b], minlength=buckets)
+        yield from sent(counts)
 
     partial = docs.select(label.alias("label"), text.alias("text")).mapInArrow(run, "label string, id long, n long")
     return partial.groupBy("label", "id").agg(F.sum("n").alias("n"))

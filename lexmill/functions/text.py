@@ -19,7 +19,7 @@ MAX_CHARS, MAX_TOKENS = 10_000, 1024
 
 def has_visible_content(text: Column) -> Column:
     """Whether a reader would see anything; null is not visible."""
-    return F.coalesce(F.regexp_replace(text, f"[{INVISIBLE}]", "").rlike(f"[^{BLANK}]"), F.lit(False))
+    return F.coalesce(text.rlike(f"[^{INVISIBLE}{BLANK}]"), F.lit(False))  # ends at the first that is seen
 
 
 def tokens(text: Column) -> Column:

@@ -37,9 +37,10 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame
     All texts with visible content count whole: the guards are limits of a request, not of training.
     """
     seen = docs.where(T.has_visible_content(F.col("text")))
-    features = saved(ngrams.label_features(seen, F.col("lang"), F.col("text"), 3, 3, buckets).select(F.col("label").alias("lang"), F.col("id").alias("fid"), F.col("n").alias("c")))
+    counted = saved(ngrams.label_features(seen, F.col("lang"), F.col("text"), 3, 3, buckets).select(F.col("label").alias("lang"), F.col("id").alias("fid"), F.col("n").alias("c")))
+    features = counted.where("fid is not null")
     totals = features.groupBy("lang").agg(F.sum("c").alias("total"))
-    ok = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    ok = counted.where("fid is null").select("lang", F.col("c").alias("n_docs"))
     every = F.sum("n_docs").over(Window.partitionBy())  # a row per language
     priors = ok.join(totals, "lang").select("lang", "n_docs", "total", F.round(F.log(F.col("n_docs") / every) * UNIT).cast("long").alias("prior"))
     return saved(priors), features
@@ -60,9 +61,8 @@ def packed(priors: DataFrame, features: DataFrame, buckets: int = BUCKETS) -> tu
 def scores(docs: DataFrame, langs: DataFrame, weights: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, lang, score (micro-nats) for every text that passes the guards and every language; rows of one doc_id count as one text."""
     read = docs.where(T.guard_status(F.col("text")) == "OK")
-    features = ngrams.document_features(read, F.col("doc_id"), F.col("text"), 3, 3, buckets, product.IDS)
     n = langs.count()
-    sums = product.sparse_dense(features, weights, n, docs.count())
+    sums = product.text_sums(read, F.col("doc_id"), F.col("text"), 3, buckets, weights, n)
     each = sums.select(F.col("key").alias("doc_id"), "n", "block", F.posexplode("vec").alias("k", "gain")).withColumn("idx", F.col("block") * product.COLUMNS + F.col("k"))
     # a word has as many trigrams as characters, so n is the text's length
     return each.join(small(langs, n), "idx").select("doc_id", "lang", (F.col("n") * F.col("floor") + F.col("gain").cast("long") + F.col("prior")).alias("score"))

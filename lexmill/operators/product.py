@@ -1,10 +1,11 @@
 """Sparse rows times dense tables, in blocks: embedding sums, logits and softmax without a row per document, feature and label.
 
-Features travel packed, a row per document and range of ids, and meet the weights of that
+The weights of a model of at most TABLE numbers go to all workers, which sum them up where the
+texts are; only sums are exchanged. Of a larger one features travel packed, a row per document and range of ids, and meet the weights of that
 range in a cell (range, column block, salt). A cell is one numpy product; its partial sums
 are added up by Spark, element by element, on the map side first. Neither a feature that
 every document has nor a long list of labels makes one task larger than others, and nothing
-but counts comes to the driver.
+but counts and weights of at most TABLE numbers comes to the driver.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import ngrams
+
 #: ids and columns of a block of weights, labels of a block of outputs, documents of a cell
 IDS, COLUMNS, LABELS, KEYS = 8192, 16, 1024, 20_000
+#: numbers of a table of weights that every worker holds
+TABLE = 1 << 23
 #: products that are held at a time
 _HELD = 1 << 16
 _ROWS = 2048
@@ -75,12 +80,62 @@ def sparse_dense(features: DataFrame, weights: DataFrame, width: int, keys: int)
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     cell = ["part", "block", "salt"]
     partial = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_cell_sums, "key long, block int, n long, vec array<double>")
+    return _added(partial)
+
+
+def _rows_sums(table: np.ndarray, ids: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The sums of rows of table by ids, of runs of ids that begin at head, some products at a time."""
+    step = max(1, _HELD // table.shape[1])
+    out = np.zeros((len(head), table.shape[1]))
+    for a in range(0, len(ids), step):
+        first, last = np.searchsorted(head, [a, a + step], side="right")  # the run at a is first - 1
+        cuts = np.maximum(head[first - 1 : last], a)
+        cuts = cuts[cuts < min(a + step, len(ids))]
+        out[first - 1 : first - 1 + len(cuts)] += np.add.reduceat(table.take(ids[a : a + step], axis=0), cuts - a, axis=0)
+    return out
+
+
+def text_sums(docs: DataFrame, key: Column, text: Column, size: int, buckets: int, weights: DataFrame, width: int) -> DataFrame:
+    """sparse_dense of the ids of all n-grams of `size` characters of each text; rows of one key add up."""
+    if buckets * width > TABLE:
+        features = ngrams.document_features(docs, key, text, size, size, buckets, IDS)
+        return sparse_dense(features, weights, width, docs.count())
+    ngrams.small_batches(docs.sparkSession)
+    found = weights.where(F.col("id") < buckets).select(F.col("id").cast("long").alias("id"), "block", "vec").toArrow()
+    blocks = (width - 1) // COLUMNS + 1
+    table = np.zeros((buckets, blocks, COLUMNS))
+    table[np.asarray(found.column("id")), np.asarray(found.column("block"))] = _matrix(found.column("vec"), COLUMNS)
+    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.reshape(buckets, -1)[:, :width]))
+
+    def run(batches):
+        for batch in batches:
+            data, off = ngrams.utf8(batch.column(1))
+            for owner, ids in ngrams.ngram_ids(data, off, size, size, buckets):
+                head = np.flatnonzero(np.diff(owner, prepend=-1))
+                sums = np.zeros((len(head), blocks * COLUMNS))
+                sums[:, :width] = _rows_sums(shared.value, ids, head)
+                yield pa.RecordBatch.from_pydict({
+                    "key": batch.column(0).take(pa.array(np.repeat(owner[head], blocks))),
+                    "block": pa.array(np.tile(np.arange(blocks), len(head)), pa.int32()),
+                    "n": pa.array(np.repeat(np.diff(np.append(head, len(ids))), blocks), pa.int64()),
+                    "vec": _lists(sums.reshape(-1, COLUMNS)),
+                })
+
+    partial = docs.select(key.cast("long").alias("key"), text.alias("text")).mapInArrow(run, "key long, block int, n long, vec array<double>")
+    return _added(partial)
+
+
+def _added(partial: DataFrame) -> DataFrame:
     return partial.groupBy("key", "block").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("vec")[k]) for k in range(COLUMNS)]).alias("vec"))
 
 
 def hidden_means(features: DataFrame, weights: DataFrame, width: int, keys: int) -> DataFrame:
     """key, hidden: the mean of the weights of all ids of each key, `width` numbers."""
-    sums = sparse_dense(features, in_blocks(weights, width), width, keys)
+    return means_of(sparse_dense(features, in_blocks(weights, width), width, keys), width)
+
+
+def means_of(sums: DataFrame, width: int) -> DataFrame:
+    """key, hidden: `width` means from sums (key, block, n, vec)."""
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "vec"))), lambda b: b["vec"]))  # width numbers, however many ids
     return sums.groupBy("key").agg(F.max("n").alias("n"), F.slice(whole, 1, width).alias("v")).select("key", F.transform("v", lambda x: x / F.col("n")).alias("hidden"))
 

@@ -112,9 +112,8 @@ def running_posterior(turns: DataFrame, langs: DataFrame, weights: DataFrame, de
 
 def batch_posterior(turns: DataFrame, langs: DataFrame, weights: DataFrame, buckets: int = detect.BUCKETS) -> DataFrame:
     """conv_id, lang, p, size of whole conversations (conv_id, text): what the stream says once all turns are in."""
-    features = ngrams.document_features(turns, F.col("conv_id"), F.col("text"), 3, 3, buckets, product.IDS)
     n = langs.count()
-    sums = product.sparse_dense(features, weights, n, turns.count())
+    sums = product.text_sums(turns, F.col("conv_id"), F.col("text"), 3, buckets, weights, n)
     each = sums.select(F.col("key").alias("conv_id"), "n", "block", F.posexplode("vec").alias("k", "gain")).withColumn("idx", F.col("block") * product.COLUMNS + F.col("k"))
     scored = each.join(detect.small(langs, n), "idx").select("conv_id", "lang", "n", (F.col("n") * F.col("floor") + F.col("gain") + F.col("prior")).alias("score"))
     best = scored.groupBy("conv_id").agg(F.min(F.struct((-F.col("score")).alias("cost"), "lang")).alias("b"), F.max("n").alias("size"), F.collect_list("score").alias("scores"))  # a score per language

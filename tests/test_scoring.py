@@ -194,3 +194,40 @@ def test_held_out_scores_beat_the_counts(spark):
     loss = sum(-math.log(r.p) for r in seen) / len(seen)
     prior = sum(-math.log(counts[r.label] / sum(counts.values())) for r in seen) / len(seen)
     assert loss < prior - 0.4
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_sums_of_texts_equal_numpy(spark, docs, monkeypatch, fits):
+    monkeypatch.setattr(product, "_HELD", 50)  # runs of ids are cut
+    monkeypatch.setattr(ngrams, "CHUNK", 97)
+    if not fits:
+        monkeypatch.setattr(product, "TABLE", 0)
+    width = 21
+    weights = np.random.default_rng(3).normal(size=(BUCKETS, width))
+    some = [(k, weights[k].tolist()) for k in range(0, BUCKETS, 2)]  # the others count as zeros
+    weights[1::2] = 0
+    table = product.in_blocks(spark.createDataFrame(some, "id long, vec array<double>"), width)
+    twice = docs.union(docs.where("doc_id = 6"))
+    sums = product.text_sums(twice, F.col("doc_id"), F.col("text"), 3, BUCKETS, table, width)
+    assert ("FlatMapCoGroupsInArrow" in sums._jdf.queryExecution().executedPlan().toString()) != fits
+    got = {}
+    for r in sums.collect():
+        got.setdefault(r.key, {})[r.block] = r.n, r.vec
+    want = {r.doc_id: plain_ids(r.text, 3, 3) for r in docs.collect()}
+    assert got.keys() == {k for k, v in want.items() if v}
+    for k, v in got.items():
+        times = 2 if k == 6 else 1
+        assert [v[b][0] for b in (0, 1)] == [times * len(want[k])] * 2
+        assert np.allclose((v[0][1] + v[1][1])[:width], times * weights[want[k]].sum(axis=0), atol=1e-9)
+
+
+def test_label_counts_are_sent_before_they_are_too_many(spark, docs, monkeypatch):
+    labelled = docs.select("text", F.when(F.col("doc_id") % 4 != 3, F.concat(F.lit("l"), F.col("doc_id") % 4)).alias("label")).cache()
+    want = Counter()
+    for r in labelled.collect():
+        want[r.label, None] += 1
+        want.update((r.label, i) for i in plain_ids(r.text, 3, 3))
+    for held in (1, 2 * BUCKETS, 1 << 22):
+        monkeypatch.setattr(ngrams, "HELD", held)
+        got = {(r.label, r.id): r.n for r in ngrams.label_features(labelled, F.col("label"), F.col("text"), 3, 3, BUCKETS).collect()}
+        assert got == want
