@@ -87,6 +87,13 @@ def _newton_sums(vectors: np.ndarray):
     return run
 
 
+def _added(part: pa.Table) -> pa.Table:
+    """The sums of one node, of which each task has sent a row."""
+    sums = part.column("sums").combine_chunks()
+    whole = np.asarray(sums.flatten()).reshape(len(sums), -1).sum(axis=0)
+    return pa.table({"node": part.column("node").slice(0, 1), "sums": product._lists(whole[None, :])})
+
+
 def fit_nodes(rows: DataFrame, n_nodes: int, width: int, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, list[float]]:
     """(a vector per node, the loss before each step) from rows (hidden, nodes, bits): logistic regression at every node by damped Newton steps.
 
@@ -96,10 +103,9 @@ def fit_nodes(rows: DataFrame, n_nodes: int, width: int, ridge: float = RIDGE, s
     step, best = np.zeros_like(vectors), np.full(n_nodes, np.inf)
     for _ in range(steps):
         part = rows.mapInArrow(_newton_sums(vectors + step), "node int, sums array<double>")
-        found = part.select("node", F.posexplode("sums").alias("k", "v")).groupBy("node", "k").agg(F.sum("v").alias("v")).collect()  # nodes times width squared
+        found = part.groupBy("node").applyInArrow(_added, "node int, sums array<double>").toArrow()  # nodes times width squared
         table = np.zeros((n_nodes, width + width * width + 1))
-        for r in found:
-            table[r["node"], r["k"]] = r["v"]
+        table[np.asarray(found.column("node"))] = product._matrix(found.column("sums"), table.shape[1])
         trial = vectors + step
         loss = table[:, -1] + ridge / 2 * (trial**2).sum(axis=1)
         good = loss <= best
@@ -117,39 +123,98 @@ def vectors_table(spark: SparkSession, vectors: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "node int, vec array<double>")
 
 
+def _block_probabilities(hidden: pa.ChunkedArray, right: pa.Table, width: int):
+    """(label indexes of a block, an iterator of the probabilities of some rows of hidden after others): at each node the branch a label takes, multiplied along its path."""
+    labels, place = np.unique(np.asarray(right.column("label_idx")), return_inverse=True)
+    used = right.column("node").combine_chunks()
+    steps = np.flatnonzero(np.asarray(used.is_valid()))
+    nodes, first, at = np.unique(np.asarray(used.fill_null(0))[steps], return_index=True, return_inverse=True)
+    vectors = product._matrix(right.column("vec").combine_chunks().take(pa.array(steps[first])), width)
+    bits = np.asarray(right.column("bit").combine_chunks().fill_null(False).cast(pa.int8())).astype(bool)[steps]
+    takes, turns = np.zeros((len(nodes), len(labels))), np.zeros((len(nodes), len(labels)))
+    takes[at[bits], place[steps][bits]], turns[at[~bits], place[steps][~bits]] = 1, 1
+
+    def rows():
+        for k in range(0, len(hidden), product._ROWS):
+            yes = 1 / (1 + np.exp(-(product._matrix(hidden.slice(k, product._ROWS), width) @ vectors.T)))
+            yield np.exp(np.log(np.maximum(yes, LEAST)) @ takes + np.log(np.maximum(1 - yes, LEAST)) @ turns)
+
+    return labels, rows()
+
+
 def _cell_paths(width: int):
-    """Of each key the probabilities of a block of labels: at each node the branch a label takes, multiplied along its path."""
+    """Of each key the probabilities of a block of labels."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = {"key": pa.array([], pa.int64()), "labels": pa.array([], pa.list_(pa.int32())), "ps": pa.array([], pa.list_(pa.float64()))}
         if not left.num_rows or not right.num_rows:
             return pa.table(empty)
-        labels, place = np.unique(np.asarray(right.column("label_idx")), return_inverse=True)
-        used = right.column("node").combine_chunks()
-        steps = np.flatnonzero(np.asarray(used.is_valid()))
-        nodes, first, at = np.unique(np.asarray(used.fill_null(0))[steps], return_index=True, return_inverse=True)
-        z = product._matrix(left.column("hidden"), width) @ product._matrix(right.column("vec").combine_chunks().take(pa.array(steps[first])), width).T
-        yes = 1 / (1 + np.exp(-z))
-        bits = np.asarray(right.column("bit").combine_chunks().fill_null(False).cast(pa.int8())).astype(bool)[steps]
-        takes, turns = np.zeros((len(nodes), len(labels))), np.zeros((len(nodes), len(labels)))
-        takes[at[bits], place[steps][bits]], turns[at[~bits], place[steps][~bits]] = 1, 1
-        logs = np.log(np.maximum(yes, LEAST)) @ takes + np.log(np.maximum(1 - yes, LEAST)) @ turns
-        return pa.table({"key": left.column("key"), "labels": pa.array([labels.tolist()] * left.num_rows, pa.list_(pa.int32())), "ps": product._lists(np.exp(logs))})
+        labels, rows = _block_probabilities(left.column("hidden"), right, width)
+        return pa.table({"key": left.column("key"), "labels": pa.array([labels.tolist()] * left.num_rows, pa.list_(pa.int32())), "ps": product._lists(np.concatenate(list(rows)))})
 
     return run
 
 
-def label_probabilities(hidden: DataFrame, labels: DataFrame, tree: DataFrame, vectors: DataFrame, width: int, keys: int) -> DataFrame:
-    """key, label_idx, p for every key of hidden (key, hidden) and every one of labels (label_idx), in cells of keys and blocks of labels."""
+def _cell_scores(width: int):
+    """Of each key in one block of labels: the probability of its own label, if it is there, the best one, the first by name on a tie, and the sum."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"key": pa.array([], pa.int64()), "label_idx": pa.array([], pa.int32()), "p": pa.array([], pa.float64()), "best": pa.array([], pa.string()), "p_best": pa.array([], pa.float64()), "total": pa.array([], pa.float64())})
+        labels, rows = _block_probabilities(left.column("hidden"), right, width)
+        name_of = dict(zip(right.column("label_idx").to_pylist(), right.column("label").to_pylist(), strict=True))
+        names = [name_of[k] for k in labels.tolist()]
+        by_name = np.array(sorted(range(len(names)), key=names.__getitem__))
+        own = np.asarray(left.column("label_idx"))
+        place = np.minimum(np.searchsorted(labels, own), len(labels) - 1)
+        here, ps, best, p_best, total, at = labels[place] == own, [], [], [], [], 0
+        for block in rows:
+            every = np.arange(len(block))
+            top = by_name[block[:, by_name].argmax(axis=1)]
+            ps.append(block[every, place[at : at + len(block)]])
+            best.append(top)
+            p_best.append(block[every, top])
+            total.append(block.sum(axis=1))
+            at += len(block)
+        return pa.table({
+            "key": left.column("key"),
+            "label_idx": left.column("label_idx"),
+            "p": pa.array(np.concatenate(ps), mask=~here),
+            "best": pa.array(names, pa.string()).take(pa.array(np.concatenate(best))),
+            "p_best": np.concatenate(p_best),
+            "total": np.concatenate(total),
+        })
+
+    return run
+
+
+def _cells(hidden: DataFrame, labels: DataFrame, tree: DataFrame, vectors: DataFrame, keys: int):
+    """Rows of hidden beside the paths of labels, in cells of keys and blocks of labels."""
     n = labels.count()
     blocks, salts = max(1, -(-n // product.LABELS)), max(1, -(-keys // product.KEYS))
-    left = hidden.select("key", "hidden", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    paths = labels.select(F.col("label_idx").cast("int").alias("label_idx")).join(tree, "label_idx", "left").join(vectors, "node", "left")  # a lone label has no step
-    right = paths.select("label_idx", "node", "bit", "vec", (F.col("label_idx") % blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    cells = left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(_cell_paths(width), "key long, labels array<int>, ps array<double>")
+    left = hidden.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    paths = labels.withColumn("label_idx", F.col("label_idx").cast("int")).join(tree, "label_idx", "left").join(vectors, "node", "left")  # a lone label has no step
+    right = paths.withColumn("block", F.col("label_idx") % blocks).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt"))
+
+
+def label_probabilities(hidden: DataFrame, labels: DataFrame, tree: DataFrame, vectors: DataFrame, width: int, keys: int) -> DataFrame:
+    """key, label_idx, p for every key of hidden (key, hidden) and every one of labels (label_idx), in cells of keys and blocks of labels."""
+    cells = _cells(hidden.select("key", "hidden"), labels.select("label_idx"), tree, vectors, keys).applyInArrow(_cell_paths(width), "key long, labels array<int>, ps array<double>")
     return cells.select("key", F.explode(F.arrays_zip("labels", "ps")).alias("x")).select("key", F.col("x.labels").alias("label_idx"), F.col("x.ps").alias("p"))
 
 
+def label_scores(hidden: DataFrame, labels: DataFrame, tree: DataFrame, vectors: DataFrame, width: int, keys: int) -> DataFrame:
+    """key, label_idx, p, best, p_best, total of every row of hidden (key, hidden, label_idx; each pair once) over labels (label_idx, label): a row per pair and block of labels is exchanged, not one per label.
+
+    p: of the row's own label_idx, null if no label has it; the best is the first by name on a tie.
+    """
+    cells = _cells(hidden.select("key", "hidden", "label_idx"), labels.select("label_idx", "label"), tree, vectors, keys)
+    part = cells.applyInArrow(_cell_scores(width), "key long, label_idx int, p double, best string, p_best double, total double")
+    top = part.groupBy("key", "label_idx").agg(F.max("p").alias("p"), F.min(F.struct((-F.col("p_best")).alias("cost"), "best")).alias("b"), F.sum("total").alias("total"))
+    return top.select("key", "label_idx", "p", F.col("b.best").alias("best"), (-F.col("b.cost")).alias("p_best"), "total")
+
+
 def with_index(labels: DataFrame) -> DataFrame:
     """label, n, label_idx: labels by descending count, then name."""
     order = labels.select("label", F.col("n").alias("weight"), F.lit(False).alias("joined"), F.row_number().over(Window.partitionBy("n").orderBy(F.desc("label"))).alias("turn"))
@@ -163,6 +228,7 @@ def held_out_scores(docs: DataFrame, hidden: DataFrame, width: int) -> DataFrame
     p: what the tree gives the row's own label, null if training has not seen it; total: the sum over all labels.
     """
     spark, wide = docs.sparkSession, width + 1
+    docs = saved(docs.select(F.col("doc_id").alias("key"), "label", "training"))  # texts are read once
     biased = hidden.select("key", F.concat("hidden", F.array(F.lit(1.0))).alias("hidden"))
     counts = docs.where("training").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     labels = saved(with_index(counts))
@@ -170,13 +236,10 @@ def held_out_scores(docs: DataFrame, hidden: DataFrame, width: int) -> DataFrame
     path = tree.groupBy("label_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "bit"))).alias("path"))  # as deep as the tree
     path = labels.join(path, "label_idx").select("label", F.col("path.node").alias("nodes"), F.col("path.bit").alias("bits"))
     m = labels.count()
-    own = docs.where("training").select(F.col("doc_id").alias("key"), "label").join(small(path, m), "label")
+    own = docs.where("training").select("key", "label").join(small(path, m), "label")
     rows = saved(own.join(biased, "key").select("hidden", "nodes", "bits"))
     vectors, _ = fit_nodes(rows, max(0, m - 1), wide)
-    n = docs.count()
-    held = docs.where("not training").select(F.col("doc_id").alias("key"), "label")
-    ps = label_probabilities(biased.join(held.select("key"), "key", "left_semi"), labels, tree, vectors_table(spark, vectors), wide, n)
-    named = ps.join(small(labels.select("label_idx", F.col("label").alias("name")), m), "label_idx")
-    top = named.groupBy("key").agg(F.min(F.struct((-F.col("p")).alias("cost"), "name")).alias("b"), F.sum("p").alias("total"))
-    found = held.join(named.select("key", F.col("name").alias("label"), "p"), ["key", "label"], "left").join(top, "key")
-    return found.select(F.col("key").alias("doc_id"), "label", "p", F.col("b.name").alias("best"), (-F.col("b.cost")).alias("p_best"), "total")
+    held = docs.where("not training").join(small(labels.select("label", "label_idx"), m), "label", "left").withColumn("label_idx", F.coalesce("label_idx", F.lit(-1)))
+    pairs = held.select("key", "label_idx").distinct()  # rows may share a key
+    scored = label_scores(pairs.join(biased, "key"), labels, tree, vectors_table(spark, vectors), wide, docs.count())
+    return held.join(scored, ["key", "label_idx"]).select(F.col("key").alias("doc_id"), "label", "p", "best", "p_best", "total")

@@ -25,8 +25,8 @@ def _weights(spark) -> DataFrame:
 
 def _hidden(docs: DataFrame) -> DataFrame:
     """key, hidden: means of seeded weights over the trigrams of each text."""
-    features = ngrams.document_features(docs, F.col("doc_id"), F.col("text"), 3, 3, BUCKETS, product.IDS)
-    return product.hidden_means(features, _weights(docs.sparkSession), WIDTH, docs.count())
+    weights = product.in_blocks(_weights(docs.sparkSession), WIDTH)
+    return product.means_of(product.text_sums(docs, F.col("doc_id"), F.col("text"), 3, BUCKETS, weights, WIDTH), WIDTH)
 
 
 @query(

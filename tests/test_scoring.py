@@ -231,3 +231,26 @@ def test_label_counts_are_sent_before_they_are_too_many(spark, docs, monkeypatch
         monkeypatch.setattr(ngrams, "HELD", held)
         got = {(r.label, r.id): r.n for r in ngrams.label_features(labelled, F.col("label"), F.col("text"), 3, 3, BUCKETS).collect()}
         assert got == want
+
+
+def test_rows_of_one_key_get_their_own_labels_score(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, f"l{k % 3}" if k % 7 else "rare", k % 5 != 0) for k in range(60)] + [(5, "l0", False), (5, "new", False), (10, "l1", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, label string, training boolean")
+    hidden = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(60)], "key long, hidden array<double>")
+    got = [tuple(r) for r in tree_softmax.held_out_scores(docs, hidden, 4).collect()]
+    assert sorted(r[:2] for r in got) == sorted((k, x) for k, x, training in rows if not training)
+    by_key = {}
+    for key, label, p, best, p_best, total in got:
+        assert math.isclose(total, 1, rel_tol=1e-9) and (p is None) == (label == "new")
+        assert p is None or p <= p_best and (p == p_best or best != label)
+        by_key.setdefault(key, set()).add((best, p_best, total))
+    assert all(len(v) == 1 for v in by_key.values())
+
+
+def test_held_out_scores_exchange_no_features_and_no_row_per_label(spark):
+    from lexmill.plans.queries import QUERIES
+
+    for name in ("tree_softmax_scores", "lid_predict"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "ns#" not in plan and "arrays_zip" not in plan
