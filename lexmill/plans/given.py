@@ -79,8 +79,8 @@ def literal_split(spark, sf_dir):
     select doc_id, count(*)::bigint as n_lines, md5(string_agg(case when {at(SEEN, 'line')} then regexp_replace(trim(replace(line, 'e', '3')), ' +', ' ', 'g') || '.' else line end, chr(10) order by pos)) as h from l group by doc_id"""
 )
 def line_rules(spark, sf_dir):
-    """A rule applied to the distinct visible lines of all documents, texts put together again."""
-    rule = lines.by_column(lambda c: F.concat(F.regexp_replace(F.trim(F.replace(c, F.lit("e"), F.lit("3"))), " +", " "), F.lit(".")))
+    """A rule applied to the visible lines of all documents, texts put together again."""
+    rule = lines.in_place(lambda c: F.concat(F.regexp_replace(F.trim(F.replace(c, F.lit("e"), F.lit("3"))), " +", " "), F.lit(".")))
     mapped = lines.map_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), rule)
     return mapped.where("text is not null").select("doc_id", F.size(F.split("mapped", "\n", -1)).cast("long").alias("n_lines"), F.md5(F.col("mapped").cast("binary")).alias("h"))
 

@@ -76,3 +76,20 @@ def test_lines_are_mapped_once_and_come_back_in_order(spark, monkeypatch):
     assert sorted((r.doc_id, r.mapped or "") for r in got) == sorted((r.doc_id, want(r.text) or "") for r in got)
     assert len(got) == len(texts) + 2 and all((r.mapped is None) == (r.text is None) for r in got)
     assert calls.value == len({x for t in texts if t for x in t.split("\n") if shown.search(x)})
+
+
+def test_rules_of_columns_exchange_nothing(spark):
+    from lexmill.plans.queries import QUERIES
+
+    assert "Exchange" not in QUERIES["line_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    texts = ["one\n\n \nee  e ", "", None, "\n", "​\ntwo", "drop\nkept", "e\r\né"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rule = lambda c: F.when(c != "drop", F.concat(F.trim(F.replace(c, F.lit("e"), F.lit("3"))), F.lit(".")))
+    here, there = ({r.doc_id: r.mapped for r in lines.map_lines(docs, f(rule)).collect()} for f in (lines.in_place, lines.by_column))
+    assert here == there and len(here) == len(texts)
+
+
+def test_each_distinct_line_travels_once(spark):
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "b")], "doc_id long, text string")
+    plan = lines.map_lines(docs, lines.by_column(lambda c: F.concat(c, c)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" in plan  # places travel with a digest in place of their line
