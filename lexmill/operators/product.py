@@ -102,6 +102,7 @@ def text_sums(docs: DataFrame, key: Column, text: Column, size: int, buckets: in
         return sparse_dense(features, weights, width, docs.count())
     ngrams.small_batches(docs.sparkSession)
     found = weights.where(F.col("id") < buckets).select(F.col("id").cast("long").alias("id"), "block", "vec").toArrow()
+    width = max(1, width)
     blocks = (width - 1) // COLUMNS + 1
     table = np.zeros((buckets, blocks, COLUMNS))
     table[np.asarray(found.column("id")), np.asarray(found.column("block"))] = _matrix(found.column("vec"), COLUMNS)

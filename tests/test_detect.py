@@ -48,3 +48,9 @@ def test_ties_go_to_the_first_name(spark):
     rows = [(1, "zh-Hant", 5), (1, "zh", 5), (2, "eng", 3), (2, "en", 3), (2, "a", 1), (3, "é", 2), (3, "z", 2)]
     got = {r.doc_id: (r.predicted, r.score) for r in predict(spark.createDataFrame(rows, "doc_id long, lang string, score long")).collect()}
     assert got == {1: ("zh", 5), 2: ("en", 3), 3: ("z", 2)}
+
+
+def test_without_training_texts_only_refused_ones_are_returned(spark, tmp_path):
+    rows = [(1, _side(False, "the mat"), "en", "s", 1), (2, None, "en", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["lid_predict"](spark, str(tmp_path)).collect()] == [(2, None, None, "EMPTY_INPUT")]
